@@ -114,16 +114,17 @@ def mix_plan(
     placed = placed.withColumn("epochs", F.transform(epochs, lambda e: F.struct(e.alias("epoch"), F.floor(middle(e) / block).alias("block"))))
     placed = written(placed.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "no", "size", "source_size", "target", "h", "epochs", *[f"k_{c}" for c in keep]), "mix-placed")
 
-    # the row on the border may be large: one copy more or less of the row that fits best closes most of the gap
-    gaps = placed.groupBy("no").agg((F.first("target") - F.sum(F.size("epochs") * F.col("size"))).alias("gap"))
-    after = F.abs(F.col("gap") - F.signum("gap") * F.col("size"))
-    able = (F.col("size") > 0) & (after < F.abs("gap")) & F.when(F.col("gap") > 0, F.size("epochs") < math.floor(most)).otherwise(F.size("epochs") > 0)
-    fixes = placed.join(F.broadcast(gaps), "no").filter(able).groupBy("no").agg(F.min_by(F.struct("row", "gap"), F.struct(after, "h", "row")).alias("fix"))
-    fixes = fixes.select(F.col("fix.row").alias("row"), F.col("fix.gap").alias("gap"))  # a row for each source
-    last = F.floor((F.col("target") - 0.001) / block)
-    more = F.array(F.struct(F.size("epochs").alias("epoch"), F.greatest(last, F.lit(0)).alias("block")))
-    changed = F.when(F.col("gap") > 0, F.concat("epochs", more)).when(F.col("gap") < 0, F.slice("epochs", 1, F.size("epochs") - 1)).otherwise(F.col("epochs"))
-    placed = placed.join(F.broadcast(fixes), "row", "left").withColumn("epochs", changed).drop("gap")
+    # the row on the border may be large: one copy more or less of the row that fits best closes most of the gap, and again
+    for _ in range(2):
+        gaps = placed.groupBy("no").agg((F.first("target") - F.sum(F.size("epochs") * F.col("size"))).alias("gap"))
+        after = F.abs(F.col("gap") - F.signum("gap") * F.col("size"))
+        able = (F.col("size") > 0) & (after < F.abs("gap")) & F.when(F.col("gap") > 0, F.size("epochs") < math.floor(most)).otherwise(F.size("epochs") > 0)
+        fixes = placed.join(F.broadcast(gaps), "no").filter(able).groupBy("no").agg(F.min_by(F.struct("row", "gap"), F.struct(after, "h", "row")).alias("fix"))
+        fixes = fixes.select(F.col("fix.row").alias("row"), F.col("fix.gap").alias("gap"))  # a row for each source
+        last = F.floor((F.col("target") - 0.001) / block)
+        more = F.array(F.struct(F.size("epochs").alias("epoch"), F.greatest(last, F.lit(0)).alias("block")))
+        changed = F.when(F.col("gap") > 0, F.concat("epochs", more)).when(F.col("gap") < 0, F.slice("epochs", 1, F.size("epochs") - 1)).otherwise(F.col("epochs"))
+        placed = placed.join(F.broadcast(fixes), "row", "left").withColumn("epochs", changed).drop("gap")
 
     def leaves(batches):
         for pdf in batches:
