@@ -73,7 +73,7 @@ def stride(n: int, seed: int) -> tuple[int, int]:
 
 def mix_plan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0,
-    shard_words: int = 4_000_000, blocks_per_shard: int = 64, bucket_rows: int = 20_000, seed: int = 17, keep: list[str] = (),
+    shard_words: int = 4_000_000, blocks_per_shard: int = 64, bucket_rows: int = 1_500, seed: int = 17, keep: list[str] = (),
 ) -> DataFrame:
     """One row for every row of docs: id_col, size, source_size, target, copies: array of (epoch, block, shard), and the columns keep.
 

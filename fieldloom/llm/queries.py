@@ -94,3 +94,12 @@ def op10_token_store(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_warc_revisit, op3_mixing, op8_url_filter, op9_exact_dedup, op10_token_store)}
 SQL = {"op1_warc_revisit": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+
+
+def op7_jaccard_join(spark, sf_dir):
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(_docs(spark, sf_dir), words=4, num=85, den=100)
+
+
+QUERIES["op7_jaccard_join"] = op7_jaccard_join
