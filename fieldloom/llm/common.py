@@ -115,6 +115,10 @@ def word_codes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
     return code, a, b, doc
 
 
+#: ASCII for matching words: capitals as small letters, all but letters and digits as blanks.
+READ = np.arange(256, dtype=np.uint8)
+READ[65:91] += 32
+READ[[c for c in range(128) if not chr(c).isalnum()]] = 32
 SPACE = np.zeros(256, bool)
 SPACE[list(WHITE)] = True
 LETTERS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

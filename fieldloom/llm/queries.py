@@ -103,3 +103,33 @@ def op7_jaccard_join(spark, sf_dir):
 
 
 QUERIES["op7_jaccard_join"] = op7_jaccard_join
+
+
+def op2_quality(spark, sf_dir):
+    from .quality import quality
+
+    return quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES |= {"op2_quality": op2_quality, "op4_toxicity": op4_toxicity}
+
+
+def op5_substring_dedup(spark, sf_dir):
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(_docs(spark, sf_dir))
+
+
+def op6_decontamination(spark, sf_dir):
+    from .decontam import decontaminate
+
+    return decontaminate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES |= {"op5_substring_dedup": op5_substring_dedup, "op6_decontamination": op6_decontamination}

@@ -13,25 +13,30 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import pieces, scratch_path, written
+from .common import pieces, scratch_path, utf8, written
 
 MAGIC = b"TOKSHRD1"
 HEADER = struct.Struct("<8sIQ32s")
 TRAILER = struct.Struct("<QQ8s")
 INDEX = np.dtype([("doc_id", "<i8"), ("at", "<u8"), ("length", "<u4"), ("n_tokens", "<u4")])
-WORDS_HELD = 400_000  #: words whose ids a worker remembers; forgotten all at once when full
-#: Fixed value: white space of the tokenizer's pattern (and more), around a blank that may not be a cut.
-UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] ([\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
+WORDS_HELD = 600_000  #: words whose ids a worker remembers; forgotten all at once when full
+#: White space and separators in ASCII, and the first bytes of characters that are white space in Unicode.
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+MAYBE_BLANK = BLANK.copy()
+MAYBE_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 _loaded: dict[str, Encoder] = {}
 
@@ -42,12 +47,40 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places where a byte-level pre-tokenizer always cuts, which texts have a blank for which that isn't sure).
+
+    It cuts before a blank (unless that stands between other white space), on both sides of a single line feed,
+    and before a full stop or comma between an ASCII letter and white space or the end. What stands on one
+    side of such a place does not change the tokens on the other."""
+    n = len(data)
+    before, after = np.full(n, 32, np.uint8), np.full(n, 32, np.uint8)
+    before[1:], after[:-1] = data[:-1], data[1:]
+    first, last = offsets[:-1][np.diff(offsets) > 0], offsets[1:][np.diff(offsets) > 0] - 1
+    before[first], after[last] = 97, 32
+
+    def behind_blank(at):
+        p1, p2, p3 = before[at], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+        return BLANK[p1] | ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | ((p3 >= 0xE1) & (p3 <= 0xE3) & ((p2 == 0x80) | (p2 == 0x81) | (p2 == 0x9A)))
+
+    blanks = np.flatnonzero(data == 32)
+    unsafe = blanks[MAYBE_BLANK[after[blanks]]]
+    unsafe = unsafe[behind_blank(unsafe)]
+    feeds = np.flatnonzero((data == 10) & ~MAYBE_BLANK[after])
+    feeds = feeds[~behind_blank(feeds)]
+    stops = np.flatnonzero(((data == 46) | (data == 44)) & BLANK[after] & LETTER[before])
+    mark = np.zeros(n + 1, bool)
+    for at in (blanks, feeds, feeds + 1, stops, offsets):
+        mark[at] = True
+    return np.flatnonzero(mark), np.unique(np.searchsorted(offsets, unsafe, "right") - 1)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library.
 
-    A byte-level pre-tokenizer without a prefix blank always cuts before a single blank, whatever follows, so
-    each distinct blank-separated piece is encoded once and its ids are gathered. Texts where a blank stands
-    behind other white space and before more of it, and all texts under other tokenizers, are encoded whole.
+    Under a byte-level pre-tokenizer without a prefix blank, each distinct piece between sure cuts is encoded
+    once and its ids are gathered. Texts for which a cut is not sure, and all texts under other tokenizers,
+    are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -58,17 +91,27 @@ class Encoder:
         model = __import__("json").loads(self.tokenizer.to_str())
         pre = model.get("pre_tokenizer") or {}
         added = [t["content"] for t in model.get("added_tokens", [])]
-        self.by_piece = model.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(" " in t for t in added) and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in model.get("added_tokens", []))
+        self.by_piece = model.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(set(" \n.,") & set(t) for t in added) and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in model.get("added_tokens", []))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.held: dict[str, np.ndarray] = {}
+        self.held: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def look_up(self, names: list[str]) -> list[bytes]:
+        """The ids of each piece, as native integers."""
+        if len(self.held) > WORDS_HELD:
+            self.held.clear()
+        new = [p for p in names if p not in self.held]
+        code = "H" if self.width == 2 else "I"
+        self.held.update(zip(new, (array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        return [self.held[p] for p in names]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of the texts in them); a null is empty."""
         texts = texts.fill_null("") if texts.null_count else texts
-        unsafe = np.flatnonzero(pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)) if self.by_piece else np.arange(len(texts))
+        data, offsets = utf8(texts)
+        places, unsafe = cuts(data, offsets) if self.by_piece else (None, np.arange(len(texts)))
         if len(unsafe) == len(texts):
             ids = self.whole(texts.to_pylist())
             return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum([0, *map(len, ids)])
@@ -81,27 +124,13 @@ class Encoder:
             for i, x in zip(unsafe, self.whole(texts.take(pa.array(unsafe)).to_pylist())):
                 ids[i] = x
             return np.concatenate(ids), np.cumsum([0, *map(len, ids)])
-        split = pc.split_pattern(texts, " ")
-        bounds = np.asarray(split.offsets).astype(np.int64)
-        bounds -= bounds[0]
-        words = split.flatten().dictionary_encode()
-        code = np.asarray(words.indices).astype(np.int64)
-        first = np.zeros(len(code), bool)
-        first[bounds[:-1]] = True  # the first piece of a text has no blank before it
-        n = len(words.dictionary)
-        code[first] += n
-        used = np.unique(code)
-        names = words.dictionary.to_pylist()
-        pieces_ = [" " + names[i] if i < n else names[i - n] for i in used.tolist()]
-        if len(self.held) > WORDS_HELD:
-            self.held.clear()
-        unknown = [p for p in pieces_ if p not in self.held]
-        self.held.update(zip(unknown, self.whole(unknown)))
-        own = [self.held[p] for p in pieces_]
-        lengths = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.concatenate([*own, np.zeros(0, np.uint32)])
+        parts = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        slot = np.asarray(parts.indices).astype(np.int64)
+        own = self.look_up(parts.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, own), np.int64, len(own)) // self.width
+        flat = np.frombuffer(b"".join(own), np.uint16 if self.width == 2 else np.uint32)
+        bounds = np.searchsorted(places, offsets)
         starts = np.cumsum(lengths) - lengths
-        slot = np.searchsorted(used, code)
         count = lengths[slot]
         ends = np.cumsum(count)
         ids = flat[np.repeat(starts[slot] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
