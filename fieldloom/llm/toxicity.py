@@ -206,7 +206,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [(r.text, r.sample_label) for r in texts.orderBy("h", "size").select("text", "sample_label").collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 2500, clean_rows: int = 7500, most_bytes: int = 40 << 20) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 1500, clean_rows: int = 4500, most_bytes: int = 16 << 20) -> Model:
     """A model from a bounded sample of labelled documents: at most so many toxic and clean ones, and so many bytes.
 
     Words and word beginnings that stand in toxic documents far more often than in clean ones (near copies
@@ -217,8 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len({y for _, y in sample}) < 2:
         return empty
     toxic = np.array([y == 1 for _, y in sample])
-    data, offsets = utf8(pa.array([t for t, _ in sample], pa.string()))
-    codes, _, _, doc = tokens(data, offsets)
+    parts, docs_before = [], 0  # a few texts at a time: the driver is small
+    batches = list(pieces(pa.table({"t": pa.array([t for t, _ in sample], pa.string())}).to_batches(), 0, 1 << 20))
+    for batch in batches:
+        code, _, _, doc = tokens(*utf8(batch.column(0)))
+        parts.append((*code, doc + docs_before))
+        docs_before += batch.num_rows
+    *codes, doc = (np.concatenate(c) for c in zip(*parts))
+    del parts
     n = len(sample)
     group = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(group, doc, mix64(codes[0]))  # near copies mostly share their least word hash
@@ -229,9 +235,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picks = []
     for k, code in enumerate(codes):
         use = train[doc] & (code != 0)
-        pairs = np.unique(np.stack([code[use], cluster[doc[use]].astype(np.uint64) * np.uint64(2) + toxic[doc[use]]], 1), axis=0)
-        value, at = np.unique(pairs[:, 0], return_inverse=True)
-        t = np.bincount(at, pairs[:, 1] % 2)
+        own, kind = code[use], toxic[doc[use]]
+        once = np.unique(mix64(own + mix64(cluster[doc[use]].astype(np.uint64) * np.uint64(2) + kind)), return_index=True)[1]
+        value, at = np.unique(own[once], return_inverse=True)
+        t = np.bincount(at, kind[once])
         c = np.bincount(at) - t
         nt, nc = len(np.unique(cluster[train & toxic])), len(np.unique(cluster[train & ~toxic]))
         p = nt / max(1, nt + nc)
@@ -243,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     use = train[doc]
     weights, bias, moves = fit_crf([c[use] for c in codes], vocabulary, doc[use], toxic)
     model = Model(vocabulary, weights, bias, moves, np.zeros(3))
-    x, _ = model.documents(data, offsets)
+    x = np.concatenate([model.documents(*utf8(b.column(0)))[0] for b in batches])
     half = ~train if len(set(toxic[~train])) == 2 else np.ones(n, bool)
     model.link = logistic(x[half], toxic[half].astype(float))
     return model
