@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import READ, mix64, pieces, utf8, word_codes
 
-INDEX_BYTES = 16 << 20  #: texts of one index; more items make more indexes, each asked in turn
-BLOCK = 16  #: items of a block
+INDEX_BYTES = 128 << 10  #: texts of one index; more items make more indexes, each asked in turn
+BLOCK = 8  #: items of a block
 
 K1 = np.uint64(0x9FB21C651E98DF25)
 
@@ -53,9 +54,7 @@ class Index:
     questions: list[np.ndarray]
     answers: list[np.ndarray]
     terms: np.ndarray
-    post_at: np.ndarray
-    post_item: np.ndarray
-    post_impact: np.ndarray
+    impact: np.ndarray  #: term x item
     block_max: np.ndarray  #: term x block
     longest: int
     hint: np.ndarray = field(repr=False, default=None)
@@ -64,6 +63,10 @@ class Index:
     def build(rows: list[tuple], words: int, k1: float = 1.2, b: float = 0.75) -> Index:
         """rows: (id, question, answer)."""
         codes = [(_codes(q), _codes(a)) for _, q, a in rows]
+        # items that share frequent words stand together, so that a block's bounds are close
+        often = [t for t, _ in Counter(t for q, a in codes for t in {*q.tolist(), *a.tolist()}).most_common(12)]
+        order = sorted(range(len(rows)), key=lambda i: [t not in {*codes[i][0].tolist(), *codes[i][1].tolist()} for t in often])
+        rows, codes = [rows[i] for i in order], [codes[i] for i in order]
         whole = [np.concatenate(c) for c in codes]
         length = np.array([len(c) for c in whole], float)
         mean = max(1.0, length.mean()) if len(rows) else 1.0
@@ -78,13 +81,12 @@ class Index:
         idf = np.log1p((len(rows) - df + 0.5) / (df + 0.5))
         impact = idf[which] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[item] / mean))
         impact /= np.maximum(np.bincount(item, impact, len(rows)), 1e-9)[item] if len(item) else 1
-        order = np.lexsort((item, which))
-        which, item, impact = which[order], item[order], impact[order]
-        block_max = np.zeros((len(terms), max(1, -(-len(rows) // BLOCK))), np.float32)
-        np.maximum.at(block_max, (which, item // BLOCK), np.nextafter(impact.astype(np.float32), np.float32(9)))
+        dense = np.zeros((len(terms), max(1, -(-len(rows) // BLOCK)) * BLOCK), np.float32)
+        dense[which, item] = np.nextafter(impact.astype(np.float32), np.float32(9))
+        block_max = dense.reshape(len(terms), -1, BLOCK).max(2)
         hint = np.zeros(1 << 20, bool)
         hint[(terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return Index([r[0] for r in rows], [(len(q), len(a)) for q, a in codes], [np.unique(shingles_of(q, words)) for q, _ in codes], [np.unique(shingles_of(a, words)) for _, a in codes], terms, np.searchsorted(which, np.arange(len(terms) + 1)), item, impact, block_max, int(length.max()) if len(rows) else 0, hint)
+        return Index([r[0] for r in rows], [(len(q), len(a)) for q, a in codes], [np.unique(shingles_of(q, words)) for q, _ in codes], [np.unique(shingles_of(a, words)) for _, a in codes], terms, dense, block_max, int(length.max()) if len(rows) else 0, hint)
 
     def known(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of words that are terms, their terms)."""
@@ -98,29 +100,12 @@ class Index:
     def above(self, terms: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """(item, score) of every item whose score for these distinct terms reaches threshold.
 
-        bounds: for each block the sum of the terms' largest impacts. Blocks whose bound is lower are skipped. In
-        the others, WAND: terms in the order of their largest impact; items that only occur in the last terms,
-        which together can't reach the threshold, are never scored."""
+        bounds: for each block of items the sum of the terms' largest impacts in it. A block whose bound is lower cannot hold
+        such an item and is skipped; the items of the others are scored together."""
         out = []
-        for block in np.flatnonzero(bounds >= threshold):
-            most = self.block_max[terms, block]
-            order = np.argsort(-most)
-            order = order[most[order] > 0]
-            rest = np.cumsum(most[order][::-1])[::-1]
-            scores: dict[int, float] = {}
-            for r, k in enumerate(order):
-                opening = rest[r] >= threshold
-                if not opening and not scores:
-                    break
-                t = terms[k]
-                a, z = self.post_at[t], self.post_at[t + 1]
-                a, z = a + np.searchsorted(self.post_item[a:z], [block * BLOCK, (block + 1) * BLOCK])
-                for item, impact in zip(self.post_item[a:z].tolist(), self.post_impact[a:z].tolist()):
-                    if item in scores:
-                        scores[item] += impact
-                    elif opening:
-                        scores[item] = impact
-            out += [(i, s) for i, s in scores.items() if s >= threshold]
+        for block in np.flatnonzero(bounds >= threshold).tolist():
+            scores = self.impact[terms, block * BLOCK : (block + 1) * BLOCK].sum(0)
+            out += [(block * BLOCK + int(i), float(scores[i])) for i in np.flatnonzero(scores >= threshold)]
         return out
 
 
@@ -149,14 +134,11 @@ def _search(batches, indexes: list[Index], words: int, threshold: float, overlap
             pairs = np.unique(np.concatenate([stretch, stretch[second] - 1]) * len(index.terms) + np.concatenate([term, term[second]]))
             passage, term = np.divmod(pairs, len(index.terms))
             start = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-            top = np.add.reduceat(index.block_max[term].max(1), start)  # a bound for all blocks first
             ends = np.append(start[1:], len(passage))
-            for k in np.flatnonzero(top >= threshold).tolist():
+            bounds = np.add.reduceat(index.block_max[term], start, axis=0)
+            for k in np.flatnonzero(bounds.max(1) >= threshold).tolist():
                 own = term[start[k] : ends[k]]
-                bounds = index.block_max[own].sum(0)
-                if bounds.max() < threshold:
-                    continue
-                hits = index.above(own, bounds, threshold)
+                hits = index.above(own, bounds[k], threshold)
                 if not hits:
                     continue
                 p = int(passage[start[k]])
@@ -199,7 +181,7 @@ def build_indexes(items: DataFrame, words: int, id_col: str, question_col: str,
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None,
-    words: int = 5, threshold: float = 0.5, overlap: float = 0.8, batch_bytes: int = 3 << 20,
+    words: int = 5, threshold: float = 0.7, overlap: float = 0.8, batch_bytes: int = 2 << 20,
 ) -> DataFrame:
     """(id_col, item_id, score, question_overlap, answer_overlap, passage_word): a row for each item that a row of docs leaks.
 
