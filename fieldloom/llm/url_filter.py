@@ -72,7 +72,7 @@ def url_filter(
     """
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     # a page's path counts in the propagation by the rules it fits only: the distinct (host, path prefix) pairs stay few
-    hosts = rules_by_host(rows.select("host").distinct(), rules)
+    hosts = written(rules_by_host(rows.select("host").distinct(), rules), "url-hosts")  # a table of its own, so that a host with many pages is split in the join
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])))
     ruled = rows.join(hosts, "host").select("id", "host", "path", best.alias("best"))
     ruled = ruled.select("id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled"))
@@ -101,7 +101,7 @@ def url_filter(
                 (F.lit(1 - damping) * F.col("good") + F.lit(damping) * F.coalesce("trust", F.lit(0.0))).alias("trust"),
                 (F.lit(1 - damping) * F.col("bad") + F.lit(damping) * F.coalesce("distrust", F.lit(0.0))).alias("distrust"),
             )
-            if k % 3 == 2:
+            if k % 3 == 2 or k == rounds - 1:
                 rank = written(rank, "url-rank")
     judged = ruled.join(rank, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
