@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -36,6 +37,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def perhaps_among(rows: DataFrame, keys: DataFrame, key: str, maps: int = 1024) -> DataFrame:
+    """rows without most of those whose key is not in keys; none with a key in keys goes.
+
+    The hashes of the keys are bits of at most `maps` bitmaps of 4 KB, which are broadcast: 4 MB at any size of keys. With n
+    keys a foreign row stays with probability n / (32768 * maps) or less, so an exact join has to follow, which then shuffles few rows."""
+    h = F.pmod(F.xxhash64(key), F.lit(32768 * maps))
+    place, bit = F.shiftright(h, 15).alias("map_no"), h.bitwiseAND(F.lit(32767))
+    bitmaps = keys.select(place, bit.alias("bit")).groupBy("map_no").agg(F.bitmap_construct_agg("bit").alias("map_bits"))
+    byte = F.conv(F.hex(F.substring("map_bits", F.shiftright(F.col("map_bit"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    one = F.lit(1).cast("bigint")
+    found = rows.withColumns({"map_no": place, "map_bit": bit}).join(F.broadcast(bitmaps), "map_no")
+    return found.filter(F.floor(byte / F.pow(F.lit(2), F.col("map_bit").bitwiseAND(F.lit(7)))).bitwiseAND(one) == one).select(*rows.columns)
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove the files of a table that written() made, once nothing reads them any more."""
     spark = df.sparkSession
