@@ -146,13 +146,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
     return w
 
 
-def fit_crf(codes, vocabulary: np.ndarray, doc: np.ndarray, toxic: np.ndarray, seed: int = 5, width: int = 48, most: int = 6000, steps: int = 60):
+def features_of(codes, vocabulary: np.ndarray) -> list[np.ndarray]:
+    """The place of each code in the vocabulary, or the vocabulary's length."""
+    places = [np.searchsorted(vocabulary, c).clip(max=len(vocabulary) - 1) for c in codes]
+    return [np.where(vocabulary[k] == c, k, len(vocabulary)).astype(np.int32) for k, c in zip(places, codes)]
+
+
+def fit_crf(known, vocabulary: np.ndarray, doc: np.ndarray, toxic: np.ndarray, seed: int = 5, width: int = 48, most: int = 6000, steps: int = 60):
     """(weights, bias, moves) by gradient ascent on the likelihood of labelled stretches of words.
 
     A word of a toxic document that has a feature of the vocabulary is labelled toxic, all others are not. Stretches
     are runs of `width` words: those of toxic documents that hold a labelled word, and as many others."""
-    known = [np.searchsorted(vocabulary, c).clip(max=len(vocabulary) - 1) for c in codes]
-    known = [np.where(vocabulary[k] == c, k, len(vocabulary)) for k, c in zip(known, codes)]
     label = np.any([k < len(vocabulary) for k in known], axis=0) & toxic[doc]
     stretch = np.arange(len(doc)) // width
     whole = np.flatnonzero(np.bincount(stretch) == width)
@@ -217,24 +221,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len({y for _, y in sample}) < 2:
         return empty
     toxic = np.array([y == 1 for _, y in sample])
-    parts, docs_before = [], 0  # a few texts at a time: the driver is small
-    batches = list(pieces(pa.table({"t": pa.array([t for t, _ in sample], pa.string())}).to_batches(), 0, 1 << 20))
-    for batch in batches:
-        code, _, _, doc = tokens(*utf8(batch.column(0)))
-        parts.append((*code, doc + docs_before))
-        docs_before += batch.num_rows
-    *codes, doc = (np.concatenate(c) for c in zip(*parts))
-    del parts
     n = len(sample)
-    group = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(group, doc, mix64(codes[0]))  # near copies mostly share their least word hash
-    group2 = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(group2, doc, mix64(codes[0] + np.uint64(77)))
+    # the texts are read twice, some at a time, and only a document's different words are held: the driver is small
+    batches = list(pieces(pa.table({"t": pa.array([t for t, _ in sample], pa.string())}).to_batches(), 0, 1 << 20))
+    before = np.cumsum([0] + [b.num_rows for b in batches])
+    del sample
+    words = [([], []) for _ in range(1 + len(PREFIXES))]
+    group, group2 = (np.full(n, np.iinfo(np.uint64).max, np.uint64) for _ in range(2))
+    for batch, first in zip(batches, before):
+        codes, _, _, doc = tokens(*utf8(batch.column(0)))
+        doc = doc + first
+        np.minimum.at(group, doc, mix64(codes[0]))  # near copies mostly share their least word hash
+        np.minimum.at(group2, doc, mix64(codes[0] + np.uint64(77)))
+        for code, (held, of) in zip(codes, words):
+            once = np.unique(mix64(code + mix64(doc.astype(np.uint64))), return_index=True)[1]
+            once = once[code[once] != 0]
+            held.append(code[once])
+            of.append(doc[once].astype(np.int32))
     _, cluster = np.unique(mix64(group) + group2, return_inverse=True)
     train = cluster % 4 != 3
     picks = []
-    for k, code in enumerate(codes):
-        use = train[doc] & (code != 0)
+    while words:
+        held, of = words.pop()
+        code, doc = np.concatenate(held), np.concatenate(of)
+        del held, of
+        use = train[doc]
         own, kind = code[use], toxic[doc[use]]
         once = np.unique(mix64(own + mix64(cluster[doc[use]].astype(np.uint64) * np.uint64(2) + kind)), return_index=True)[1]
         value, at = np.unique(own[once], return_inverse=True)
@@ -247,8 +258,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     vocabulary = np.unique(np.concatenate(picks))
     if not len(vocabulary):
         return empty
-    use = train[doc]
-    weights, bias, moves = fit_crf([c[use] for c in codes], vocabulary, doc[use], toxic)
+    parts = []
+    for batch, first in zip(batches, before):
+        codes, _, _, doc = tokens(*utf8(batch.column(0)))
+        doc = (doc + first).astype(np.int32)
+        use = train[doc]
+        parts.append((*features_of([c[use] for c in codes], vocabulary), doc[use]))
+    *known, doc = (np.concatenate(c) for c in zip(*parts))
+    del parts
+    weights, bias, moves = fit_crf(known, vocabulary, doc, toxic)
     model = Model(vocabulary, weights, bias, moves, np.zeros(3))
     x = np.concatenate([model.documents(*utf8(b.column(0)))[0] for b in batches])
     half = ~train if len(set(toxic[~train])) == 2 else np.ones(n, bool)
