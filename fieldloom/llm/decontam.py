@@ -40,6 +40,16 @@ def shingles_of(code: np.ndarray, words: int) -> np.ndarray:
     return h
 
 
+def may_lack(shingles: int, runs: int, overlap: float, words: int) -> int:
+    """How many distinct words a passage can lack that has `overlap` of a part's distinct shingles (runs: places where one begins).
+
+    A word is lacking only if all shingles with it are. Take one that is not lacking: each lacking word before it begins a lacking
+    shingle, each after it ends one, so there are no more such words than shingles, if each shingle has one place. If shingles repeat, at
+    most one word begins each, and the last words - 1 words of the part begin none."""
+    lost = int((1 - overlap) * shingles + 1e-9)
+    return lost if not lost or shingles == runs else lost + words - 1
+
+
 def _codes(text: str) -> np.ndarray:
     data, offsets = utf8(pa.array([text], pa.string()))
     return word_codes(READ[data], offsets)[0]
@@ -47,20 +57,21 @@ def _codes(text: str) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Impacts of terms on items, each as a share of the item's own full score; items in blocks with the largest impact."""
+    """Impacts of terms on items, each as a share of the score that the item needs; items in blocks with the largest impact."""
 
     items: list
     lengths: list[tuple[int, int]]  #: words of the question and of the answer
     questions: list[np.ndarray]
     answers: list[np.ndarray]
     terms: np.ndarray
-    impact: np.ndarray  #: term x item
+    impact: np.ndarray  #: term x item, as a share of `need`
+    need: np.ndarray  #: the share of its full score below which an item cannot have both overlaps
     block_max: np.ndarray  #: term x block
     longest: int
     hint: np.ndarray = field(repr=False, default=None)
 
     @staticmethod
-    def build(rows: list[tuple], words: int, k1: float = 1.2, b: float = 0.75) -> Index:
+    def build(rows: list[tuple], words: int, overlap: float, k1: float = 1.2, b: float = 0.75) -> Index:
         """rows: (id, question, answer)."""
         codes = [(_codes(q), _codes(a)) for _, q, a in rows]
         # items that share frequent words stand together, so that a block's bounds are close
@@ -81,12 +92,23 @@ class Index:
         idf = np.log1p((len(rows) - df + 0.5) / (df + 0.5))
         impact = idf[which] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[item] / mean))
         impact /= np.maximum(np.bincount(item, impact, len(rows)), 1e-9)[item] if len(item) else 1
+        parts = [[np.unique(shingles_of(c, words)) for c in pair] for pair in codes]
+        need = np.ones(max(1, -(-len(rows) // BLOCK)) * BLOCK)
+        begins = np.searchsorted(item, np.arange(len(rows) + 1))
+        for i, (pair, shingles) in enumerate(zip(codes, parts)):
+            own, share = term[begins[i] : begins[i + 1]], impact[begins[i] : begins[i + 1]]
+            for c, h in zip(pair, shingles):
+                lack = may_lack(len(h), max(1, len(c) - words + 1), overlap, words)
+                if lack:
+                    need[i] -= np.sort(share[np.isin(own, c)])[-lack:].sum()
+        need = np.maximum(need - 1e-5, 1e-5)
+        impact /= need[item]
         dense = np.zeros((len(terms), max(1, -(-len(rows) // BLOCK)) * BLOCK), np.float32)
         dense[which, item] = np.nextafter(impact.astype(np.float32), np.float32(9))
         block_max = dense.reshape(len(terms), -1, BLOCK).max(2)
         hint = np.zeros(1 << 20, bool)
         hint[(terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return Index([r[0] for r in rows], [(len(q), len(a)) for q, a in codes], [np.unique(shingles_of(q, words)) for q, _ in codes], [np.unique(shingles_of(a, words)) for _, a in codes], terms, dense, block_max, int(length.max()) if len(rows) else 0, hint)
+        return Index([r[0] for r in rows], [(len(q), len(a)) for q, a in codes], [q for q, _ in parts], [a for _, a in parts], terms, dense, need, block_max, int(length.max()) if len(rows) else 0, hint)
 
     def known(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of words that are terms, their terms)."""
@@ -97,15 +119,15 @@ class Index:
         sure = self.terms[at] == code[maybe]
         return maybe[sure], at[sure]
 
-    def above(self, terms: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """(item, score) of every item whose score for these distinct terms reaches threshold.
+    def above(self, terms: np.ndarray, bounds: np.ndarray) -> list[tuple[int, float]]:
+        """(item, score) of every item whose score for these distinct terms is as high as it needs.
 
         bounds: for each block of items the sum of the terms' largest impacts in it. A block whose bound is lower cannot hold
         such an item and is skipped; the items of the others are scored together."""
         out = []
-        for block in np.flatnonzero(bounds >= threshold).tolist():
+        for block in np.flatnonzero(bounds >= 1).tolist():
             scores = self.impact[terms, block * BLOCK : (block + 1) * BLOCK].sum(0)
-            out += [(block * BLOCK + int(i), float(scores[i])) for i in np.flatnonzero(scores >= threshold)]
+            out += [(block * BLOCK + int(i), float(scores[i] * self.need[block * BLOCK + i])) for i in np.flatnonzero(scores >= 1)]
         return out
 
 
@@ -113,7 +135,7 @@ def _covered(part: np.ndarray, have: np.ndarray) -> float:
     return float(np.isin(part, have, assume_unique=False).mean()) if len(part) else 1.0
 
 
-def _search(batches, indexes: list[Index], words: int, threshold: float, overlap: float, batch_bytes: int):
+def _search(batches, indexes: list[Index], words: int, overlap: float, batch_bytes: int):
     for batch in pieces(batches, 1, batch_bytes):
         data, offsets = utf8(batch.column(1))
         code, _, _, doc = word_codes(READ[data], offsets)
@@ -136,9 +158,9 @@ def _search(batches, indexes: list[Index], words: int, threshold: float, overlap
             start = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
             ends = np.append(start[1:], len(passage))
             bounds = np.add.reduceat(index.block_max[term], start, axis=0)
-            for k in np.flatnonzero(bounds.max(1) >= threshold).tolist():
+            for k in np.flatnonzero(bounds.max(1) >= 1).tolist():
                 own = term[start[k] : ends[k]]
-                hits = index.above(own, bounds[k], threshold)
+                hits = index.above(own, bounds[k])
                 if not hits:
                     continue
                 p = int(passage[start[k]])
@@ -163,7 +185,7 @@ def _search(batches, indexes: list[Index], words: int, threshold: float, overlap
             )
 
 
-def build_indexes(items: DataFrame, words: int, id_col: str, question_col: str, answer_col: str | None) -> list[Index]:
+def build_indexes(items: DataFrame, words: int, overlap: float, id_col: str, question_col: str, answer_col: str | None) -> list[Index]:
     """Indexes of INDEX_BYTES of text each. Test items are a small table by nature: they are gathered in portions, never the corpus."""
     columns = [F.col(id_col).cast("long").alias("i"), F.col(question_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a")]
     out, rows, size = [], [], 0
@@ -176,25 +198,25 @@ def build_indexes(items: DataFrame, words: int, id_col: str, question_col: str,
         if size > INDEX_BYTES:
             out.append(rows)
             rows, size = [], 0
-    return [Index.build(part, words) for part in [*out, rows] if part]
+    return [Index.build(part, words, overlap) for part in [*out, rows] if part]
 
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None,
-    words: int = 5, threshold: float = 0.7, overlap: float = 0.8, batch_bytes: int = 2 << 20,
+    words: int = 5, overlap: float = 0.8, batch_bytes: int = 2 << 20,
 ) -> DataFrame:
     """(id_col, item_id, score, question_overlap, answer_overlap, passage_word): a row for each item that a row of docs leaks.
 
     Every passage of every whole text is a query: runs of twice as many words as the longest item has, one
-    beginning at each such half. Items with a score of at least threshold times their own full BM25 score are
-    retrieved; a leak is one where at least `overlap` of the distinct shingles of the question, and of the answer, stand in the
+    beginning at each such half. Items are retrieved by their BM25 score, from the share of the full score below which
+    none can be a leak (see may_lack), so that no leak is lost before the overlaps are checked; a leak is one where at least `overlap` of the distinct shingles of the question, and of the answer, stand in the
     passage (a part with fewer words than a shingle counts as one shingle). Of an item's passages in a document the
     one with the most overlap is reported, then the higher score, then the first. Without answer_col, an item's last
     sentence is its answer. Null texts leak nothing; null items and items without words are no items. Rows with equal ids are
     judged one by one. Words are compared with A-Z lower-cased and without ASCII punctuation.
     """
-    held = docs.sparkSession.sparkContext.broadcast(build_indexes(items, words, item_col, question_col, answer_col))
+    held = docs.sparkSession.sparkContext.broadcast(build_indexes(items, words, overlap, item_col, question_col, answer_col))
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, item_id bigint, score double, question_overlap double, answer_overlap double, passage_word bigint"
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _search(it, held.value, words, threshold, overlap, batch_bytes), schema)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _search(it, held.value, words, overlap, batch_bytes), schema)
     return out.withColumnRenamed("id", id_col)
