@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import LETTERS, READ, SPACE, inverse_powers, mix64, pieces, powers, utf8
 
@@ -197,17 +196,53 @@ def fit_crf(known, vocabulary: np.ndarray, doc: np.ndarray, toxic: np.ndarray, s
     return w[:-1], bias, moves
 
 
+def within_budget(rows: list[tuple], most_bytes: int) -> list[tuple]:
+    """Of rows (h, size, label, ...) those to read, in the order of h: each label has half of the bytes, and what the other leaves of its half.
+
+    A text that doesn't fit is skipped, and one of more than a sixteenth of its label's bytes is taken after the others."""
+    out, left = [], most_bytes
+    kinds = sorted({r[2] for r in rows}, key=lambda y: (sum(r[1] for r in rows if r[2] == y), y))
+    for k, label in enumerate(kinds):
+        quota = left // (len(kinds) - k)
+        room = quota
+        for r in sorted((r for r in rows if r[2] == label), key=lambda r: (r[1] > quota // 16, *r)):
+            if r[1] <= room:
+                out.append(r)
+                room -= r[1]
+        left -= quota - room
+    return sorted(out)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: dict[int, int], most_bytes: int) -> list:
-    """(text, label) of labelled documents: the first so many of each label by hash, whole, until the bytes are used."""
-    folds = []
-    for value, n in rows.items():
-        folds.append(labels.filter(F.col(label_col) == value).select(F.col(id_col).alias("sample_id"), F.col(label_col).cast("int").alias("sample_label")).distinct().orderBy(F.xxhash64("sample_id"), "sample_id").limit(n))
-    picked = folds[0]
-    for f in folds[1:]:
-        picked = picked.unionByName(f)
-    texts = docs.join(F.broadcast(picked), F.col(id_col) == F.col("sample_id")).select(F.xxhash64("sample_id").alias("h"), F.col(text_col).alias("text"), "sample_label", F.octet_length(text_col).alias("size"))
-    texts = texts.filter("text is not null").withColumn("sum", F.sum("size").over(W.orderBy("h", "size"))).filter(F.col("sum") <= most_bytes)  # of at most sum(rows) documents
-    return [(r.text, r.sample_label) for r in texts.orderBy("h", "size").select("text", "sample_label").collect()]
+    """(text, label) of labelled documents: the first so many of each label by hash, one row for each id (of several the shortest), whole, as far as the bytes go.
+
+    The rows are chosen by id and size, before a text is read. Where texts of both labels exist, but those of one are all too large, it is an error."""
+    kind = dict(docs.dtypes)[id_col]
+    texts = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text")).filter("text is not null")
+    mark = F.xxhash64("text").alias("mark")
+
+    def first(labels):
+        folds = [labels.filter(F.col("sample_label") == value).distinct().orderBy(F.xxhash64("sample_id"), "sample_id").limit(n) for value, n in rows.items()]
+        picked = folds[0]
+        for f in folds[1:]:
+            picked = picked.unionByName(f)
+        found = texts.join(F.broadcast(picked), "sample_id").select("sample_id", "sample_label", F.octet_length("text").alias("size"), mark)
+        found = found.groupBy("sample_id", "sample_label").agg(F.min(F.struct("size", "mark")).alias("least"))  # at most sum(rows) ids
+        return [tuple(r) for r in found.select(F.xxhash64("sample_id"), "least.size", "sample_label", "sample_id", "least.mark").collect()]
+
+    labels = labels.select(F.col(id_col).cast(kind).alias("sample_id"), F.col(label_col).cast("int").alias("sample_label"))
+    found = first(labels)
+    if {r[2] for r in found} != set(rows):  # the first labels may be of ids without a text
+        found = first(labels.join(texts.select("sample_id"), "sample_id", "left_semi"))
+    chosen = within_budget(found, most_bytes)
+    if {r[2] for r in chosen} != {r[2] for r in found}:
+        raise ValueError(f"no text of one label fits the {most_bytes} bytes of the sample, so no model can be fitted")
+    if not chosen:
+        return []
+    ids = docs.sparkSession.createDataFrame(sorted({(r[3], r[4]) for r in chosen}), f"sample_id {kind}, mark bigint")
+    read = texts.withColumn("mark", mark).join(F.broadcast(ids), ["sample_id", "mark"]).groupBy("sample_id").agg(F.min("text").alias("text"))
+    of = {r.sample_id: r.text for r in read.collect()}
+    return [(of[r[3]], r[2]) for r in chosen]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 1500, clean_rows: int = 4500, most_bytes: int = 16 << 20) -> Model:
