@@ -132,17 +132,18 @@ def fit_tables(x: np.ndarray, y: np.ndarray, rounds: int = 80, pair_rounds: int
 
 
 def _features(batches, batch_bytes: int):
-    for batch in pieces(batches, 1, batch_bytes):
-        x = features(*utf8(batch.column(1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["label", "x"])
+    for batch in pieces(batches, 2, batch_bytes):
+        x = features(*utf8(batch.column(2)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["id", "label", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 10_000, batch_bytes: int = 3 << 20) -> Model:
-    """A model from at most `rows` labelled documents of each label, the first by hash of their id."""
+    """A model from at most `rows` labelled documents of each label, the first by hash of their id; one row for each id, of several the one with the least features."""
     folds = [labels.filter(F.col(label_col) == v).select(F.col(id_col).alias("sample_id"), F.col(label_col).cast("double").alias("label")).distinct().orderBy(F.xxhash64("sample_id"), "sample_id").limit(rows) for v in (0, 1)]
     picked = folds[0].unionByName(folds[1])
-    texts = docs.join(F.broadcast(picked), F.col(id_col) == F.col("sample_id")).select("label", F.col(text_col).alias("text"))
-    found = texts.mapInArrow(lambda it: _features(it, batch_bytes), "label double, x array<double>").orderBy("label", "x").limit(2 * rows).collect()
+    texts = docs.join(F.broadcast(picked), F.col(id_col) == F.col("sample_id")).select(F.col(id_col).alias("id"), "label", F.col(text_col).alias("text"))
+    found = texts.mapInArrow(lambda it: _features(it, batch_bytes), f"id {dict(docs.dtypes)[id_col]}, label double, x array<double>")
+    found = found.groupBy("id", "label").agg(F.min("x").alias("x")).orderBy("label", "x").collect()  # at most 2 * rows
     y = np.array([r.label for r in found])
     if len(set(y)) < 2:
         return Model([np.zeros(0)] * len(FEATURES), float(y.mean() * 4 - 2) if len(y) else 0.0, np.zeros((len(FEATURES), BINS)), [], np.zeros((0, PAIR_BINS, PAIR_BINS)))
