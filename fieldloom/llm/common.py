@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words.
@@ -16,10 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set and all of Spark is one process."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("fieldloom.scratch", None)
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fieldloom.scratch", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
         spark.conf.set("fieldloom.scratch", folder)
     return folder.rstrip("/")
@@ -51,6 +53,17 @@ def perhaps_among(rows: DataFrame, keys: DataFrame, key: str, maps: int = 1024)
     return found.filter(F.floor(byte / F.pow(F.lit(2), F.col("map_bit").bitwiseAND(F.lit(7)))).bitwiseAND(one) == one).select(*rows.columns)
 
 
+def with_count(rows: DataFrame, key: str, salt: Column, name: str, only: DataFrame | None = None, salts: int = 64) -> DataFrame:
+    """rows with the number of rows that have the same key (of the keys in `only`, if given).
+
+    Rows meet their key's count by (key, salt), and a count is there for salts that occur only: a key with very many rows is spread over `salts` tasks."""
+    rows = rows.withColumn("salt_no", F.pmod(salt, F.lit(salts)))
+    total = rows.groupBy(key, "salt_no").agg(F.count("*").alias("own")).groupBy(key).agg(F.sum("own").alias(name), F.collect_list("salt_no").alias("salt_nos"))
+    if only is not None:
+        total = total.join(only, key, "left_semi")
+    return rows.join(total.select(key, name, F.explode("salt_nos").alias("salt_no")), [key, "salt_no"]).drop("salt_no")
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove the files of a table that written() made, once nothing reads them any more."""
     spark = df.sparkSession

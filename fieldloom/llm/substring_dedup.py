@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, drop_written, inverse_powers, mix64, pieces, powers, utf8, written
+from .common import LETTERS, drop_written, inverse_powers, mix64, pieces, powers, utf8, with_count, written
 
 ENTRY = "fp bigint, around bigint, key bigint, pos int, left int, right int"
 
@@ -90,10 +90,10 @@ class LogIndex:
         """batch: (fp, around, n)."""
         array = written(self.counted(batch).sortWithinPartitions("fp", "around"), "suffix-level")
         inside = array.groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp")
-        found = [inside] + [array.join(level, "fp", "left_semi").select("fp") for _, level in self.levels]
-        hits = found[0]
-        for f in found[1:]:
-            hits = hits.union(f)
+        own = array.select("fp").distinct()  # a row for each fp: one that has very many surroundings is no heavier than others
+        hits = inside
+        for _, level in self.levels:
+            hits = hits.union(own.join(level.select("fp").distinct(), "fp", "left_semi"))
         self.matches.append(written(hits.distinct(), "suffix-hits"))
         size = 1
         while self.levels and self.levels[-1][0] == size:
@@ -112,9 +112,7 @@ class LogIndex:
         every = self.levels[0][1]
         for _, level in self.levels[1:]:
             every = every.union(level)
-        every = self.counted(every.join(hits.distinct(), "fp", "left_semi"))
-        kinds = every.groupBy("fp").agg(F.count("*").alias("kinds"))
-        return every.join(kinds, "fp")
+        return with_count(self.counted(every), "fp", F.col("around"), "kinds", hits.distinct())
 
 
 def _surroundings(batches, length: int, span: int):
@@ -142,6 +140,8 @@ def _windows(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, span: int,
 
 def _runs(rows: np.ndarray, shifts: np.ndarray, pos: np.ndarray, length: int):
     """(row, start, end) of the bytes covered by strings at these shifts; overlapping and touching ones as one."""
+    if not len(rows):  # equal anchors, but no string of this length again
+        return rows, rows, rows
     start = pos[rows] - shifts
     order = np.lexsort((start, rows))
     rows, start = rows[order], start[order]
