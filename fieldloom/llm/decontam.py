@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -11,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import READ, mix64, pieces, utf8, word_codes
+from .common import READ, drop_written, mix64, pieces, utf8, with_count, word_codes, written
 
-INDEX_BYTES = 128 << 10  #: texts of one index; more items make more indexes, each asked in turn
+INDEX_WORDS = 20_000  #: words of the items of one index; more items make more indexes, each asked in turn
+PASS_BYTES = 16 << 20  #: bytes of the indexes that one pass over the documents broadcasts; more make more passes
 BLOCK = 8  #: items of a block
+STEPS = [16 * 4**k for k in range(12)]  #: lengths of passages: an item's is the first that is no shorter than the item
 
 K1 = np.uint64(0x9FB21C651E98DF25)
 
@@ -57,77 +60,109 @@ def _codes(text: str) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Impacts of terms on items, each as a share of the score that the item needs; items in blocks with the largest impact."""
+    """Postings of terms, each impact a share of the score that its item needs; items in blocks with the largest impact."""
 
     items: list
     lengths: list[tuple[int, int]]  #: words of the question and of the answer
-    questions: list[np.ndarray]
+    questions: list[np.ndarray]  #: distinct shingles
     answers: list[np.ndarray]
-    terms: np.ndarray
-    impact: np.ndarray  #: term x item, as a share of `need`
+    terms: np.ndarray  #: ascending
+    begins: np.ndarray  #: of each term's postings
+    posted: np.ndarray  #: items, ascending within a term
+    impact: np.ndarray  #: as a share of `need`
     need: np.ndarray  #: the share of its full score below which an item cannot have both overlaps
-    block_max: np.ndarray  #: term x block
-    longest: int
+    step: int
+    block_max: np.ndarray = field(repr=False, default=None)  #: term x block; made where it is used
     hint: np.ndarray = field(repr=False, default=None)
 
     @staticmethod
-    def build(rows: list[tuple], words: int, overlap: float, k1: float = 1.2, b: float = 0.75) -> Index:
-        """rows: (id, question, answer)."""
-        codes = [(_codes(q), _codes(a)) for _, q, a in rows]
+    def build(rows: list[tuple], step: int, words: int, overlap: float, mean: float, k1: float = 1.2, b: float = 0.75) -> Index:
+        """rows: (id, words of the question, words of the answer, distinct words ascending, their idf). idf and mean are those of all items of all indexes."""
         # items that share frequent words stand together, so that a block's bounds are close
-        often = [t for t, _ in Counter(t for q, a in codes for t in {*q.tolist(), *a.tolist()}).most_common(12)]
-        order = sorted(range(len(rows)), key=lambda i: [t not in {*codes[i][0].tolist(), *codes[i][1].tolist()} for t in often])
-        rows, codes = [rows[i] for i in order], [codes[i] for i in order]
-        whole = [np.concatenate(c) for c in codes]
-        length = np.array([len(c) for c in whole], float)
-        mean = max(1.0, length.mean()) if len(rows) else 1.0
-        term, item, tf = [], [], []
-        for i, c in enumerate(whole):
-            t, n = np.unique(c, return_counts=True)
-            term.append(t)
-            item.append(np.full(len(t), i))
-            tf.append(n)
-        term, item, tf = (np.concatenate([*x, np.zeros(0, d)]) for x, d in ((term, np.uint64), (item, np.int64), (tf, np.int64)))
-        terms, which, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((len(rows) - df + 0.5) / (df + 0.5))
-        impact = idf[which] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[item] / mean))
-        impact /= np.maximum(np.bincount(item, impact, len(rows)), 1e-9)[item] if len(item) else 1
-        parts = [[np.unique(shingles_of(c, words)) for c in pair] for pair in codes]
-        need = np.ones(max(1, -(-len(rows) // BLOCK)) * BLOCK)
-        begins = np.searchsorted(item, np.arange(len(rows) + 1))
-        for i, (pair, shingles) in enumerate(zip(codes, parts)):
-            own, share = term[begins[i] : begins[i + 1]], impact[begins[i] : begins[i + 1]]
-            for c, h in zip(pair, shingles):
+        often = [t for t, _ in Counter(t for r in rows for t in r[3].tolist()).most_common(12)]
+        rows = sorted(rows, key=lambda r: ([not np.isin(t, r[3]) for t in np.array(often, np.uint64)], r[0], r[1].tolist(), r[2].tolist()))
+        parts = [[np.unique(shingles_of(c, words)) for c in r[1:3]] for r in rows]
+        terms, posted, impacts, need = [], [], [], np.ones(len(rows))
+        for i, (_, q, a, own, idf) in enumerate(rows):
+            whole = np.concatenate([q, a])
+            tf = np.unique(whole, return_counts=True)[1]
+            share = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(whole) / mean))
+            share = share / max(share.sum(), 1e-9)
+            for c, h in zip((q, a), parts[i]):
                 lack = may_lack(len(h), max(1, len(c) - words + 1), overlap, words)
                 if lack:
                     need[i] -= np.sort(share[np.isin(own, c)])[-lack:].sum()
-        need = np.maximum(need - 1e-5, 1e-5)
-        impact /= need[item]
-        dense = np.zeros((len(terms), max(1, -(-len(rows) // BLOCK)) * BLOCK), np.float32)
-        dense[which, item] = np.nextafter(impact.astype(np.float32), np.float32(9))
-        block_max = dense.reshape(len(terms), -1, BLOCK).max(2)
-        hint = np.zeros(1 << 20, bool)
-        hint[(terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return Index([r[0] for r in rows], [(len(q), len(a)) for q, a in codes], [q for q, _ in parts], [a for _, a in parts], terms, dense, need, block_max, int(length.max()) if len(rows) else 0, hint)
+            need[i] = max(need[i] - 1e-5, 1e-5)
+            terms.append(own)
+            posted.append(np.full(len(own), i, np.int32))
+            impacts.append(np.nextafter((share / need[i]).astype(np.float32), np.float32(9)))
+        term, item, impact = (np.concatenate(x) for x in (terms, posted, impacts))
+        order = np.lexsort((item, term))
+        term, item, impact = term[order], item[order], impact[order]
+        distinct, begins = np.unique(term, return_index=True)
+        return Index([r[0] for r in rows], [(len(r[1]), len(r[2])) for r in rows], [q for q, _ in parts], [a for _, a in parts], distinct, np.append(begins, len(term)), item, impact, need, step)
+
+    def ready(self) -> Index:
+        """With the tables that are made from the postings: the largest impact of each term in each block, and a filter of words."""
+        if self.block_max is None:
+            self.block_max = np.zeros((len(self.terms), -(-len(self.items) // BLOCK)), np.float32)
+            np.maximum.at(self.block_max, (np.repeat(np.arange(len(self.terms)), np.diff(self.begins)), self.posted // BLOCK), self.impact)
+            self.hint = np.zeros(1 << 20, bool)
+            self.hint[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        return self
 
     def known(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of words that are terms, their terms)."""
-        if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         maybe = np.flatnonzero(self.hint[(code & np.uint64((1 << 20) - 1)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.terms, code[maybe]), len(self.terms) - 1)
         sure = self.terms[at] == code[maybe]
         return maybe[sure], at[sure]
 
     def above(self, terms: np.ndarray, bounds: np.ndarray) -> list[tuple[int, float]]:
-        """(item, score) of every item whose score for these distinct terms is as high as it needs.
+        """(item, score) of every item whose score for these distinct terms is as high as it needs, by block-max WAND.
 
-        bounds: for each block of items the sum of the terms' largest impacts in it. A block whose bound is lower cannot hold
-        such an item and is skipped; the items of the others are scored together."""
+        bounds: for each block of items the sum of the terms' largest impacts in it. The cursors of the terms stand in the order of
+        their items; the first ones whose largest impacts add up to 1 end at the pivot, and no item before it can have a
+        score of 1. Where the pivot's block has a lower bound, all cursors before the next block that has not are moved there."""
+        open_blocks = np.flatnonzero(bounds >= 1)
+        if not len(open_blocks):
+            return []
+        lists = [(self.posted[a:z], self.impact[a:z], float(self.block_max[t].max())) for t, a, z in zip(terms.tolist(), self.begins[terms].tolist(), self.begins[terms + 1].tolist())]
+        first = int(open_blocks[0]) * BLOCK
+        cursors = [[int(items[at]), k, at] for k, (items, _, _) in enumerate(lists) if (at := int(np.searchsorted(items, first))) < len(items)]
         out = []
-        for block in np.flatnonzero(bounds >= 1).tolist():
-            scores = self.impact[terms, block * BLOCK : (block + 1) * BLOCK].sum(0)
-            out += [(block * BLOCK + int(i), float(scores[i] * self.need[block * BLOCK + i])) for i in np.flatnonzero(scores >= 1)]
+
+        def move(chosen, to):
+            for c in chosen:
+                items = lists[c[1]][0]
+                c[2] += int(np.searchsorted(items[c[2] :], to))
+                c[0] = int(items[c[2]]) if c[2] < len(items) else -1
+            return sorted(c for c in cursors if c[0] >= 0)
+
+        cursors.sort()
+        while cursors:
+            total, pivot = 0.0, None
+            for c in cursors:
+                total += lists[c[1]][2]
+                if total >= 1:
+                    pivot = c[0]
+                    break
+            if pivot is None:
+                break
+            if bounds[pivot // BLOCK] < 1:
+                k = int(np.searchsorted(open_blocks, pivot // BLOCK))
+                if k == len(open_blocks):
+                    break
+                to = int(open_blocks[k]) * BLOCK
+                cursors = move([c for c in cursors if c[0] < to], to)
+            elif cursors[0][0] < pivot:
+                cursors = move([c for c in cursors if c[0] < pivot], pivot)
+            else:
+                own = [c for c in cursors if c[0] == pivot]
+                score = sum(float(lists[k][1][at]) for _, k, at in sorted(own, key=lambda c: c[1]))
+                if score >= 1:
+                    out.append((pivot, score * float(self.need[pivot])))
+                cursors = move(own, pivot + 1)
         return out
 
 
@@ -144,7 +179,7 @@ def _search(batches, indexes: list[Index], words: int, overlap: float, batch_byt
         first = np.cumsum(count) - count
         found: dict[tuple[int, int, int], tuple] = {}
         for x, index in enumerate(indexes):
-            step = max(16, index.longest)
+            step = index.ready().step
             at, term = index.known(code)
             if not len(at):
                 continue
@@ -185,38 +220,91 @@ def _search(batches, indexes: list[Index], words: int, overlap: float, batch_byt
             )
 
 
-def build_indexes(items: DataFrame, words: int, overlap: float, id_col: str, question_col: str, answer_col: str | None) -> list[Index]:
-    """Indexes of INDEX_BYTES of text each. Test items are a small table by nature: they are gathered in portions, never the corpus."""
+def _items(batches, has_answer: bool):
+    """(item, q, a, step): the words of each item's question and answer, and the length of its passages; items without words are left out."""
+    for batch in batches:
+        rows = []
+        for i, q, a in zip(*(batch.column(j).to_pylist() for j in range(3))):
+            parts = [_codes(x) for x in ((q, a or "") if has_answer else split_item(q))]
+            n = sum(map(len, parts))
+            if n:
+                rows.append((i, *(c.view(np.int64) for c in parts), next((s for s in STEPS if s >= n), STEPS[-1])))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()))], names=["item", "q", "a", "step"])
+
+
+def _index(table: pa.Table, words: int, overlap: float, mean: float) -> pa.Table:
+    rows = []
+    for r in table.to_pylist():
+        own = sorted((np.uint64(t["term"] % 2**64), t["idf"]) for t in r["terms"])
+        rows.append((r["item"], *(np.array(r[c], np.int64).view(np.uint64) for c in "qa"), np.array([t for t, _ in own], np.uint64), np.array([f for _, f in own])))
+    index = pickle.dumps(Index.build(rows, table.column("step")[0].as_py(), words, overlap, mean))
+    return pa.table({"step": table.column("step").slice(0, 1), "portion": table.column("portion").slice(0, 1), "index": pa.array([index], pa.binary()), "bytes": pa.array([len(index)], pa.int64())})
+
+
+def build_indexes(items: DataFrame, words: int, overlap: float, id_col: str, question_col: str, answer_col: str | None, index_words: int) -> DataFrame:
+    """(step, portion, index, bytes): indexes of some index_words words each, as a written table, made in tasks.
+
+    An item is in a portion with others of its length of passage. What words weigh is counted over all items, so an item's score depends on the whole
+    table and not on its portion. Items with equal ids and words are one."""
     columns = [F.col(id_col).cast("long").alias("i"), F.col(question_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a")]
-    out, rows, size = [], [], 0
-    for r in items.select(*columns).filter("q is not null").orderBy("i", "q").toLocalIterator():
-        q, a = (r.q, r.a or "") if answer_col else split_item(r.q)
-        if not (q.split() or a.split()):
-            continue
-        rows.append((r.i, q, a))
-        size += len(q) + len(a)
-        if size > INDEX_BYTES:
-            out.append(rows)
-            rows, size = [], 0
-    return [Index.build(part, words, overlap) for part in [*out, rows] if part]
+    run = lambda it: _items(it, answer_col is not None)
+    coded = items.select(*columns).filter("q is not null").mapInArrow(run, "item bigint, q array<bigint>, a array<bigint>, step bigint").dropDuplicates(["item", "q", "a"])
+    coded = written(coded.withColumn("row", F.monotonically_increasing_id()), "decontam-items")
+    size = F.size("q") + F.size("a")
+    steps = coded.groupBy("step").agg(F.sum(size).alias("words"), F.count("*").alias("n")).collect()  # a row for each of STEPS at most
+    if not steps:
+        return coded.select("step", F.col("row").alias("portion"), F.lit(None).cast("binary").alias("index"), F.lit(0).cast("long").alias("bytes"))
+    n, total = sum(r.n for r in steps), sum(r.words for r in steps)
+    mean = max(1.0, total / n)
+    posted = coded.select("row", F.explode(F.array_distinct(F.concat("q", "a"))).alias("term"))
+    posted = with_count(posted, "term", F.xxhash64("row"), "df")
+    idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = posted.select("row", F.struct("term", idf.alias("idf")).alias("t")).groupBy("row").agg(F.collect_list("t").alias("terms"))
+    portions = F.lit(1)
+    for r in steps:
+        portions = F.when(F.col("step") == r.step, max(1, -(-r.words // index_words))).otherwise(portions)
+    ready = coded.join(terms, "row").withColumn("portion", F.pmod(F.xxhash64("item", "q", "a"), portions.cast("long")))
+    build = lambda t: _index(t, words, overlap, mean)
+    out = written(ready.groupBy("step", "portion").applyInArrow(build, "step bigint, portion bigint, index binary, bytes bigint"), "decontam-indexes")
+    drop_written(coded)
+    return out
 
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None,
-    words: int = 5, overlap: float = 0.8, batch_bytes: int = 2 << 20,
+    words: int = 5, overlap: float = 0.8, batch_bytes: int = 2 << 20, index_words: int = INDEX_WORDS, pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
     """(id_col, item_id, score, question_overlap, answer_overlap, passage_word): a row for each item that a row of docs leaks.
 
-    Every passage of every whole text is a query: runs of twice as many words as the longest item has, one
+    Every passage of every whole text is a query: runs of twice as many words as the item's length rounded up (STEPS), one
     beginning at each such half. Items are retrieved by their BM25 score, from the share of the full score below which
-    none can be a leak (see may_lack), so that no leak is lost before the overlaps are checked; a leak is one where at least `overlap` of the distinct shingles of the question, and of the answer, stand in the
-    passage (a part with fewer words than a shingle counts as one shingle). Of an item's passages in a document the
-    one with the most overlap is reported, then the higher score, then the first. Without answer_col, an item's last
-    sentence is its answer. Null texts leak nothing; null items and items without words are no items. Rows with equal ids are
+    none can be a leak (see may_lack), so that no leak is lost before the overlaps are checked; a leak is one where at least
+    `overlap` of the distinct shingles of the question, and of the answer, stand in the passage (a part with fewer words
+    than a shingle counts as one shingle). Of an item's passages in a document the one with the most overlap is reported, then
+    the higher score, then the first. Without answer_col, an item's last sentence is its answer. Null texts leak nothing;
+    null items and items without words are no items, equal ones are one. Rows with equal ids are
     judged one by one. Words are compared with A-Z lower-cased and without ASCII punctuation.
+
+    Neither the driver nor a task holds more of the indexes at once than pass_bytes (or one index): a larger test collection makes several passes over docs.
     """
-    held = docs.sparkSession.sparkContext.broadcast(build_indexes(items, words, overlap, item_col, question_col, answer_col))
-    kind = dict(docs.dtypes)[id_col]
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    indexes = build_indexes(items, words, overlap, item_col, question_col, answer_col, index_words)
     schema = f"id {kind}, item_id bigint, score double, question_overlap double, answer_overlap double, passage_word bigint"
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _search(it, held.value, words, overlap, batch_bytes), schema)
+    passes, size = [[]], 0
+    for r in indexes.select("step", "portion", "bytes").orderBy("step", "portion").collect():  # three numbers for each index
+        if passes[-1] and size + r.bytes > pass_bytes:
+            passes.append([])
+            size = 0
+        passes[-1].append((r.step, r.portion))
+        size += r.bytes
+    texts, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
+    for keys in passes:
+        mine = indexes.filter(F.struct("step", "portion").isin([F.struct(F.lit(s).cast("long"), F.lit(p).cast("long")) for s, p in keys])) if keys else indexes.limit(0)
+        held = spark.sparkContext.broadcast([pickle.loads(r["index"]) for r in mine.select("step", "portion", "index").orderBy("step", "portion").collect()])
+        found = texts.mapInArrow(lambda it, held=held: _search(it, held.value, words, overlap, batch_bytes), schema)
+        if len(passes) > 1:
+            found = written(found, "decontam-pass")
+            held.destroy()
+        out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
