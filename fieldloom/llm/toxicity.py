@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, READ, SPACE, inverse_powers, mix64, pieces, powers, utf8
+from .common import LETTERS, READ, SPACE, drop_written, inverse_powers, mix64, pieces, powers, utf8, written
 
 PREFIXES = (4, 5)  #: lengths in bytes of the word beginnings that are features besides whole words
 GAP = 512  #: after so many neutral words the chain has forgotten its state to double precision
@@ -151,49 +151,50 @@ def features_of(codes, vocabulary: np.ndarray) -> list[np.ndarray]:
     return [np.where(vocabulary[k] == c, k, len(vocabulary)).astype(np.int32) for k, c in zip(places, codes)]
 
 
-def fit_crf(known, vocabulary: np.ndarray, doc: np.ndarray, toxic: np.ndarray, seed: int = 5, width: int = 48, most: int = 6000, steps: int = 60):
-    """(weights, bias, moves) by gradient ascent on the likelihood of labelled stretches of words.
-
-    A word of a toxic document that has a feature of the vocabulary is labelled toxic, all others are not. Stretches
-    are runs of `width` words: those of toxic documents that hold a labelled word, and as many others."""
-    label = np.any([k < len(vocabulary) for k in known], axis=0) & toxic[doc]
-    stretch = np.arange(len(doc)) // width
-    whole = np.flatnonzero(np.bincount(stretch) == width)
-    holds = np.bincount(stretch, label)[whole] > 0
-    rng = np.random.default_rng(seed)
-    some, rest = whole[holds][:most], whole[~holds]
-    pick = np.concatenate([some, rng.permutation(rest)[: max(len(some), 50)]])
-    at = pick[:, None] * width + np.arange(width)
-    k, y = np.stack([x[at] for x in known], 2), label[at].astype(np.int64)
-    s = len(pick)
-    w, bias, moves = np.append(np.full(len(vocabulary), 1.0), 0.0), -3.0, np.array([[1.0, -1.0], [0.0, 0.0]])
-    size = np.bincount(k.ravel(), minlength=len(w)).astype(float) + 5
-    for step in range(steps):
-        e = w[k].sum(2) + bias
-        pot = np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], 2)
-        move = np.exp(moves)
-        f, b = np.empty((s, width, 2)), np.ones((s, width, 2))
-        f[:, 0] = move[0] * pot[:, 0]
-        f[:, 0] /= f[:, 0].sum(1, keepdims=True)
-        for t in range(1, width):
-            f[:, t] = f[:, t - 1] @ move * pot[:, t]
-            f[:, t] /= f[:, t].sum(1, keepdims=True)
-        for t in range(width - 2, -1, -1):
-            b[:, t] = (pot[:, t + 1] * b[:, t + 1]) @ move.T
-            b[:, t] /= b[:, t].sum(1, keepdims=True)
-        joint = f * b
-        m = joint[..., 1] / joint.sum(2)
-        pair = f[:, :-1, :, None] * move[None, None] * (pot * b)[:, 1:, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-        miss = y - m
-        g = np.bincount(k.ravel(), np.repeat(miss.ravel(), k.shape[2]), len(w)) - 0.02 * w
-        w = w + 4 * g / size
-        w[-1] = 0
-        bias += 4 * (miss.sum() - 0.1 * bias) / miss.size
-        moves = moves + 4 * (seen - pair.sum((0, 1)) - 0.05 * moves) / (s * width)
-    return w[:-1], bias, moves
+def forward_backward(potential: np.ndarray, move: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(marginals, sums of the pairwise marginals, log of the normaliser) of chains side by side that start in state 0.
+
+    potential: chain x place x state; move: state x state; live: places that the chain has, from its first on."""
+    s, width, _ = potential.shape
+    f, b, log_z = np.empty((s, width, 2)), np.ones((s, width, 2)), np.zeros(s)
+    for t in range(width):
+        f[:, t] = (move[0] if t == 0 else f[:, t - 1] @ move) * potential[:, t]
+        total = f[:, t].sum(1, keepdims=True)
+        f[:, t] /= total
+        log_z += np.where(live[:, t], np.log(total[:, 0]), 0)
+    for t in range(width - 2, -1, -1):
+        new = (potential[:, t + 1] * b[:, t + 1]) @ move.T
+        b[:, t] = np.where(live[:, t + 1, None], new / new.sum(1, keepdims=True), 1)
+    joint = f * b
+    marginal = joint[..., 1] / joint.sum(2) * live
+    pair = f[:, :-1, :, None] * move[None, None] * (potential * b)[:, 1:, None, :]
+    pair /= pair.sum((2, 3), keepdims=True)
+    return marginal, (pair * live[:, 1:, None, None]).sum((0, 1)), log_z
+
+
+def stretches(doc: np.ndarray, width: int):
+    """Stretches of at most `width` words, none across the end of a document: (first word of each, its number of words)."""
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    place = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
+    start = np.flatnonzero(place % width == 0)
+    return start, np.diff(np.append(start, len(doc)))
+
+
+def gradient(k: np.ndarray, y: np.ndarray, live: np.ndarray, weights: np.ndarray, bias: float, moves: np.ndarray):
+    """(gradient by weight, by bias, by moves, log-likelihood) of labelled stretches.
+
+    k: places in the vocabulary, its length for no feature; weights has a 0 there. y: labels."""
+    pot = np.exp(np.clip(weights[k].sum(2) + bias, -30, 30)) * live
+    pot = np.stack([np.ones_like(pot), pot], 2)
+    m, pair, log_z = forward_backward(pot, np.exp(moves), live)
+    miss = (y - m) * live
+    both = np.concatenate([np.zeros((len(y), 1), np.int64), y], 1)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (both[:, :-1][live], both[:, 1:][live]), 1)
+    first = np.array([[(live[:, 0] - m[:, 0]).sum(), m[:, 0].sum()], [0, 0]])
+    by_weight = np.bincount(k.ravel(), np.repeat(miss.ravel(), k.shape[2]), len(weights))
+    path = (np.log(np.maximum(pot[..., 1], 1e-300)) * y * live).sum() + (seen * moves).sum()
+    return by_weight, miss.sum(), seen - pair - first, float(path - log_z.sum())
 
 
 def within_budget(rows: list[tuple], most_bytes: int) -> list[tuple]:
@@ -213,10 +214,11 @@ def within_budget(rows: list[tuple], most_bytes: int) -> list[tuple]:
     return sorted(out)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: dict[int, int], most_bytes: int) -> list:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: dict[int, int], most_bytes: int) -> DataFrame:
     """(text, label) of labelled documents: the first so many of each label by hash, one row for each id (of several the shortest), whole, as far as the bytes go.
 
-    The rows are chosen by id and size, before a text is read. Where texts of both labels exist, but those of one are all too large, it is an error."""
+    The rows are chosen by id and size, before a text is read; the texts themselves never pass through the driver. Where
+    texts of both labels exist, but those of one are all too large, it is an error."""
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text")).filter("text is not null")
     mark = F.xxhash64("text").alias("mark")
@@ -237,78 +239,182 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     chosen = within_budget(found, most_bytes)
     if {r[2] for r in chosen} != {r[2] for r in found}:
         raise ValueError(f"no text of one label fits the {most_bytes} bytes of the sample, so no model can be fitted")
-    if not chosen:
-        return []
-    ids = docs.sparkSession.createDataFrame(sorted({(r[3], r[4]) for r in chosen}), f"sample_id {kind}, mark bigint")
-    read = texts.withColumn("mark", mark).join(F.broadcast(ids), ["sample_id", "mark"]).groupBy("sample_id").agg(F.min("text").alias("text"))
-    of = {r.sample_id: r.text for r in read.collect()}
-    return [(of[r[3]], r[2]) for r in chosen]
+    ids = docs.sparkSession.createDataFrame(sorted({(r[3], r[4], r[2]) for r in chosen}), f"sample_id {kind}, mark bigint, label int")
+    read = texts.withColumn("mark", mark).join(F.broadcast(ids), ["sample_id", "mark"])
+    return read.groupBy("sample_id", "label").agg(F.min("text").alias("text")).select("text", "label")
+
+
+def _marked(batches):
+    """(cluster, fold, label, text): near copies mostly share the least two hashes of their words, and make a cluster."""
+    for batch in batches:
+        least = [np.full(batch.num_rows, np.iinfo(np.uint64).max, np.uint64) for _ in range(2)]
+        for part, base in zip(parts := list(pieces([batch], 0, 1 << 20)), np.cumsum([0] + [p.num_rows for p in parts])):
+            codes, _, _, doc = tokens(*utf8(part.column(0)))
+            np.minimum.at(least[0], doc + base, mix64(codes[0]))
+            np.minimum.at(least[1], doc + base, mix64(codes[0] + np.uint64(77)))
+        cluster = mix64(mix64(least[0]) + least[1])
+        fold = (cluster >> np.uint64(40)) % np.uint64(4)
+        yield pa.RecordBatch.from_arrays([pa.array(cluster.view(np.int64)), pa.array(fold.astype(np.int32)), batch.column(1), batch.column(0)], names=["cluster", "fold", "label", "text"])
+
+
+def _words(batches):
+    """(code, fold, label, n): in how many clusters of the partition, each wholly in it, a code stands."""
+    held = []
+    for batch in pieces(batches, 3, 1 << 20):
+        codes, _, _, doc = tokens(*utf8(batch.column(3)))
+        cluster, fold, label = (np.asarray(batch.column(j)) for j in range(3))
+        for code in codes:
+            once = np.unique(mix64(code + mix64(cluster.view(np.uint64)[doc] * np.uint64(2) + label[doc].astype(np.uint64))), return_index=True)
+            keep = code[once[1]] != 0
+            at = doc[once[1][keep]]
+            held.append((once[0][keep], code[once[1][keep]], (fold[at] * 2 + label[at]).astype(np.uint64)))
+    if held:
+        key, code, kind = (np.concatenate(c) for c in zip(*held))
+        del held
+        once = np.unique(key, return_index=True)[1]
+        code, kind = code[once], kind[once]
+        value, n = _counted(code, kind)
+        yield pa.RecordBatch.from_arrays([pa.array(value[0].view(np.int64)), pa.array((value[1] // np.uint64(2)).astype(np.int32)), pa.array((value[1] % np.uint64(2)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["code", "fold", "label", "n"])
+
+
+def _counted(code: np.ndarray, kind: np.ndarray):
+    order = np.lexsort((kind, code))
+    code, kind = code[order], kind[order]
+    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (kind[1:] != kind[:-1])]))
+    return (code[first], kind[first]), np.diff(np.append(first, len(code)))
+
+
+#: Folds of clusters: the words of 0, 1 and 2 make the vocabulary, 3 is for the document score.
+FOLDS = (0, 1, 2)
+
+
+def telling(counts: DataFrame, clusters: dict[tuple[int, int], int], least: float = 4.5) -> DataFrame:
+    """(code, sets): the words of toxic texts. Bit f of sets says that the folds other than f show it, bit 3 that all do.
+
+    Of the clusters with a word, at least three and three quarters are toxic, far more than their share."""
+    t = {f: F.sum(F.when((F.col("fold") == f) & (F.col("label") == 1), F.col("n")).otherwise(0)) for f in FOLDS}
+    c = {f: F.sum(F.when((F.col("fold") == f) & (F.col("label") == 0), F.col("n")).otherwise(0)) for f in FOLDS}
+    wide = counts.filter(F.col("fold").isin(*FOLDS)).groupBy("code").agg(*[t[f].alias(f"t{f}") for f in FOLDS], *[c[f].alias(f"c{f}") for f in FOLDS])
+    sets = F.lit(0)
+    for bit, folds in enumerate([*[[f for f in FOLDS if f != out] for out in FOLDS], list(FOLDS)]):
+        nt, nc = (sum(clusters.get((f, y), 0) for f in folds) for y in (1, 0))
+        p = nt / max(1, nt + nc)
+        toxic, clean = sum(F.col(f"t{f}") for f in folds), sum(F.col(f"c{f}") for f in folds)
+        both = toxic + clean
+        z = (toxic - both * p) / F.sqrt(both * (p * (1 - p)) + 1e-9)
+        sets = sets + F.when((z >= least) & (toxic >= 3) & (toxic >= 0.75 * both), 1 << bit).otherwise(0)
+    return wide.select("code", sets.cast("int").alias("sets")).filter("sets > 0")
+
+
+def _stretches(batches, vocabulary: np.ndarray, sets: np.ndarray, width: int):
+    """(pick, holds, label, k) of the stretches of the folds that the field is fitted on; lists of `width` words, -1 past the end.
+
+    A word of a toxic text is labelled toxic if the other folds' texts show it to be: what labels a word is never counted from its own text."""
+    sets = np.append(sets, 0)
+    for batch in pieces(batches, 3, 1 << 20):
+        codes, a, _, doc = tokens(*utf8(batch.column(3)))
+        cluster, fold, toxic = (np.asarray(batch.column(j)) for j in range(3))
+        use = fold[doc] < 3
+        known, doc = features_of([c[use] for c in codes], vocabulary), doc[use]
+        shown = np.any([sets[k] >> fold[doc] & 1 for k in known], axis=0)
+        label = shown & (toxic[doc] == 1)
+        start, n = stretches(doc, width)
+        if not len(start):
+            continue
+        at = start[:, None] + np.arange(width)
+        live = np.arange(width) < n[:, None]
+        at = np.minimum(at, len(doc) - 1)
+        y = np.where(live, label[at], -1).astype(np.int8)
+        k = np.stack([np.where(live, x[at], len(vocabulary)) for x in known], 2).astype(np.int32)
+        pick = mix64(cluster.view(np.uint64)[doc[start]] + np.arange(len(start)).astype(np.uint64) * np.uint64(0x9E3779B1)).view(np.int64)
+        lists = lambda x, t: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(t))
+        yield pa.RecordBatch.from_arrays([pa.array(pick), pa.array((y == 1).any(1).astype(np.int32)), lists(y, pa.int8()), lists(k.reshape(len(k), -1), pa.int32())], names=["pick", "holds", "y", "k"])
+
+
+def _gradients(batches, weights: np.ndarray, bias: float, moves: np.ndarray, features: int):
+    """One row: the gradient of the partition's stretches as bytes."""
+    total, size = None, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            y = part.column(0).flatten().to_numpy().reshape(part.num_rows, -1).astype(np.int64)
+            k = part.column(1).flatten().to_numpy().reshape(*y.shape, features)
+            live = y >= 0
+            found = gradient(k, np.maximum(y, 0), live, weights, bias, moves)
+            flat = np.concatenate([found[0], [found[1]], found[2].ravel(), [found[3], live.sum()], np.bincount(k.ravel(), minlength=len(weights))])
+            total = flat if total is None else total + flat
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
+def fit_crf(table: DataFrame, vocabulary: int, features: int, steps: int = 40, rate: float = 2.0, momentum: float = 0.8) -> tuple[np.ndarray, float, np.ndarray]:
+    """(weights, bias, moves) by gradient ascent with momentum on the likelihood of the labelled stretches (y, k).
+
+    Each step is a job: tasks sum the gradients of their stretches, and one vector for each task comes back."""
+    w, bias, moves = np.append(np.full(vocabulary, 1.0), 0.0), -3.0, np.array([[1.0, -1.0], [0.0, 0.0]])
+    vw, vb, vm = np.zeros_like(w), 0.0, np.zeros((2, 2))
+    for _ in range(steps):
+        run = lambda it, w=w, bias=bias, moves=moves: _gradients(it, w, bias, moves, features)
+        total = sum(np.frombuffer(r.sums) for r in sorted(table.mapInArrow(run, "sums binary").collect()))
+        n = len(w)
+        by_weight, by_bias, by_move, words, size = total[:n], total[n], total[n + 1 : n + 5].reshape(2, 2), total[n + 6], total[n + 7 :] + 5
+        vw = momentum * vw + rate * (by_weight - 0.02 * w) / size
+        vb = momentum * vb + rate * (by_bias - 0.1 * bias) / words
+        vm = momentum * vm + rate * (by_move - 0.05 * moves) / words
+        w, bias, moves = w + vw, bias + vb, moves + vm
+        w[-1] = 0
+    return w[:-1], bias, moves
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 1500, clean_rows: int = 4500, most_bytes: int = 16 << 20) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 1500, clean_rows: int = 4500, most_bytes: int = 16 << 20,
+    width: int = 48, most_stretches: int = 6000, parts: int = 6,
+) -> Model:
     """A model from a bounded sample of labelled documents: at most so many toxic and clean ones, and so many bytes.
 
-    Words and word beginnings that stand in toxic documents far more often than in clean ones (near copies
-    counted once) are the vocabulary; they label the words of toxic documents, on which the field is fitted. The
-    document score is fitted on the half of the sample that the vocabulary doesn't come from."""
-    sample = labelled_sample(docs, labels, id_col, text_col, label_col, {1: toxic_rows, 0: clean_rows}, most_bytes)
+    Words and word beginnings that stand in toxic documents far more often than in clean ones (near copies counted once) are
+    the vocabulary. Of three folds, those of the other two label the words of a fold's toxic documents, on
+    which the field is fitted; the document score is fitted on a fourth. All passes over the sample are Spark jobs: the
+    driver holds the vocabulary, one gradient for each task and step, and two numbers for each document of the fourth."""
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), -3.0, np.zeros((2, 2)), np.array([-2.0, 0.0, 0.0]))
-    if len({y for _, y in sample}) < 2:
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, {1: toxic_rows, 0: clean_rows}, most_bytes)
+    marked = sample.mapInArrow(_marked, "cluster bigint, fold int, label int, text string").repartition(parts, "cluster")
+    sample = written(marked, "toxicity-sample")
+    clusters = {(r.fold, r.label): r.n for r in sample.groupBy("fold", "label").agg(F.countDistinct("cluster").alias("n")).collect()}
+    if len({y for _, y in clusters}) < 2:
+        drop_written(sample)
         return empty
-    toxic = np.array([y == 1 for _, y in sample])
-    n = len(sample)
-    # the texts are read twice, some at a time, and only a document's different words are held: the driver is small
-    batches = list(pieces(pa.table({"t": pa.array([t for t, _ in sample], pa.string())}).to_batches(), 0, 1 << 20))
-    before = np.cumsum([0] + [b.num_rows for b in batches])
-    del sample
-    words = [([], []) for _ in range(1 + len(PREFIXES))]
-    group, group2 = (np.full(n, np.iinfo(np.uint64).max, np.uint64) for _ in range(2))
-    for batch, first in zip(batches, before):
-        codes, _, _, doc = tokens(*utf8(batch.column(0)))
-        doc = doc + first
-        np.minimum.at(group, doc, mix64(codes[0]))  # near copies mostly share their least word hash
-        np.minimum.at(group2, doc, mix64(codes[0] + np.uint64(77)))
-        for code, (held, of) in zip(codes, words):
-            once = np.unique(mix64(code + mix64(doc.astype(np.uint64))), return_index=True)[1]
-            once = once[code[once] != 0]
-            held.append(code[once])
-            of.append(doc[once].astype(np.int32))
-    _, cluster = np.unique(mix64(group) + group2, return_inverse=True)
-    train = cluster % 4 != 3
-    picks = []
-    while words:
-        held, of = words.pop()
-        code, doc = np.concatenate(held), np.concatenate(of)
-        del held, of
-        use = train[doc]
-        own, kind = code[use], toxic[doc[use]]
-        once = np.unique(mix64(own + mix64(cluster[doc[use]].astype(np.uint64) * np.uint64(2) + kind)), return_index=True)[1]
-        value, at = np.unique(own[once], return_inverse=True)
-        t = np.bincount(at, kind[once])
-        c = np.bincount(at) - t
-        nt, nc = len(np.unique(cluster[train & toxic])), len(np.unique(cluster[train & ~toxic]))
-        p = nt / max(1, nt + nc)
-        z = (t - (t + c) * p) / np.sqrt((t + c) * p * (1 - p) + 1e-9)
-        picks.append(value[(z >= 4.5) & (t >= 3) & (t >= 0.75 * (t + c))])
-    vocabulary = np.unique(np.concatenate(picks))
+    by_cluster = sample.repartition(parts, "cluster")
+    found = telling(by_cluster.mapInArrow(_words, "code bigint, fold int, label int, n bigint"), clusters).collect()
+    vocabulary, sets = np.array([r.code for r in found], np.int64).view(np.uint64), np.array([r.sets for r in found], np.int64)
+    order = np.argsort(vocabulary)
+    vocabulary, sets = vocabulary[order], sets[order]
     if not len(vocabulary):
+        drop_written(sample)
         return empty
-    parts = []
-    for batch, first in zip(batches, before):
-        codes, _, _, doc = tokens(*utf8(batch.column(0)))
-        doc = (doc + first).astype(np.int32)
-        use = train[doc]
-        parts.append((*features_of([c[use] for c in codes], vocabulary), doc[use]))
-    *known, doc = (np.concatenate(c) for c in zip(*parts))
-    del parts
-    weights, bias, moves = fit_crf(known, vocabulary, doc, toxic)
+    table = sample.mapInArrow(lambda it: _stretches(it, vocabulary, sets, width), "pick bigint, holds int, y array<tinyint>, k array<int>")
+    table = written(table, "toxicity-stretches")
+    some = table.filter("holds = 1").orderBy("pick", "k").limit(most_stretches)
+    n = max(50, min(most_stretches, table.filter("holds = 1").count()))
+    rest = table.filter("holds = 0").orderBy("pick", "k").limit(n)
+    chosen = written(some.unionByName(rest).select("y", "k").repartition(parts, F.xxhash64("k")), "toxicity-chosen")
+    weights, bias, moves = fit_crf(chosen, len(vocabulary), 1 + len(PREFIXES))
     model = Model(vocabulary, weights, bias, moves, np.zeros(3))
-    x = np.concatenate([model.documents(*utf8(b.column(0)))[0] for b in batches])
-    half = ~train if len(set(toxic[~train])) == 2 else np.ones(n, bool)
-    model.link = logistic(x[half], toxic[half].astype(float))
+    half = 3 if clusters.get((3, 0)) and clusters.get((3, 1)) else None
+    judged = (sample if half is None else sample.filter(F.col("fold") == half)).select("label", "text")
+    rows = sorted(tuple(r) for r in judged.mapInArrow(lambda it: _evidence(it, model), "label int, top double, mass double").collect())
+    model.link = logistic(np.array([r[1:] for r in rows]), np.array([r[0] for r in rows], float))
+    for t in (sample, table, chosen):
+        drop_written(t)
     return model
 
 
+def _evidence(batches, model: Model):
+    for batch in pieces(batches, 1, 1 << 20):
+        x, _ = model.documents(*utf8(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["label", "top", "mass"])
+
+
 def _tag(batches, model: Model, batch_bytes: int):
     for batch in pieces(batches, 1, batch_bytes):
         data, offsets = utf8(batch.column(1))
