@@ -138,15 +138,24 @@ class Encoder:
 
 
 def filesystem(folder: str):
-    """(pyarrow file system, path) of a URI."""
+    """(pyarrow file system, path) of a URI. Hadoop's names of S3 (s3a, s3n) are read as s3."""
+    folder = re.sub(r"^s3[an]://", "s3://", folder)
     return pafs.FileSystem.from_uri(folder if re.match(r"[a-z0-9+.-]+://|file:", folder) else f"file://{folder}")
 
 
 def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, sample_rows: int, sample_bytes: int, size: int) -> bytes:
-    """A dictionary from the id arrays of a sample: the first sample_rows rows by hash, whole, until sample_bytes of text."""
-    sample = docs.select(F.xxhash64(F.lit(3), F.col(id_col), F.length(text_col)).alias("h"), F.col(id_col).alias("id"), F.octet_length(text_col).alias("bytes")).orderBy("h", "id").limit(sample_rows)
-    near = sample.withColumn("sum", F.sum("bytes").over(W.orderBy("h", "id"))).filter(F.col("sum") <= sample_bytes).select(F.col("id").alias("sample_id")).distinct()
-    texts = docs.join(F.broadcast(near), F.col(id_col) == F.col("sample_id")).select(F.col(text_col).alias("text")).limit(sample_rows)  # of at most sample_rows ids
+    """A dictionary from the id arrays of a sample: of the first sample_rows rows by hash those that fit, whole, into sample_bytes of text.
+
+    A text that does not fit is skipped, and one of more than a sixteenth of the bytes never enters, so that no single text displaces the others."""
+    sample = docs.select(F.xxhash64(F.lit(3), F.col(id_col), F.length(text_col)).alias("h"), F.col(id_col).alias("id"), F.octet_length(text_col).alias("bytes")).filter(F.col("bytes") <= sample_bytes // 16)
+    room, ids = sample_bytes, set()
+    for r in sample.orderBy("h", "id", "bytes").limit(sample_rows).collect():  # ids and sizes of at most sample_rows rows
+        if r.bytes <= room and r.id is not None and (r.id, r.bytes) not in ids:
+            ids.add((r.id, r.bytes))
+            room -= r.bytes
+    near = docs.sparkSession.createDataFrame(sorted(ids), "sample_id bigint, sample_bytes int")
+    texts = docs.join(F.broadcast(near), (F.col(id_col) == F.col("sample_id")) & (F.octet_length(text_col) == F.col("sample_bytes")))
+    texts = texts.groupBy("sample_id", "sample_bytes").agg(F.min(text_col).alias("text"))  # one text for each: sample_bytes at most
     enc = encoder(tokenizer)
     texts = sorted(r.text for r in texts.collect() if r.text)
     if not texts:
