@@ -115,3 +115,9 @@ def anatomical_axes(c: list[Column], a: list[Column], t: list[Column]) -> tuple[
     e2 = unit([x - along * y for x, y in zip(w, e1)])
     e3 = unit(cross(e1, e2))
     return e1, cross(e3, e1), e3
+
+
+def finite(column: Column | str) -> Column:
+    """Neither null nor NaN nor infinite."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))

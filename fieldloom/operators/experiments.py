@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from fieldloom.operators.tables import percentiles
+
 
 def mean_std(rows: DataFrame, keys: list[str], value: str = "value", population: bool = False) -> DataFrame:
     """Mean and standard deviation: of a sample (null for one row), or of a population."""
@@ -14,8 +16,9 @@ def mean_std(rows: DataFrame, keys: list[str], value: str = "value", population:
 
 
 def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    q = [F.percentile(value, p).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95"))]
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), *q, F.max(value).alias("most"))
+    sums = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+    q = percentiles(rows, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
+    return sums.join(q, keys, "left").select(*keys, "n", "mean", "std", "least", "p25", "p50", "p75", "p95", "most")
 
 
 def combine_metrics(summary: DataFrame, metrics: list[str]) -> DataFrame:
@@ -28,6 +31,11 @@ def attach_specs(metrics: DataFrame, specs: DataFrame, keys: list[str]) -> DataF
     return metrics.join(specs.select("version", *[F.col(k).cast("string").alias(k) for k in keys]), "version", "left")
 
 
+def top_overall(rows: DataFrame, value: str, name: str, n: int) -> DataFrame:
+    """The n best rows of all, ties by name."""
+    return rows.orderBy(value, name).limit(n)
+
+
 def top_n(rows: DataFrame, keys: list[str], value: str, name: str, n: int) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(value, name)
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fieldloom.functions.scalars import cross, dot, minus, norm
+from fieldloom.functions.scalars import cross, dot, minus, norm, uniform
+from fieldloom.operators.spatial import columns_of, held, in_blocks
 
 
 def corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -52,25 +54,34 @@ def edge_audit(faces: DataFrame) -> DataFrame:
     return edges.groupBy("scene_id").agg(F.count("*").alias("edges"), F.count_if(F.col("n") == 1).alias("boundary"), (F.count_if(F.col("n") == 1) == 0).alias("watertight"))
 
 
-def connected_components(faces: DataFrame, rounds: int = 40) -> DataFrame:
-    """(scene_id, vid, component): the least vertex reachable over faces, by label propagation with pointer jumping."""
+def connected_components(faces: DataFrame) -> DataFrame:
+    """(scene_id, vid, component): the least vertex reachable over faces, by label propagation with pointer jumping, until nothing changes."""
     pairs = faces.select("scene_id", F.explode(F.array(F.array("v0", "v1"), F.array("v1", "v2"), F.array("v2", "v0"))).alias("e"))
     edges = pairs.select("scene_id", F.col("e")[0].alias("p"), F.col("e")[1].alias("q"))
     edges = edges.unionByName(edges.select("scene_id", F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
     labels = edges.groupBy("scene_id", "p").agg(F.least(F.min("q"), F.first("p")).alias("label")).withColumnRenamed("p", "vid")
-    checkpointed = faces.sparkSession.sparkContext.getCheckpointDir() is not None
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.select("scene_id", F.col("vid").alias("q"), "label"), ["scene_id", "q"]).groupBy("scene_id", F.col("p").alias("vid")).agg(F.min("label").alias("near"))
         new = labels.join(near, ["scene_id", "vid"]).select("scene_id", "vid", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = new.select("scene_id", F.col("vid").alias("label"), F.col("label").alias("far"))
         new = new.join(jump, ["scene_id", "label"], "left").select("scene_id", "vid", F.least("label", "far").alias("label"), "old")
-        new = new.checkpoint() if checkpointed else new.cache()
+        new = held(new)
         labels = new.drop("old")
         if not new.filter("label != old").limit(1).count():
             break
     return labels.withColumnRenamed("label", "component")
 
 
+def component_faces(faces: DataFrame, largest: bool = False) -> DataFrame:
+    """faces with their component; of each scene only the one with the most faces if `largest` (ties: the least)."""
+    c = connected_components(faces).select("scene_id", F.col("vid").alias("v0"), "component")
+    out = faces.join(c, ["scene_id", "v0"])
+    if not largest:
+        return out
+    best = out.groupBy("scene_id", "component").agg(F.count("*").alias("n")).groupBy("scene_id").agg(F.min_by("component", F.struct(-F.col("n"), F.col("component"))).alias("component"))
+    return out.join(best, ["scene_id", "component"])
+
+
 def plane_contours(vertices: DataFrame, faces: DataFrame, planes: DataFrame) -> DataFrame:
     """Segments where faces cross planes (scene_id, plane_id, ox, oy, oz, nx, ny, nz); faces off the plane are dropped by their depths first."""
     c = corners(vertices, faces).join(planes, "scene_id")
@@ -81,7 +92,7 @@ def plane_contours(vertices: DataFrame, faces: DataFrame, planes: DataFrame) ->
         t = F.col(f"d{p}") / (F.col(f"d{p}") - F.col(f"d{q}"))
         hits.append(F.when((F.col(f"d{p}") < 0) != (F.col(f"d{q}") < 0), F.array(*[F.col(p + k) + t * (F.col(q + k) - F.col(p + k)) for k in "xyz"])))
     pts = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    return c.select("scene_id", "plane_id", "fid", pts.alias("s")).select("scene_id", "plane_id", "fid", *[F.col("s")[i][j].alias(f"{'ab'[i]}{'xyz'[j]}") for i in (0, 1) for j in range(3)])
+    return c.select("scene_id", "plane_id", "fid", pts.alias("s")).select("scene_id", "plane_id", "fid", *[F.get(F.get("s", F.lit(i)), F.lit(j)).alias(f"{'ab'[i]}{'xyz'[j]}") for i in (0, 1) for j in range(3)])
 
 
 def segment_distance(points: DataFrame, segments: DataFrame, *keys: str) -> DataFrame:
@@ -96,32 +107,53 @@ def segment_distance(points: DataFrame, segments: DataFrame, *keys: str) -> Data
 def winding_number(points: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Generalised winding number of points (scene_id, point_id, x, y, z), and -1 inside (over a half in size), +1 outside.
 
-    Points outside the surface's box are outside without a look at the faces; the pair sums of the others are spread over faces."""
+    Points outside the surface's box are outside without a look at the faces; shares of the others meet shares of the faces, and the sums of these are added up."""
     c = corners(vertices, faces)
     box = vertices.groupBy("scene_id").agg(*[f(k).alias(f"{f.__name__}_{k}") for k in "xyz" for f in (F.min, F.max)])
     boxed = points.join(box, "scene_id")
     within = F.lit(True)
     for k in "xyz":
         within = within & F.col(k).between(F.col(f"min_{k}"), F.col(f"max_{k}"))
-    a, b, q = ([F.col(p + k) - F.col(k) for k in "xyz"] for p in "abc")
-    det = dot(a, cross(b, q))
-    la, lb, lc = norm(a), norm(b), norm(q)
-    omega = 2 * F.atan2(det, la * lb * lc + dot(a, b) * lc + dot(b, q) * la + dot(q, a) * lb)
-    near = boxed.filter(within).select("scene_id", "point_id", "x", "y", "z").join(c, "scene_id")
-    w = near.groupBy("scene_id", "point_id").agg((F.sum(omega) / (4 * math.pi)).alias("w"))
+    near = boxed.filter(within).select("scene_id", "point_id", *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    w = in_blocks(near, c, _solid_angles, "scene_id bigint, point_id bigint, w double").groupBy("scene_id", "point_id").agg(F.sum("w").alias("w"))
     return points.join(w, ["scene_id", "point_id"], "left").select("scene_id", "point_id", F.coalesce("w", F.lit(0.0)).alias("w"), F.when(F.abs(F.coalesce("w", F.lit(0.0))) > 0.5, -1).otherwise(1).alias("sign"))
 
 
+def _solid_angles(points: pa.Table, faces: pa.Table) -> pa.Table:
+    p = columns_of(points, "x", "y", "z")
+    corner = [columns_of(faces, *[q + k for k in "xyz"]) for q in "abc"]
+    out = np.zeros(len(p))
+    step = max(1, 200_000 // max(1, len(corner[0])))
+    for at in range(0, len(p), step):
+        a, b, c = (q[None] - p[at : at + step, None, :] for q in corner)
+        la, lb, lc = (np.sqrt((q * q).sum(-1)) for q in (a, b, c))
+        det = (a * np.cross(b, c)).sum(-1)
+        out[at : at + step] = 2 * np.arctan2(det, la * lb * lc + (a * b).sum(-1) * lc + (b * c).sum(-1) * la + (c * a).sum(-1) * lb).sum(1)
+    return pa.table({"scene_id": points.column("scene_id"), "point_id": points.column("point_id"), "w": pa.array(out / (4 * math.pi))})
+
+
+def _kernels(a: pa.Table, b: pa.Table, gamma: float) -> pa.Table:
+    """The sums over pairs of rows of two shares (side 0 or 1): K11, K22 and K12."""
+    names = ["x", "y", "z", "nx", "ny", "nz", "area", "side"]
+    p, q = columns_of(a, *names), columns_of(b, *names)
+    sums = np.zeros(3)
+    step = max(1, 1_000_000 // max(1, len(q)))
+    for at in range(0, len(p), step):
+        r = p[at : at + step]
+        d2 = sum((r[:, None, i] - q[None, :, i]) ** 2 for i in range(3))
+        k = np.exp(-gamma * d2) * (r[:, 3:6] @ q[:, 3:6].T) * r[:, 6:7] * q[None, :, 6]
+        for i, (s, t) in enumerate(((0, 0), (1, 1), (0, 1))):
+            sums[i] += k[np.ix_(r[:, 7] == s, q[:, 7] == t)].sum()
+    scene = (a if a.num_rows else b).column("scene_id").slice(0, 1)
+    return pa.table({"scene_id": scene, **{n: pa.array([v]) for n, v in zip(("k11", "k22", "k12"), sums)}})
+
+
 def varifold(a: DataFrame, b: DataFrame, gamma: float) -> DataFrame:
-    """K11 + K22 - 2 K12 over two face tables, per scene. Quadratic in the faces of one scene by definition, not in the table."""
-    def kernel(p, q, name):
-        r = q.select("scene_id", *[F.col(c).alias("r_" + c) for c in ("x", "y", "z", "nx", "ny", "nz", "area")])
-        j = p.join(r, "scene_id")
-        d2 = sum((F.col(k) - F.col("r_" + k)) ** 2 for k in "xyz")
-        n = sum(F.col("n" + k) * F.col("r_n" + k) for k in "xyz")
-        return j.groupBy("scene_id").agg(F.sum(F.exp(-gamma * d2) * n * F.col("area") * F.col("r_area")).alias(name))
-
-    j = kernel(a, a, "k11").join(kernel(b, b, "k22"), "scene_id").join(kernel(a, b, "k12"), "scene_id")
+    """K11 + K22 - 2 K12 over two face tables, per scene. Quadratic in the faces of one scene by definition; shares of faces meet in tasks, and all three sums come from one pass."""
+    columns = ["scene_id", "x", "y", "z", "nx", "ny", "nz", "area"]
+    both = a.select(*columns, F.lit(0).alias("side")).unionByName(b.select(*columns, F.lit(1).alias("side")))
+    j = in_blocks(both, both, lambda p, q: _kernels(p, q, gamma), "scene_id bigint, k11 double, k22 double, k12 double")
+    j = j.groupBy("scene_id").agg(*[F.sum(k).alias(k) for k in ("k11", "k22", "k12")])
     return j.select("scene_id", (F.col("k11") + F.col("k22") - 2 * F.col("k12")).alias("distance"))
 
 
@@ -171,11 +203,21 @@ def apex(points: DataFrame, base: DataFrame) -> DataFrame:
     return best.select("scene_id", "p.point_id", "p.x", "p.y", "p.z", F.sqrt("p.d2").alias("distance"))
 
 
-def surface_points(face_rows: DataFrame, n: int, uniform) -> DataFrame:
-    """n points per scene, uniform by area: draws u in (0, 1) look up the cumulated share of area."""
+def surface_points(vertices: DataFrame, faces: DataFrame, n: int, slots: int = 64) -> DataFrame:
+    """(scene_id, draw, fid, x, y, z): n points per scene, uniform by area.
+
+    Draw u in (0, 1) takes the face whose stretch of the cumulated area holds it, and a keyed point of that face. Stretches and draws
+    meet by slot, one of `slots` parts of (0, 1) of each scene, so that a scene's draws do not meet all of its faces."""
+    c = corners(vertices, faces)
+    area = norm(cross(minus(_p("b"), _p("a")), minus(_p("c"), _p("a")))) / 2
+    c = c.withColumn("area", area)
+    total = c.groupBy("scene_id").agg(F.sum("area").alias("all")).filter(F.col("all") > 0)
     w = W.partitionBy("scene_id").orderBy("fid")
-    total = face_rows.groupBy("scene_id").agg(F.sum("area").alias("all"))
-    cum = face_rows.join(total, "scene_id").select("scene_id", "fid", (F.sum("area").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.col("all")).alias("high"), F.col("area"), F.col("all"))
-    cum = cum.select("scene_id", "fid", "high", (F.col("high") - F.col("area") / F.col("all")).alias("low"))
-    draws = total.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).withColumn("u", uniform("scene_id", "draw"))
-    return draws.join(cum, "scene_id").filter((F.col("u") > F.col("low")) & (F.col("u") <= F.col("high"))).select("scene_id", "draw", "fid")
+    cum = c.join(total, "scene_id").withColumn("high", F.sum("area").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.col("all"))
+    cum = cum.withColumn("low", F.coalesce(F.lag("high").over(w), F.lit(0.0))).withColumn("high", F.when(F.lead("fid").over(w).isNull(), F.lit(2.0)).otherwise(F.col("high")))
+    slot = lambda u: F.least(F.floor(u * slots), F.lit(slots - 1))
+    cum = cum.withColumn("slot", F.explode(F.sequence(slot(F.col("low")), slot(F.col("high")))))
+    draws = total.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).withColumn("u", uniform("scene_id", "draw", F.lit("area")))
+    hit = draws.withColumn("slot", slot(F.col("u"))).join(cum, ["scene_id", "slot"]).filter((F.col("u") > F.col("low")) & (F.col("u") <= F.col("high")))
+    a, b = F.sqrt(uniform("scene_id", "draw", F.lit("u"))), uniform("scene_id", "draw", F.lit("v"))
+    return hit.select("scene_id", "draw", "fid", *[((1 - a) * F.col("a" + k) + a * (1 - b) * F.col("b" + k) + a * b * F.col("c" + k)).alias(k) for k in "xyz"])

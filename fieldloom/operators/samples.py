@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fieldloom.functions.scalars import uniform
+from fieldloom.functions.scalars import finite, uniform
 
 SURFACES = ("epi", "lv", "rv")
 
@@ -40,19 +40,37 @@ def supervision_mask(mode: str) -> list[Column]:
     """local: the point's own surface; hybrid: epi as local, the others where finite; finite: where finite."""
     out = []
     for s in SURFACES:
-        own, finite = F.col("source_surface") == s, F.col(f"sdf_{s}").isNotNull() & ~F.isnan(f"sdf_{s}")
-        out.append((own if mode == "local" or mode == "hybrid" and s == "epi" else finite).cast("int").alias(f"mask_{s}"))
+        own = F.col("source_surface") == s
+        out.append((own if mode == "local" or mode == "hybrid" and s == "epi" else finite(f"sdf_{s}")).cast("int").alias(f"mask_{s}"))
     return out
 
 
 def zero_masked(surface: str) -> list[Column]:
-    ok = F.col(f"sdf_{surface}").isNotNull() & ~F.isnan(f"sdf_{surface}")
+    ok = finite(f"sdf_{surface}")
     return [F.when(ok, F.col(f"sdf_{surface}")).otherwise(0.0).alias(f"sdf_{surface}"), ok.cast("int").alias(f"mask_{surface}")]
 
 
 def mask_stats(samples: DataFrame) -> DataFrame:
+    """(scene_id, mask_*, n): all eight combinations of each scene, also those without rows."""
     masks = [f"mask_{s}" for s in SURFACES]
-    return samples.groupBy("scene_id", *masks).agg(F.count("*").alias("n"))
+    n = samples.groupBy("scene_id", *[(F.col(m) > 0.5).cast("int").alias(m) for m in masks]).agg(F.count("*").alias("n"))
+    grid = n.select("scene_id").distinct()
+    for m in masks:
+        grid = grid.withColumn(m, F.explode(F.array(F.lit(0), F.lit(1))))
+    return grid.join(n, ["scene_id", *masks], "left").na.fill(0, ["n"])
+
+
+def valid_shares(samples: DataFrame) -> DataFrame:
+    """Per scene and surface how many rows are valid, and which share in per cent: (scene_id, surface, n_valid, percent)."""
+    per = samples.groupBy("scene_id").agg(F.count("*").alias("n"), *[F.count_if(F.col(f"mask_{s}") > 0.5).alias(s) for s in SURFACES])
+    rows = per.unpivot(["scene_id", "n"], list(SURFACES), "surface", "n_valid")
+    return rows.select("scene_id", "surface", "n_valid", (100 * F.col("n_valid") / F.col("n")).alias("percent"))
+
+
+def mask_values(samples: DataFrame) -> DataFrame:
+    """(mask, value, n): how often each mask has each value."""
+    masks = [f"mask_{s}" for s in SURFACES]
+    return samples.select(*masks).unpivot([], masks, "mask", "value").groupBy("mask", "value").agg(F.count("*").alias("n"))
 
 
 def sample_counts(samples: DataFrame) -> DataFrame:
@@ -103,6 +121,14 @@ def weighted_sample(points: DataFrame, weight: Column, n: int, salt: str = "weig
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("scene_id").orderBy("key", "point_id"))).filter(F.col("rank") <= n).drop("key")
 
 
+def curvature_weight(points: DataFrame, gauss: str, mean: str, share: float, power: float) -> DataFrame:
+    """points with weight (1 - share) |K|^power / sum + share |H|^power / sum, the sums over the scene; a value that is not finite counts 0."""
+    size = {c: F.when(finite(c), F.pow(F.abs(c), F.lit(power))).otherwise(0.0) for c in (gauss, mean)}
+    sums = points.groupBy("scene_id").agg(F.sum(size[gauss]).alias("all_k"), F.sum(size[mean]).alias("all_h"))
+    part = lambda c, total: F.coalesce(size[c] / F.nullif(F.col(total), F.lit(0.0)), F.lit(0.0))
+    return points.join(sums, "scene_id").withColumn("weight", (1 - share) * part(gauss, "all_k") + share * part(mean, "all_h")).drop("all_k", "all_h")
+
+
 def fraction_subsample(points: DataFrame, fraction: float, salt: str = "fraction") -> DataFrame:
     """floor(fraction * rows) of each scene's rows."""
     n = points.groupBy("scene_id").agg(F.floor(F.count("*") * fraction).alias("quota"))

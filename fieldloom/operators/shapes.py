@@ -4,110 +4,117 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fieldloom.functions.scalars import cross, dot, minus, norm, uniform
+from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform
 from fieldloom.operators.geometry import corners, face_table, rigid_fit, winding_number
-from fieldloom.operators.spatial import _around, _d2, nearest_join
+from fieldloom.operators.spatial import _around, _d2, columns_of, held, in_blocks, nearest_join, neighbours
 
 KEY = ["scene_id", "point_id"]
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df without its lineage where a checkpoint folder is set, else cached."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-
-
 def _vec(prefix: str = "") -> list[Column]:
     return [F.col(prefix + k) for k in "xyz"]
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, rings: int = 6) -> DataFrame:
-    """(scene_id, point_id, rank, nearest_id, distance): the k nearest points of right in the scene, ties by id.
-
-    Exact: a row is done once its k-th candidate is no farther than the size of the cells it looked into, and else looks
-    again in cells twice as large, at last in its whole scene."""
-    r = right.select("scene_id", F.col("point_id").alias("r_id"), *[F.col(a).alias(f"r_{a}") for a in "xyz"])
-    todo, done = left.select(*KEY, "x", "y", "z"), []
-    rank = F.row_number().over(W.partitionBy(*KEY).orderBy("d2", "r_id"))
-    for ring in range(rings + 1):
-        size = cell * 2**ring
-        if ring < rings:
-            cells = r.select("*", *[F.floor(F.col(f"r_{a}") / size).alias(f"c{a}") for a in "xyz"])
-            pairs = _around(todo, size).join(cells, ["scene_id", "cx", "cy", "cz"])
-        else:
-            pairs = todo.join(r, "scene_id")
-        near = held(pairs.select(*KEY, "r_id", _d2().alias("d2")).withColumn("rank", rank).filter(F.col("rank") <= k))
-        if ring == rings:
-            done.append(near)
-            break
-        final = near.groupBy(*KEY).agg(F.max("rank").alias("n"), F.max("d2").alias("far")).filter((F.col("n") == k) & (F.col("far") <= size * size)).select(*KEY)
-        done.append(near.join(final, KEY, "left_semi"))
-        todo = held(todo.join(final, KEY, "left_anti"))
-        if not todo.limit(1).count():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select(*KEY, "rank", F.col("r_id").alias("nearest_id"), F.sqrt("d2").alias("distance"))
+def knn_join(left: DataFrame, right: DataFrame, k: int, **options) -> DataFrame:
+    """(scene_id, point_id, rank, nearest_id, distance): the k nearest points of right in the scene, ties by id (see neighbours)."""
+    found = neighbours(left, right, k, **options).filter("rank is not null")
+    return found.select(*KEY, "rank", F.col("r_id").alias("nearest_id"), F.sqrt("d2").alias("distance"))
 
 
-def transfer_labels(source: DataFrame, target: DataFrame, cell: float) -> DataFrame:
+def transfer_labels(source: DataFrame, target: DataFrame) -> DataFrame:
     """target faces (scene_id, fid, x, y, z) with the tag of the nearest source face centre (scene_id, fid, x, y, z, tag)."""
-    point = lambda df: df.withColumnRenamed("fid", "point_id")
-    near = nearest_join(point(target), point(source), cell)
+    point = lambda df: df.withColumn("fid", F.col("fid").cast("bigint")).withColumnRenamed("fid", "point_id")
+    near = nearest_join(point(target), point(source))
     tags = source.select("scene_id", F.col("fid").alias("nearest_id"), "tag")
     return near.join(tags, ["scene_id", "nearest_id"], "left").select("scene_id", F.col("point_id").alias("fid"), "tag")
 
 
-def _to_segment(p: list[Column], a: list[Column], b: list[Column]) -> Column:
-    d, w = minus(b, a), minus(p, a)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(dot(w, d) / F.nullif(dot(d, d), F.lit(0.0)), F.lit(0.0))))
-    return dot(off := [x - t * y for x, y in zip(w, d)], off)
-
-
-def triangle_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, cell: float = 0.5) -> DataFrame:
-    """(scene_id, point_id, distance) of each point to the surface; null in a scene without faces.
-
-    The nearest vertex bounds the distance. Only faces whose bounding sphere reaches into that bound are measured: the
-    plane's distance where the foot lies in the triangle, else the nearest edge's."""
-    c = corners(vertices, faces)
-    mid = [(F.col("a" + k) + F.col("b" + k) + F.col("c" + k)) / 3 for k in "xyz"]
-    c = c.withColumns({"m" + k: m for k, m in zip("xyz", mid)})
-    c = c.withColumn("reach", F.greatest(*[norm(minus(_vec(q), _vec("m"))) for q in "abc"]))
-    used = faces.select("scene_id", F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct()
-    bound = nearest_join(points, vertices.join(used, ["scene_id", "vid"], "left_semi").withColumnRenamed("vid", "point_id"), cell)
-    pairs = points.select(*KEY, "x", "y", "z").join(bound.select(*KEY, F.col("distance").alias("bound")), KEY).join(c, "scene_id")
-    pairs = pairs.filter(norm(minus(_vec(), _vec("m"))) - F.col("reach") <= F.col("bound") + 1e-9)
-    p, a, b, q = _vec(), _vec("a"), _vec("b"), _vec("c")
-    ab, ac, w = minus(b, a), minus(q, a), minus(p, a)
-    n = cross(ab, ac)
-    n2 = F.nullif(dot(n, n), F.lit(0.0))
-    gamma, beta = dot(cross(ab, w), n) / n2, dot(cross(w, ac), n) / n2
-    plane = F.when((gamma >= 0) & (beta >= 0) & (gamma + beta <= 1), dot(w, n) * dot(w, n) / n2)
-    d2 = F.least(plane, _to_segment(p, a, b), _to_segment(p, b, q), _to_segment(p, q, a))
-    best = pairs.groupBy(*KEY).agg(F.sqrt(F.min(d2)).alias("distance"))
-    return points.select(*KEY).join(best, KEY, "left")
-
-
-def signed_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, cell: float = 0.5) -> DataFrame:
+def _to_segments(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of points (n x 1 x 3) to segments (m x 3)."""
+    d = b - a
+    w = p - a
+    size = (d * d).sum(-1)
+    t = np.clip(np.divide((w * d).sum(-1), size, out=np.zeros(np.broadcast_shapes(w.shape[:-1], size.shape)), where=size > 0), 0, 1)
+    off = w - t[..., None] * d
+    return (off * off).sum(-1)
+
+
+def triangle_d2(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of points (n x 3) to triangles (m x 3 each): the plane's where the foot lies in the triangle, else the nearest edge's."""
+    p = p[:, None, :]
+    ab, ac, w = b - a, c - a, p - a
+    n = np.cross(ab, ac)
+    n2 = (n * n).sum(-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gamma, beta = (np.cross(ab, w) * n).sum(-1) / n2, (np.cross(w, ac) * n).sum(-1) / n2
+        plane = (w * n).sum(-1) ** 2 / n2
+    inside = (gamma >= 0) & (beta >= 0) & (gamma + beta <= 1) & (n2 > 0)
+    edges = np.minimum(np.minimum(_to_segments(p, a, b), _to_segments(p, b, c)), _to_segments(p, c, a))
+    return np.where(inside, np.minimum(plane, edges), edges)
+
+
+def _least_triangle(points: pa.Table, faces: pa.Table, extra: tuple = ()) -> pa.Table:
+    """The least distance of each point to the faces. A face is measured only for points that its bounding sphere lets be nearer than the nearest corner."""
+    p = columns_of(points, "x", "y", "z")
+    a, b, c = (columns_of(faces, *[q + k for k in "xyz"]) for q in "abc")
+    best = np.full(len(p), np.inf)
+    step = max(1, 200_000 // max(1, len(a)))
+    mid = (a + b + c) / 3
+    reach = np.sqrt(np.maximum.reduce([((q - mid) ** 2).sum(1) for q in (a, b, c)])) if len(a) else np.zeros(0)
+    for at in range(0, len(p) if len(a) else 0, step):
+        part = p[at : at + step]
+        to_mid = np.sqrt(((part[:, None, :] - mid) ** 2).sum(-1))
+        corner = np.sqrt(np.minimum.reduce([((part[:, None, :] - q) ** 2).sum(-1) for q in (a, b, c)]).min(1))
+        near = to_mid - reach <= corner[:, None] + 1e-9
+        use = near.any(0)
+        best[at : at + step] = np.where(near[:, use], triangle_d2(part, a[use], b[use], c[use]), np.inf).min(1)
+    return pa.table({**{k: points.column(k) for k in (*KEY, *extra)}, "d2": pa.array(best, pa.float64(), mask=np.isinf(best))})
+
+
+def triangle_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, share_rows: int = 4_000) -> DataFrame:
+    """(scene_id, point_id, distance) of each point to the surface; null in a scene without faces. Shares of points meet shares of faces (see in_blocks)."""
+    p, c = points.select(*KEY, "x", "y", "z"), corners(vertices, faces)
+    near = in_blocks(p, c, _least_triangle, "scene_id bigint, point_id bigint, d2 double", share_rows, share_rows)
+    return points.select(*KEY).join(near.groupBy(*KEY).agg(F.sqrt(F.min("d2")).alias("distance")), KEY, "left")
+
+
+def signed_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Distance to the surface, negative inside."""
-    d = triangle_distance(points, vertices, faces, cell)
+    d = triangle_distance(points, vertices, faces)
     return d.join(winding_number(points, vertices, faces), KEY).select(*KEY, (F.col("distance") * F.col("sign")).alias("sdf"))
 
 
-def inside_or_near(signed: DataFrame, expansion: float) -> DataFrame:
-    """Rows (sdf) that are inside, or no farther out than expansion; a null or NaN is neither."""
-    return signed.filter(F.coalesce(~F.isnan("sdf") & (F.col("sdf") <= expansion), F.lit(False)))
+def multi_plane_sdf(points: DataFrame, patches: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """(scene_id, point_id, plane_id, sdf): each point (with plane_id) against its own plane's patch (scene_id, plane_id, fid, a*, b*, c*), with the sign of the whole surface; null without a patch."""
+    key = [*KEY, "plane_id"]
+    one = lambda df: df.withColumn("scene_id", F.concat_ws("/", "scene_id", "plane_id"))  # noqa: E731  a plane is a scene of its own
+    p = one(points.select(*key, "x", "y", "z"))
+    c = one(patches.select("scene_id", "plane_id", "fid", *[q + k for q in "abc" for k in "xyz"]))
+    run = lambda a, b: _least_triangle(a, b, ("plane_id",))
+    near = in_blocks(p, c, run, "scene_id string, point_id bigint, plane_id bigint, d2 double")
+    near = near.groupBy(F.substring_index("scene_id", "/", 1).cast("bigint").alias("scene_id"), "point_id", "plane_id").agg(F.sqrt(F.min("d2")).alias("distance"))
+    sign = winding_number(points.select(*KEY, "x", "y", "z"), vertices, faces).select(*KEY, "sign")
+    out = points.select(*key).join(near, key, "left").join(sign, KEY, "left")
+    return out.select(*key, (F.col("distance") * F.col("sign")).alias("sdf"))
+
+
+def inside_or_near(rows: DataFrame, expansion: float, inside: str = "inside", distance: str = "distance") -> DataFrame:
+    """Rows that are inside, whatever their distance, or have a finite distance of no more than expansion."""
+    return rows.filter(F.coalesce(F.col(inside), F.lit(False)) | (finite(distance) & (F.col(distance) <= expansion)))
 
 
-def slab_vertex_distance(points: DataFrame, vertices: DataFrame, half: float) -> DataFrame:
-    """The least distance of each point to vertices that are at most `half` off along z; null without one. Bins of z make it an equi-join."""
-    v = vertices.select("scene_id", *[F.col(k).alias("r_" + k) for k in "xyz"], F.floor(F.col("z") / (2 * half)).alias("bin"))
-    p = points.select(*KEY, "x", "y", "z", F.explode(F.array(*[F.floor(F.col("z") / (2 * half)) + i for i in (-1, 0, 1)])).alias("bin"))
-    near = p.join(v, ["scene_id", "bin"]).filter(F.abs(F.col("z") - F.col("r_z")) <= half).groupBy(*KEY).agg(F.sqrt(F.min(_d2())).alias("distance"))
+def slab_vertex_distance(points: DataFrame, vertices: DataFrame, half: float, axis: tuple[float, float, float] = (0.0, 0.0, 1.0)) -> DataFrame:
+    """The least distance of each point to vertices that are at most `half` off along the unit axis; null without one. Bins of the place along it make it an equi-join."""
+    along = lambda p: sum(F.col(p + k) * a for k, a in zip("xyz", axis))
+    v = vertices.select("scene_id", *[F.col(k).alias("r_" + k) for k in "xyz"], F.floor(along("") / (2 * half)).alias("bin"))
+    p = points.select(*KEY, "x", "y", "z", F.explode(F.array(*[F.floor(along("") / (2 * half)) + i for i in (-1, 0, 1)])).alias("bin"))
+    near = p.join(v, ["scene_id", "bin"]).filter(F.abs(along("") - along("r_")) <= half).groupBy(*KEY).agg(F.sqrt(F.min(_d2())).alias("distance"))
     return points.select(*KEY).join(near, KEY, "left")
 
 
@@ -184,16 +191,16 @@ def ball_points(scenes: DataFrame, n: int) -> DataFrame:
     return rows.select("scene_id", "draw", (F.col("x") + flat * F.cos("turn")).alias("x"), (F.col("y") + flat * F.sin("turn")).alias("y"), (F.col("z") + F.col("r") * F.col("h")).alias("z"))
 
 
-def min_distance_thin(points: DataFrame, least: float, salt: str = "thin", rounds: int = 60) -> DataFrame:
+def min_distance_thin(points: DataFrame, least: float, salt: str = "thin") -> DataFrame:
     """A largest-possible choice of each scene's points no two of which are nearer than `least` (none can be added).
 
     Points have a keyed order. In each round those before all neighbours that are still open stay, and their
-    neighbours go, which gives what taking one point after another in that order would."""
+    neighbours go, which gives what taking one point after another in that order would. The first open point of all always stays, so rounds end."""
     p = points.select(*KEY, "x", "y", "z", F.struct(uniform(*KEY, F.lit(salt)).alias("h"), "point_id").alias("order"))
     cells = p.select("scene_id", F.col("order").alias("r_order"), *[F.col(k).alias("r_" + k) for k in "xyz"], *[F.floor(F.col(k) / least).alias("c" + k) for k in "xyz"])
     pairs = held(_around(p, least).join(cells, ["scene_id", "cx", "cy", "cz"]).filter((_d2() < least * least) & (F.col("order") != F.col("r_order"))).select("scene_id", "order", "r_order"))
     left, kept = held(p.select("scene_id", "order")), []
-    for _ in range(rounds):
+    while True:
         first = pairs.groupBy("scene_id", "order").agg(F.min("r_order").alias("first"))
         stay = held(left.join(first, ["scene_id", "order"], "left").filter("first is null or order < first").select("scene_id", "order"))
         kept.append(stay)
@@ -226,7 +233,7 @@ def plane_equations(pairs: DataFrame) -> DataFrame:
     return rows.groupBy("scene_id").agg(*products, *[F.sum(F.col(f"r{i}") * F.col("b")).alias(f"b{i}") for i in range(6)])
 
 
-def register_all(sources: DataFrame, targets: DataFrame, cell: float, rounds: int = 20, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+def register_all(sources: DataFrame, targets: DataFrame, rounds: int = 20, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """(moved sources, residuals by scene and round): point-to-point alignment of all scenes at once.
 
     In each round the scenes that still move look up their nearest targets, sum them up, and turn and shift. A scene rests
@@ -234,7 +241,7 @@ def register_all(sources: DataFrame, targets: DataFrame, cell: float, rounds: in
     t = targets.select("scene_id", F.col("point_id").alias("nearest_id"), *[F.col(k).alias("t" + k) for k in "xyz"])
     now, rested, audit = held(sources.select(*KEY, "x", "y", "z")), [], []
     for k in range(rounds):
-        near = nearest_join(now, targets, cell).filter("nearest_id is not null").select(*KEY, "nearest_id", "distance")
+        near = nearest_join(now, targets).filter("nearest_id is not null").select(*KEY, "nearest_id", "distance")
         pairs = held(now.join(near, KEY).join(t, ["scene_id", "nearest_id"]))
         fit = rigid_fit(pairs)
         r, s = F.col("rotation"), F.col("translation")

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df without its lineage where a checkpoint folder is set, so that a lost executor costs no earlier round; without one (tests) cached."""
+    sc = df.sparkSession.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if folder and not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return df.checkpoint() if folder else df.cache()
+
+
 def _cells(df: DataFrame, size: float, prefix: str) -> DataFrame:
     return df.select("*", *[F.floor(F.col(k) / size).alias(f"{prefix}{k}") for k in "xyz"])
 
@@ -23,32 +36,105 @@ def _d2(a: str = "", b: str = "r_") -> Column:
     return sum((F.col(f"{a}{k}") - F.col(f"{b}{k}")) ** 2 for k in "xyz")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, cell: float, rings: int = 6) -> DataFrame:
-    """left (scene_id, point_id, x, y, z) with nearest_id and distance of the nearest point of right in the scene; ties: the least id.
-
-    Rows look in their grid cell and those around it. A best distance of at most the cell's size is final; other rows
-    look again in cells twice as large, and after `rings` rounds in their whole scene. Only unanswered rows go on."""
-    r = right.select("scene_id", F.col("point_id").alias("r_id"), *[F.col(k).alias(f"r_{k}") for k in "xyz"])
-    best = lambda j: j.groupBy("scene_id", "point_id", "x", "y", "z").agg(F.min(F.struct(_d2().alias("d2"), "r_id")).alias("b"))
-    todo, done = left.select("scene_id", "point_id", "x", "y", "z"), []
-    spark = left.sparkSession
-    for k in range(rings + 1):
-        size = cell * 2**k
-        if k < rings:
-            cells = r.select("*", *[F.floor(F.col(f"r_{a}") / size).alias(f"c{a}") for a in "xyz"])
-            found = best(_around(todo, size).join(cells, ["scene_id", "cx", "cy", "cz"], "left"))
-            final = F.col("b.d2") <= size * size
-        else:
-            found, final = best(todo.join(r, "scene_id", "left")), F.lit(True)
-        found = found.checkpoint() if spark.sparkContext.getCheckpointDir() else found.cache()
-        done.append(found.filter(final))
-        todo = found.filter(~F.coalesce(final, F.lit(False))).select("scene_id", "point_id", "x", "y", "z")
-        if k < rings and not todo.limit(1).count():
+SEARCH = "scene_id bigint, point_id bigint, x double, y double, z double, rank int, r_id bigint, d2 double, sure boolean"
+
+
+def _search(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The k nearest of right for each row of left, ties by id, and whether no point outside the block and its surroundings can be nearer."""
+    right = right.combine_chunks().sort_by("r_id")
+    p, q = (np.stack([t.column(c).to_numpy().astype(float) for c in names], 1).reshape(-1, 3) for t, names in ((left, "xyz"), (right, ("r_x", "r_y", "r_z"))))
+    ids, room = right.column("r_id").to_numpy(), left.column("room").to_numpy()
+    rows, ranks, found, d2s = [], [], [], []
+    step = max(1, 2_000_000 // max(1, len(q)))
+    for at in range(0, len(p) if len(q) else 0, step):
+        part = p[at : at + step, None, :] - q[None]
+        d2 = part[..., 0] ** 2 + part[..., 1] ** 2 + part[..., 2] ** 2
+        # rows of right are in the order of their ids, so the stable order of equal distances is that of ids
+        near = np.argmin(d2, 1)[:, None] if k == 1 else np.argsort(d2, 1, kind="stable")[:, :k]
+        rows.append(np.repeat(np.arange(at, at + len(d2)), near.shape[1]))
+        ranks.append(np.tile(np.arange(1, near.shape[1] + 1), len(d2)))
+        found.append(near.ravel())
+        d2s.append(np.take_along_axis(d2, near, 1).ravel())
+    rows, ranks, found = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (rows, ranks, found))
+    d2s = np.concatenate([*d2s, np.zeros(0)])
+    enough = np.full(len(p), np.inf if len(q) >= k else -1.0)
+    last = ranks == k
+    enough[rows[last]] = np.sqrt(d2s[last])
+    sure = (room == np.inf) | ((enough >= 0) & (enough <= room) & (enough < np.inf))
+    lone = np.setdiff1d(np.arange(len(p)), rows)
+    order = np.concatenate([rows, lone])
+    miss = np.concatenate([np.zeros(len(rows), bool), np.ones(len(lone), bool)])
+    fill = lambda v, t: pa.array(np.concatenate([v, np.zeros(len(lone), v.dtype)]), t, mask=miss)
+    head = left.select(["scene_id", "point_id", "x", "y", "z"]).take(pa.array(order))
+    names = ["scene_id", "point_id", "x", "y", "z", "rank", "r_id", "d2", "sure"]
+    return pa.table([*head.columns, fill(ranks, pa.int32()), fill(ids[found] if len(ids) else found, pa.int64()), fill(d2s, pa.float64()), pa.array(sure[order])], names=names)
+
+
+def neighbours(left: DataFrame, right: DataFrame, k: int = 1, block_rows: int = 500, whole_rows: int = 4_000, share_rows: int = 20_000) -> DataFrame:
+    """(scene_id, point_id, x, y, z, rank, r_id, d2): the k nearest points of right in the scene, ties by the least id; nulls without one.
+
+    A scene of at most whole_rows points of right is one block. Others are cut into cubes of block_rows points on
+    average, and a row of left meets the points of its cube and the 26 around it. An answer is final if no point outside these can
+    be nearer; rows without a final answer go on to cubes of twice the size, until their scene is one block. A cube with more than
+    share_rows rows of left is dealt to several tasks."""
+    box = right.groupBy("scene_id").agg(F.count("*").alias("n"), *[F.min(c).alias(f"low_{c}") for c in "xyz"], F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]).alias("span"))
+    per_axis = F.when(F.col("n") <= whole_rows, 1.0).otherwise(F.greatest(F.floor(F.cbrt(F.col("n") / block_rows)), F.lit(1.0)))
+    box = held(box.withColumn("per_axis", per_axis))  # a row for each scene
+    points = right.select("scene_id", F.col("point_id").cast("bigint").alias("r_id"), *[F.col(c).cast("double").alias(f"r_{c}") for c in "xyz"])
+    todo, done, keys = left.select("scene_id", F.col("point_id").cast("bigint").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]), [], ["scene_id", "cx", "cy", "cz", "share"]
+    doublings = 0
+    while True:
+        cubes = F.greatest(F.floor(F.col("per_axis") / 2**doublings), F.lit(1.0))
+        one = F.coalesce(cubes <= 1, F.lit(True))
+        edge = F.greatest(F.col("span"), F.lit(1e-300)) / cubes
+        cell = lambda p: [F.when(one, F.lit(0)).otherwise(F.floor((F.col(f"{p}{c}") - F.col(f"low_{c}")) / edge)).cast("bigint").alias(f"c{c}") for c in "xyz"]
+        inside = [(F.col(c) - F.col(f"low_{c}")) / edge - F.floor((F.col(c) - F.col(f"low_{c}")) / edge) for c in "xyz"]
+        room = F.when(one, F.lit(float("inf"))).otherwise((1 + F.least(*[F.least(i, 1 - i) for i in inside])) * edge * (1 - 1e-9))
+        rows = todo.join(box, "scene_id", "left").select("scene_id", "point_id", "x", "y", "z", *cell(""), room.alias("room"))
+        blocks = rows.groupBy(*keys[:4]).agg(F.ceil(F.count("*") / share_rows).alias("shares"))
+        rows = rows.join(blocks, keys[:4]).withColumn("share", F.pmod(F.xxhash64("point_id"), F.col("shares"))).drop("shares")
+        around = F.when(one, F.array(F.struct(*[F.lit(0).cast("bigint").alias(c) for c in "xyz"]))).otherwise(F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(c) for c, v in zip("xyz", d)]) for d in product((-1, 0, 1), repeat=3)]))
+        near = points.join(box, "scene_id").select("scene_id", "r_id", "r_x", "r_y", "r_z", *cell("r_"), F.explode(around).alias("d"))
+        near = near.withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"d.{c}") for c in "xyz"}).drop("d").join(blocks, keys[:4])
+        near = near.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1))).drop("shares")
+        near = near.select(*[F.col(c).alias(c) for c in near.columns])  # columns of its own, where both sides come from one table
+        found = rows.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(lambda a, b: _search(a, b, k), SEARCH)
+        if not box.filter(cubes > 1).limit(1).count():
+            done.append(found)
+            break
+        found = held(found)
+        done.append(found.filter("sure"))
+        todo = found.filter("not sure and (rank is null or rank = 1)").select("scene_id", "point_id", "x", "y", "z")
+        if not todo.limit(1).count():
             break
+        doublings += 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("scene_id", "point_id", F.col("b.r_id").alias("nearest_id"), F.sqrt("b.d2").alias("distance"))
+    return out.drop("sure")
+
+
+def nearest_join(left: DataFrame, right: DataFrame, **options) -> DataFrame:
+    """left (scene_id, point_id, x, y, z) with nearest_id and distance of the nearest point of right in the scene; ties: the least id (see neighbours)."""
+    return neighbours(left, right, 1, **options).select("scene_id", "point_id", F.col("r_id").alias("nearest_id"), F.sqrt("d2").alias("distance"))
+
+
+def in_blocks(a: DataFrame, b: DataFrame, run, schema: str, a_rows: int = 4_000, b_rows: int = 4_000) -> DataFrame:
+    """run(rows of a, rows of b), Arrow tables, for every two shares of a scene of about so many rows: every pair of rows meets once, in a task that holds two shares."""
+    shares = lambda df, rows, name: df.groupBy("scene_id").agg(F.ceil(F.count("*") / rows).alias(name))
+    n = shares(a, a_rows, "parts_a").join(shares(b, b_rows, "parts_b"), "scene_id")
+    to = lambda name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
+    own = lambda df, name: F.pmod(F.xxhash64(*[c for c, t in df.dtypes if t in ("bigint", "int", "double", "float", "string")]), F.col(name))
+    left = a.join(n, "scene_id").withColumns({"share_a": own(a, "parts_a"), "share_b": to("parts_b")}).drop("parts_a", "parts_b")
+    right = b.join(n, "scene_id").withColumns({"share_b": own(b, "parts_b"), "share_a": to("parts_a")}).drop("parts_a", "parts_b")
+    keys = ["scene_id", "share_a", "share_b"]
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, where both sides come from one table
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda p, q: run(p, q), schema)
+
+
+def columns_of(table: pa.Table, *names: str) -> np.ndarray:
+    """The columns side by side, as double."""
+    return np.stack([table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], 1).reshape(table.num_rows, len(names))
 
 
 def radius_sum(queries: DataFrame, weights: DataFrame, radius: float) -> DataFrame:
@@ -59,23 +145,57 @@ def radius_sum(queries: DataFrame, weights: DataFrame, radius: float) -> DataFra
 
 
 def points_in_slab(points: DataFrame, planes: DataFrame, half: float) -> DataFrame:
-    """Points within half of planes (scene_id, plane_id, c, axis z) by bins of the projection: an equi-join instead of a range join."""
-    width = 2 * half
-    p = points.withColumn("bin", F.explode(F.array(*[F.floor(F.col("z") / width) + i for i in (-1, 0, 1)])))
-    return p.join(planes.withColumn("bin", F.floor(F.col("c") / width)), ["scene_id", "bin"]).filter(F.abs(F.col("z") - F.col("c")) <= half).drop("bin")
-
-
-def directed(a: DataFrame, b: DataFrame, cell: float, tau: float) -> DataFrame:
-    near = nearest_join(a, b, cell)
-    return near.groupBy("scene_id").agg(F.avg("distance").alias("mean"), F.max("distance").alias("most"), F.avg((F.col("distance") < tau).cast("double")).alias("share"))
-
-
-def surface_scores(gt: DataFrame, pred: DataFrame, cell: float, tau: float) -> DataFrame:
-    """Per scene: chamfer (half the sum of the mean distances), chamfer_sum, hausdorff, precision, recall and f1 at tau."""
-    f, b = directed(gt, pred, cell, tau), directed(pred, gt, cell, tau)
-    j = f.select("scene_id", F.col("mean").alias("m1"), F.col("most").alias("h1"), F.col("share").alias("recall")).join(b.select("scene_id", F.col("mean").alias("m2"), F.col("most").alias("h2"), F.col("share").alias("precision")), "scene_id")
-    total = F.col("precision") + F.col("recall")
-    return j.select("scene_id", ((F.col("m1") + F.col("m2")) / 2).alias("chamfer"), (F.col("m1") + F.col("m2")).alias("chamfer_sum"), F.greatest("h1", "h2").alias("hausdorff"), "precision", "recall", F.when(total == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / total).alias("f1"))
+    """Rows of points with those of planes (scene_id, plane_id, o*, n*: unit normal) that are at most `half` off, and their depth (p - o) . n.
+
+    Planes of one normal are stacked by bins of their place along it, so points meet three bins of each stack of their scene: an
+    equi-join instead of a range join. The stacks of a scene are few; its points are copied once for each."""
+    width, stack = 2 * half, [F.round(F.col("n" + k), 12).alias("s" + k) for k in "xyz"]
+    along = lambda p, n: sum(F.col(p + k) * F.col(n + k) for k in "xyz")
+    listed = planes.withColumns({"sx": stack[0], "sy": stack[1], "sz": stack[2]})
+    listed = listed.withColumn("bin", F.floor(along("o", "s") / width))
+    stacks = listed.select("scene_id", "sx", "sy", "sz").distinct()
+    p = points.join(stacks, "scene_id").withColumn("bin", F.explode(F.array(*[F.floor(along("", "s") / width) + i for i in (-1, 0, 1)])))
+    j = p.join(listed, ["scene_id", "sx", "sy", "sz", "bin"])
+    depth = sum((F.col(k) - F.col("o" + k)) * F.col("n" + k) for k in "xyz")
+    return j.withColumn("depth", depth).filter(F.abs("depth") <= half).drop("bin", "sx", "sy", "sz")
+
+
+def directed(a: DataFrame, b: DataFrame, tau: float | DataFrame) -> DataFrame:
+    """Per scene of a: the mean and the largest distance to b, and the share nearer than tau, a number or a table (scene_id, tau)."""
+    near = nearest_join(a, b)
+    near = near.join(tau, "scene_id", "left") if isinstance(tau, DataFrame) else near.withColumn("tau", F.lit(tau))
+    return near.groupBy("scene_id").agg(F.avg("distance").alias("mean"), F.max("distance").alias("most"), F.avg((F.col("distance") < F.col("tau")).cast("double")).alias("share"))
+
+
+def share_of_diagonal(points: DataFrame, share: float = 0.01) -> DataFrame:
+    """(scene_id, tau): a share of the diagonal of each scene's box."""
+    side = [(F.max(k) - F.min(k)) * (F.max(k) - F.min(k)) for k in "xyz"]
+    return points.groupBy("scene_id").agg((share * F.sqrt(side[0] + side[1] + side[2])).alias("tau"))
+
+
+def surface_scores(gt: DataFrame, pred: DataFrame, tau: float | None = None) -> DataFrame:
+    """Per scene: chamfer (half the sum of the mean distances), chamfer_sum, hausdorff, precision, recall and f1 at tau (without: 1 % of gt's diagonal).
+
+    All are null in a scene of which one side is empty."""
+    limit = share_of_diagonal(gt) if tau is None else tau
+    f, b = directed(gt, pred, limit), directed(pred, gt, limit)
+    j = f.select("scene_id", F.col("mean").alias("m1"), F.col("most").alias("h1"), F.col("share").alias("recall")).join(b.select("scene_id", F.col("mean").alias("m2"), F.col("most").alias("h2"), F.col("share").alias("precision")), "scene_id", "full")
+    total, both = F.col("precision") + F.col("recall"), F.col("m1").isNotNull() & F.col("m2").isNotNull()
+    scores = {
+        "chamfer": (F.col("m1") + F.col("m2")) / 2,
+        "chamfer_sum": F.col("m1") + F.col("m2"),
+        "hausdorff": F.greatest("h1", "h2"),
+        "precision": F.col("precision"),
+        "recall": F.col("recall"),
+        "f1": F.when(total == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / total),
+    }
+    return j.select("scene_id", *[F.when(both, v).alias(k) for k, v in scores.items()])
+
+
+def on_grid(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """Rows (scene_id, sdf_pred, sdf_gt) of two tables (scene_id, ix, iy, iz, sdf), joined by the grid's cell and not by position."""
+    keys = ["scene_id", "ix", "iy", "iz"]
+    return pred.select(*keys, F.col("sdf").alias("sdf_pred")).join(gt.select(*keys, F.col("sdf").alias("sdf_gt")), keys)
 
 
 def overlap(grid: DataFrame, level: float = 0.0, eps: float = 1e-8) -> DataFrame:

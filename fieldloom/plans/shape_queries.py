@@ -10,8 +10,10 @@ from fieldloom.operators import latent as L
 from fieldloom.operators import picks as K
 from fieldloom.operators import samples as P
 from fieldloom.operators import shapes as H
+from fieldloom.operators import slices as Z
 from fieldloom.operators import spatial as N
-from fieldloom.plans.queries import _DIRECTED, PAIR, U, _two, query, r6
+from fieldloom.operators import tables as T
+from fieldloom.plans.queries import _SCORED, PAIR, WINDING, U, _two, query, r6, wide, z6
 from fieldloom.plans.views import METRICS, SAMPLES, TORUS, metrics, samples, table, torus
 
 
@@ -19,39 +21,48 @@ def _scenes(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene_id"))
 
 
-def z6(df, *columns):
-    """Rounded, without a sign on zero."""
-    return df.withColumns({c: F.round(c, 6) + 0.0 for c in columns})
-
-
-@query("J8_knn_join", PAIR + ", r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, point_id ORDER BY d2, r) AS rank FROM d) SELECT scene_id, point_id, rank, round(sqrt(d2), 6) AS distance FROM r WHERE rank <= 3")
+@query("J8_knn_join", PAIR + ", r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, point_id ORDER BY d2, r) AS rank FROM d) SELECT scene_id, point_id, rank, r AS nearest_id, round(sqrt(d2), 6) AS distance FROM r WHERE rank <= 3")
 def _(spark, sf):
-    return r6(H.knn_join(*_two(spark, sf), k=3, cell=0.3), "distance").select("scene_id", "point_id", "rank", "distance")
+    return r6(H.knn_join(*_two(spark, sf), k=3), "distance")
 
 
 @query("G2_transfer_labels", f"WITH {TORUS} SELECT a.scene_id, a.fid, arg_min(b.fid % 5, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z+0.05-b.z)*(a.z+0.05-b.z), b.fid)) AS tag FROM t a JOIN t b USING (scene_id) GROUP BY 1, 2")
 def _(spark, sf):
     t = G.face_table(*torus(spark, sf)).select("scene_id", "fid", "x", "y", "z")
-    return H.transfer_labels(t.withColumn("tag", F.col("fid") % 5), t.withColumn("z", F.col("z") + 0.05), 0.3)
+    return H.transfer_labels(t.withColumn("tag", F.col("fid") % 5), t.withColumn("z", F.col("z") + 0.05))
+
+
+def _edge(p, q):
+    """The squared distance of (px, py, pz) to the segment from p to q in SQL."""
+    d = [f'("{q}{k}" - "{p}{k}")' for k in "xyz"]
+    w = [f'(p{k} - "{p}{k}")' for k in "xyz"]
+    t = f"greatest(0, least(1, ({' + '.join(a + ' * ' + b for a, b in zip(w, d))}) / ({' + '.join(a + ' * ' + a for a in d)})))"
+    return " + ".join(f"({a} - {t} * {b}) * ({a} - {t} * {b})" for a, b in zip(w, d))
 
 
-def _wide(spark, sf):
-    return samples(spark, sf).filter("mask_epi = 1").select("scene_id", "point_id", (F.col("x") * 3).alias("x"), (F.col("y") * 3).alias("y"), "z")
+#: CTE td (scene_id, point_id, distance): the spread samples' distances to the torus.
+_TRIANGLES = f"""t0 AS (SELECT s.scene_id, point_id, s.x*3 px, s.y*3 py, s.z pz, ax, ay, az, bx, by_ AS "by", bz, cx, cy, cz FROM s JOIN c USING (scene_id)),
+t1 AS (SELECT *, ("by"-ay)*(cz-az) - (bz-az)*(cy-ay) nx, (bz-az)*(cx-ax) - (bx-ax)*(cz-az) ny, (bx-ax)*(cy-ay) - ("by"-ay)*(cx-ax) nz,
+  ("by"-ay)*(pz-az) - (bz-az)*(py-ay) gx, (bz-az)*(px-ax) - (bx-ax)*(pz-az) gy, (bx-ax)*(py-ay) - ("by"-ay)*(px-ax) gz,
+  (py-ay)*(cz-az) - (pz-az)*(cy-ay) hx, (pz-az)*(cx-ax) - (px-ax)*(cz-az) hy, (px-ax)*(cy-ay) - (py-ay)*(cx-ax) hz FROM t0),
+t2 AS (SELECT *, nx*nx + ny*ny + nz*nz n2, gx*nx + gy*ny + gz*nz gamma, hx*nx + hy*ny + hz*nz beta, (px-ax)*nx + (py-ay)*ny + (pz-az)*nz wn FROM t1),
+td AS (SELECT scene_id, point_id, sqrt(min(least(CASE WHEN gamma >= 0 AND beta >= 0 AND gamma + beta <= n2 THEN wn * wn / n2 END, {_edge("a", "b")}, {_edge("b", "c")}, {_edge("c", "a")}))) AS distance FROM t2 GROUP BY 1, 2)"""
 
 
-@query("G7_triangle_distance")
+@query("G7_triangle_distance", f"WITH {SAMPLES}, {TORUS}, {_TRIANGLES} SELECT scene_id, point_id, round(distance, 6) AS distance FROM td")
 def _(spark, sf):
-    return r6(H.triangle_distance(_wide(spark, sf), *torus(spark, sf)), "distance")
+    return r6(H.triangle_distance(wide(spark, sf), *torus(spark, sf)), "distance")
 
 
-@query("G19_signed_distance")
+@query("G19_signed_distance", f"WITH {SAMPLES}, {TORUS}, {_TRIANGLES}, {WINDING} SELECT scene_id, point_id, round(distance * CASE WHEN abs(w) > 0.5 THEN -1 ELSE 1 END, 6) + 0.0 AS sdf FROM td JOIN wn USING (scene_id, point_id)")
 def _(spark, sf):
-    return r6(H.signed_distance(_wide(spark, sf), *torus(spark, sf)), "sdf")
+    return z6(H.signed_distance(wide(spark, sf), *torus(spark, sf)), "sdf")
 
 
-@query("P11_inside_or_near", f"WITH {SAMPLES} SELECT scene_id, point_id FROM s WHERE sdf_epi <= 0.012")
+@query("P11_inside_or_near", f"WITH {SAMPLES} SELECT scene_id, point_id FROM s WHERE sdf_lv <= 0 OR (x <> 0 AND sdf_epi <= 0.012)")
 def _(spark, sf):
-    return H.inside_or_near(samples(spark, sf).withColumn("sdf", F.col("sdf_epi")), 0.012).select("scene_id", "point_id")
+    rows = samples(spark, sf).withColumns({"inside": F.col("sdf_lv") <= 0, "distance": F.when(F.col("x") == 0, F.lit(float("nan"))).otherwise(F.col("sdf_epi"))})
+    return H.inside_or_near(rows, 0.012).select("scene_id", "point_id")
 
 
 @query("G18_slab_vertex_distance", f"WITH {SAMPLES}, {TORUS} SELECT s.scene_id, point_id, round(sqrt(min((s.x-v.x)*(s.x-v.x) + (s.y-v.y)*(s.y-v.y) + (s.z-v.z)*(s.z-v.z))), 6) AS distance FROM s LEFT JOIN v ON v.scene_id = s.scene_id AND abs(s.z - v.z) <= 0.103 GROUP BY 1, 2")
@@ -67,7 +78,10 @@ def _(spark, sf):
     return z6(H.angle_defect(*torus(spark, sf)), "mass")
 
 
-@query("G16_edge_bend")
+_BEND = "e0 AS (SELECT f.scene_id, f.fid, unnest([least(v0, v1), least(v1, v2), least(v2, v0)]) p, unnest([greatest(v0, v1), greatest(v1, v2), greatest(v2, v0)]) q FROM f), e1 AS (SELECT e0.*, nx, ny, nz FROM e0 JOIN t USING (scene_id, fid))"
+
+
+@query("G16_edge_bend", f"WITH {TORUS}, {_BEND} SELECT a.scene_id, a.p, a.q, round(sqrt((v.x-w.x)*(v.x-w.x) + (v.y-w.y)*(v.y-w.y) + (v.z-w.z)*(v.z-w.z)) * atan2(sqrt((a.ny*b.nz-a.nz*b.ny)*(a.ny*b.nz-a.nz*b.ny) + (a.nz*b.nx-a.nx*b.nz)*(a.nz*b.nx-a.nx*b.nz) + (a.nx*b.ny-a.ny*b.nx)*(a.nx*b.ny-a.ny*b.nx)), a.nx*b.nx + a.ny*b.ny + a.nz*b.nz), 6) AS mass FROM e1 a JOIN e1 b ON a.scene_id = b.scene_id AND a.p = b.p AND a.q = b.q AND a.fid < b.fid JOIN v ON v.scene_id = a.scene_id AND v.vid = a.p JOIN v w ON w.scene_id = a.scene_id AND w.vid = a.q")
 def _(spark, sf):
     return r6(H.edge_bend(*torus(spark, sf)), "mass")
 
@@ -99,14 +113,13 @@ def _(spark, sf):
     return z6(H.jitter(samples(spark, sf), 0.1), "x", "y", "z")
 
 
-@query("G15_ball_points")
-def _(spark, sf):
-    return H.ball_points(samples(spark, sf).groupBy("scene_id").agg(*[F.avg(k).alias(k) for k in "xyz"]), 40)
+def _ball(k):
+    return U("scene_id::varchar", "draw::varchar", f"'{k}'")
 
 
-@query("W5_curvature_mixed_pick")
+@query("G15_ball_points", f"WITH {SAMPLES}, c AS (SELECT scene_id, avg(x) cx, avg(y) cy, avg(z) cz FROM s GROUP BY 1), u AS (SELECT *, cbrt({_ball('radius')}) r, 2 * {_ball('height')} - 1 h, 2 * pi() * {_ball('turn')} t FROM c, range(40) a(draw)) SELECT scene_id, draw::int AS draw, round(cx + r * sqrt(1 - h * h) * cos(t), 6) + 0.0 AS x, round(cy + r * sqrt(1 - h * h) * sin(t), 6) + 0.0 AS y, round(cz + r * h, 6) + 0.0 AS z FROM u")
 def _(spark, sf):
-    return K.curvature_mixed_pick(samples(spark, sf).withColumn("bend", F.abs("sdf_rv")), "bend", ["x", "y"], 5, 60, 0.4)
+    return z6(H.ball_points(T.centroid(samples(spark, sf)), 40), "x", "y", "z")
 
 
 _SIGNS = " UNION ALL ".join(f"SELECT scene_id, point_id, {i} AS surface, sign(sdf_{s})::int AS sign FROM s WHERE sdf_{s} <> 0" for i, s in enumerate(("epi", "lv", "rv")))
@@ -164,7 +177,7 @@ def _(spark, sf):
 @query("G25_register_all")
 def _(spark, sf):
     a, b = _two(spark, sf)
-    return r6(H.register_all(a, b, 1.0, rounds=2)[1], "rmse", "mean_abs", "angle", "shift")
+    return r6(H.register_all(a, b)[1], "rmse", "mean_abs", "angle", "shift")
 
 
 _MEASURED = f"{TORUS}, q AS (SELECT scene_id, sum(sqrt(nx*nx + ny*ny + nz*nz) / 2) a, abs(sum(ax * (by_*cz - bz*cy) + ay * (bz*cx - bx*cz) + az * (bx*cy - by_*cx)) / 6) v FROM n GROUP BY 1)"
@@ -178,7 +191,7 @@ def _(spark, sf):
 
 @query("A8_percentiles", f"WITH {METRICS} SELECT organ, split, round(median(value), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM m GROUP BY 1, 2")
 def _(spark, sf):
-    return r6(metrics(spark, sf).groupBy("organ", "split").agg(F.median("value").alias("median"), F.percentile("value", 0.95).alias("p95")), "median", "p95")
+    return r6(T.percentiles(metrics(spark, sf), ["organ", "split"], "value", {"median": 0.5, "p95": 0.95}), "median", "p95")
 
 
 # -- scalar functions and specs
@@ -239,8 +252,7 @@ def _(spark, sf):
 
 @query("O7_mask_union", f"WITH {SAMPLES} SELECT scene_id, point_id, abs(x - 0.2) <= 0.11 OR abs(x + 0.6) <= 0.11 AS hit FROM s")
 def _(spark, sf):
-    slabs = F.explode(F.array(F.lit(0.2), F.lit(-0.6)))
-    return samples(spark, sf).select("scene_id", "point_id", "x", slabs.alias("c")).groupBy("scene_id", "point_id").agg(F.max(F.abs(F.col("x") - F.col("c")) <= 0.11).alias("hit"))
+    return T.mask_union(samples(spark, sf), "x", [0.2, -0.6], 0.11)
 
 
 @query("O8_column_layout", f"WITH {METRICS} SELECT version AS combination, organ, max(value) AS most, min(value) AS least FROM m GROUP BY 1, 2")
@@ -263,30 +275,44 @@ def _(spark, sf):
 
 @query("C1_build_samples")
 def _(spark, sf):
+    return r6(Z.build_samples(nested(spark, sf), 40, 0.1, 20), *[f"sdf_{s}" for s in ("epi", "lv", "rv")])
+
+
+def nested(spark, sf):
+    """Three tori of each scene, one in another."""
     v, f = torus(spark, sf)
-    drawn = G.surface_points(G.face_table(v, f), 20, lambda *k: S.uniform(*k, F.lit("area")))
-    on = drawn.join(G.corners(v, f), ["scene_id", "fid"])
-    a, b = F.sqrt(S.uniform("scene_id", "draw", F.lit("u"))), S.uniform("scene_id", "draw", F.lit("v"))
-    points = on.select("scene_id", F.col("draw").cast("bigint").alias("point_id"), *[((1 - a) * F.col("a" + k) + a * (1 - b) * F.col("b" + k) + a * b * F.col("c" + k)).alias(k) for k in "xyz"])
-    moved = H.jitter(points, 0.1).select("scene_id", (F.col("point_id") * 2 + F.col("near")).alias("point_id"), "x", "y", "z")
-    return H.signed_distance(H.held(moved), v, f).select("scene_id", "point_id", F.round("sdf", 6).alias("sdf"))
+    return {s: (v.withColumns({k: F.col(k) * g for k in "xyz"}), f) for s, g in (("epi", 1.0), ("lv", 0.9), ("rv", 0.8))}
+
+
+_METRICS6 = ["chamfer", "chamfer_sum", "hausdorff", "precision", "recall", "f1", "dice", "iou"]
+
+
+@query("C6_score_rows", _SCORED + ", o AS (SELECT scene_id, count(*) FILTER (WHERE sdf_epi <= 0 AND sdf_lv <= 0) b, count(*) FILTER (WHERE sdf_epi <= 0) p, count(*) FILTER (WHERE sdf_lv <= 0) g FROM s GROUP BY 1), w AS (SELECT scene_id, (m1 + m2) / 2 AS chamfer, m1 + m2 AS chamfer_sum, greatest(h1, h2) AS hausdorff, pr AS precision, rc AS recall, CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END AS f1, (2 * b + 1e-8) / (p + g + 1e-8) AS dice, (b + 1e-8) / (p + g - b + 1e-8) AS iou FROM o LEFT JOIN (ff JOIN gg USING (scene_id)) USING (scene_id)) " + " UNION ALL ".join(f"SELECT scene_id, '{m}' AS metric, round({m}, 6) AS value FROM w" for m in _METRICS6))
+def _(spark, sf):
+    grid = samples(spark, sf).select("scene_id", F.col("sdf_epi").alias("sdf_pred"), F.col("sdf_lv").alias("sdf_gt"))
+    return r6(Z.score_rows(*_two(spark, sf), grid, tau=0.15), "value")
 
 
-@query("C6_score_rows", "WITH w AS (" + _DIRECTED + " SELECT scene_id, round((m1 + m2) / 2, 6) AS chamfer, round(greatest(h1, h2), 6) AS hausdorff FROM ff JOIN gg USING (scene_id)) SELECT scene_id, 'chamfer' AS metric, chamfer AS value FROM w UNION ALL SELECT scene_id, 'hausdorff', hausdorff FROM w")
+@query("C6_with_varifold")
 def _(spark, sf):
-    scores = r6(N.surface_scores(*_two(spark, sf), cell=0.25, tau=0.15), "chamfer", "hausdorff")
-    return scores.select("scene_id", "chamfer", "hausdorff").unpivot(["scene_id"], ["chamfer", "hausdorff"], "metric", "value")
+    t = G.face_table(*torus(spark, sf))
+    points = t.withColumnRenamed("fid", "point_id")
+    moved = lambda df: df.withColumn("z", F.col("z") + 0.1)
+    grid = samples(spark, sf).select("scene_id", F.col("sdf_epi").alias("sdf_pred"), F.col("sdf_lv").alias("sdf_gt"))
+    return r6(Z.score_rows(points, moved(points), grid, faces=(t, moved(t)), gamma=0.5), "value")
 
 
 @query("C8_slice_compatibility", PAIR + ", f AS (SELECT scene_id, point_id, sqrt(min(d2)) AS d FROM d GROUP BY 1, 2) SELECT thr, count(*) AS n, round(avg(d), 6) AS mean, round(median(d), 6) AS median, round(quantile_cont(d, 0.95), 6) AS p95 FROM f, (VALUES (0.1::double), (0.2::double), (0.4::double)) t(thr) WHERE d <= thr GROUP BY 1")
 def _(spark, sf):
-    near = N.nearest_join(*_two(spark, sf), cell=0.25)
-    thr = F.explode(F.filter(F.array(*[F.lit(x) for x in (0.1, 0.2, 0.4)]), lambda t: F.col("distance") <= t))
-    rows = near.select("distance", thr.alias("thr")).groupBy("thr")
-    return r6(rows.agg(F.count("*").alias("n"), F.avg("distance").alias("mean"), F.median("distance").alias("median"), F.percentile("distance", 0.95).alias("p95")), "mean", "median", "p95")
+    near = T.explode_thresholds(N.nearest_join(*_two(spark, sf)), "distance", [0.1, 0.2, 0.4])
+    out = near.groupBy("thr").agg(F.count("*").alias("n"), F.avg("distance").alias("mean")).join(T.percentiles(near, ["thr"], "distance", {"median": 0.5, "p95": 0.95}), "thr")
+    return r6(out, "mean", "median", "p95")
+
+
+_COMBOS = ", ".join(f"count(*) FILTER (WHERE mask_epi = {a} AND mask_lv = {b} AND mask_rv = {c}) AS n_{a}{b}{c}" for a in (0, 1) for b in (0, 1) for c in (0, 1))
 
 
-@query("C9_dataset_qa", f"WITH {SAMPLES} SELECT scene_id, count(*) FILTER (WHERE source_surface = 'epi' AND abs(sdf_epi) < 0.03) AS n_epi, count(*) FILTER (WHERE source_surface = 'lv' AND abs(sdf_lv) < 0.03) AS n_lv, count(*) FILTER (WHERE source_surface = 'rv' AND abs(sdf_rv) < 0.03) AS n_rv, count(*) AS n_total, arg_min((mask_epi + mask_lv = 0)::int, point_id) AS first_zero, arg_max((mask_epi + mask_lv = 0)::int, point_id) AS last_zero FROM s GROUP BY 1")
+@query("C9_dataset_qa", f"WITH {SAMPLES} SELECT scene_id, count(*) FILTER (WHERE source_surface = 'epi' AND abs(sdf_epi) < 0.03) AS n_epi, count(*) FILTER (WHERE source_surface = 'lv' AND abs(sdf_lv) < 0.03) AS n_lv, count(*) FILTER (WHERE source_surface = 'rv' AND abs(sdf_rv) < 0.03) AS n_rv, count(*) AS n_total, arg_min((mask_epi + mask_lv + mask_rv = 0)::int, point_id) AS first_zero, arg_max((mask_epi + mask_lv + mask_rv = 0)::int, point_id) AS last_zero, " + ", ".join(f"round(100 * count(*) FILTER (WHERE mask_{s} = 1) / count(*), 6) AS percent_{s}, min(sdf_{s}) AS min_{s}, max(sdf_{s}) AS max_{s}" for s in ("epi", "lv", "rv")) + f", {_COMBOS}, CASE WHEN count(*) < 500 THEN 'failed' ELSE 'completed' END AS status FROM s GROUP BY 1")
 def _(spark, sf):
-    s = samples(spark, sf)
-    return P.threshold_counts(s, 0.03).join(P.first_last_mask(s.withColumn("mask_rv", F.lit(0))), "scene_id")
+    out = Z.dataset_qa(samples(spark, sf), 0.03, 500)
+    return r6(out, *[f"percent_{s}" for s in ("epi", "lv", "rv")])
\ No newline at end of file

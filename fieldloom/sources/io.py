@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 
 import numpy as np
 import pandas as pd
@@ -50,9 +51,44 @@ def resolve_id(df: DataFrame) -> DataFrame:
     raise ValueError(f"no id column among {df.columns}")
 
 
-def read_landmarks(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    df = resolve_id(spark.read.csv(path, header=True, sep=sep))
-    return df.select("patient_id", *[F.col(c).try_cast("double").alias(c) for c in df.columns if c != "patient_id"])
+def separator(spark: SparkSession, path: str) -> str:
+    """The one of ; , tab and | that the header holds most often; of equals the first named."""
+    head = spark.read.text(path).limit(1).collect()
+    line = head[0].value if head else ""
+    return max(";,\t|", key=line.count)
+
+
+def read_landmarks(spark: SparkSession, path: str, sep: str | None = ";") -> DataFrame:
+    """Landmarks with patient_id; coordinates (columns that end in _x, _y or _z) as double, the others as text. Without sep it is taken from the header."""
+    df = resolve_id(spark.read.csv(path, header=True, sep=sep or separator(spark, path)))
+    number = lambda c: c.lower().endswith(("_x", "_y", "_z"))
+    return df.select("patient_id", *[F.col(c).try_cast("double").alias(c) if number(c) else F.col(c) for c in df.columns if c != "patient_id"])
+
+
+def read_cohort_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The first table of a folder, by path, among its csv and parquet files at any depth; office formats have to be converted first."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    path = found.filter(F.lower("path").rlike(r"\.(csv|parquet)$")).agg(F.min("path")).first()[0]
+    if path is None:
+        raise FileNotFoundError(f"no csv or parquet file in {folder}")
+    return spark.read.parquet(path) if path.lower().endswith(".parquet") else spark.read.csv(path, header=True, sep=separator(spark, path))
+
+
+def read_latents(spark: SparkSession, path: str) -> DataFrame:
+    """(scene_id, code) of latent codes: parquet (scene_id, code), or .npz files of a vector for each scene, or .npy matrices, whose rows are numbered as scene_id and meet their names in align_codes."""
+    if path.endswith((".npy", ".npz")):
+        files = spark.read.format("binaryFile").load(path).select("content")
+        return files.mapInPandas(_codes, "scene_id string, code array<float>")
+    return spark.read.parquet(path).select(F.col("scene_id").cast("string").alias("scene_id"), F.col("code").cast("array<float>").alias("code"))
+
+
+def _codes(batches):
+    for pdf in batches:
+        for content in pdf["content"]:
+            held = np.load(io.BytesIO(content), allow_pickle=False)
+            rows = [(k, held[k].ravel()) for k in held.files] if hasattr(held, "files") else [(str(i), r) for i, r in enumerate(held)]
+            for at in range(0, len(rows), 10_000):
+                yield pd.DataFrame([(k, v.astype(np.float32).tolist()) for k, v in rows[at : at + 10_000]], columns=["scene_id", "code"])
 
 
 def read_metrics(spark: SparkSession, glob: str) -> DataFrame:
@@ -67,16 +103,18 @@ def read_specs(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(glob).select("*", F.col("_metadata.file_path").alias("file"))
 
 
-def split_keys(lines: DataFrame) -> DataFrame:
-    """(key, line_no) from lines (line_no, value): no blanks or # comments, base names without .npy, the first of duplicates."""
+def split_keys(lines: DataFrame, suffix: str = "") -> DataFrame:
+    """(key, line_no) from lines (line_no, value): no blanks or # comments, base names without .npy and then without the suffix, the first of duplicates."""
     key = F.regexp_replace(F.substring_index(F.trim("value"), "/", -1), r"\.npy$", "")
+    if suffix:
+        key = F.regexp_replace(key, re.escape(suffix) + "$", "")
     rows = lines.filter(~F.trim("value").startswith("#") & (F.trim("value") != "")).select("line_no", key.alias("key"))
     return rows.groupBy("key").agg(F.min("line_no").alias("line_no"))
 
 
-def read_splits(spark: SparkSession, path: str) -> DataFrame:
+def read_splits(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-    return split_keys(lines)
+    return split_keys(lines, suffix)
 
 
 def read_tag_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -101,8 +139,9 @@ def finite_guard(samples: DataFrame) -> DataFrame:
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A partition per scene; values that are not finite stop the write."""
-    finite_guard(samples).write.mode(mode).partitionBy("scene_id").parquet(path)
+    """A partition per scene, numbers as 32-bit floats; values that are not finite stop the write."""
+    numbers = [c for c, t in samples.dtypes if t == "double"]
+    finite_guard(samples).withColumns({c: F.col(c).cast("float") for c in numbers}).write.mode(mode).partitionBy("scene_id").parquet(path)
 
 
 def write_table(df: DataFrame, path: str, sep: str = ";") -> None:
@@ -114,6 +153,11 @@ def split_lists(splits: DataFrame) -> DataFrame:
     return splits.groupBy("split").agg(F.to_json(F.array_sort(F.collect_list("key"))).alias("files"))
 
 
+def write_split_lists(splits: DataFrame, path: str) -> None:
+    """A folder of one JSON array for each split."""
+    split_lists(splits).select("split", F.col("files").alias("value")).write.mode("overwrite").partitionBy("split").text(path)
+
+
 def pending(wanted: DataFrame, done: DataFrame, key: str, overwrite: bool = False) -> DataFrame:
     """What is still to be made."""
     return wanted if overwrite else wanted.join(done.select(key).distinct(), key, "left_anti")

@@ -37,7 +37,7 @@ def test_nearest_against_all_pairs(spark):
     pts = lambda n: [(i % 3, i, random.random(), random.random(), random.random() * 9) for i in range(n)]
     a, b = pts(60), [p for p in pts(40) if p[0] != 2]
     schema = "scene_id long, point_id long, x double, y double, z double"
-    got = {(r.scene_id, r.point_id): (r.nearest_id, r.distance) for r in N.nearest_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 0.1, rings=3).collect()}
+    got = {(r.scene_id, r.point_id): (r.nearest_id, r.distance) for r in N.nearest_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), block_rows=2, whole_rows=3, share_rows=5).collect()}
     assert len(got) == 60
     for p in a:
         d = [(math.dist(p[2:], q[2:]), q[1]) for q in b if q[0] == p[0]]

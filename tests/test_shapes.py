@@ -31,7 +31,7 @@ def test_curvature_of_a_cube(spark):
 
 def test_nearest_k_against_all_pairs(spark):
     a, b = scattered(30), scattered(24, 4)
-    got = {(r.scene_id, r.point_id, r["rank"]): r.nearest_id for r in H.knn_join(spark.createDataFrame(a, POINTS), spark.createDataFrame(b, POINTS), 3, 0.1, rings=2).collect()}
+    got = {(r.scene_id, r.point_id, r["rank"]): r.nearest_id for r in H.knn_join(spark.createDataFrame(a, POINTS), spark.createDataFrame(b, POINTS), 3, block_rows=2, whole_rows=3, share_rows=4).collect()}
     for p in a:
         near = sorted((math.dist(p[2:], q[2:]), q[1]) for q in b if q[0] == p[0])[:3]
         assert [got[(*p[:2], k + 1)] for k in range(3)] == [i for _, i in near]
@@ -50,7 +50,7 @@ def test_registration_finds_a_small_turn(spark):
     rows = [(1, i, (i % 5) * 1.0, (i // 5) * 1.3, (i * i % 3) * 1.7) for i in range(20)]
     turn = lambda x, y: (math.cos(0.04) * x - math.sin(0.04) * y + 0.05, math.sin(0.04) * x + math.cos(0.04) * y)
     target = [(s, i, *turn(x, y), z - 0.03) for s, i, x, y, z in rows]
-    moved, log = H.register_all(spark.createDataFrame(rows, POINTS), spark.createDataFrame(target, POINTS), 2.0, rounds=4)
+    moved, log = H.register_all(spark.createDataFrame(rows, POINTS), spark.createDataFrame(target, POINTS), rounds=4)
     at = {r.point_id: (r.x, r.y, r.z) for r in moved.collect()}
     assert len(at) == 20 and all(math.dist(at[i], t) < 1e-6 for _, i, *t in target)
     assert log.count() == 2
