@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 #: Fixed values: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -57,16 +57,49 @@ def rules_by_host(hosts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFr
     return hosts.join(fit, "host", "left")
 
 
+def propagate(start: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """(host, trust, distrust): the personalised PageRank of trust along edges (src, dst, n, weight), and of distrust against them.
+
+    start: (host, good, bad), the shares of the two seed sets; sums of 1, or of 0 without seeds. A host without an
+    edge onwards gives its score back to the seeds. Rounds end when the scores of a round differ from those before by less
+    than `tolerance` in sum; each round shrinks that by `damping` at least, so that it always ends."""
+    back = edges.groupBy("dst").agg(F.sum("n").alias("all"))
+    flow = edges.select(F.col("src").alias("at"), F.col("dst").alias("host"), F.col("weight").alias("forth"), F.lit(0.0).alias("back"))
+    flow = flow.unionByName(edges.join(back, "dst").select(F.col("dst").alias("at"), F.col("src").alias("host"), F.lit(0.0).alias("forth"), (F.col("n") / F.col("all")).alias("back")))
+    flow = written(flow.groupBy("at", "host").agg(F.sum("forth").alias("forth"), F.sum("back").alias("back")), "url-flow")
+    rank = start.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    made, seeded = None, start.agg(F.sum("good"), F.sum("bad")).first()
+    while True:
+        moved = flow.join(rank.withColumnRenamed("host", "at"), "at").groupBy("host").agg(F.sum(F.col("trust") * F.col("forth")).alias("to_trust"), F.sum(F.col("distrust") * F.col("back")).alias("to_distrust"))
+        moved = start.join(moved, "host", "left").join(rank, "host").select("host", "good", "bad", F.coalesce("to_trust", F.lit(0.0)).alias("to_trust"), F.coalesce("to_distrust", F.lit(0.0)).alias("to_distrust"), "trust", "distrust")
+        moved = written(moved, "url-moved")
+        kept = moved.agg(F.sum("to_trust"), F.sum("to_distrust")).first()
+        lost = [(all_ or 0.0) - (k or 0.0) for all_, k in zip(seeded, kept)]
+        new = moved.select(
+            "host",
+            (F.lit(1 - damping) * F.col("good") + F.lit(damping) * (F.col("to_trust") + F.lit(lost[0]) * F.col("good"))).alias("trust"),
+            (F.lit(1 - damping) * F.col("bad") + F.lit(damping) * (F.col("to_distrust") + F.lit(lost[1]) * F.col("bad"))).alias("distrust"),
+            F.col("trust").alias("old_trust"), F.col("distrust").alias("old_distrust"),
+        )
+        change = new.agg(F.sum(F.abs(F.col("trust") - F.col("old_trust")) + F.abs(F.col("distrust") - F.col("old_distrust")))).first()[0]
+        if made is not None:
+            drop_written(made)
+        made, rank = moved, new.select("host", "trust", "distrust")
+        if (change or 0.0) < tolerance:
+            drop_written(flow)
+            return rank
+
+
 def url_filter(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: list[tuple[str, str, str]] = RULES,
-    damping: float = 0.85, rounds: int = 10, seed_share: float = 0.5, threshold: float = 0.0,
+    damping: float = 0.85, tolerance: float = 1e-6, seed_share: float = 0.5, threshold: float = 0.0,
 ) -> DataFrame:
     """Rows (id_col, host, path, rule, verdict, trust, distrust), one for every row of pages.
 
     The longest rule that fits decides a page; of equally long ones the greater in code-point order of path,
     rule and verdict. Else the host's score decides. Hosts of which at least seed_share of the pages are
     allowed by rules are trusted seeds, and likewise blocked ones; trust flows along links by personalised
-    PageRank, distrust flows against them, from a page to those that link to it. A host is blocked where
+    PageRank, distrust flows against them, from a page to those that link to it (see propagate). A host is blocked where
     distrust - trust > threshold. Hosts that neither reaches score 0 and are allowed. A null url, or one
     without ://, has an empty host and path, no rule, and no part in the graph.
     """
@@ -84,25 +117,10 @@ def url_filter(
     sums = seeds.agg(F.greatest(F.sum("good"), F.lit(1.0)).alias("goods"), F.greatest(F.sum("bad"), F.lit(1.0)).alias("bads")).first()
     goods, bads = (sums["goods"], sums["bads"]) if sums["goods"] is not None else (1.0, 1.0)
     edges = written(host_edges(pages, url_col, html_col), "url-edges")
-    back = edges.groupBy("dst").agg(F.sum("n").alias("all"))
-    flow = edges.select(F.col("src").alias("at"), F.col("dst").alias("host"), F.col("weight").alias("forth"), F.lit(0.0).alias("back"))
-    flow = flow.unionByName(edges.join(back, "dst").select(F.col("dst").alias("at"), F.col("src").alias("host"), F.lit(0.0).alias("forth"), (F.col("n") / F.col("all")).alias("back")))
-    flow = written(flow.groupBy("at", "host").agg(F.sum("forth").alias("forth"), F.sum("back").alias("back")), "url-flow")
-
     linked = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host"))).distinct()
     start = seeds.join(linked, "host", "full").select("host", (F.coalesce("good", F.lit(0.0)) / goods).alias("good"), (F.coalesce("bad", F.lit(0.0)) / bads).alias("bad"))
     start = written(start, "url-start")
-    rank = start.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    if flow.limit(1).count():
-        for k in range(rounds):
-            moved = flow.join(rank.withColumnRenamed("host", "at"), "at").groupBy("host").agg(F.sum(F.col("trust") * F.col("forth")).alias("trust"), F.sum(F.col("distrust") * F.col("back")).alias("distrust"))
-            rank = start.join(moved, "host", "left").select(
-                "host",
-                (F.lit(1 - damping) * F.col("good") + F.lit(damping) * F.coalesce("trust", F.lit(0.0))).alias("trust"),
-                (F.lit(1 - damping) * F.col("bad") + F.lit(damping) * F.coalesce("distrust", F.lit(0.0))).alias("distrust"),
-            )
-            if k % 3 == 2 or k == rounds - 1:
-                rank = written(rank, "url-rank")
+    rank = propagate(start, edges, damping, tolerance)
     judged = ruled.join(rank, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     return judged.select(
