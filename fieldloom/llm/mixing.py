@@ -11,64 +11,89 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, written
-
-SOURCES_AT_MOST = 100_000  #: rows of the table of sources, which the driver holds
+from .common import WORD, drop_written, written
 
+SEGMENT = 1 << 20  #: blocks of a source that are dealt and permuted together; a larger source has several such strata
+BROADCAST_SOURCES = 100_000  #: rows of the table of sources up to which it is broadcast
+STRATA = 512  #: strata that one splitting tree deals; their blocks stay below the 10^9 that the draw allows
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
-    """Shares of sum(sizes) by weight, none above most * its size; what is cut off is shared again by weight."""
-    out, open_, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0], float(sum(sizes))
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        over = [i for i in open_ if unit * weights[i] > most * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = unit * weights[i]
+def with_targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    """sources (no, words, ...) with target: shares of all words by weight, none above most * its size; what is cut off is shared again by weight.
+
+    A source is cut off where most * words / weight is below what a weight of 1 gets, so each round is one sum over the table."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("no") % len(weights) + 1).cast("int"))
+    rows = sources.withColumn("weight", weight)
+    most_words = F.lit(float(most)) * F.col("words")
+    unit = 0.0
+    while True:
+        is_open = (F.col("words") > 0) & (most_words >= F.lit(unit) * F.col("weight"))
+        r = rows.agg(F.sum("words").alias("words"), F.sum(F.when(~is_open, most_words).otherwise(0.0)).alias("cut"), F.sum(F.when(is_open, F.col("weight"))).alias("open")).first()
+        new = ((r.words or 0) - (r.cut or 0.0)) / r.open if r.open else unit
+        if new <= unit:
             break
-        for i in over:
-            out[i] = most * sizes[i]
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
+        unit = new
+    return rows.withColumn("target", F.least(most_words, F.lit(unit) * F.col("weight"))).drop("weight")
+
+
+def numbered(sources: DataFrame, key: str) -> DataFrame:
+    """sources with no: their places in code-point order of the key, null last. Sorted by ranges, so no task holds all of them."""
+    spark = sources.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = written(sources.repartitionByRange(parts, F.col(key).asc_nulls_last()).withColumn("part", F.spark_partition_id()), "mix-sources")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
+    base = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    place = F.row_number().over(W.partitionBy("part").orderBy(F.col(key).asc_nulls_last()))
+    return ranged.withColumn("place", place).join(F.broadcast(base), "part").withColumn("no", F.col("base") + F.col("place") - 1).drop("part", "place", "base")
 
 
 def seed_of(*parts) -> int:
     return int.from_bytes(hashlib.blake2b("|".join(map(str, parts)).encode(), digest_size=8).digest(), "little")
 
 
-def leaf_quotas(shard: int, shards: int, quotas: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(blocks of each source before this shard, blocks of each source in it).
+def leaf_quotas(low: int, high: int, quotas: np.ndarray, key: tuple, lo: int, hi: int, before: np.ndarray | None = None):
+    """Yields (shard, blocks of each stratum before it, blocks of each stratum in it) for the shards of the tree's node [low, high) that are in [lo, hi).
 
-    A node of the tree holds a range of shards and a quota of blocks for each source. Its left half gets a
+    A node of the tree holds a range of shards and a quota of blocks for each stratum. Its left half gets a
     multivariate-hypergeometric draw of the node's blocks, in proportion to its shards, and the right half
     the rest, so the quotas of the leaves add up exactly. The draw's seed is the node's range: every task
-    that walks to a leaf draws the same.
+    that walks a part of the tree draws the same.
     """
-    low, high, have, before = 0, shards, quotas.astype(np.int64), np.zeros(len(quotas), np.int64)
-    while high - low > 1:
-        middle = (low + high) // 2
-        total = int(have.sum())
-        draw = total * (middle - low) // (high - low)
-        rng = np.random.Generator(np.random.PCG64(seed_of(seed, low, high)))
-        left = rng.multivariate_hypergeometric(have, draw, method="marginals") if total else have
-        if shard < middle:
-            have, high = left, middle
-        else:
-            have, before, low = have - left, before + left, middle
-    return before, have
-
-
-def stride(n: int, seed: int) -> tuple[int, int]:
-    """(a, b) such that p -> (a * p + b) % n is a permutation."""
-    a = max(1, int(n * 0.6180339887) + seed % max(1, n // 7 or 1)) % max(n, 1) or 1
-    while math.gcd(a, n) != 1:
-        a += 1
-    return a % n or 1, (seed >> 20) % n
+    before = np.zeros(len(quotas), np.int64) if before is None else before
+    if high <= lo or low >= hi:
+        return
+    if high - low == 1:
+        yield low, before, quotas
+        return
+    middle, total = (low + high) // 2, int(quotas.sum())
+    draw = total * (middle - low) // (high - low)
+    rng = np.random.Generator(np.random.PCG64(seed_of(*key, low, high)))
+    left = rng.multivariate_hypergeometric(quotas, draw, method="marginals") if total else quotas
+    yield from leaf_quotas(low, middle, left, key, lo, hi, before)
+    yield from leaf_quotas(middle, high, quotas - left, key, lo, hi, before + left)
+
+
+def deal(strata: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(no, segment, shard, first, count): how many blocks of each stratum (no, segment, n) each shard takes, and how many those before it take.
+
+    STRATA strata share a splitting tree; tasks walk runs of its leaves."""
+    run = max(1, min(256, -(-shards // 64)))
+
+    def walk(batches):
+        for pdf in batches:
+            for tree, lo, no, segment, n in zip(pdf["tree"], pdf["lo"], pdf["no"], pdf["segment"], pdf["n"]):
+                no, segment = np.asarray(no), np.asarray(segment)
+                for shard, first, count in leaf_quotas(0, shards, np.asarray(n, np.int64), (seed, int(tree)), int(lo), min(int(lo) + run, shards)):
+                    own = np.flatnonzero(count)
+                    yield pd.DataFrame({"no": no[own], "segment": segment[own], "shard": shard, "first": first[own], "count": count[own]})
+
+    trees = strata.groupBy((F.floor(F.col("stratum") / STRATA)).alias("tree")).agg(F.sort_array(F.collect_list(F.struct("no", "segment", "n"))).alias("s"))  # STRATA at most
+    work = trees.select("tree", F.col("s.no").alias("no"), F.col("s.segment").alias("segment"), F.col("s.n").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1), F.lit(run))).alias("lo"))
+    parts = max(1, int(strata.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return work.repartition(parts, "tree", "lo").mapInPandas(walk, "no long, segment long, shard long, first long, count long")
 
 
 def mix_plan(
@@ -81,27 +106,24 @@ def mix_plan(
     and share the words of docs; a target stops at most times its source's size and the excess is shared
     again. A source is laid out as a line of words: its rows in a keyed random order, once per epoch. A copy
     is taken when its middle lies before the target, so the words taken differ from the target by at most half
-    of one row, and one copy of the best-fitting row is then added or left out to close that gap. Blocks are stretches of the line; the splitting tree deals them to shards, each shard
-    takes its own disjoint run of the source's permuted blocks, and rows are shuffled within their shard.
-    Equal rows may stand in any order among themselves. Rows without words are never taken.
+    of one row, and one copy of the best-fitting row is then added or left out to close that gap. Blocks are
+    stretches of the line; splitting trees deal them to shards, each shard takes its own disjoint run of the source's
+    permuted blocks (SEGMENT of them at a time in a random order), and rows are shuffled within their shard.
+    Equal rows may stand in any order among themselves. Rows without words are never taken. Any number of sources is dealt: they stay a table.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.length(text_col), F.col(text_col)).alias("h"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.length(text_col), F.col(text_col)).alias("h"), *[F.col(c).alias(f"k_{c}") for c in keep])
     rows = written(rows, "mix-rows")
-    found = rows.groupBy("src").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(SOURCES_AT_MOST + 1).collect()
-    if len(found) > SOURCES_AT_MOST:
-        raise ValueError(f"more than {SOURCES_AT_MOST} sources")
-    found.sort(key=lambda r: (r.src is None, [ord(c) for c in r.src or ""]))
-    sizes = [r.words for r in found]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
-    total = sum(sizes)
+    sources = numbered(rows.groupBy("src").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "src")
+    sources = written(with_targets(sources, weights, most), "mix-targets")
+    total, n_sources = sources.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
+    # so few rows are sent to all tasks, and a hot source needs no shuffle; a larger table is joined by Spark's own choice
+    sent = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda table: table
     shards = max(1, -(-total // shard_words))
     block = max(1, min(shard_words // blocks_per_shard, -(-total // (8 * blocks_per_shard))))
-    quotas = np.array([math.ceil(g / block) for g in goal], np.int64)
-    lines = pd.DataFrame({"src": [r.src for r in found], "no": range(len(found)), "source_size": sizes, "target": goal, "buckets": [1 << max(0, (r.n // bucket_rows).bit_length()) for r in found]})
-    spark = docs.sparkSession
-    table = spark.createDataFrame(lines if len(lines) else [], "src string, no long, source_size long, target double, buckets long")
-    rows = rows.withColumn("src", F.col("src").cast("string"))
-    named = rows.join(F.broadcast(table), rows["src"].eqNullSafe(table["src"])).drop(table["src"])
+    buckets = F.when(F.col("n") < bucket_rows, 1).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.floor(F.col("n") / bucket_rows))) + 1)).cast("long")
+    table = sources.select(F.col("src").alias("of"), "no", F.col("words").alias("source_size"), "target", buckets.alias("buckets"))
+    named = rows.join(sent(table), rows["src"].eqNullSafe(table["of"])).drop("of", "src")
 
     # where each row starts on its source's line: sums of the buckets before, then of the rows before in the bucket
     named = named.withColumn("bucket", F.floor((F.shiftright("h", 32) + F.lit(2**31)) * F.col("buckets") / F.lit(2**32)))
@@ -113,30 +135,30 @@ def mix_plan(
     epochs = F.filter(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1)), lambda e: (F.col("size") > 0) & (middle(e) < F.col("target")))
     placed = placed.withColumn("epochs", F.transform(epochs, lambda e: F.struct(e.alias("epoch"), F.floor(middle(e) / block).alias("block"))))
     placed = written(placed.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "no", "size", "source_size", "target", "h", "epochs", *[f"k_{c}" for c in keep]), "mix-placed")
+    drop_written(rows)
 
     # the row on the border may be large: one copy more or less of the row that fits best closes most of the gap, and again
     for _ in range(2):
         gaps = placed.groupBy("no").agg((F.first("target") - F.sum(F.size("epochs") * F.col("size"))).alias("gap"))
         after = F.abs(F.col("gap") - F.signum("gap") * F.col("size"))
         able = (F.col("size") > 0) & (after < F.abs("gap")) & F.when(F.col("gap") > 0, F.size("epochs") < math.floor(most)).otherwise(F.size("epochs") > 0)
-        fixes = placed.join(F.broadcast(gaps), "no").filter(able).groupBy("no").agg(F.min_by(F.struct("row", "gap"), F.struct(after, "h", "row")).alias("fix"))
+        fixes = placed.join(sent(gaps), "no").filter(able).groupBy("no").agg(F.min_by(F.struct("row", "gap"), F.struct(after, "h", "row")).alias("fix"))
         fixes = fixes.select(F.col("fix.row").alias("row"), F.col("fix.gap").alias("gap"))  # a row for each source
         last = F.floor((F.col("target") - 0.001) / block)
         more = F.array(F.struct(F.size("epochs").alias("epoch"), F.greatest(last, F.lit(0)).alias("block")))
         changed = F.when(F.col("gap") > 0, F.concat("epochs", more)).when(F.col("gap") < 0, F.slice("epochs", 1, F.size("epochs") - 1)).otherwise(F.col("epochs"))
-        placed = placed.join(F.broadcast(fixes), "row", "left").withColumn("epochs", changed).drop("gap")
-
-    def leaves(batches):
-        for pdf in batches:
-            for shard in pdf["id"]:
-                first, count = leaf_quotas(int(shard), shards, quotas, seed)
-                yield pd.DataFrame({"shard": int(shard), "no": np.arange(len(quotas)), "first": first, "count": count})
-
-    deal = spark.range(0, shards, 1, max(1, min(shards, 200))).mapInPandas(leaves, "shard long, no long, first long, count long").filter("count > 0")
-    turns = pd.DataFrame([(i, int(q), *stride(int(q), seed_of(seed, i))) for i, q in enumerate(quotas) if q], columns=["no", "n", "a", "b"])
-    turns = spark.createDataFrame(turns if len(turns) else [], "no long, n long, a long, b long")
-    positions = deal.join(F.broadcast(turns), "no").select("no", "shard", "n", "a", "b", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("p"))
-    dealt = positions.select("no", "shard", F.pmod(F.col("p").cast("decimal(38,0)") * F.col("a") + F.col("b"), F.col("n").cast("decimal(38,0)")).cast("long").alias("block"))
+        placed = placed.join(sent(fixes), "row", "left").withColumn("epochs", changed).drop("gap")
+
+    blocks = F.ceil(F.col("target") / block)
+    strata = sources.filter("target > 0").select("no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((blocks - 1) / SEGMENT))).alias("segment"), blocks.alias("blocks"))
+    strata = strata.select("no", "segment", F.least(F.col("blocks") - F.col("segment") * SEGMENT, F.lit(SEGMENT)).alias("n"))
+    # the further segments of large sources are dealt in trees of their own
+    strata = strata.withColumn("stratum", F.when(F.col("segment") == 0, F.col("no")).otherwise(F.abs(F.xxhash64("no", "segment")) % F.lit(1 << 40) + F.lit(1 << 41)))
+    dealt = deal(strata, shards, seed).select("no", "segment", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("p"))
+    order = W.partitionBy("no", "segment").orderBy(F.xxhash64(F.lit(seed), "no", "block"), "block")  # SEGMENT rows at most
+    turned = strata.select("no", "segment", F.explode(F.sequence(F.col("segment") * SEGMENT, F.col("segment") * SEGMENT + F.col("n") - 1)).alias("block"))
+    turned = turned.select("no", "segment", "block", (F.row_number().over(order) - 1).cast("long").alias("p"))
+    dealt = dealt.join(turned, ["no", "segment", "p"]).select("no", "shard", "block")
 
     taken = placed.select("row", "no", F.explode("epochs").alias("e")).select("row", "no", "e.epoch", "e.block").join(dealt, ["no", "block"])
     taken = taken.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("epoch", "block", "shard"))).alias("copies"))
