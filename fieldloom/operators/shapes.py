@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform
 from fieldloom.operators.geometry import corners, face_table, rigid_fit, winding_number

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, unit
-from fieldloom.operators.geometry import apex, area_weighted_centroid, component_faces, corners, covariance, face_table, plane_contours, plane_pairs, plane_stack, segment_distance, winding_number
-from fieldloom.operators.geometry import surface_points, varifold
+from fieldloom.operators.geometry import (
+    apex, area_weighted_centroid, component_faces, corners, covariance, face_table, plane_contours, plane_pairs, plane_stack, segment_distance, surface_points, varifold, winding_number,
+)
 from fieldloom.operators.samples import SURFACES, first_last_mask, mask_stats, stratified_pick, supervision_mask, threshold_counts, valid_shares
 from fieldloom.operators.shapes import ball_points, inside_or_near, jitter, multi_plane_sdf, planar_grid, signed_distance, triangle_distance
 from fieldloom.operators.spatial import columns_of, held, nearest_join, overlap, surface_scores

@@ -8,7 +8,6 @@ from fieldloom.functions import scalars as S
 from fieldloom.operators import geometry as G
 from fieldloom.operators import latent as L
 from fieldloom.operators import picks as K
-from fieldloom.operators import samples as P
 from fieldloom.operators import shapes as H
 from fieldloom.operators import slices as Z
 from fieldloom.operators import spatial as N
