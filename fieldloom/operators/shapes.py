@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -232,17 +233,38 @@ def plane_equations(pairs: DataFrame) -> DataFrame:
     return rows.groupBy("scene_id").agg(*products, *[F.sum(F.col(f"r{i}") * F.col("b")).alias(f"b{i}") for i in range(6)])
 
 
-def register_all(sources: DataFrame, targets: DataFrame, rounds: int = 20, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
-    """(moved sources, residuals by scene and round): point-to-point alignment of all scenes at once.
+def plane_fit(pairs: DataFrame) -> DataFrame:
+    """Rotation (9) and translation (3) per scene of the point-to-plane step: 27 sums per scene (plane_equations), then a 6 x 6 problem of one row.
+
+    The turn is the rotation by the solution's first half; where the equations leave a direction open, the least solution."""
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                a = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)])
+                x = np.linalg.lstsq(a, np.array([r[f"b{i}"] for i in range(6)]), rcond=1e-12)[0]
+                angle = np.linalg.norm(x[:3])
+                k = x[:3] / angle if angle > 0 else np.zeros(3)
+                skew = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
+                turn = np.eye(3) + math.sin(angle) * skew + (1 - math.cos(angle)) * skew @ skew
+                out.append((r["scene_id"], turn.ravel().tolist(), x[3:].tolist()))
+            yield pd.DataFrame(out, columns=["scene_id", "rotation", "translation"])
+
+    return plane_equations(pairs).mapInPandas(solve, "scene_id bigint, rotation array<double>, translation array<double>")
+
+
+def register_all(sources: DataFrame, targets: DataFrame, rounds: int = 20, tolerance: float = 1e-6, to_plane: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(moved sources, residuals by scene and round): alignment of all scenes at once, point to point, or point to plane (targets with normals n*).
 
     In each round the scenes that still move look up their nearest targets, sum them up, and turn and shift. A scene rests
     once its turn and its shift are below tolerance. residuals: round, rmse, mean_abs, angle, shift."""
-    t = targets.select("scene_id", F.col("point_id").alias("nearest_id"), *[F.col(k).alias("t" + k) for k in "xyz"])
+    t = targets.select("scene_id", F.col("point_id").alias("nearest_id"), *[F.col(k).alias("t" + k) for k in "xyz"], *(_vec("n") if to_plane else []))
     now, rested, audit = held(sources.select(*KEY, "x", "y", "z")), [], []
     for k in range(rounds):
         near = nearest_join(now, targets).filter("nearest_id is not null").select(*KEY, "nearest_id", "distance")
         pairs = held(now.join(near, KEY).join(t, ["scene_id", "nearest_id"]))
-        fit = rigid_fit(pairs)
+        fit = plane_fit(pairs) if to_plane else rigid_fit(pairs)
         r, s = F.col("rotation"), F.col("translation")
         angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (r[0] + r[4] + r[8] - 1) / 2)))
         fit = held(fit.select("*", angle.alias("angle"), F.sqrt(s[0] * s[0] + s[1] * s[1] + s[2] * s[2]).alias("shift")))

@@ -56,6 +56,18 @@ def test_registration_finds_a_small_turn(spark):
     assert log.count() == 2
 
 
+def test_registration_to_planes_slides_onto_them(spark):
+    """Points beside three planes at right angles: the first step takes them onto the planes, and the next ones rest."""
+    flat = lambda axis, i: tuple(0.0 if k == axis else 0.5 + (i * (3 + k) % 7) / 4 for k in range(3))
+    places = [(axis, flat(axis, i)) for axis in range(3) for i in range(12)]
+    target = [(1, n, *p, *[float(k == axis) for k in range(3)]) for n, (axis, p) in enumerate(places)]
+    source = [(1, n, *[c + 0.02 * (k + 1) for k, c in enumerate(p)]) for n, (_, p) in enumerate(places)]
+    moved, log = H.register_all(spark.createDataFrame(source, POINTS), spark.createDataFrame(target, POINTS + ", nx double, ny double, nz double"), rounds=4, to_plane=True)
+    at = {r.point_id: (r.x, r.y, r.z) for r in moved.collect()}
+    assert len(at) == 36 and all(abs(at[n][axis]) < 1e-6 for n, (axis, _) in enumerate(places))
+    assert log.count() <= 3
+
+
 def test_overrides(spark):
     from pyspark.sql import functions as F
 
