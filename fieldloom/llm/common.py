@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -72,6 +74,18 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(batches):
+    """The batches; at their end memory that the worker no longer needs goes back to the system, as workers live on through the stages of a job."""
+    try:
+        yield from batches
+    finally:
+        for forget in FORGET:
+            forget()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array; a null counts as empty."""
     if isinstance(array, pa.ChunkedArray):
@@ -154,6 +168,9 @@ LETTERS_LOWER = LETTERS.copy()
 LETTERS_LOWER[65:91] = LETTERS[97:123]
 _BASE = 0xE3D1F5C6A4B29867 | 1
 _powers: dict[str, np.ndarray] = {}
+#: What released() calls: each drops a cache that workers keep.
+FORGET = [_powers.clear]
+KEPT = 1 << 21  #: entries of a table of powers that a worker keeps
 
 
 def _geometric(name: str, base: int, n: int) -> np.ndarray:
@@ -166,7 +183,9 @@ def _geometric(name: str, base: int, n: int) -> np.ndarray:
             out[at : 2 * at] = out[:at] * np.uint64(step)
             step = step * step % 2**64
             at *= 2
-        _powers[name] = have = out
+        have = out
+        if size <= KEPT:  # the table for a very long text goes with it
+            _powers[name] = out
     return have[:n]
 
 

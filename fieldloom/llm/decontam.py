@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import READ, drop_written, mix64, pieces, utf8, with_count, word_codes, written
+from .common import READ, drop_written, mix64, pieces, released, utf8, with_count, word_codes, written
 
 INDEX_WORDS = 20_000  #: words of the items of one index; more items make more indexes, each asked in turn
 PASS_BYTES = 16 << 20  #: bytes of the indexes that one pass over the documents broadcasts; more make more passes
@@ -170,9 +170,10 @@ def _covered(part: np.ndarray, have: np.ndarray) -> float:
     return float(np.isin(part, have, assume_unique=False).mean()) if len(part) else 1.0
 
 
-def _search(batches, indexes: list[Index], words: int, overlap: float, batch_bytes: int):
-    for batch in pieces(batches, 1, batch_bytes):
-        data, offsets = utf8(batch.column(1))
+def _found(batches, indexes: list[Index], words: int, overlap: float, batch_bytes: int, text_col: int = 1):
+    """(piece of a batch, {(row, index, item): (score, question_overlap, answer_overlap, passage_word)})."""
+    for batch in pieces(batches, text_col, batch_bytes):
+        data, offsets = utf8(batch.column(text_col))
         code, _, _, doc = word_codes(READ[data], offsets)
         n = batch.num_rows
         count = np.bincount(doc, minlength=n)
@@ -210,6 +211,11 @@ def _search(batches, indexes: list[Index], words: int, overlap: float, batch_byt
                         new = (score, q, w, int(a - first[d]))
                         if key not in found or (new[1] + new[2], new[0], -new[3]) > (found[key][1] + found[key][2], found[key][0], -found[key][3]):
                             found[key] = new
+        yield batch, found
+
+
+def _search(batches, indexes: list[Index], words: int, overlap: float, batch_bytes: int):
+    for batch, found in _found(batches, indexes, words, overlap, batch_bytes):
         if found:
             keys = sorted(found)
             ids = batch.column(0).take(pa.array([k[0] for k in keys], pa.int64()))
@@ -220,6 +226,13 @@ def _search(batches, indexes: list[Index], words: int, overlap: float, batch_byt
             )
 
 
+def _clean(batches, indexes: list[Index], words: int, overlap: float, batch_bytes: int, text_col: int):
+    for batch, found in _found(batches, indexes, words, overlap, batch_bytes, text_col):
+        keep = np.ones(batch.num_rows, bool)
+        keep[[k[0] for k in found]] = False
+        yield batch.filter(pa.array(keep))
+
+
 def _items(batches, has_answer: bool):
     """(item, q, a, step): the words of each item's question and answer, and the length of its passages; items without words are left out."""
     for batch in batches:
@@ -288,9 +301,22 @@ def decontaminate(
 
     Neither the driver nor a task holds more of the indexes at once than pass_bytes (or one index): a larger test collection makes several passes over docs.
     """
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    indexes = build_indexes(items, words, overlap, item_col, question_col, answer_col, index_words)
+    kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, item_id bigint, score double, question_overlap double, answer_overlap double, passage_word bigint"
+    indexes = build_indexes(items, words, overlap, item_col, question_col, answer_col, index_words)
+    texts, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
+    for held, more in _passes(indexes, pass_bytes):
+        found = texts.mapInArrow(lambda it, held=held: released(_search(it, held.value, words, overlap, batch_bytes)), schema)
+        if more:
+            found = written(found, "decontam-pass")
+            held.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out.withColumnRenamed("id", id_col)
+
+
+def _passes(indexes: DataFrame, pass_bytes: int):
+    """(a broadcast of indexes of about pass_bytes, whether there are several): what one pass over the documents asks."""
+    spark = indexes.sparkSession
     passes, size = [[]], 0
     for r in indexes.select("step", "portion", "bytes").orderBy("step", "portion").collect():  # three numbers for each index
         if passes[-1] and size + r.bytes > pass_bytes:
@@ -298,13 +324,21 @@ def decontaminate(
             size = 0
         passes[-1].append((r.step, r.portion))
         size += r.bytes
-    texts, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
     for keys in passes:
         mine = indexes.filter(F.struct("step", "portion").isin([F.struct(F.lit(s).cast("long"), F.lit(p).cast("long")) for s, p in keys])) if keys else indexes.limit(0)
-        held = spark.sparkContext.broadcast([pickle.loads(r["index"]) for r in mine.select("step", "portion", "index").orderBy("step", "portion").collect()])
-        found = texts.mapInArrow(lambda it, held=held: _search(it, held.value, words, overlap, batch_bytes), schema)
-        if len(passes) > 1:
-            found = written(found, "decontam-pass")
-            held.destroy()
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("id", id_col)
+        rows = mine.select("step", "portion", "index").orderBy("step", "portion").collect()
+        yield spark.sparkContext.broadcast([pickle.loads(r["index"]) for r in rows]), len(passes) > 1
+
+
+def without_leaks(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None,
+    words: int = 5, overlap: float = 0.8, batch_bytes: int = 2 << 20, index_words: int = INDEX_WORDS, pass_bytes: int = PASS_BYTES,
+) -> DataFrame:
+    """The rows of docs that leak no item (see decontaminate), each judged by its own text, without a join."""
+    indexes = build_indexes(items, words, overlap, item_col, question_col, answer_col, index_words)
+    at, names = docs.columns.index(text_col), docs.columns
+    out = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    for held, more in _passes(indexes, pass_bytes):
+        out = out.mapInArrow(lambda it, held=held: released(_clean(it, held.value, words, overlap, batch_bytes, at)), out.schema)
+        out = written(out, "decontam-pass") if more else out
+    return out.toDF(*names)

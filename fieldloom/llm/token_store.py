@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import pieces, scratch_path, utf8, written
+from .common import FORGET, pieces, released, scratch_path, utf8, written
 
 MAGIC = b"TOKSHRD1"
 HEADER = struct.Struct("<8sIQ32s")
@@ -39,6 +39,7 @@ LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 _loaded: dict[str, Encoder] = {}
+FORGET.append(_loaded.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -296,7 +297,7 @@ def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, from the files that the manifest lists."""
     spark = manifest.sparkSession
 
-    run = lambda batches: _read_shards(batches, with_ids)
+    run = lambda batches: released(_read_shards(batches, with_ids))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return manifest.select("path", "start").repartition(parts).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import LETTERS, READ, SPACE, drop_written, inverse_powers, mix64, pieces, powers, utf8, written
+from .common import LETTERS, READ, SPACE, drop_written, inverse_powers, mix64, pieces, powers, released, utf8, written
 
 PREFIXES = (4, 5)  #: lengths in bytes of the word beginnings that are features besides whole words
 GAP = 512  #: after so many neutral words the chain has forgotten its state to double precision
@@ -378,14 +379,14 @@ def fit(
     driver holds the vocabulary, one gradient for each task and step, and two numbers for each document of the fourth."""
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), -3.0, np.zeros((2, 2)), np.array([-2.0, 0.0, 0.0]))
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, {1: toxic_rows, 0: clean_rows}, most_bytes)
-    marked = sample.mapInArrow(_marked, "cluster bigint, fold int, label int, text string").repartition(parts, "cluster")
+    marked = sample.mapInArrow(lambda it: released(_marked(it)), "cluster bigint, fold int, label int, text string").repartition(parts, "cluster")
     sample = written(marked, "toxicity-sample")
     clusters = {(r.fold, r.label): r.n for r in sample.groupBy("fold", "label").agg(F.countDistinct("cluster").alias("n")).collect()}
     if len({y for _, y in clusters}) < 2:
         drop_written(sample)
         return empty
     by_cluster = sample.repartition(parts, "cluster")
-    found = telling(by_cluster.mapInArrow(_words, "code bigint, fold int, label int, n bigint"), clusters).collect()
+    found = telling(by_cluster.mapInArrow(lambda it: released(_words(it)), "code bigint, fold int, label int, n bigint"), clusters).collect()
     vocabulary, sets = np.array([r.code for r in found], np.int64).view(np.uint64), np.array([r.sets for r in found], np.int64)
     order = np.argsort(vocabulary)
     vocabulary, sets = vocabulary[order], sets[order]
@@ -397,7 +398,7 @@ def fit(
     some = table.filter("holds = 1").orderBy("pick", "k").limit(most_stretches)
     n = max(50, min(most_stretches, table.filter("holds = 1").count()))
     rest = table.filter("holds = 0").orderBy("pick", "k").limit(n)
-    chosen = written(some.unionByName(rest).select("y", "k").repartition(parts, F.xxhash64("k")), "toxicity-chosen")
+    chosen = written(some.unionByName(rest).repartition(parts, "pick").select("y", "k"), "toxicity-chosen")
     weights, bias, moves = fit_crf(chosen, len(vocabulary), 1 + len(PREFIXES))
     model = Model(vocabulary, weights, bias, moves, np.zeros(3))
     half = 3 if clusters.get((3, 0)) and clusters.get((3, 1)) else None
@@ -428,14 +429,29 @@ def _tag(batches, model: Model, batch_bytes: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), lists], names=["id", "score", "spans"])
 
 
-def tag(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 3 << 20) -> DataFrame:
+def tag(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """(id_col, score, spans) for every row of docs.
 
     spans are the words tagged toxic: where they start and end, in code points, and their marginal. A null or empty
     text has no spans and the score of a document without any word of the vocabulary. Ids may repeat or be null."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # as large as the sample's vocabulary at most
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _tag(it, held.value, batch_bytes), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: released(_tag(it, held.value, batch_bytes)), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+
+
+def _with_score(batches, model: Model, text_col: int, batch_bytes: int):
+    for batch in pieces(batches, text_col, batch_bytes):
+        score = model.score(model.documents(*utf8(batch.column(text_col)))[0])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, batch_bytes: int = 1 << 20) -> DataFrame:
+    """The rows of docs that score less than threshold, each judged by its own text in one pass, without a join."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at, places = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(places, docs.schema)] + [StructField("score", DoubleType())])
+    scored = docs.toDF(*places).mapInArrow(lambda it: released(_with_score(it, held.value, at, batch_bytes)), schema)
+    return scored.filter(F.col("score") < threshold).select(*[F.col(n).alias(c) for n, c in zip(places, docs.columns)])
 
 
 def fold(id_col: str, parts: int) -> Column:
