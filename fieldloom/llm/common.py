@@ -157,6 +157,13 @@ def word_codes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
     return code, a, b, doc
 
 
+def range_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges from starts to ends of one array, made as those of word_codes are."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(LETTERS[data] * powers(len(data)), out=total[1:])
+    return mix64((total[ends] - total[starts]) * inverse_powers(len(data) + 1)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 #: ASCII for matching words: capitals as small letters, all but letters and digits as blanks.
 READ = np.arange(256, dtype=np.uint8)
 READ[65:91] += 32

@@ -133,3 +133,44 @@ def op6_decontamination(spark, sf_dir):
 
 
 QUERIES |= {"op5_substring_dedup": op5_substring_dedup, "op6_decontamination": op6_decontamination}
+
+
+def op11_ngram_quality(spark, sf_dir):
+    from .ngram_quality import quality_rules
+
+    return quality_rules(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_whitening(spark, sf_dir):
+    from .whitening import whiten
+
+    out = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("bigint"))  # null beyond a long
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    from .fill_middle import fill_in_middle, restored
+
+    out = fill_in_middle(_docs(spark, sf_dir))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(doc_id::varchar, '')) AS h FROM documents
+), d AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::bigint % (len(units) + 1) AS i, ('0x' || h[9:16])::bigint % (len(units) + 1) AS j, ('0x' || h[17:24])::bigint % 100 AS h3, ('0x' || h[25:32])::bigint % 100 AS h4 FROM t
+), f AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 100 THEN 'plain' WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(units[1:least(i, j)], '') AS prefix, array_to_string(units[least(i, j) + 1:greatest(i, j)], '') AS middle, array_to_string(units[greatest(i, j) + 1:], '') AS suffix FROM d
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM f
+"""
+
+QUERIES |= {"op11_ngram_quality": op11_ngram_quality, "op12_whitening": op12_whitening, "op13_fill_in_middle": op13_fill_in_middle}
+SQL["op13_fill_in_middle"] = OP13_SQL
