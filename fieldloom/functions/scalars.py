@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values: (substring, cohort) in order of precedence, and the words for a gender.
-COHORTS = [("AF", "AF"), ("YRM", "YRM"), ("NORM", "NORM"), ("BBB", "BBB"), ("VT", "VT"), ("S", "S")]
-FEMALE, MALE = ["f", "female", "woman"], ["m", "male", "man"]
+#: Fixed values: (substring, cohort) in order of precedence, the words for a gender, and the sizes that networks may have.
+COHORTS = [("AF", "AF"), ("YRM", "SickValve"), ("NORM", "Leuven_norm"), ("BBB", "Leuven_BBB"), ("VT", "VT"), ("S", "ilearnHeart")]
+FEMALE, MALE = ["F", "FEMALE", "DONNA", "WOMAN"], ["M", "MALE", "UOMO", "MAN"]
+DEPTHS, WIDTHS, LATENT_SIZES = [3, 5, 7], [64, 128, 256, 512], [16, 32, 64, 128]
 
 
 def uniform(*key: Column | str) -> Column:
@@ -18,27 +19,36 @@ def uniform(*key: Column | str) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def norm_id(id_: Column, cohort: Column) -> Column:
-    """BBB: the first run of digits, else the id; YRM: YRM with its digits, upper-cased, else upper-cased; others upper-cased."""
+    """An id in the form that its cohort's tables share; the cohort by its name or by the mark of its ids.
+
+    BBB (Leuven_BBB): the first run of digits, else the id; YRM (SickValve): YRM with its digits, upper-cased, else upper-cased; others upper-cased."""
+    id_ = stripped(id_)
     digits = F.nullif(F.regexp_extract(id_, r"(\d+)", 1), F.lit(""))
     yrm = F.nullif(F.regexp_extract(F.upper(id_), r"(YRM\d+)", 1), F.lit(""))
-    return F.when(cohort == "BBB", F.coalesce(digits, id_)).when(cohort == "YRM", F.coalesce(yrm, F.upper(id_))).otherwise(F.upper(id_))
+    return F.when(cohort.isin("BBB", "Leuven_BBB"), F.coalesce(digits, id_)).when(cohort.isin("YRM", "SickValve"), F.coalesce(yrm, F.upper(id_))).otherwise(F.upper(id_))
 
 
 def clean_id(id_: Column) -> Column:
-    """Trimmed, upper-cased, without a final .0; empty for null and NaN."""
-    out = F.upper(F.regexp_replace(F.trim(id_), r"\.0$", ""))
+    """Stripped and upper-cased; a number loses its .0, any other text keeps it; empty for null and NaN."""
+    out = F.upper(F.regexp_replace(stripped(id_), r"^(\d+)\.0$", "$1"))
     return F.when(id_.isNull() | (out == "NAN"), "").otherwise(out)
 
 
 def parse_gender(text: Column) -> Column:
-    """F or M: a lone 1 or 0 first, then words; else null."""
+    """F or M: a lone 1 or 0 first, then words in any case; else null."""
     flag = F.regexp_extract(text, r"\b([01])\b", 1)
-    word = F.lower(F.trim(text))
+    word = F.upper(stripped(text))
     return F.when(flag == "1", "F").when(flag == "0", "M").when(word.isin(FEMALE), "F").when(word.isin(MALE), "M")
 
 
 def cohort_of(id_: Column) -> Column:
+    """The name of the cohort whose mark, in the order of COHORTS, is the first that stands anywhere in the id, in any case; null without one."""
     out = F.lit(None).cast("string")
     for part, name in reversed(COHORTS):
         out = F.when(F.upper(id_).contains(part), name).otherwise(out)
@@ -50,9 +60,15 @@ def gender_from_id(id_: Column) -> Column:
 
 
 def scene_of(file: Column) -> Column:
-    """The scene in a file name: what stands before -epi_lv_rv_ or _MRI_like_, else before the first -, without .npy."""
+    """The scene in a file name: what stands before -epi_lv_rv_, _MRI_like_ or the ending of slice samples, else before the first -; null for other names (see scene_error)."""
     base = F.regexp_replace(F.substring_index(file, "/", -1), r"\.npy$", "")
-    return F.when(base.contains("-epi_lv_rv_"), F.substring_index(base, "-epi_lv_rv_", 1)).when(base.contains("_MRI_like_"), F.substring_index(base, "_MRI_like_", 1)).otherwise(F.substring_index(base, "-", 1))
+    marked = F.nullif(F.regexp_extract(base, r"^(.+?)(?:-epi_lv_rv_.*|_MRI_like_.*|_(?:three_axis_)?mri_(?:grid_)?samples)$", 1), F.lit(""))
+    return F.coalesce(marked, F.when(base.contains("-"), F.nullif(F.substring_index(base, "-", 1), F.lit(""))))
+
+
+def scene_error(file: Column) -> Column:
+    """What the error row of a file says whose name holds no scene; null for others."""
+    return F.when(scene_of(file).isNull(), F.concat(F.lit("unexpected file name: "), F.coalesce(file, F.lit("null"))))
 
 
 def parse_value(text: Column) -> Column:
@@ -61,13 +77,25 @@ def parse_value(text: Column) -> Column:
 
 
 def sampling_combination(name: Column) -> list[Column]:
-    """sigma, lambda and rho of S_a-L_b-R_c."""
-    return [F.regexp_extract(name, rf"{k}_([0-9.]+)", 1).try_cast("double") for k in "SLR"]
+    """sigma, lambda and rho of S_a-L_b-R_c; null for any other form of name."""
+    return [F.nullif(F.regexp_extract(stripped(name), r"^S_([0-9.]+)-L_([0-9.]+)-R_([0-9.]+)$", k), F.lit("")).try_cast("double") for k in (1, 2, 3)]
+
+
+NETWORK = r"^.*_D(\d+)_W(\d+)_L(\d+)$"
 
 
 def network_combination(name: Column) -> list[Column]:
-    """depth, width and latent size of ..._Dn_Wn_Ln."""
-    return [F.regexp_extract(name, rf"_{k}(\d+)", 1).try_cast("int") for k in "DWL"]
+    """depth, width and latent size of ..._Dn_Wn_Ln; null for any other form of name."""
+    return [F.nullif(F.regexp_extract(name, NETWORK, k), F.lit("")).try_cast("int") for k in (1, 2, 3)]
+
+
+def combination_error(name: Column) -> Column:
+    """Why a name is no combination of a network: its form, or the first of depth, width and latent size outside its domain; null if it is one."""
+    parts = network_combination(name)
+    out = F.when(F.coalesce(F.rlike(name, F.lit(NETWORK)), F.lit(False)) == F.lit(False), F.concat(F.lit("unknown combination: "), F.coalesce(name, F.lit("null"))))
+    for part, what, allowed in zip(parts, ("depth", "width", "latent size"), (DEPTHS, WIDTHS, LATENT_SIZES)):
+        out = out.when(~F.coalesce(part.isin(allowed), F.lit(False)), F.concat(F.lit(f"invalid {what}: "), name))
+    return out
 
 
 def nearest_label(value: Column, nominal: list[float]) -> Column:

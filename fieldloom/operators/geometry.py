@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fieldloom.functions.scalars import cross, dot, minus, norm, uniform
+from fieldloom.operators.bounding import HIGH, LOW, Reach, Sizes, curve_order, expanded, met, runs_of
 from fieldloom.operators.spatial import columns_of, held, in_blocks
 
 
@@ -104,10 +105,15 @@ def segment_distance(points: DataFrame, segments: DataFrame, *keys: str) -> Data
     return points.join(s, list(keys), "left").groupBy(*keys, "point_id").agg(F.min(d).alias("distance"))
 
 
-def winding_number(points: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
+#: The error of winding numbers that are wanted for their sign: those within it of a half are summed in full again.
+SIGN_ERROR = 0.2
+
+
+def winding_number(points: DataFrame, vertices: DataFrame, faces: DataFrame, error: float = 0.0, sizes: Sizes | None = None) -> DataFrame:
     """Generalised winding number of points (scene_id, point_id, x, y, z), and -1 inside (over a half in size), +1 outside.
 
-    Points outside the surface's box are outside without a look at the faces; shares of the others meet shares of the faces, and the sums of these are added up."""
+    Points outside the surface's box are outside without a look at the faces. With an error, groups of faces that are far enough count by the sum of their
+    area vectors alone: near groups are opened until what is left out is below the error; rows whose sign this leaves open are summed in full."""
     c = corners(vertices, faces)
     box = vertices.groupBy("scene_id").agg(*[f(k).alias(f"{f.__name__}_{k}") for k in "xyz" for f in (F.min, F.max)])
     boxed = points.join(box, "scene_id")
@@ -115,21 +121,172 @@ def winding_number(points: DataFrame, vertices: DataFrame, faces: DataFrame) ->
     for k in "xyz":
         within = within & F.col(k).between(F.col(f"min_{k}"), F.col(f"max_{k}"))
     near = boxed.filter(within).select("scene_id", "point_id", *[F.col(k).cast("double").alias(k) for k in "xyz"])
-    w = in_blocks(near, c, _solid_angles, "scene_id bigint, point_id bigint, w double").groupBy("scene_id", "point_id").agg(F.sum("w").alias("w"))
+    w = _wound(near, c, error, sizes)
+    if error:
+        w = held(w)
+        open_ = F.abs(F.abs(F.col("w")) - 0.5) <= error
+        if w.filter(open_).limit(1).count():
+            w = w.filter(~open_).unionByName(_wound(w.filter(open_).drop("w"), c, 0.0, sizes))
+    w = w.select("scene_id", "point_id", "w")
     return points.join(w, ["scene_id", "point_id"], "left").select("scene_id", "point_id", F.coalesce("w", F.lit(0.0)).alias("w"), F.when(F.abs(F.coalesce("w", F.lit(0.0))) > 0.5, -1).otherwise(1).alias("sign"))
 
 
-def _solid_angles(points: pa.Table, faces: pa.Table) -> pa.Table:
-    p = columns_of(points, "x", "y", "z")
-    corner = [columns_of(faces, *[q + k for k in "xyz"]) for q in "abc"]
-    out = np.zeros(len(p))
-    step = max(1, 200_000 // max(1, len(corner[0])))
-    for at in range(0, len(p), step):
-        a, b, c = (q[None] - p[at : at + step, None, :] for q in corner)
-        la, lb, lc = (np.sqrt((q * q).sum(-1)) for q in (a, b, c))
-        det = (a * np.cross(b, c)).sum(-1)
-        out[at : at + step] = 2 * np.arctan2(det, la * lb * lc + (a * b).sum(-1) * lc + (b * c).sum(-1) * la + (c * a).sum(-1) * lb).sum(1)
-    return pa.table({"scene_id": points.column("scene_id"), "point_id": points.column("point_id"), "w": pa.array(out / (4 * math.pi))})
+def _wound(points: DataFrame, faces: DataFrame, error: float, sizes: Sizes | None) -> DataFrame:
+    at = [q + k for q in "abc" for k in "xyz"]
+    edge = [f(*[F.col(q + k) for q in "abc"]).alias(n) for f, names in ((F.least, LOW), (F.greatest, HIGH)) for k, n in zip("xyz", names)]
+    items = faces.select("scene_id", F.col("fid").cast("bigint").alias("fid"), *[F.col(c).cast("double").alias(c) for c in at]).select("*", *edge)
+    half = [x / 2 for x in cross(minus(_p("b"), _p("a")), minus(_p("c"), _p("a")))]
+    area = norm(half)
+    middle = [F.sum(area * (F.col("a" + k) + F.col("b" + k) + F.col("c" + k)) / 3).alias("m" + k) for k in "xyz"]
+    squares = sum(((F.col("a" + k) + F.col("b" + k) + F.col("c" + k)) / 3) ** 2 for k in "xyz")
+    summary = (F.sum(area).alias("area"), F.sum(area * squares).alias("ms"), *middle, *[F.sum(x).alias("f" + k) for k, x in zip("xyz", half)])
+    chunk = (sizes or Sizes()).chunk
+
+    def merge(rows):
+        first = [F.first(c).alias(c) for c in rows.columns if c not in ("row", "several", "w")]
+        return rows.groupBy("row").agg(*first, F.sum("w").alias("w"))
+
+    reach = Reach(lambda a, b: far_blocks(a, b, error / 2, chunk), FAR_SCHEMA, summary)
+    return met(points, items, lambda p, q: _winding(p, q, error / 2), "w double", merge, sizes=sizes, reach=reach)
+
+
+FAR = ["fx", "fy", "fz", "gx", "gy", "gz"]  #: the area vector of a group of faces, and its centre
+FAR_SCHEMA = ", ".join(f"{c} double" for c in FAR)
+
+
+def opened(distance: np.ndarray, radius: np.ndarray, area: np.ndarray, bend: np.ndarray, error: float) -> np.ndarray:
+    """Which groups of faces have to be opened for points at a distance of `distance` or more from their centre (a row for each point), for the sum of all errors to stay below `error`.
+
+    A derivative of order k of 1 / d is at most k! / d ** (k + 1). A group that counts by its area vector in its area's centre, where the
+    first order vanishes for a flat group, errs by at most 2 bend / d ** 3 (bend: the sum of area times distance from the centre times turn off the mean
+    normal) and 3 area r ** 2 / (d - r) ** 4 for the second order. Groups stay closed in the order of these bounds, as long as their sum allows."""
+    if not error:
+        return np.ones(np.broadcast_shapes(distance.shape, radius.shape), bool)
+    room = np.maximum(distance - radius, 1e-60)
+    wrong = 2 * bend / np.maximum(distance, 1e-60) ** 3 + 3 * area * radius**2 / room**4
+    wrong[distance <= radius] = np.inf
+    order = np.argsort(wrong, 1)
+    out = np.empty(wrong.shape, bool)
+    np.put_along_axis(out, order, np.cumsum(np.take_along_axis(wrong, order, 1), 1) > error * 4 * math.pi, 1)
+    return out
+
+
+def _distance_to_box(box: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The least distance of boxes (n x 6) to points (m x 3)."""
+    off = np.maximum(0, np.maximum(box[:, None, :3] - points[None], points[None] - box[:, None, 3:]))
+    return np.sqrt((off * off).sum(-1))
+
+
+def far_blocks(a: pa.Table, b: pa.Table, error: float, chunk: int) -> pa.Table:
+    """Of a share of a scene's point boxes and all its face boxes: the pairs that meet, and far boxes by their area vector and centre.
+
+    The face boxes are a tree of two levels: 32 that follow each other have one sum, which counts if even that is far enough."""
+    order = np.argsort(b.column("block").to_numpy())
+    box = columns_of(a, *LOW, *HIGH)
+    area, faces, spread = (columns_of(b, *n)[order] for n in (("area",), (*LOW, *HIGH), ("ms",)))
+    weight, vector = columns_of(b, "mx", "my", "mz")[order], columns_of(b, "fx", "fy", "fz")[order]
+    levels, starts = [], np.arange(0, len(order), 32)
+    for group in (starts, np.arange(len(order))):
+        ga, gw, gv, gs = (np.add.reduceat(v, group, 0) if len(group) < len(order) else v for v in (area, weight, vector, spread))
+        low, high = (f.reduceat(faces[:, s], group, 0) for f, s in ((np.minimum, slice(0, 3)), (np.maximum, slice(3, 6))))
+        centre = np.where(ga > 0, gw / np.where(ga > 0, ga, 1), (low + high) / 2)
+        radius = np.sqrt((np.maximum(high - centre, centre - low) ** 2).sum(1))
+        # bend by its bound: the root of the second moments of places and of normals
+        some = np.maximum(ga[:, 0], 1e-300)
+        apart = np.maximum(gs[:, 0] - ga[:, 0] * (centre**2).sum(1), 0) + 1e-12 * np.abs(gs[:, 0])
+        bend = np.sqrt(apart * (np.maximum(ga[:, 0] - (gv**2).sum(1) / some, 0) + 1e-12 * ga[:, 0]))
+        levels.append((centre, gv, opened(_distance_to_box(box, centre), radius[None], ga[None, :, 0], bend[None], error / 2)))
+    top, own = levels[0][2], np.arange(len(order)) // 32
+    below = top[:, own]  # blocks of opened groups
+    meet, far = below & levels[1][2], below & ~levels[1][2]
+    blocks, r_blocks = a.column("block").to_numpy(), b.column("block").to_numpy()[order]
+    i, j = np.nonzero(meet)
+    many = np.bincount(i, minlength=len(box))
+    place = np.arange(len(i)) - (np.cumsum(many) - many)[i]
+    out = {"block": [blocks[i]], "chunk": [place // chunk], "several": [many[i] > chunk], "values": [np.full((len(i), 6), np.nan)]}
+    for (centre, gv, _), hit in zip(levels, (~top, far)):
+        p, q = np.nonzero(hit)
+        for name, v in (("block", blocks[p]), ("chunk", np.zeros(len(p))), ("several", many[p] > chunk), ("values", np.concatenate([gv[q], centre[q]], 1))):
+            out[name].append(v)
+    block, chunks, several, values = (np.concatenate(v) for v in out.values())
+    lone = np.arange(len(block)) >= len(i)
+    numbers = np.concatenate([r_blocks[j], np.zeros(len(block) - len(i), np.int64)])
+    named = {"block": pa.array(block.astype(np.int64)), "r_block": pa.array(numbers.astype(np.int64), mask=lone), "chunk": pa.array(chunks.astype(np.int32)), "several": pa.array(several.astype(bool))}
+    return pa.table(named | {c: pa.array(np.ascontiguousarray(values[:, k]), mask=~lone) for k, c in enumerate(FAR)})
+
+
+def _solid_angles(points: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The sum of the solid angles of all faces for each point, by matrix products: the faces' determinants are linear in the point."""
+    out = np.zeros(len(points))
+    middle = a.mean(0) if len(a) else np.zeros(3)
+    a, b, c, points = a - middle, b - middle, c - middle, points - middle
+    turn = np.cross(a, b) + np.cross(b, c) + np.cross(c, a)
+    volume = (a * np.cross(b, c)).sum(1)
+    edges = [((u - v) ** 2).sum(1) for u, v in ((a, b), (b, c), (c, a))]
+    step = max(1, 250_000 // max(1, len(a)))
+    for at in range(0, len(points), step):
+        p = points[at : at + step]
+        sa, sb, sc = (sum((p[:, k, None] - q[None, :, k]) ** 2 for k in range(3)) for q in (a, b, c))
+        la, lb, lc = np.sqrt(sa), np.sqrt(sb), np.sqrt(sc)
+        # twice the products of two directions, by the law of cosines
+        ab, bc, ca = sa + sb - edges[0], sb + sc - edges[1], sc + sa - edges[2]
+        low = la * lb * lc + (ab * lc + bc * la + ca * lb) / 2
+        out[at : at + step] = np.arctan2(volume - p @ turn.T, low).sum(1)
+    return 2 * out
+
+
+def _angles_of_pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The solid angle of each triangle as seen from the origin."""
+    la, lb, lc = (np.sqrt((q * q).sum(-1)) for q in (a, b, c))
+    return 2 * np.arctan2((a * np.cross(b, c)).sum(-1), la * lb * lc + (a * b).sum(-1) * lc + (b * c).sum(-1) * la + (c * a).sum(-1) * lb)
+
+
+def _dipoles(points: np.ndarray, vectors: np.ndarray, centres: np.ndarray, use: np.ndarray | None = None) -> np.ndarray:
+    """The sum of the solid angles of groups of faces that are put in their centres."""
+    out = np.zeros(len(points))
+    step = max(1, 500_000 // max(1, len(centres)))
+    for at in range(0, len(points) if len(centres) else 0, step):
+        off = [centres[None, :, k] - points[at : at + step, k, None] for k in range(3)]
+        d2 = off[0] ** 2 + off[1] ** 2 + off[2] ** 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = sum(o * vectors[None, :, k] for k, o in enumerate(off)) / (d2 * np.sqrt(d2))
+        out[at : at + step] = (value if use is None else np.where(use[at : at + step], value, 0)).sum(1)
+    return out
+
+
+def _winding(points: np.ndarray, items: dict[str, np.ndarray], error: float, counts: list | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The winding number of each point for faces (ax .. cz) and far groups (FAR); counts gets (pairs in all, pairs summed face by face)."""
+    total = np.zeros(len(points))
+    if "fx" in items:
+        far = np.isfinite(items["fx"].astype(float))
+        total += _dipoles(points, *(np.stack([items[c][far].astype(float) for c in n], 1) for n in (FAR[:3], FAR[3:])))
+        items = {k: v[~far] for k, v in items.items()}
+    a, b, c = (np.stack([items[q + k].astype(float) for k in "xyz"], 1) for q in "abc")
+    if not error or len(a) <= 256:
+        total += _solid_angles(points, a, b, c)
+    else:
+        half = np.cross(b - a, c - a) / 2
+        area = np.sqrt((half * half).sum(1))
+        middle = (a + b + c) / 3
+        order = curve_order(middle)
+        starts, box = runs_of(order, 16, np.minimum.reduce([a, b, c]), np.maximum.reduce([a, b, c]))
+        weight = np.add.reduceat(area[order], starts)
+        centre = np.add.reduceat((area[:, None] * middle)[order], starts, 0) / np.maximum(weight, 1e-300)[:, None]
+        centre = np.where(weight[:, None] > 0, centre, (box[:, :3] + box[:, 3:]) / 2)
+        radius = np.sqrt((np.maximum(box[:, 3:] - centre, centre - box[:, :3]) ** 2).sum(1))
+        vector, group = np.add.reduceat(half[order], starts, 0), np.arange(len(a)) // 16
+        normal = half[order] / np.maximum(area[order], 1e-300)[:, None] - (vector / np.maximum(weight, 1e-300)[:, None])[group]
+        bend = np.bincount(group, area[order] * np.sqrt(((middle[order] - centre[group]) ** 2).sum(1) * (normal**2).sum(1)), len(starts))
+        near = opened(_distance_to_box(np.concatenate([points, points], 1), centre), radius[None], weight[None], bend[None], error)
+        total += _dipoles(points, vector, centre, ~near)
+        every = np.arange(len(points))
+        for i, j in expanded(near, every, every, order, starts, 300_000):
+            total += np.bincount(i, _angles_of_pairs(a[j] - points[i], b[j] - points[i], c[j] - points[i]), len(points))
+            if counts is not None:
+                counts.append((0, len(i)))
+    if counts is not None:
+        counts.append((len(points) * len(a), 0 if error and len(a) > 256 else len(points) * len(a)))
+    return np.arange(len(points)), {"w": total / (4 * math.pi)}
 
 
 def _kernels(a: pa.Table, b: pa.Table, gamma: float) -> pa.Table:

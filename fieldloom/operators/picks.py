@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
+from fieldloom.functions import scalars as S
 from fieldloom.functions.scalars import uniform
 from fieldloom.operators.samples import SURFACES, stratified_pick, weighted_sample
 
@@ -87,6 +88,41 @@ def cohort_union(*cohorts: DataFrame, key: str = "id") -> DataFrame:
     return out.withColumn(key, F.when(twice, F.raise_error(F.concat(F.lit("in two cohorts: "), F.col(key).cast("string")))).otherwise(F.col(key)))
 
 
+#: The names of id and gender columns in the tables of a cohort, in order of precedence.
+ID_COLUMNS, GENDER_COLUMNS = ["mug-id", "era id", "id", "folder_name"], ["sex", "female", "gender"]
+
+
+def cohort_columns(original: DataFrame) -> tuple[str, str]:
+    """The columns of id and gender of a cohort's original table, by their names in any case; else the first whose name holds female."""
+    named = {}
+    for c in original.columns:
+        named[c.strip().lower()] = c
+    id_col = next((named[c] for c in ID_COLUMNS if c in named), None)
+    gender = next((named[c] for c in GENDER_COLUMNS if c in named), None) or next((c for c in original.columns if "female" in c.lower()), None)
+    if id_col is None or gender is None:
+        raise ValueError(f"no column of {'ids' if id_col is None else 'genders'} among {original.columns}")
+    return id_col, gender
+
+
+def cohort_table(pairs: list[tuple[DataFrame, DataFrame, str]], included: str = "Included Patients") -> DataFrame:
+    """(Patient_ID, Cohort, Gender) of all cohorts, a pair of original and included table and the mark of the ids' form (BBB, YRM, NORM or none) for each.
+
+    Ids of both are brought to one form and joined; of several original rows the first gender by its letter stays. In a NORM cohort the gender
+    is read from the id. Null ids go, an id that one table lists twice stays once, and one in two cohorts is an error (cohort_union)."""
+    out = []
+    for original, processed, mark in pairs:
+        ids = processed.select(S.stripped(F.col(f"`{included}`").cast("string")).alias("id")).filter("id is not null").distinct()
+        if "NORM" in mark.upper():
+            rows = ids.withColumn("Gender", S.gender_from_id(F.col("id")))
+        else:
+            id_col, gender = cohort_columns(original)
+            known = original.select(S.norm_id(S.clean_id(F.col(f"`{id_col}`").cast("string")), F.lit(mark)).alias("match_id"), S.parse_gender(F.col(f"`{gender}`").cast("string")).alias("Gender"))
+            known = known.groupBy("match_id").agg(F.min("Gender").alias("Gender"))
+            rows = ids.withColumn("match_id", S.norm_id(F.col("id"), F.lit(mark))).join(known, "match_id", "left")
+        out.append(rows.select("id", S.cohort_of(F.col("id")).alias("Cohort"), "Gender"))
+    return cohort_union(*out).withColumnRenamed("id", "Patient_ID")
+
+
 def myocardium(measures: DataFrame) -> DataFrame:
     """From (scene_id, surface, area, volume): the volume between epi and both chambers, and its mean thickness."""
     of = lambda c, s: F.sum(F.when(F.col("surface") == s, F.col(c)))

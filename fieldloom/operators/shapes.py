@@ -6,13 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform
-from fieldloom.operators.geometry import corners, face_table, rigid_fit, winding_number
-from fieldloom.operators.spatial import _around, _d2, columns_of, held, in_blocks, nearest_join, neighbours
+from fieldloom.operators.bounding import HIGH, LOW, Sizes, least_distance, met
+from fieldloom.operators.geometry import SIGN_ERROR, corners, face_table, rigid_fit, winding_number
+from fieldloom.operators.spatial import _around, _d2, held, nearest_join, neighbours
 
 KEY = ["scene_id", "point_id"]
 
@@ -36,18 +37,17 @@ def transfer_labels(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def _to_segments(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of points (n x 1 x 3) to segments (m x 3)."""
+    """Squared distances of points to segments, row by row."""
     d = b - a
     w = p - a
     size = (d * d).sum(-1)
-    t = np.clip(np.divide((w * d).sum(-1), size, out=np.zeros(np.broadcast_shapes(w.shape[:-1], size.shape)), where=size > 0), 0, 1)
+    t = np.clip(np.divide((w * d).sum(-1), size, out=np.zeros(len(w)), where=size > 0), 0, 1)
     off = w - t[..., None] * d
     return (off * off).sum(-1)
 
 
 def triangle_d2(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Squared distances of points (n x 3) to triangles (m x 3 each): the plane's where the foot lies in the triangle, else the nearest edge's."""
-    p = p[:, None, :]
+    """Squared distances of points to triangles, row by row: the plane's where the foot lies in the triangle, else the nearest edge's."""
     ab, ac, w = b - a, c - a, p - a
     n = np.cross(ab, ac)
     n2 = (n * n).sum(-1)
@@ -59,49 +59,52 @@ def triangle_d2(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> n
     return np.where(inside, np.minimum(plane, edges), edges)
 
 
-def _least_triangle(points: pa.Table, faces: pa.Table, extra: tuple = ()) -> pa.Table:
-    """The least distance of each point to the faces. A face is measured only for points that its bounding sphere lets be nearer than the nearest corner."""
-    p = columns_of(points, "x", "y", "z")
-    a, b, c = (columns_of(faces, *[q + k for k in "xyz"]) for q in "abc")
-    best = np.full(len(p), np.inf)
-    step = max(1, 200_000 // max(1, len(a)))
-    mid = (a + b + c) / 3
-    reach = np.sqrt(np.maximum.reduce([((q - mid) ** 2).sum(1) for q in (a, b, c)])) if len(a) else np.zeros(0)
-    for at in range(0, len(p) if len(a) else 0, step):
-        part = p[at : at + step]
-        to_mid = np.sqrt(((part[:, None, :] - mid) ** 2).sum(-1))
-        corner = np.sqrt(np.minimum.reduce([((part[:, None, :] - q) ** 2).sum(-1) for q in (a, b, c)]).min(1))
-        near = to_mid - reach <= corner[:, None] + 1e-9
-        use = near.any(0)
-        best[at : at + step] = np.where(near[:, use], triangle_d2(part, a[use], b[use], c[use]), np.inf).min(1)
-    return pa.table({**{k: points.column(k) for k in (*KEY, *extra)}, "d2": pa.array(best, pa.float64(), mask=np.isinf(best))})
-
-
-def triangle_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, share_rows: int = 4_000) -> DataFrame:
-    """(scene_id, point_id, distance) of each point to the surface; null in a scene without faces. Shares of points meet shares of faces (see in_blocks)."""
-    p, c = points.select(*KEY, "x", "y", "z"), corners(vertices, faces)
-    near = in_blocks(p, c, _least_triangle, "scene_id bigint, point_id bigint, d2 double", share_rows, share_rows)
-    return points.select(*KEY).join(near.groupBy(*KEY).agg(F.sqrt(F.min("d2")).alias("distance")), KEY, "left")
-
-
-def signed_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
+def least_triangle(points: np.ndarray, items: dict[str, np.ndarray], counts: list | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The least squared distance of each point to the triangles (ax .. cz), by boxes and spheres (see bounding.least_distance)."""
+    a, b, c = corner = [np.stack([items[q + k] for k in "xyz"], 1) for q in "abc"]
+    middle = (a + b + c) / 3
+    reach = np.sqrt(np.maximum.reduce([((q - middle) ** 2).sum(1) for q in corner]))
+    d2 = least_distance(points, np.minimum.reduce(corner), np.maximum.reduce(corner), middle, reach, lambda i, j: triangle_d2(points[i], a[j], b[j], c[j]), counts)
+    return np.arange(len(points)), {"d2": d2}
+
+
+def boxed_triangles(corners_: DataFrame, key: str = "scene_id") -> DataFrame:
+    """Triangles (key, fid, ax .. cz) with their boxes, as items of bounding.met; those with a corner that is null or not finite go."""
+    at = [q + k for q in "abc" for k in "xyz"]
+    edge = [f(*[F.col(q + k) for q in "abc"]).alias(n) for f, names in ((F.least, LOW), (F.greatest, HIGH)) for k, n in zip("xyz", names)]
+    sound = corners_.select(key, F.col("fid").cast("bigint").alias("fid"), *[F.col(c).cast("double").alias(c) for c in at])
+    for c in at:
+        sound = sound.filter(finite(c))
+    return sound.select("*", *edge)
+
+
+def nearest_row(rows: DataFrame) -> DataFrame:
+    """Of a point's results in several chunks the least distance."""
+    return rows.groupBy("row").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("row", "several")]), F.col("d2")).alias("r")).select("row", "r.*")
+
+
+def triangle_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None) -> DataFrame:
+    """(scene_id, point_id, distance) of each point to the surface; null in a scene without faces. Blocks of points meet the blocks of faces that can be nearest (see bounding.met)."""
+    p = points.select(*KEY, *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    near = met(p, boxed_triangles(corners(vertices, faces)), least_triangle, "d2 double", nearest_row, sizes=sizes)
+    return near.select(*KEY, F.sqrt("d2").alias("distance"))
+
+
+def signed_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Distance to the surface, negative inside."""
-    d = triangle_distance(points, vertices, faces)
-    return d.join(winding_number(points, vertices, faces), KEY).select(*KEY, (F.col("distance") * F.col("sign")).alias("sdf"))
+    d = triangle_distance(points, vertices, faces, sizes)
+    return d.join(winding_number(points, vertices, faces, SIGN_ERROR, sizes), KEY).select(*KEY, (F.col("distance") * F.col("sign")).alias("sdf"))
 
 
-def multi_plane_sdf(points: DataFrame, patches: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
+def multi_plane_sdf(points: DataFrame, patches: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """(scene_id, point_id, plane_id, sdf): each point (with plane_id) against its own plane's patch (scene_id, plane_id, fid, a*, b*, c*), with the sign of the whole surface; null without a patch."""
     key = [*KEY, "plane_id"]
-    one = lambda df: df.withColumn("scene_id", F.concat_ws("/", "scene_id", "plane_id"))  # noqa: E731  a plane is a scene of its own
-    p = one(points.select(*key, "x", "y", "z"))
-    c = one(patches.select("scene_id", "plane_id", "fid", *[q + k for q in "abc" for k in "xyz"]))
-    run = lambda a, b: _least_triangle(a, b, ("plane_id",))
-    near = in_blocks(p, c, run, "scene_id string, point_id bigint, plane_id bigint, d2 double")
-    near = near.groupBy(F.substring_index("scene_id", "/", 1).cast("bigint").alias("scene_id"), "point_id", "plane_id").agg(F.sqrt(F.min("d2")).alias("distance"))
-    sign = winding_number(points.select(*KEY, "x", "y", "z"), vertices, faces).select(*KEY, "sign")
-    out = points.select(*key).join(near, key, "left").join(sign, KEY, "left")
-    return out.select(*key, (F.col("distance") * F.col("sign")).alias("sdf"))
+    one = F.concat_ws("/", "scene_id", "plane_id").alias("plane")  # a plane is a scene of its own
+    p = points.select(one, *key, *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    c = patches.select(one, "fid", *[q + k for q in "abc" for k in "xyz"])
+    near = met(p, boxed_triangles(c, "plane"), least_triangle, "d2 double", nearest_row, sizes=sizes)
+    sign = winding_number(points.select(*KEY, "x", "y", "z"), vertices, faces, SIGN_ERROR, sizes).select(*KEY, "sign")
+    return near.join(sign, KEY, "left").select(*key, (F.sqrt("d2") * F.col("sign")).alias("sdf"))
 
 
 def inside_or_near(rows: DataFrame, expansion: float, inside: str = "inside", distance: str = "distance") -> DataFrame:
@@ -191,11 +194,22 @@ def ball_points(scenes: DataFrame, n: int) -> DataFrame:
     return rows.select("scene_id", "draw", (F.col("x") + flat * F.cos("turn")).alias("x"), (F.col("y") + flat * F.sin("turn")).alias("y"), (F.col("z") + F.col("r") * F.col("h")).alias("z"))
 
 
-def min_distance_thin(points: DataFrame, least: float, salt: str = "thin") -> DataFrame:
-    """A largest-possible choice of each scene's points no two of which are nearer than `least` (none can be added).
+def most_in_square(side: float, least: float) -> int:
+    """At most so many points of a square can be `least` apart, by the hexagonal packing."""
+    if side <= 0 or least <= 0:
+        raise ValueError("the side and the least distance have to be positive")
+    return int(2 / math.sqrt(3) * side**2 / least**2)
+
+
+def min_distance_thin(points: DataFrame, least: float, salt: str = "thin", n: int | None = None, side: float | None = None) -> DataFrame:
+    """A largest-possible choice of each scene's points no two of which are nearer than `least` (none can be added), or its first n in the keyed order.
+
+    An n beyond what a square of that side can hold (most_in_square) is an error.
 
     Points have a keyed order. In each round those before all neighbours that are still open stay, and their
     neighbours go, which gives what taking one point after another in that order would. The first open point of all always stays, so rounds end."""
+    if n is not None and side is not None and n > most_in_square(side, least):
+        raise ValueError(f"{n} points {least} apart don't fit a square of side {side}, which holds {most_in_square(side, least)} at most")
     p = points.select(*KEY, "x", "y", "z", F.struct(uniform(*KEY, F.lit(salt)).alias("h"), "point_id").alias("order"))
     cells = p.select("scene_id", F.col("order").alias("r_order"), *[F.col(k).alias("r_" + k) for k in "xyz"], *[F.floor(F.col(k) / least).alias("c" + k) for k in "xyz"])
     pairs = held(_around(p, least).join(cells, ["scene_id", "cx", "cy", "cz"]).filter((_d2() < least * least) & (F.col("order") != F.col("r_order"))).select("scene_id", "order", "r_order"))
@@ -213,6 +227,8 @@ def min_distance_thin(points: DataFrame, least: float, salt: str = "thin") -> Da
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)
+    if n is not None:
+        out = out.withColumn("rank", F.row_number().over(W.partitionBy("scene_id").orderBy("order"))).filter(F.col("rank") <= n)
     return out.select("scene_id", F.col("order.point_id").alias("point_id"))
 
 

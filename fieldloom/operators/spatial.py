@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-
-def held(df: DataFrame) -> DataFrame:
-    """df without its lineage where a checkpoint folder is set, so that a lost executor costs no earlier round; without one (tests) cached."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if folder and not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if folder else df.cache()
+from fieldloom.functions.scalars import finite
+from fieldloom.operators.bounding import HIGH, LOW, Sizes, met
+from fieldloom.scratch import held  # noqa: F401  other modules take it from here
 
 
 def _cells(df: DataFrame, size: float, prefix: str) -> DataFrame:
@@ -36,82 +30,42 @@ def _d2(a: str = "", b: str = "r_") -> Column:
     return sum((F.col(f"{a}{k}") - F.col(f"{b}{k}")) ** 2 for k in "xyz")
 
 
-SEARCH = "scene_id bigint, point_id bigint, x double, y double, z double, rank int, r_id bigint, d2 double, sure boolean"
-
-
-def _search(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
-    """The k nearest of right for each row of left, ties by id, and whether no point outside the block and its surroundings can be nearer."""
-    right = right.combine_chunks().sort_by("r_id")
-    p, q = (np.stack([t.column(c).to_numpy().astype(float) for c in names], 1).reshape(-1, 3) for t, names in ((left, "xyz"), (right, ("r_x", "r_y", "r_z"))))
-    ids, room = right.column("r_id").to_numpy(), left.column("room").to_numpy()
-    rows, ranks, found, d2s = [], [], [], []
+def _nearest(points: np.ndarray, items: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The k nearest items of each point, ties by the least id."""
+    by_id = np.argsort(items["r_id"], kind="stable")  # so the stable order of equal distances is that of ids
+    ids, q = items["r_id"][by_id], np.stack([items[c][by_id] for c in LOW], 1)
+    index, found, ranks, d2s = [], [], [], []
     step = max(1, 2_000_000 // max(1, len(q)))
-    for at in range(0, len(p) if len(q) else 0, step):
-        part = p[at : at + step, None, :] - q[None]
-        d2 = part[..., 0] ** 2 + part[..., 1] ** 2 + part[..., 2] ** 2
-        # rows of right are in the order of their ids, so the stable order of equal distances is that of ids
+    for at in range(0, len(points) if len(q) else 0, step):
+        part = points[at : at + step]
+        d2 = sum((part[:, c, None] - q[None, :, c]) ** 2 for c in range(3))
         near = np.argmin(d2, 1)[:, None] if k == 1 else np.argsort(d2, 1, kind="stable")[:, :k]
-        rows.append(np.repeat(np.arange(at, at + len(d2)), near.shape[1]))
+        index.append(np.repeat(np.arange(at, at + len(d2)), near.shape[1]))
         ranks.append(np.tile(np.arange(1, near.shape[1] + 1), len(d2)))
-        found.append(near.ravel())
+        found.append(ids[near.ravel()])
         d2s.append(np.take_along_axis(d2, near, 1).ravel())
-    rows, ranks, found = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (rows, ranks, found))
-    d2s = np.concatenate([*d2s, np.zeros(0)])
-    enough = np.full(len(p), np.inf if len(q) >= k else -1.0)
-    last = ranks == k
-    enough[rows[last]] = np.sqrt(d2s[last])
-    sure = (room == np.inf) | ((enough >= 0) & (enough <= room) & (enough < np.inf))
-    lone = np.setdiff1d(np.arange(len(p)), rows)
-    order = np.concatenate([rows, lone])
-    miss = np.concatenate([np.zeros(len(rows), bool), np.ones(len(lone), bool)])
-    fill = lambda v, t: pa.array(np.concatenate([v, np.zeros(len(lone), v.dtype)]), t, mask=miss)
-    head = left.select(["scene_id", "point_id", "x", "y", "z"]).take(pa.array(order))
-    names = ["scene_id", "point_id", "x", "y", "z", "rank", "r_id", "d2", "sure"]
-    return pa.table([*head.columns, fill(ranks, pa.int32()), fill(ids[found] if len(ids) else found, pa.int64()), fill(d2s, pa.float64()), pa.array(sure[order])], names=names)
-
-
-def neighbours(left: DataFrame, right: DataFrame, k: int = 1, block_rows: int = 500, whole_rows: int = 4_000, share_rows: int = 20_000) -> DataFrame:
+    index, ranks, found = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (index, ranks, found))
+    return index, {"rank": ranks.astype(np.int32), "r_id": found, "d2": np.concatenate([*d2s, np.zeros(0)])}
+
+
+def neighbours(left: DataFrame, right: DataFrame, k: int = 1, block_rows: int = 512, whole_rows: int = 20_000, share_rows: int = 1_024) -> DataFrame:
     """(scene_id, point_id, x, y, z, rank, r_id, d2): the k nearest points of right in the scene, ties by the least id; nulls without one.
 
-    A scene of at most whole_rows points of right is one block. Others are cut into cubes of block_rows points on
-    average, and a row of left meets the points of its cube and the 26 around it. An answer is final if no point outside these can
-    be nearer; rows without a final answer go on to cubes of twice the size, until their scene is one block. A cube with more than
-    share_rows rows of left is dealt to several tasks."""
-    box = right.groupBy("scene_id").agg(F.count("*").alias("n"), *[F.min(c).alias(f"low_{c}") for c in "xyz"], F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]).alias("span"))
-    per_axis = F.when(F.col("n") <= whole_rows, 1.0).otherwise(F.greatest(F.floor(F.cbrt(F.col("n") / block_rows)), F.lit(1.0)))
-    box = held(box.withColumn("per_axis", per_axis))  # a row for each scene
-    points = right.select("scene_id", F.col("point_id").cast("bigint").alias("r_id"), *[F.col(c).cast("double").alias(f"r_{c}") for c in "xyz"])
-    todo, done, keys = left.select("scene_id", F.col("point_id").cast("bigint").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]), [], ["scene_id", "cx", "cy", "cz", "share"]
-    doublings = 0
-    while True:
-        cubes = F.greatest(F.floor(F.col("per_axis") / 2**doublings), F.lit(1.0))
-        one = F.coalesce(cubes <= 1, F.lit(True))
-        edge = F.greatest(F.col("span"), F.lit(1e-300)) / cubes
-        cell = lambda p: [F.when(one, F.lit(0)).otherwise(F.floor((F.col(f"{p}{c}") - F.col(f"low_{c}")) / edge)).cast("bigint").alias(f"c{c}") for c in "xyz"]
-        inside = [(F.col(c) - F.col(f"low_{c}")) / edge - F.floor((F.col(c) - F.col(f"low_{c}")) / edge) for c in "xyz"]
-        room = F.when(one, F.lit(float("inf"))).otherwise((1 + F.least(*[F.least(i, 1 - i) for i in inside])) * edge * (1 - 1e-9))
-        rows = todo.join(box, "scene_id", "left").select("scene_id", "point_id", "x", "y", "z", *cell(""), room.alias("room"))
-        blocks = rows.groupBy(*keys[:4]).agg(F.ceil(F.count("*") / share_rows).alias("shares"))
-        rows = rows.join(blocks, keys[:4]).withColumn("share", F.pmod(F.xxhash64("point_id"), F.col("shares"))).drop("shares")
-        around = F.when(one, F.array(F.struct(*[F.lit(0).cast("bigint").alias(c) for c in "xyz"]))).otherwise(F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(c) for c, v in zip("xyz", d)]) for d in product((-1, 0, 1), repeat=3)]))
-        near = points.join(box, "scene_id").select("scene_id", "r_id", "r_x", "r_y", "r_z", *cell("r_"), F.explode(around).alias("d"))
-        near = near.withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"d.{c}") for c in "xyz"}).drop("d").join(blocks, keys[:4])
-        near = near.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1))).drop("shares")
-        near = near.select(*[F.col(c).alias(c) for c in near.columns])  # columns of its own, where both sides come from one table
-        found = rows.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(lambda a, b: _search(a, b, k), SEARCH)
-        if not box.filter(cubes > 1).limit(1).count():
-            done.append(found)
-            break
-        found = held(found)
-        done.append(found.filter("sure"))
-        todo = found.filter("not sure and (rank is null or rank = 1)").select("scene_id", "point_id", "x", "y", "z")
-        if not todo.limit(1).count():
-            break
-        doublings += 1
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.drop("sure")
+    Points with a coordinate that is null or not finite have no neighbours and are nobody's.
+
+    Scenes of at most whole_rows points a side are searched whole, many in a task. Others are cut into blocks of neighbours, share_rows of
+    left and block_rows of right at most, and a block of left meets those of right whose boxes can hold one of the k nearest (see bounding.met)."""
+    p = left.select("scene_id", F.col("point_id").cast("bigint").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    q = right.select("scene_id", F.col("point_id").cast("bigint").alias("r_id"), *[F.col(c).cast("double").alias(n) for c, n in zip("xyz" * 2, LOW + HIGH)])
+    for c in LOW:
+        q = q.filter(finite(c))
+
+    def merge(rows):
+        first = W.partitionBy("row").orderBy("d2", "r_id")
+        return rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+
+    sizes = Sizes(scene_rows=whole_rows, left_rows=share_rows, right_rows=block_rows)
+    return met(p, q, lambda a, b: _nearest(a, b, k), "rank int, r_id bigint, d2 double", merge, k, sizes)
 
 
 def nearest_join(left: DataFrame, right: DataFrame, **options) -> DataFrame:

@@ -8,6 +8,7 @@ from fieldloom.functions import scalars as S
 from fieldloom.operators import experiments as X
 from fieldloom.operators import geometry as G
 from fieldloom.operators import latent as L
+from fieldloom.operators import picks as K
 from fieldloom.operators import samples as P
 from fieldloom.operators import spatial as N
 from fieldloom.operators import tables as T
@@ -561,19 +562,25 @@ def _(spark, sf):
 # -- scalar functions
 
 
-@query("F1_ids", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey::varchar WHEN 1 THEN 'YRM' || c_custkey ELSE 'S' || c_custkey END AS id, upper('a' || c_custkey) AS clean, CASE WHEN c_custkey % 4 = 0 THEN 'F' WHEN c_custkey % 4 = 1 THEN 'M' WHEN c_custkey % 4 = 2 THEN 'F' END AS gender, CASE c_custkey % 3 WHEN 0 THEN 'BBB' WHEN 1 THEN 'YRM' ELSE 'S' END AS cohort FROM customer")
+@query("F1_ids", """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey::varchar WHEN 1 THEN 'YRM' || c_custkey ELSE 'S' || c_custkey END AS id,
+CASE WHEN c_custkey % 2 = 0 THEN 'AF' || c_custkey || '.0' ELSE c_custkey::varchar END AS clean,
+CASE WHEN c_custkey % 6 IN (0, 2, 4) THEN 'F' WHEN c_custkey % 6 IN (1, 5) THEN 'M' END AS gender,
+CASE c_custkey % 3 WHEN 0 THEN 'Leuven_BBB' WHEN 1 THEN 'SickValve' ELSE 'ilearnHeart' END AS cohort FROM customer""")
 def _(spark, sf):
     k = F.col("c_custkey")
     raw = F.when(k % 3 == 0, F.concat(F.lit("LEU_BBB_"), k)).when(k % 3 == 1, F.concat(F.lit("yrm"), k, F.lit("_v1"))).otherwise(F.concat(F.lit("s"), k))
     cohort = S.cohort_of(raw)
-    text = F.when(k % 4 == 0, "1;;;").when(k % 4 == 1, "0").when(k % 4 == 2, "Female").otherwise("nan")
-    return table(spark, sf, "customer").select("c_custkey", S.norm_id(raw, cohort).alias("id"), S.clean_id(F.concat(F.lit(" a"), k, F.lit(".0"))).alias("clean"), S.parse_gender(text).alias("gender"), cohort.alias("cohort"))
+    text = F.element_at(F.array(*[F.lit(t) for t in ("1;;;", "0", "Female", "nan", " donna ", "uomo")]), (k % 6 + 1).cast("int"))
+    clean = S.clean_id(F.concat(F.when(k % 2 == 0, "\t af").otherwise(" "), k, F.lit(".0 ")))
+    return table(spark, sf, "customer").select("c_custkey", S.norm_id(raw, cohort).alias("id"), clean.alias("clean"), S.parse_gender(text).alias("gender"), cohort.alias("cohort"))
 
 
-@query("F6_scene_of", "SELECT s_suppkey, s_name AS scene FROM supplier")
+@query("F6_scene_of", """SELECT s_suppkey, CASE WHEN s_suppkey % 5 < 4 THEN s_name END AS scene,
+CASE WHEN s_suppkey % 5 = 4 THEN 'unexpected file name: d/' || s_name || '.npy' END AS error FROM supplier""")
 def _(spark, sf):
-    name = F.concat(F.lit("d/"), "s_name", F.when(F.col("s_suppkey") % 2 == 0, "-epi_lv_rv_5000_coords.npy").otherwise("_MRI_like_samples.npy"))
-    return table(spark, sf, "supplier").select("s_suppkey", S.scene_of(name).alias("scene"))
+    ends = ("-epi_lv_rv_5000_coords.npy", "_MRI_like_samples.npy", "_three_axis_mri_grid_samples.npy", "-part.npy", ".npy")
+    name = F.concat(F.lit("d/"), "s_name", F.element_at(F.array(*[F.lit(e) for e in ends]), (F.col("s_suppkey") % 5 + 1).cast("int")))
+    return table(spark, sf, "supplier").select("s_suppkey", S.scene_of(name).alias("scene"), S.scene_error(name).alias("error"))
 
 
 @query("F7_parse_value", "SELECT o_orderkey, o_totalprice AS value FROM orders")
@@ -583,11 +590,14 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.parse_value(text).alias("value"))
 
 
-@query("F10_combinations", "SELECT p_partkey, (p_size / 10.0)::double AS sigma, 0.75::double AS lambda, 0.5::double AS rho, p_size AS depth, 128 AS width, 16 AS latent FROM part")
+@query("F10_combinations", """SELECT p_partkey, (p_size / 10.0)::double AS sigma, 0.75::double AS lambda, 0.5::double AS rho, p_size AS depth, 128 AS width, 16 AS latent,
+CASE WHEN p_size NOT IN (3, 5, 7) THEN 'invalid depth: 5k_D' || p_size || '_W128_L16' END AS error FROM part""")
 def _(spark, sf):
     a = F.concat(F.lit("S_"), (F.col("p_size") / 10).cast("string"), F.lit("-L_0.75-R_0.5"))
     b = F.concat(F.lit("5k_D"), "p_size", F.lit("_W128_L16"))
-    return table(spark, sf, "part").select("p_partkey", *[c.alias(n) for c, n in zip(S.sampling_combination(a), ("sigma", "lambda", "rho"))], *[c.alias(n) for c, n in zip(S.network_combination(b), ("depth", "width", "latent"))])
+    sampling = [c.alias(n) for c, n in zip(S.sampling_combination(a), ("sigma", "lambda", "rho"))]
+    network = [c.alias(n) for c, n in zip(S.network_combination(b), ("depth", "width", "latent"))]
+    return table(spark, sf, "part").select("p_partkey", *sampling, *network, S.combination_error(b).alias("error"))
 
 
 @query("F11_nearest_label", "SELECT p_partkey, CASE WHEN p_size <= 7 THEN 5.0 WHEN p_size <= 20 THEN 10.0 ELSE 30.0 END::double AS label FROM part")
@@ -734,12 +744,17 @@ def _(spark, sf):
 # -- composite jobs
 
 
-@query("C3_cohort_table", "SELECT c_custkey AS Patient_ID, c_mktsegment AS Cohort, CASE WHEN p LIKE '1%' THEN 'F' WHEN p LIKE '5%' THEN 'M' END AS Gender FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+@query("C3_cohort_table", """WITH raw AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'yrm' || c_custkey || '_v1' ELSE 'S' || c_custkey END AS pid, c_custkey, c_nationkey FROM customer)
+SELECT pid AS "Patient_ID", CASE WHEN c_custkey % 2 = 0 THEN 'SickValve' ELSE 'ilearnHeart' END AS "Cohort",
+CASE WHEN c_nationkey % 4 = 0 THEN 'F' WHEN c_nationkey % 4 = 1 THEN 'M' WHEN c_nationkey % 4 = 2 THEN 'F' END AS "Gender" FROM raw""")
 def _(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("line_no"), F.col("o_orderpriority").alias("p"))
-    c = X.match_metadata(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment"), o, "id", "p")
-    text = F.when(F.col("p").startswith("1"), "1;").when(F.col("p").startswith("5"), "male")
-    return c.select(F.col("id").alias("Patient_ID"), F.col("c_mktsegment").alias("Cohort"), S.parse_gender(text).alias("Gender"))
+    k, n = F.col("c_custkey"), F.col("c_nationkey") % 4
+    c, pairs = table(spark, sf, "customer"), []
+    for rest, pid, other in ((0, F.concat(F.lit("yrm"), k, F.lit("_v1")), F.concat(F.lit(" YRM"), k)), (1, F.concat(F.lit("S"), k), F.concat(F.lit("s"), k))):
+        rows = c.filter(k % 2 == rest)
+        text = F.when(n == 0, "1;;;").when(n == 1, "uomo").when(n == 2, "Woman").otherwise("nan")
+        pairs.append((rows.select(other.alias("ERA ID "), text.alias("sex")), rows.select(pid.alias("Included Patients")), "YRM" if rest == 0 else ""))
+    return K.cohort_table(pairs)
 
 
 @query("C4_cohort_measures", f"WITH {TORUS}, q AS (SELECT scene_id, sum(sqrt(nx*nx + ny*ny + nz*nz) / 2) a, abs(sum(ax * (by_*cz - bz*cy) + ay * (bz*cx - bx*cz) + az * (bx*cy - by_*cx)) / 6) v FROM n GROUP BY 1) SELECT s_nationkey, count(*) AS n, round(avg(v * pow(1000 + scene_id % 9, 3) / 1e12), 6) AS mean_ml, round(avg(a * pow(1000 + scene_id % 9, 2) / 1e6), 6) AS mean_mm2 FROM q JOIN supplier ON s_suppkey = scene_id GROUP BY 1")

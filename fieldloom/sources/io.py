@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fieldloom.functions.scalars import scene_of
+from fieldloom.functions.scalars import scene_error, scene_of
 
 #: Column names that may hold a patient's id, in order of precedence.
 ID_COLUMNS = ["patient", "Patient", "PATIENT", "patient_id", "PatientID", "id", "ID"]
@@ -38,9 +38,10 @@ def _matrices(batches):
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Sample matrices (.npy, 6 or 9 columns), one file per scene, as one table; a bad file is one row with its problem."""
+    """Sample matrices (.npy, 6 or 9 columns), one file per scene, as one table; a bad file is one row with its problem, and a file name without a scene is the problem of its rows."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-    return files.mapInPandas(_matrices, SAMPLE_SCHEMA).withColumn("scene_id", scene_of(F.col("file"))).drop("file")
+    rows = files.mapInPandas(_matrices, SAMPLE_SCHEMA).withColumn("problem", F.coalesce("problem", scene_error(F.col("file"))))
+    return rows.withColumn("scene_id", scene_of(F.col("file"))).drop("file")
 
 
 def resolve_id(df: DataFrame) -> DataFrame:
