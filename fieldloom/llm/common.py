@@ -4,43 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.scratch import drop_written, scratch_path, shared_folder, written  # noqa: F401  the operators take them from here
+
 #: The ASCII white space that separates words.
 WHITE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set and all of Spark is one process."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fieldloom.scratch", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
-        spark.conf.set("fieldloom.scratch", folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: the lineage ends here and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def perhaps_among(rows: DataFrame, keys: DataFrame, key: str, maps: int = 1024) -> DataFrame:
     """rows without most of those whose key is not in keys; none with a key in keys goes.
 
@@ -66,14 +42,6 @@ def with_count(rows: DataFrame, key: str, salt: Column, name: str, only: DataFra
     return rows.join(total.select(key, name, F.explode("salt_nos").alias("salt_no")), [key, "salt_no"]).drop("salt_no")
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove the files of a table that written() made, once nothing reads them any more."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def released(batches):
     """The batches; at their end memory that the worker no longer needs goes back to the system, as workers live on through the stages of a job."""
     try:

@@ -141,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from at most `rows` labelled documents of each label, the first by hash of their id; one row for each id, of several the one with the least features."""
     folds = [labels.filter(F.col(label_col) == v).select(F.col(id_col).alias("sample_id"), F.col(label_col).cast("double").alias("label")).distinct().orderBy(F.xxhash64("sample_id"), "sample_id").limit(rows) for v in (0, 1)]
     picked = folds[0].unionByName(folds[1])
-    texts = docs.join(F.broadcast(picked), F.col(id_col) == F.col("sample_id")).select(F.col(id_col).alias("id"), "label", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))  # names of its own, whatever else docs has
+    texts = texts.join(F.broadcast(picked), F.col("id") == F.col("sample_id")).select("id", "label", "text")
     found = texts.mapInArrow(lambda it: _features(it, batch_bytes), f"id {dict(docs.dtypes)[id_col]}, label double, x array<double>")
     found = found.groupBy("id", "label").agg(F.min("x").alias("x")).orderBy("label", "x").collect()  # at most 2 * rows
     y = np.array([r.label for r in found])

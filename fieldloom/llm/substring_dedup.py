@@ -199,7 +199,7 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, span: int, batches: int, group_rows: int, batch_bytes: int) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, span: int, batches: int, group_rows: int, batch_bytes: int, part_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(rows (id, content, key), covered stretches (key, start, end)); key is a 64-bit hash of the content."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("content"))
     rows = rows.withColumn("key", F.xxhash64("content"))
@@ -225,8 +225,10 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, spa
     near = written(near, "suffix-near")
     sizes = near.groupBy("fp").agg(F.count("*").alias("rows"))
     large = written(sizes.filter(F.col("rows") > group_rows).select("fp"), "suffix-large")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    small = near.join(large, "fp", "left_anti").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(4 * parts)))
+    # a part holds about part_bytes of surroundings, and at most one anchor's group_rows more
+    size = near.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + size // part_bytes)
+    small = near.join(large, "fp", "left_anti").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(parts)))
     found = small.groupBy("part").applyInArrow(lambda t: _compare(t, span, length), "key bigint, start int, end int")
     # anchors with very many surroundings: their strings are counted one by one over all tasks
     strings = near.join(large, "fp").select("fp", "key", "pos", "left", "bytes").mapInArrow(lambda it: _strings(it, span, length), "code bigint, key bigint, start int")
@@ -235,14 +237,14 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, spa
     return rows, whole.union(found).union(many)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, span: int = 160, batches: int = 4, group_rows: int = 20_000, batch_bytes: int = 1 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, span: int = 160, batches: int = 4, group_rows: int = 20_000, batch_bytes: int = 1 << 20, part_bytes: int = 4 << 20) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256), one for every row of docs.
 
     Texts are UTF-8 bytes (null: empty). Each byte covered by a string of `length` bytes that begins anywhere else too, in the
     same row or another, is removed; all rows are judged as they came, so both of two copies lose it. Runs that touch
     are one span. Rows with equal ids are rows of their own. Strings are compared by 64-bit hashes of all their bytes.
     """
-    rows, spans = repeated_spans(docs, id_col, text_col, length, span, batches, group_rows, batch_bytes)
+    rows, spans = repeated_spans(docs, id_col, text_col, length, span, batches, group_rows, batch_bytes, part_bytes)
     gathered = written(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suffix-spans")
     kind = dict(docs.dtypes)[id_col]
     joined = rows.join(gathered, "key", "left").select("id", "content", "spans")

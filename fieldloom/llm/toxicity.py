@@ -218,8 +218,8 @@ def within_budget(rows: list[tuple], most_bytes: int) -> list[tuple]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: dict[int, int], most_bytes: int) -> DataFrame:
     """(text, label) of labelled documents: the first so many of each label by hash, one row for each id (of several the shortest), whole, as far as the bytes go.
 
-    The rows are chosen by id and size, before a text is read; the texts themselves never pass through the driver. Where
-    texts of both labels exist, but those of one are all too large, it is an error."""
+    The rows are chosen by id and size, before a text is read; the texts themselves never pass through the driver. Where the
+    texts of a label are all too large, the shortest of them stands for it by its beginning, most_bytes / 8 code points."""
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text")).filter("text is not null")
     mark = F.xxhash64("text").alias("mark")
@@ -237,11 +237,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     found = first(labels)
     if {r[2] for r in found} != set(rows):  # the first labels may be of ids without a text
         found = first(labels.join(texts.select("sample_id"), "sample_id", "left_semi"))
-    chosen = within_budget(found, most_bytes)
-    if {r[2] for r in chosen} != {r[2] for r in found}:
-        raise ValueError(f"no text of one label fits the {most_bytes} bytes of the sample, so no model can be fitted")
-    ids = docs.sparkSession.createDataFrame(sorted({(r[3], r[4], r[2]) for r in chosen}), f"sample_id {kind}, mark bigint, label int")
+    chosen = [(r[3], r[4], r[2], None) for r in within_budget(found, most_bytes)]
+    for label in {r[2] for r in found} - {r[2] for r in chosen}:
+        least = min((r for r in found if r[2] == label), key=lambda r: (r[1], r[0]))
+        chosen.append((least[3], least[4], label, max(1, most_bytes // 8)))  # of at most four bytes each: half of the bytes
+    ids = docs.sparkSession.createDataFrame(sorted(set(chosen), key=lambda r: r[:3]), f"sample_id {kind}, mark bigint, label int, most int")
     read = texts.withColumn("mark", mark).join(F.broadcast(ids), ["sample_id", "mark"])
+    read = read.withColumn("text", F.coalesce(F.substring("text", F.lit(1), F.col("most")), F.col("text")))
     return read.groupBy("sample_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
@@ -371,7 +373,9 @@ def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 1500, clean_rows: int = 4500, most_bytes: int = 16 << 20,
     width: int = 48, most_stretches: int = 6000, parts: int = 6,
 ) -> Model:
-    """A model from a bounded sample of labelled documents: at most so many toxic and clean ones, and so many bytes.
+    """A model from a bounded sample of labelled documents: at most so many toxic and clean ones, and so many bytes (see labelled_sample).
+
+    The field learns from at most most_stretches stretches of `width` words with a toxic word, the first by hash, and as many without one.
 
     Words and word beginnings that stand in toxic documents far more often than in clean ones (near copies counted once) are
     the vocabulary. Of three folds, those of the other two label the words of a fold's toxic documents, on
