@@ -161,16 +161,22 @@ def _results(a: pa.Table, index: np.ndarray, found: dict[str, np.ndarray], names
     return pa.table(out, schema=schema)
 
 
-def _pack(a: pa.Table, b: pa.Table, run: Run, key: str, names: list[str], schema: pa.Schema) -> pa.Table:
-    """run for each scene of a pack."""
-    both = pa.chunked_array([*a.column(key).chunks, *b.column(key).chunks]).combine_chunks()
+def by_scene(a: pa.Table, b: pa.Table, key: str):
+    """(order of a, order of b, (from, to) of each scene of a in the first, (from, to) in the second)."""
+    both = pa.chunked_array([*a.column(key).chunks, *b.column(key).chunks], a.schema.field(key).type).combine_chunks()
     codes = both.dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(both) else np.zeros(0, np.int64)
     left, right = codes[: a.num_rows], codes[a.num_rows :]
     order_a, order_b = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
-    points = matrix(a, ["x", "y", "z"])[order_a]
-    items = {c: v[order_b] for c, v in _columns(b, {key, "pack"}).items()}
     scenes = np.unique(left)
     at_a, at_b = (np.stack([np.searchsorted(v, scenes, side) for side in ("left", "right")], 1) for v in (left[order_a], right[order_b]))
+    return order_a, order_b, at_a, at_b
+
+
+def _pack(a: pa.Table, b: pa.Table, run: Run, key: str, names: list[str], schema: pa.Schema) -> pa.Table:
+    """run for each scene of a pack."""
+    order_a, order_b, at_a, at_b = by_scene(a, b, key)
+    points = matrix(a, ["x", "y", "z"])[order_a]
+    items = {c: v[order_b] for c, v in _columns(b, {key, "pack"}).items()}
     index, found = [np.zeros(0, np.int64)], []
     for (a0, a1), (b0, b1) in zip(at_a, at_b):
         sound = a0 + np.flatnonzero(np.isfinite(points[a0:a1]).all(1))

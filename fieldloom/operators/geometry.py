@@ -343,15 +343,20 @@ def rigid_fit(pairs: DataFrame) -> DataFrame:
             out = []
             for r in pdf.to_dict("records"):
                 h = np.array([[r[f"h{a}{b}"] for b in "xyz"] for a in "xyz"])
-                u, _, vt = np.linalg.svd(h)
-                turn = vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T)) or 1]) @ u.T
-                shift = np.array([r["mtx"], r["mty"], r["mtz"]]) - turn @ np.array([r["mx"], r["my"], r["mz"]])
+                turn, shift = rigid_of(h, np.array([r["mx"], r["my"], r["mz"]]), np.array([r["mtx"], r["mty"], r["mtz"]]))
                 out.append((r["scene_id"], turn.ravel().tolist(), shift.tolist()))
             yield pd.DataFrame(out, columns=["scene_id", "rotation", "translation"])
 
     return sums.mapInPandas(solve, "scene_id bigint, rotation array<double>, translation array<double>")
 
 
+def rigid_of(h: np.ndarray, source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The turn and the shift of least squares from the covariance of sources and targets (3 x 3) and their means; never a mirror image."""
+    u, _, vt = np.linalg.svd(h)
+    turn = vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T)) or 1]) @ u.T
+    return turn, target - turn @ source
+
+
 def apex(points: DataFrame, base: DataFrame) -> DataFrame:
     """The point of each scene farthest from the base point (bx, by, bz); ties: the least id."""
     d = sum((F.col(k) - F.col("b" + k)) ** 2 for k in "xyz")

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform
-from fieldloom.operators.bounding import HIGH, LOW, Sizes, least_distance, met
-from fieldloom.operators.geometry import SIGN_ERROR, corners, face_table, rigid_fit, winding_number
-from fieldloom.operators.spatial import _around, _d2, held, nearest_join, neighbours
+from fieldloom.operators.bounding import HIGH, LOW, Sizes, by_scene, least_distance, matrix, met
+from fieldloom.operators.geometry import SIGN_ERROR, corners, face_table, rigid_fit, rigid_of, winding_number
+from fieldloom.operators.spatial import _around, _d2, _nearest, nearest_join, neighbours
+from fieldloom.scratch import drop_written, held, scratch_path, written
 
 KEY = ["scene_id", "point_id"]
 
@@ -249,52 +252,156 @@ def plane_equations(pairs: DataFrame) -> DataFrame:
     return rows.groupBy("scene_id").agg(*products, *[F.sum(F.col(f"r{i}") * F.col("b")).alias(f"b{i}") for i in range(6)])
 
 
-def plane_fit(pairs: DataFrame) -> DataFrame:
-    """Rotation (9) and translation (3) per scene of the point-to-plane step: 27 sums per scene (plane_equations), then a 6 x 6 problem of one row.
+def plane_of(a: np.ndarray, b: np.ndarray, most_turn: float = math.inf, most_shift: float = math.inf) -> tuple[np.ndarray, np.ndarray]:
+    """The turn and the shift that solve the normal equations of point-to-plane alignment (6 x 6), each cut to its most; where they leave a direction open, the least solution."""
+    x = np.linalg.lstsq(a, b, rcond=1e-12)[0]
+    angle, size = np.linalg.norm(x[:3]), np.linalg.norm(x[3:])
+    k = x[:3] / angle if angle > 0 else np.zeros(3)
+    angle = min(angle, most_turn)
+    skew = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
+    return np.eye(3) + math.sin(angle) * skew + (1 - math.cos(angle)) * skew @ skew, x[3:] * (min(size, most_shift) / size if size > 0 else 1)
 
-    The turn is the rotation by the solution's first half; where the equations leave a direction open, the least solution."""
+
+def plane_fit(pairs: DataFrame, most_turn: float = math.inf, most_shift: float = math.inf) -> DataFrame:
+    """Rotation (9) and translation (3) per scene of the point-to-plane step: 27 sums per scene (plane_equations), then a 6 x 6 problem of one row (plane_of)."""
 
     def solve(batches):
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
                 a = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)])
-                x = np.linalg.lstsq(a, np.array([r[f"b{i}"] for i in range(6)]), rcond=1e-12)[0]
-                angle = np.linalg.norm(x[:3])
-                k = x[:3] / angle if angle > 0 else np.zeros(3)
-                skew = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
-                turn = np.eye(3) + math.sin(angle) * skew + (1 - math.cos(angle)) * skew @ skew
-                out.append((r["scene_id"], turn.ravel().tolist(), x[3:].tolist()))
+                turn, shift = plane_of(a, np.array([r[f"b{i}"] for i in range(6)]), most_turn, most_shift)
+                out.append((r["scene_id"], turn.ravel().tolist(), shift.tolist()))
             yield pd.DataFrame(out, columns=["scene_id", "rotation", "translation"])
 
     return plane_equations(pairs).mapInPandas(solve, "scene_id bigint, rotation array<double>, translation array<double>")
 
 
-def register_all(sources: DataFrame, targets: DataFrame, rounds: int = 20, tolerance: float = 1e-6, to_plane: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(moved sources, residuals by scene and round): alignment of all scenes at once, point to point, or point to plane (targets with normals n*).
-
-    In each round the scenes that still move look up their nearest targets, sum them up, and turn and shift. A scene rests
-    once its turn and its shift are below tolerance. residuals: round, rmse, mean_abs, angle, shift."""
-    t = targets.select("scene_id", F.col("point_id").alias("nearest_id"), *[F.col(k).alias("t" + k) for k in "xyz"], *(_vec("n") if to_plane else []))
-    now, rested, audit = held(sources.select(*KEY, "x", "y", "z")), [], []
-    for k in range(rounds):
-        near = nearest_join(now, targets).filter("nearest_id is not null").select(*KEY, "nearest_id", "distance")
-        pairs = held(now.join(near, KEY).join(t, ["scene_id", "nearest_id"]))
-        fit = plane_fit(pairs) if to_plane else rigid_fit(pairs)
-        r, s = F.col("rotation"), F.col("translation")
-        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (r[0] + r[4] + r[8] - 1) / 2)))
-        fit = held(fit.select("*", angle.alias("angle"), F.sqrt(s[0] * s[0] + s[1] * s[1] + s[2] * s[2]).alias("shift")))
-        size = pairs.groupBy("scene_id").agg(F.sqrt(F.avg(F.col("distance") ** 2)).alias("rmse"), F.avg("distance").alias("mean_abs"))
-        audit.append(size.join(fit.select("scene_id", "angle", "shift"), "scene_id").select("scene_id", F.lit(k).alias("round"), "rmse", "mean_abs", "angle", "shift"))
-        turned = [r[3 * i] * F.col("x") + r[3 * i + 1] * F.col("y") + r[3 * i + 2] * F.col("z") + s[i] for i in range(3)]
-        moved = held(now.join(fit, "scene_id").select(*KEY, *[m.alias(c) for m, c in zip(turned, "xyz")], ((F.col("angle") < tolerance) & (F.col("shift") < tolerance)).alias("rests")))
-        rested += [now.join(fit.select("scene_id"), "scene_id", "left_anti").select(*KEY, "x", "y", "z"), moved.filter("rests").drop("rests")]
-        now = held(moved.filter("not rests").drop("rests"))
-        if not now.limit(1).count():
+RESIDUALS = ["rmse", "mean_abs", "rmse_moved", "mean_moved", "angle", "shift"]
+ALIGNED = f"scene_id bigint, point_id bigint, x double, y double, z double, round int, {', '.join(c + ' double' for c in RESIDUALS)}"
+
+
+@dataclass
+class Steps:
+    """How register_all moves: at most so many rounds, until turn and shift are below tolerance; to planes, with steps that are cut."""
+
+    rounds: int = 20
+    tolerance: float = 1e-6
+    to_plane: bool = False
+    most_turn: float = math.radians(10)
+    most_shift: float = 0.05
+
+
+def align(p: np.ndarray, q: np.ndarray, normals: np.ndarray | None, steps: Steps) -> tuple[np.ndarray, list[list[float]]]:
+    """Sources p moved onto targets q (in the order of their ids), and the RESIDUALS of each round."""
+    log, items = [], {"r_id": np.arange(len(q)), **{c: q[:, k] for k, c in enumerate(LOW)}}
+    for _ in range(steps.rounds):
+        _, near = _nearest(p, items, 1)
+        t, before = q[near["r_id"]], np.sqrt(near["d2"])
+        if steps.to_plane:
+            n = normals[near["r_id"]]
+            rows = np.concatenate([np.cross(p, n), n], 1)
+            turn, shift = plane_of(rows.T @ rows, rows.T @ (n * (t - p)).sum(1), steps.most_turn, steps.most_shift)
+        else:
+            turn, shift = rigid_of((p - p.mean(0)).T @ (t - t.mean(0)) / len(p), p.mean(0), t.mean(0))
+        p = p @ turn.T + shift
+        after = np.abs((normals[near["r_id"]] * (t - p)).sum(1)) if steps.to_plane else np.sqrt(((t - p) ** 2).sum(1))
+        angle, size = math.acos(max(-1.0, min(1.0, (np.trace(turn) - 1) / 2))), float(np.sqrt((shift**2).sum()))
+        log.append([math.sqrt((before**2).mean()), before.mean(), math.sqrt((after**2).mean()), after.mean(), angle, size])
+        if angle < steps.tolerance and size < steps.tolerance:
             break
-    out, log = now, audit[0]
-    for x in rested:
-        out = out.unionByName(x)
-    for x in audit[1:]:
-        log = log.unionByName(x)
+    return p, log
+
+
+def _aligned(a: pa.Table, b: pa.Table, steps: Steps) -> pa.Table:
+    """The scenes of a pack to their end: moved points, and a row without a point for each round."""
+    order_a, order_b, at_a, at_b = by_scene(a, b, "scene_id")
+    points, ids = matrix(a, ["x", "y", "z"])[order_a], a.column("point_id").to_numpy()[order_a]
+    scenes = a.column("scene_id").to_numpy()[order_a]
+    targets, names = matrix(b, ["x", "y", "z"])[order_b], b.column("point_id").to_numpy()[order_b]
+    normals = matrix(b, ["nx", "ny", "nz"])[order_b] if steps.to_plane else None
+    log = []
+    for (a0, a1), (b0, b1) in zip(at_a, at_b):
+        if b1 > b0:
+            by_id = b0 + np.argsort(names[b0:b1], kind="stable")
+            points[a0:a1], rounds = align(points[a0:a1], targets[by_id], normals[by_id] if steps.to_plane else None, steps)
+            log += [[scenes[a0], k, *r] for k, r in enumerate(rounds)]
+    n, m = len(points), len(log)
+    column = lambda values, empty, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(empty, kind)])
+    later = lambda values, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array(values, kind)])
+    out = {"scene_id": pa.concat_arrays([pa.array(scenes, pa.int64()), pa.array([r[0] for r in log], pa.int64())]), "point_id": column(ids, m, pa.int64())}
+    out |= {c: column(points[:, k], m, pa.float64()) for k, c in enumerate("xyz")} | {"round": later([r[1] for r in log], pa.int32())}
+    return pa.table(out | {c: later([float(r[2 + k]) for r in log], pa.float64()) for k, c in enumerate(RESIDUALS)})
+
+
+def register_all(
+    sources: DataFrame, targets: DataFrame, rounds: int = 20, tolerance: float = 1e-6, to_plane: bool = False, most_turn: float = math.radians(10), most_shift: float = 0.05,
+    scene_rows: int = 10_000, scene_pairs: int = 9_000_000, pack_rows: int = 20_000,
+) -> tuple[DataFrame, DataFrame]:
+    """(moved sources, residuals by scene and round): alignment of all scenes at once, point to point, or point to plane (targets with normals n*; steps of at most most_turn and most_shift).
+
+    In each round the sources of a scene look up their nearest targets, are summed up, and turn and shift. A scene rests once its turn and its shift are
+    below tolerance. residuals: round, rmse and mean_abs of the distances looked up, rmse_moved and mean_moved of what is left after the move (to planes:
+    along the normals), angle, shift. A scene without targets stays where it is, without residuals; so do rows with a coordinate that is null or not finite.
+
+    Scenes of at most scene_rows rows a side and scene_pairs pairs go through all their rounds inside a task, many in a task. The others go round by round
+    as tables in the shared folder: a round reads the last one's table only, and scenes that rest are appended to the result, so the plan is as large in the last round as in the first."""
+    steps = Steps(rounds, tolerance, to_plane, most_turn, most_shift)
+    spark = sources.sparkSession
+    number = lambda df, *more: df.select("scene_id", F.col("point_id").cast("bigint").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", *more)])
+    sound = finite("x") & finite("y") & finite("z")
+    every, t = number(sources), number(targets, *(("nx", "ny", "nz") if to_plane else ())).filter(sound)
+    a = every.filter(sound)
+    t = t.select(*[F.col(c).alias(c) for c in t.columns])
+    n = a.groupBy("scene_id").agg(F.count("*").alias("n_a")).join(t.groupBy("scene_id").agg(F.count("*").alias("n_b")), "scene_id", "left").fillna(0, ["n_b"])
+    big = (F.col("n_b") > 0) & ((F.greatest("n_a", "n_b") > scene_rows) | (F.col("n_a") * F.col("n_b") > scene_pairs))
+    n = held(n.withColumn("big", big))
+    total = n.agg(F.sum(F.when(~F.col("big"), F.col("n_a") + F.col("n_b"))).alias("rows"), F.count_if("big").alias("big")).first()
+    small_a, small_t = a, t
+    if total.big:
+        small_a, small_t = (df.join(n.filter("big").select("scene_id"), "scene_id", "left_anti").select(*df.columns) for df in (a, t))
+    packs = 1 + (total.rows or 0) // pack_rows
+    pack = lambda df: df.withColumn("pack", F.pmod(F.xxhash64("scene_id"), F.lit(packs))).groupBy("pack")
+    done = written(pack(small_a).cogroup(pack(small_t)).applyInArrow(lambda p, q: _aligned(p, q, steps), ALIGNED), "aligned")
+    out, log = done.filter("point_id is not null").select(*KEY, "x", "y", "z"), done.filter("round is not null").select("scene_id", "round", *RESIDUALS)
+    out = out.unionByName(every.filter(~sound))
+    if total.big:
+        of = lambda df: df.join(n.filter("big").select("scene_id"), "scene_id", "left_semi").select(*df.columns)
+        path = _rounds(of(a), of(t), steps)
+        out = out.unionByName(spark.read.schema(out.schema).parquet(f"{path}/rested"))
+        log = log.unionByName(spark.read.schema(log.schema).parquet(f"{path}/residuals"))
     return out, log
+
+
+def _rounds(sources: DataFrame, targets: DataFrame, steps: Steps) -> str:
+    """The folder of the tables `rested` and `residuals` of large scenes, to which each round appends."""
+    path = scratch_path(sources.sparkSession, "registration")
+    t = written(targets, "registration-targets")
+    matched = t.select("scene_id", F.col("point_id").alias("nearest_id"), *[F.col(k).alias("t" + k) for k in "xyz"], *(_vec("n") if steps.to_plane else []))
+    now = written(sources, "registration-round")
+    r, s = F.col("rotation"), F.col("translation")
+    turned = [r[3 * i] * F.col("x") + r[3 * i + 1] * F.col("y") + r[3 * i + 2] * F.col("z") + s[i] for i in range(3)]
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (r[0] + r[4] + r[8] - 1) / 2)))
+    for k in range(steps.rounds):
+        near = nearest_join(now, t).select(*KEY, "nearest_id", "distance").filter("nearest_id is not null")
+        pairs = written(now.join(near, KEY).join(matched, ["scene_id", "nearest_id"]), "registration-pairs")
+        fit = plane_fit(pairs, steps.most_turn, steps.most_shift) if steps.to_plane else rigid_fit(pairs)
+        fit = written(fit.select("scene_id", "rotation", "translation", angle.alias("angle"), F.sqrt(s[0] * s[0] + s[1] * s[1] + s[2] * s[2]).alias("shift")), "registration-fit")
+        rests = (F.col("angle") < steps.tolerance) & (F.col("shift") < steps.tolerance)
+        moved = pairs.join(fit, "scene_id").withColumns({c: m for m, c in zip(turned, "xyz")}).withColumn("rests", rests if k + 1 < steps.rounds else F.lit(True))
+        moved = written(moved, "registration-moved")
+        left = minus(_vec("t"), _vec())
+        after = F.abs(dot(_vec("n"), left)) if steps.to_plane else norm(left)
+        size = lambda d: [F.sqrt(F.avg(d * d)), F.avg(d)]
+        log = moved.groupBy("scene_id", "angle", "shift").agg(*[c.alias(n) for c, n in zip((*size(F.col("distance")), *size(after)), RESIDUALS)])
+        log.select("scene_id", F.lit(k).alias("round"), *RESIDUALS).write.mode("append").parquet(f"{path}/residuals")
+        moved.filter("rests").select(*KEY, "x", "y", "z").write.mode("append").parquet(f"{path}/rested")
+        for table in (now, pairs, fit):
+            drop_written(table)
+        now = written(moved.filter("not rests").select(*KEY, "x", "y", "z"), "registration-round")
+        drop_written(moved)
+        if not now.limit(1).count():
+            break
+    for table in (now, t):
+        drop_written(table)
+    return path

@@ -176,7 +176,13 @@ def _(spark, sf):
 @query("G25_register_all")
 def _(spark, sf):
     a, b = _two(spark, sf)
-    return r6(H.register_all(a, b)[1], "rmse", "mean_abs", "angle", "shift")
+    return r6(H.register_all(a, b)[1], *H.RESIDUALS)
+
+
+@query("A28_first_residuals", PAIR + ", n AS (SELECT scene_id, point_id, min(d2) AS d2 FROM d GROUP BY 1, 2) SELECT scene_id, 0 AS round, round(sqrt(avg(d2)), 6) AS rmse, round(avg(sqrt(d2)), 6) AS mean_abs FROM n GROUP BY 1")
+def _(spark, sf):
+    a, b = _two(spark, sf)
+    return r6(H.register_all(a, b)[1].filter("round = 0").select("scene_id", "round", "rmse", "mean_abs"), "rmse", "mean_abs")
 
 
 _MEASURED = f"{TORUS}, q AS (SELECT scene_id, sum(sqrt(nx*nx + ny*ny + nz*nz) / 2) a, abs(sum(ax * (by_*cz - bz*cy) + ay * (bz*cx - bx*cz) + az * (bx*cy - by_*cx)) / 6) v FROM n GROUP BY 1)"

@@ -74,3 +74,25 @@ def test_overrides(spark):
     m = lambda **k: F.create_map(*[F.lit(x) for p in k.items() for x in p])
     r = spark.range(1).select(K.deep_update(m(a="1", b="2"), m(b="3", c="4")).alias("new"), K.bad_overrides(m(a="1", b="2"), m(b="3", c="4")).alias("bad")).first()
     assert r.new == {"a": "1", "b": "3"} and r.bad == ["c"]
+
+
+def test_registration_round_by_round_as_in_one_task(spark):
+    """Large scenes, which go through tables, move as small ones do; scenes rest in different rounds, and one has no targets."""
+    r = random.Random(9)
+    shape = [(r.random(), r.random(), r.random()) for _ in range(40)]
+    rows, target = [], []
+    for scene, turn in ((1, 0.0), (2, 0.05), (3, 0.12), (4, 0.3)):
+        rows += [(scene, i, *p) for i, p in enumerate(shape)]
+        flat = lambda x, y: (math.cos(turn) * x - math.sin(turn) * y, math.sin(turn) * x + math.cos(turn) * y)  # noqa: E731, B023
+        target += [(scene, i, *flat(x, y), z, 0.0, 0.6, 0.8) for i, (x, y, z) in enumerate(shape)] if scene < 4 else []
+    rows += [(2, 99, float("nan"), 0.0, 0.0)]
+    a, b = spark.createDataFrame(rows, POINTS), spark.createDataFrame(target, POINTS + ", nx double, ny double, nz double")
+    for to_plane in (False, True):
+        results = []
+        for size in ({}, {"scene_rows": 10}):
+            moved, log = H.register_all(a, b, rounds=6, to_plane=to_plane, **size)
+            results.append(({(p.scene_id, p.point_id): (p.x, p.y, p.z) for p in moved.collect()}, {(p.scene_id, p["round"]): tuple(p[c] for c in H.RESIDUALS) for p in log.collect()}))
+        (at, log), (at_tables, log_tables) = results
+        assert len(at) == 161 and at.keys() == at_tables.keys() and log.keys() == log_tables.keys()
+        assert all(math.dist(at[k], at_tables[k]) < 1e-7 for k in at if k != (2, 99)) and all(math.dist(log[k], log_tables[k]) < 1e-5 for k in log)
+        assert not any(s == 4 for s, _ in log) and (1, 1) not in log and at[4, 3] == shape[3]
