@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fieldloom.functions.scalars import cross, dot, minus, norm, uniform
-from fieldloom.operators.bounding import HIGH, LOW, Reach, Sizes, curve_order, expanded, met, runs_of
+from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform
+from fieldloom.operators.bounding import HIGH, LOW, Reach, Sizes, curve_order, expanded, least_distance, met, runs_of
 from fieldloom.operators.spatial import columns_of, held, in_blocks
 
 
@@ -96,13 +96,37 @@ def plane_contours(vertices: DataFrame, faces: DataFrame, planes: DataFrame) ->
     return c.select("scene_id", "plane_id", "fid", pts.alias("s")).select("scene_id", "plane_id", "fid", *[F.get(F.get("s", F.lit(i)), F.lit(j)).alias(f"{'ab'[i]}{'xyz'[j]}") for i in (0, 1) for j in range(3)])
 
 
-def segment_distance(points: DataFrame, segments: DataFrame, *keys: str) -> DataFrame:
-    """The least distance of each 2-D point (u, v) to the segments (au, av, bu, bv) of its keys; segments of no length are skipped."""
-    du, dv = F.col("bu") - F.col("au"), F.col("bv") - F.col("av")
-    s = segments.withColumn("len2", du * du + dv * dv).filter("len2 > 1e-20")
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("u") - F.col("au")) * du + (F.col("v") - F.col("av")) * dv) / F.col("len2")))
-    d = F.sqrt((F.col("u") - F.col("au") - t * du) ** 2 + (F.col("v") - F.col("av") - t * dv) ** 2)
-    return points.join(s, list(keys), "left").groupBy(*keys, "point_id").agg(F.min(d).alias("distance"))
+def _least_segment(points: np.ndarray, items: dict[str, np.ndarray], counts: list | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The least squared distance of each point (z = 0) to the segments."""
+    a, b = (np.stack([items[p + k] for k in "uv"], 1) for p in "ab")
+    flat = lambda v: np.concatenate([v, np.zeros((len(v), 1))], 1)
+    d, middle = b - a, (a + b) / 2
+
+    def exact(i, j):
+        w = points[i, :2] - a[j]
+        t = np.clip((w * d[j]).sum(1) / (d[j] * d[j]).sum(1), 0, 1)
+        return ((w - t[:, None] * d[j]) ** 2).sum(1)
+
+    d2 = least_distance(points, flat(np.minimum(a, b)), flat(np.maximum(a, b)), flat(middle), np.sqrt((d * d).sum(1)) / 2, exact, counts)
+    return np.arange(len(points)), {"d2": d2}
+
+
+def segment_distance(points: DataFrame, segments: DataFrame, *keys: str, sizes: Sizes | None = None) -> DataFrame:
+    """The least distance of each 2-D point (u, v) to the segments (au, av, bu, bv) of its keys, by blocks and boxes (see bounding.met); segments of no length are skipped, and those with an end that is null or not finite."""
+    one = F.to_json(F.struct(*keys)).alias("place")  # what has equal keys is a scene of its own
+    p = points.select(one, *keys, "point_id", F.col("u").cast("double").alias("x"), F.col("v").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    ends = [p + k for p in "ab" for k in "uv"]
+    s = segments.select(one, *[F.col(c).cast("double").alias(c) for c in ends]).filter((F.col("bu") - F.col("au")) ** 2 + (F.col("bv") - F.col("av")) ** 2 > 1e-20)
+    for c in ends:
+        s = s.filter(finite(c))
+    flat = {n: f("a" + k, "b" + k) for f, names in ((F.least, LOW), (F.greatest, HIGH)) for k, n in zip("uv", names)}
+    s = s.select("*", *[flat.get(n, F.lit(0.0)).alias(n) for n in (*LOW, *HIGH)])
+    return met(p, s, _least_segment, "d2 double", nearest_row, sizes=sizes).select(*keys, "point_id", F.sqrt("d2").alias("distance"))
+
+
+def nearest_row(rows: DataFrame) -> DataFrame:
+    """Of a point's results in several chunks the least distance."""
+    return rows.groupBy("row").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("row", "several")]), F.col("d2")).alias("r")).select("row", "r.*")
 
 
 #: The error of winding numbers that are wanted for their sign: those within it of a half are summed in full again.

@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform
 from fieldloom.operators.bounding import HIGH, LOW, Sizes, by_scene, least_distance, matrix, met
-from fieldloom.operators.geometry import SIGN_ERROR, corners, face_table, rigid_fit, rigid_of, winding_number
-from fieldloom.operators.spatial import _around, _d2, _nearest, nearest_join, neighbours
+from fieldloom.operators.geometry import SIGN_ERROR, corners, face_table, nearest_row, rigid_fit, rigid_of, winding_number
+from fieldloom.operators.spatial import _around, _d2, _nearest, nearest_join, neighbours, radius_sum
 from fieldloom.scratch import drop_written, held, scratch_path, written
 
 KEY = ["scene_id", "point_id"]
@@ -81,11 +81,6 @@ def boxed_triangles(corners_: DataFrame, key: str = "scene_id") -> DataFrame:
     return sound.select("*", *edge)
 
 
-def nearest_row(rows: DataFrame) -> DataFrame:
-    """Of a point's results in several chunks the least distance."""
-    return rows.groupBy("row").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("row", "several")]), F.col("d2")).alias("r")).select("row", "r.*")
-
-
 def triangle_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """(scene_id, point_id, distance) of each point to the surface; null in a scene without faces. Blocks of points meet the blocks of faces that can be nearest (see bounding.met)."""
     p = points.select(*KEY, *[F.col(k).cast("double").alias(k) for k in "xyz"])
@@ -148,6 +143,57 @@ def edge_bend(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return e.select("scene_id", "p", "q", (norm(minus(_vec("q"), _vec("p"))) * F.atan2(norm(cross(f, g)), dot(f, g))).alias("mass"))
 
 
+def signed_bends(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """(scene_id, p, q, px .. qz, bend): the edges of two faces, and the angle between their normals, negative where the surface is hollow."""
+    t = face_table(vertices, faces)
+    sides = F.array(*[F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")) for a, b in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))])
+    e = faces.select("scene_id", "fid", F.explode(sides).alias("e")).join(t, ["scene_id", "fid"]).groupBy("scene_id", "e.p", "e.q")
+    face = F.struct("nx", "ny", "nz", "x", "y", "z")
+    e = e.agg(F.count("*").alias("n"), F.min_by(face, "fid").alias("f"), F.max_by(face, "fid").alias("g")).filter("n = 2")
+    for v in "pq":
+        e = e.join(vertices.select("scene_id", F.col("vid").alias(v), *[F.col(k).alias(v + k) for k in "xyz"]), ["scene_id", v])
+    f, g = ([F.col(f"{s}.n{k}") for k in "xyz"] for s in "fg")
+    above = dot(f, minus([F.col(f"g.{k}") for k in "xyz"], _vec("p")))  # of the second face's centre over the first face
+    bend = F.atan2(norm(cross(f, g)), dot(f, g))
+    return e.select("scene_id", "p", "q", *_vec("p"), *_vec("q"), F.when(above > 0, -bend).otherwise(bend).alias("bend"))
+
+
+def clipped_length(a: list[Column], b: list[Column], c: list[Column], radius: float) -> Column:
+    """The length of what of the segment from a to b lies in the ball around c."""
+    d, w = minus(b, a), minus(a, c)
+    dd, dw, ww = dot(d, d), dot(w, d), dot(w, w) - radius * radius
+    root = F.sqrt(F.greatest(dw * dw - dd * ww, F.lit(0.0)))
+    within = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return F.when((dd > 0) & (dw * dw > dd * ww), (within((-dw + root) / dd) - within((-dw - root) / dd)) * F.sqrt(dd)).otherwise(0.0)
+
+
+def ball_curvature(points: DataFrame, vertices: DataFrame, faces: DataFrame, gauss_radius: float, mean_radius: float) -> DataFrame:
+    """(scene_id, point_id, gauss, mean): in a ball around each point the sum of angle defects of vertices, and half the sum of edge lengths, clipped to the ball, times signed bends.
+
+    Edges are cut into pieces no longer than the radius, whose clipped lengths add up to the edge's; a point and the middle of a piece that its ball
+    reaches are less than 1.5 radii apart, so both meet by cells of that size: an equi-join, with as many pieces as edges have radii."""
+    defects = angle_defect(vertices, faces).join(vertices.select("scene_id", "vid", *_vec()), ["scene_id", "vid"])
+    gauss = radius_sum(points, defects, gauss_radius).select(*KEY, F.col("mass").alias("gauss"))
+    e = signed_bends(vertices, faces)
+    n = F.greatest(F.ceil(norm(minus(_vec("q"), _vec("p"))) / mean_radius), F.lit(1))
+    e = e.withColumn("pieces", n).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
+    along = lambda k, i: F.col("p" + k) + (F.col("q" + k) - F.col("p" + k)) * (F.col("piece") + i) / F.col("pieces")
+    size = 1.5 * mean_radius * (1 + 1e-9)
+    e = e.select("scene_id", "bend", *[along(k, i).alias(f"{v}{k}") for v, i in (("a", 0), ("b", 1)) for k in "xyz"], *[F.floor(along(k, 0.5) / size).alias("c" + k) for k in "xyz"])
+    met_ = _around(points.select(*KEY, *_vec()), size).join(e, ["scene_id", "cx", "cy", "cz"])
+    mean = met_.groupBy(*KEY).agg((F.sum(clipped_length(_vec("a"), _vec("b"), _vec(), mean_radius) * F.col("bend")) / 2).alias("mean"))
+    return points.select(*KEY).join(gauss, KEY, "left").join(mean, KEY, "left").na.fill(0.0, ["gauss", "mean"])
+
+
+def curvature_weight(curvatures: DataFrame, power: float = 0.75, share: float = 0.1) -> DataFrame:
+    """(scene_id, point_id, weight): of each scene's points the shares of |gauss| ** power and of |mean| ** power, mixed by `share` of the second; 0 where a scene has none. They add up to 1."""
+    of = lambda c: F.pow(F.abs(F.col(c)), F.lit(power))
+    total = curvatures.groupBy("scene_id").agg(F.sum(of("gauss")).alias("all_gauss"), F.sum(of("mean")).alias("all_mean"))
+    both = lambda g, m: (1 - share) * F.coalesce(g / F.nullif(F.col("all_gauss"), F.lit(0.0)), F.lit(0.0)) + share * F.coalesce(m / F.nullif(F.col("all_mean"), F.lit(0.0)), F.lit(0.0))
+    whole = both(F.col("all_gauss"), F.col("all_mean"))
+    return curvatures.join(total, "scene_id").select(*KEY, F.coalesce(both(of("gauss"), of("mean")) / F.nullif(whole, F.lit(0.0)), F.lit(0.0)).alias("weight"))
+
+
 def tagged_landmarks(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Centres of each tag's faces; of two tags whose centres are nearest to each other, the mean: (scene_id, tag, other, x, y, z)."""
     centres = face_table(vertices, faces).join(faces.select("scene_id", "fid", "tag"), ["scene_id", "fid"]).groupBy("scene_id", "tag").agg(*[F.avg(k).alias(k) for k in "xyz"])
@@ -159,13 +205,42 @@ def tagged_landmarks(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return pairs.filter("tag < other").join(back, ["scene_id", "tag", "other"], "left_semi")
 
 
-def planar_grid(planes: DataFrame, step: float) -> DataFrame:
-    """Points of a square grid on planes (scene_id, plane_id, o*, u*, v*, side): i and j from 0, within side / 2 of the centre."""
-    n = F.floor(F.col("side") / step + 1e-9)
-    at = lambda name: F.explode(F.sequence(F.lit(0).cast("bigint"), n)).alias(name)
-    rows = planes.select("*", at("i")).select("*", at("j"))
-    a, b = F.col("i") * step - F.col("side") / 2, F.col("j") * step - F.col("side") / 2
-    return rows.select("scene_id", "plane_id", "i", "j", *[(F.col("o" + k) + a * F.col("u" + k) + b * F.col("v" + k)).alias(k) for k in "xyz"])
+def grid_axis(half: Column | float, step: float, offset: str | None, key: list[Column | str]) -> Column:
+    """The places of a grid's points along an axis from -half to half as an array: from -half on (offset None), from up to a step farther (step), or from up to half a step on either side (centred), drawn by the key."""
+    if step <= 0:
+        raise ValueError("the step of a grid has to be positive")
+    half = half if isinstance(half, Column) else F.lit(float(half))
+    if offset is None:
+        first, last = F.lit(0.0), F.floor(2 * half / step + 1e-9)
+    elif offset == "step":
+        first = uniform(*key, F.lit("offset")) * step
+        last = F.floor((2 * half - first) / step + 1e-12 / step)
+    elif offset == "centred":
+        first = (uniform(*key, F.lit("offset")) - 0.5) * step
+        last = F.ceil((2 * half - first) / step + 0.5) - 1
+    else:
+        raise ValueError(f"an offset is None, step or centred, not {offset}")
+    return F.when(last < 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(last, F.lit(0))), lambda i: i * step - half + first))
+
+
+def _lattice(planes: DataFrame, step: float, offset: str | None, axes: list[tuple[str, str, Column | float]]) -> DataFrame:
+    """Points of planes on a lattice of these axes: (name of the place, prefix of the direction, half extent)."""
+    rows = planes
+    for place, _, half in axes:
+        values = grid_axis(half, step, offset, ["scene_id", "plane_id", F.lit(place)])
+        rows = rows.select("*", F.posexplode(values).alias(place, "at_" + place))
+    at = [(F.col("o" + c) + sum(F.col("at_" + place) * F.col(d + c) for place, d, _ in axes)).alias(c) for c in "xyz"]
+    return rows.select("scene_id", "plane_id", *[F.col(place).cast("bigint").alias(place) for place, _, _ in axes], *at)
+
+
+def planar_grid(planes: DataFrame, step: float, offset: str | None = None) -> DataFrame:
+    """Points of a square grid on planes (scene_id, plane_id, o*, u*, v*, side): i and j from 0, within side / 2 of the centre; offsets of both axes as in grid_axis."""
+    return _lattice(planes, step, offset, [("i", "u", F.col("side") / 2), ("j", "v", F.col("side") / 2)])
+
+
+def volume_grid(planes: DataFrame, step: float, half_width: float, offset: str | None = None) -> DataFrame:
+    """Points of a lattice in the slab of planes (scene_id, plane_id, o*, u*, v*, n*: unit normal, side): i, j and k from 0, within side / 2 along u and v and half_width along the normal."""
+    return _lattice(planes, step, offset, [("i", "u", F.col("side") / 2), ("j", "v", F.col("side") / 2), ("k", "n", half_width)])
 
 
 def box_grid(scenes: DataFrame, res: int, half: float = 1.05) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, unit
 from fieldloom.operators.geometry import (
-    apex, area_weighted_centroid, component_faces, corners, covariance, face_table, plane_contours, plane_pairs, plane_stack, segment_distance, surface_points, varifold, winding_number,
+    SIGN_ERROR, apex, area_weighted_centroid, component_faces, corners, covariance, face_table, plane_contours, plane_pairs, plane_stack, segment_distance, surface_points, varifold, winding_number,
 )
 from fieldloom.operators.samples import SURFACES, first_last_mask, mask_stats, stratified_pick, supervision_mask, threshold_counts, valid_shares
-from fieldloom.operators.shapes import ball_points, inside_or_near, jitter, multi_plane_sdf, planar_grid, signed_distance, triangle_distance
+from fieldloom.operators.shapes import ball_points, inside_or_near, jitter, multi_plane_sdf, planar_grid, signed_distance, triangle_distance, volume_grid
 from fieldloom.operators.spatial import columns_of, held, nearest_join, overlap, surface_scores
 from fieldloom.operators.tables import best_patch, centroid, minmax_norm
 
@@ -405,19 +405,23 @@ def landmark_table(vertices: DataFrame, patch_faces: DataFrame, kinds: tuple[str
 def build_slice_samples(
     surfaces: dict[str, tuple[DataFrame, DataFrame]], planes: DataFrame, step: float, n: int, mode: str = "contour", half: float = 0.05, expansion: float = 0.1,
     bands: tuple[float, ...] = (0.02, 0.05, 0.1), bins: int = 6, weights: tuple[float, ...] = (1, 1, 1), supervision: str = "hybrid",
+    offset: str | None = None, depth: float | None = None,
 ) -> DataFrame:
     """Training samples of acquisition planes: (scene_id, plane_id, point_id, x, y, z, source_surface, sdf_*, mask_*), at most n for each plane.
 
-    planes (scene_id, plane_id, o*, n*, u*, v*, side) get a grid; of it stay the points inside epi or near it, and of these n by budget
+    planes (scene_id, plane_id, o*, n*, u*, v*, side) get a grid, or with a depth a lattice that far to both sides (volume_grid), with an offset as in grid_axis; of it stay the points inside epi or near it, and of these n by budget
     of the surfaces. Distances are to the plane's own part of each surface: mode slab, to its faces within `half`; contour, to its
     segments in the plane; volume, to the whole surface. They have the sign of the whole surface, and are 0 with mask 0 where there is no such part."""
-    grid = planar_grid(planes, step)
-    last = F.lit(2**20)
-    grid = grid.withColumn("point_id", (F.col("plane_id") * last + F.col("i")) * last + F.col("j"))
+    if depth is None:
+        last = F.lit(2**20)
+        grid = planar_grid(planes, step, offset).withColumn("point_id", (F.col("plane_id") * last + F.col("i")) * last + F.col("j"))
+    else:
+        last = F.lit(2**16)
+        grid = volume_grid(planes, step, depth, offset).withColumn("point_id", ((F.col("plane_id") * last + F.col("i")) * last + F.col("j")) * last + F.col("k"))
     names = ["scene_id", "plane_id", "point_id", "x", "y", "z"]
     grid = held(grid.select(*names, "i", "j"))
     epi = surfaces["epi"]
-    signed = triangle_distance(grid, *epi).join(winding_number(grid, *epi), ["scene_id", "point_id"])
+    signed = triangle_distance(grid, *epi).join(winding_number(grid, *epi, SIGN_ERROR), ["scene_id", "point_id"])
     near = inside_or_near(signed.withColumn("inside", F.col("sign") < 0), expansion).select("scene_id", "point_id")
     rows = held(grid.join(near, ["scene_id", "point_id"], "left_semi"))
     key = ["scene_id", "plane_id", "point_id"]
@@ -435,7 +439,7 @@ def build_slice_samples(
             segments = cut.select("scene_id", "plane_id", *[c.alias(p + a) for p in "ab" for a, c in zip("uv", coords(p))])
             local = rows.join(flat, ["scene_id", "plane_id"]).select(*key, *[c.alias(a) for a, c in zip("uv", coords(""))])
             d = segment_distance(local, segments, "scene_id", "plane_id")
-            sign = winding_number(rows, v, f).select("scene_id", "point_id", "sign")
+            sign = winding_number(rows, v, f, SIGN_ERROR).select("scene_id", "point_id", "sign")
             d = d.join(sign, ["scene_id", "point_id"]).select(*key, (F.col("distance") * F.col("sign")).alias(f"sdf_{s}"))
             rows = rows.join(d, key, "left")
     rows = held(rows.withColumns({f"dist_{s}": F.abs(f"sdf_{s}") for s in surfaces}))
@@ -457,7 +461,7 @@ def line_compatibility(planes: DataFrame, vertices: DataFrame, faces: DataFrame,
     cut = plane_contours(vertices, faces, planes.select("scene_id", "plane_id", *vec("o"), *vec("n"))).filter("ax is not null and bx is not null").join(frames, ["scene_id", "plane_id"])
     coords = lambda p: [dot(minus(vec(p), vec("o")), vec(a)) for a in "uv"]
     segments = held(cut.select("scene_id", "plane_id", *[c.alias(p + a) for p in "ab" for a, c in zip("uv", coords(p))]))
-    out = points.join(winding_number(points, vertices, faces).select("scene_id", "point_id", "sign"), ["scene_id", "point_id"])
+    out = points.join(winding_number(points, vertices, faces, SIGN_ERROR).select("scene_id", "point_id", "sign"), ["scene_id", "point_id"])
     for plane, name in (("sa_plane", "sdf_sa"), ("la_plane", "sdf_lax")):
         local = points.withColumn("plane_id", F.col(plane)).join(frames, ["scene_id", "plane_id"]).select("scene_id", "plane_id", "point_id", *[c.alias(a) for a, c in zip("uv", coords(""))])
         d = segment_distance(local, segments, "scene_id", "plane_id").select("scene_id", "point_id", F.col("distance").alias(name))

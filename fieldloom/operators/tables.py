@@ -150,8 +150,10 @@ def compat_summary(rows: DataFrame, keys: dict[str, list], thresholds: list[floa
     """A row for each combination of the keys' values and the thresholds, also the empty ones, of rows (keys, distance, sdf_a, sdf_b).
 
     n; mean, median and p95 of distance, of delta = |sdf_a - sdf_b| and of ratio = delta / distance (null at distance 0); the largest delta; the share of ratios above 1; and of the
-    rows where both sdf are known the share whose signs differ. Thresholds are exploded on the rows and summed; only then the grid is joined."""
+    rows where both sdf are known the share whose signs differ. The rows are held once; thresholds are exploded on them and summed, all percentiles
+    come from one ranking by (measure, combination, value), and only then the grid is joined."""
     spark, names = rows.sparkSession, [*keys, "thr"]
+    rows = held(rows.select(*keys, "distance", "sdf_a", "sdf_b"))
     delta = F.abs(F.col("sdf_a") - F.col("sdf_b"))
     r = explode_thresholds(rows, "distance", thresholds).withColumn("delta", delta).withColumn("ratio", F.col("delta") / F.nullif(F.col("distance"), F.lit(0.0)))
     differ = F.when(F.col("sdf_a").isNotNull() & F.col("sdf_b").isNotNull(), (F.signum("sdf_a") != F.signum("sdf_b")).cast("double"))
@@ -160,8 +162,10 @@ def compat_summary(rows: DataFrame, keys: dict[str, list], thresholds: list[floa
         F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in values], F.max("delta").alias("max_delta"),
         F.avg((F.col("ratio") > 1).cast("double")).alias("ratio_above_1"), F.avg(differ).alias("sign_mismatch"),
     )
-    for c in values:
-        sums = sums.join(percentiles(r, names, c, {f"median_{c}": 0.5, f"p95_{c}": 0.95}), names, "left")
+    each = r.select(*names, F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in values])).alias("m")).select(*names, "m.*")
+    ranked = percentiles(each, [*names, "measure"], "value", {"median": 0.5, "p95": 0.95})
+    wide = ranked.groupBy(*names).agg(*[F.max(F.when(F.col("measure") == c, F.col(p))).alias(f"{p}_{c}") for c in values for p in ("median", "p95")])
+    sums = sums.join(wide, names, "left")
     grid = spark.range(1).select(*[F.explode(F.array(*[F.lit(v) for v in vs])).alias(k) for k, vs in list(keys.items())[:1]])
     for k, vs in [*list(keys.items())[1:], ("thr", [float(t) for t in thresholds])]:
         grid = grid.withColumn(k, F.explode(F.array(*[F.lit(v) for v in vs])))

@@ -85,6 +85,25 @@ def _(spark, sf):
     return r6(H.edge_bend(*torus(spark, sf)), "mass")
 
 
+_CLIPPED = """ed AS (SELECT a.scene_id, v.x px, v.y py, v.z pz, w.x - v.x dx, w.y - v.y dy, w.z - v.z dz,
+  atan2(sqrt((a.ny*b.nz-a.nz*b.ny)*(a.ny*b.nz-a.nz*b.ny) + (a.nz*b.nx-a.nx*b.nz)*(a.nz*b.nx-a.nx*b.nz) + (a.nx*b.ny-a.ny*b.nx)*(a.nx*b.ny-a.ny*b.nx)), a.nx*b.nx + a.ny*b.ny + a.nz*b.nz)
+    * CASE WHEN a.nx * (b.x - v.x) + a.ny * (b.y - v.y) + a.nz * (b.z - v.z) > 0 THEN -1 ELSE 1 END AS bend
+  FROM e2 a JOIN e2 b ON a.scene_id = b.scene_id AND a.p = b.p AND a.q = b.q AND a.fid < b.fid JOIN v ON v.scene_id = a.scene_id AND v.vid = a.p JOIN v w ON w.scene_id = a.scene_id AND w.vid = a.q),
+ab AS (SELECT t.scene_id, t.vid, bend, dx*dx + dy*dy + dz*dz AS dd, (px-t.x)*dx + (py-t.y)*dy + (pz-t.z)*dz AS dw, (px-t.x)*(px-t.x) + (py-t.y)*(py-t.y) + (pz-t.z)*(pz-t.z) - 0.49 AS ww FROM v t JOIN ed USING (scene_id)),
+m AS (SELECT scene_id, vid, sum(CASE WHEN dw * dw > dd * ww THEN bend * sqrt(dd) * (greatest(0, least(1, (-dw + sqrt(dw*dw - dd*ww)) / dd)) - greatest(0, least(1, (-dw - sqrt(dw*dw - dd*ww)) / dd))) ELSE 0 END) / 2 AS mean FROM ab GROUP BY 1, 2),
+w AS (SELECT f.scene_id, unnest([v0, v1, v2]) AS vid, unnest([ANGLE_A, ANGLE_B, ANGLE_C]) AS angle FROM f JOIN c USING (scene_id, fid)),
+k AS (SELECT scene_id, vid, 2 * pi() - sum(angle) AS mass FROM w GROUP BY 1, 2),
+g AS (SELECT t.scene_id, t.vid, sum(mass) AS gauss FROM v t JOIN v u ON t.scene_id = u.scene_id AND (t.x-u.x)*(t.x-u.x) + (t.y-u.y)*(t.y-u.y) + (t.z-u.z)*(t.z-u.z) <= 0.81 JOIN k ON k.scene_id = u.scene_id AND k.vid = u.vid GROUP BY 1, 2)"""
+for _name, _corners in (("ANGLE_A", "bac"), ("ANGLE_B", "abc"), ("ANGLE_C", "acb")):
+    _CLIPPED = _CLIPPED.replace(_name, _ANGLE.format(*_corners).replace("by", "by_"))
+
+
+@query("G16_ball_curvature", f"WITH {TORUS.replace('g AS', 'g0 AS', 1).replace('FROM g)', 'FROM g0)').replace('FROM g' + chr(10), 'FROM g0' + chr(10))}, {_BEND.replace('e1 AS (SELECT e0.*, nx, ny, nz', 'e2 AS (SELECT e0.*, nx, ny, nz, x, y, z')}, {_CLIPPED} SELECT scene_id, vid AS point_id, round(gauss, 6) + 0.0 AS gauss, round(mean, 6) + 0.0 AS mean FROM g JOIN m USING (scene_id, vid)")
+def _(spark, sf):
+    v, f = torus(spark, sf)
+    return z6(H.ball_curvature(v.withColumnRenamed("vid", "point_id"), v, f, 0.9, 0.7), "gauss", "mean")
+
+
 @query("G23_tagged_landmarks", f"WITH {TORUS}, m AS (SELECT scene_id, fid // 50 AS tag, avg(x) x, avg(y) y, avg(z) z FROM t GROUP BY 1, 2), o AS (SELECT a.scene_id, a.tag, arg_min(b.tag, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.tag)) AS other FROM m a JOIN m b USING (scene_id) WHERE a.tag <> b.tag GROUP BY 1, 2) SELECT p.scene_id, p.tag, p.other, round((a.x + b.x) / 2, 6) + 0.0 AS x, round((a.y + b.y) / 2, 6) + 0.0 AS y, round((a.z + b.z) / 2, 6) + 0.0 AS z FROM o p JOIN o q ON q.scene_id = p.scene_id AND q.tag = p.other AND q.other = p.tag JOIN m a ON a.scene_id = p.scene_id AND a.tag = p.tag JOIN m b ON b.scene_id = p.scene_id AND b.tag = p.other WHERE p.tag < p.other")
 def _(spark, sf):
     v, f = torus(spark, sf)
@@ -98,6 +117,33 @@ def _(spark, sf):
     return z6(H.planar_grid(planes.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()], (F.col("plane_id") * 0.5).alias("oz")), 0.25), "x", "y", "z")
 
 
+def _tilted(spark, sf):
+    """Planes of two tilts for each scene, with their frame."""
+    planes = _scenes(spark, sf).select("scene_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("plane_id"))
+    fixed = {"ox": 0.0, "oy": 0.0, "ux": 1.0, "uy": 0.0, "uz": 0.0, "vx": 0.0, "vy": 0.6, "vz": 0.8, "nx": 0.0, "ny": -0.8, "nz": 0.6, "side": 1.0}
+    return planes.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()], (F.col("plane_id") * 0.5).alias("oz"))
+
+
+def _axis(name, half, last):
+    first = f"{U('scene_id::varchar', 'p::varchar', chr(39) + name + chr(39), chr(39) + 'offset' + chr(39))} * 0.25"
+    return f"{name}r AS (SELECT scene_id, p, {name}, {name} * 0.25 - {half} + {first} AS a{name} FROM pl, range(12) r({name}) WHERE {name} <= {last.format(first=first)})"
+
+
+@query("G13_volume_grid", "WITH pl AS (SELECT s_suppkey AS scene_id, p FROM supplier, range(2) a(p)), "
+    + ", ".join(_axis(n, h, f"floor(({2 * h} - {{first}}) / 0.25 + 4e-12)") for n, h in (("i", 0.5), ("j", 0.5), ("k", 0.3)))
+    + """ SELECT scene_id, p AS plane_id, i, j, k, round(ai, 6) + 0.0 AS x, round(0.6 * aj - 0.8 * ak, 6) + 0.0 AS y, round(p * 0.5 + 0.8 * aj + 0.6 * ak, 6) + 0.0 AS z
+FROM ir JOIN jr USING (scene_id, p) JOIN kr USING (scene_id, p)""")
+def _(spark, sf):
+    return z6(H.volume_grid(_tilted(spark, sf), 0.25, 0.3, "step"), "x", "y", "z")
+
+
+@query("G13_centred_offset", "WITH pl AS (SELECT s_suppkey AS scene_id, p FROM supplier, range(2) a(p)), "
+    + ", ".join(_axis(n, h, f"ceil(({2 * h} - ({{first}} - 0.125)) / 0.25 + 0.5) - 1").replace(f"- {h} +", f"- {h} - 0.125 +", 1) for n, h in (("i", 0.5), ("j", 0.5)))
+    + """ SELECT scene_id, p AS plane_id, i, j, round(ai, 6) + 0.0 AS x, round(0.6 * aj, 6) + 0.0 AS y, round(p * 0.5 + 0.8 * aj, 6) + 0.0 AS z FROM ir JOIN jr USING (scene_id, p)""")
+def _(spark, sf):
+    return z6(H.planar_grid(_tilted(spark, sf), 0.25, "centred"), "x", "y", "z")
+
+
 @query("G13_box_grid", "SELECT s_suppkey AS scene_id, i::int AS ix, j::int AS iy, k::int AS iz, round((i * 0.3 - 1.05)::double, 6) + 0.0 AS x, round((j * 0.3 - 1.05)::double, 6) + 0.0 AS y, round((k * 0.3 - 1.05)::double, 6) + 0.0 AS z FROM supplier, range(8) a(i), range(8) b(j), range(8) c(k)")
 def _(spark, sf):
     return z6(H.box_grid(_scenes(spark, sf), 8), "x", "y", "z")

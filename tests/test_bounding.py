@@ -145,3 +145,25 @@ def test_winding_numbers_through_blocks(spark):
                     for i, w in enumerate(want[s]):
                         inside = all(lo <= c <= hi for c, lo, hi in zip(p[i], (v * s).min(0), (v * s).max(0)))
                         assert not inside or (abs(got[s, i].w - w) <= error + 1e-9 and (got[s, i].sign == -1) == (abs(w) > 0.5))
+
+
+def test_segments_through_blocks(spark):
+    rng = random.Random(3)
+    points = [(s, n, i, rng.uniform(-1, 1), rng.uniform(-1, 1)) for s in (1, 2) for n in ("a/b", "a") for i in range(40)] + [(9, "a", 1, 0.0, 0.0)]
+    ends = [(s, n, *[rng.uniform(-1, 1) for _ in range(4)]) for s in (1, 2) for n in ("a/b", "a") for _ in range(30)] + [(1, "a", 0.5, 0.5, 0.5, 0.5), (1, "a", None, 0.0, 1.0, 0.0)]
+    p = spark.createDataFrame(points, "scene_id long, name string, point_id long, u double, v double")
+    q = spark.createDataFrame(ends, "scene_id long, name string, au double, av double, bu double, bv double")
+
+    def least(s, n, u, v):
+        out = []
+        for t, m, *e in ends:
+            if (t, m) == (s, n) and None not in e and e[:2] != e[2:]:
+                (a, b), (c, d) = e[:2], e[2:]
+                k = max(0, min(1, ((u - a) * (c - a) + (v - b) * (d - b)) / ((c - a) ** 2 + (d - b) ** 2)))
+                out.append(math.dist((u, v), (a + k * (c - a), b + k * (d - b))))
+        return min(out, default=None)
+
+    for sizes in (None, SMALL):
+        got = {(r.scene_id, r.name, r.point_id): r.distance for r in G.segment_distance(p, q, "scene_id", "name", sizes=sizes).collect()}
+        assert len(got) == len(points) and got.pop((9, "a", 1)) is None
+        assert all(math.isclose(got[s, n, i], least(s, n, u, v), abs_tol=1e-12) for s, n, i, u, v in points[:-1])
