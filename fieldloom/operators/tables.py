@@ -146,6 +146,13 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, floa
     return out.select(*keys, *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")).alias(n) for n in at])
 
 
+def measure_percentiles(rows: DataFrame, keys: list[str], measures: list[str], at: dict[str, float]) -> DataFrame:
+    """(keys, {name}_{measure} for each name of at): the percentiles of several columns from one ranking by (keys, measure, value)."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in measures]))
+    ranked = percentiles(rows.select(*keys, each.alias("m")).select(*keys, "m.*"), [*keys, "measure"], "value", at)
+    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == c, F.col(p))).alias(f"{p}_{c}") for c in measures for p in at])
+
+
 def compat_summary(rows: DataFrame, keys: dict[str, list], thresholds: list[float]) -> DataFrame:
     """A row for each combination of the keys' values and the thresholds, also the empty ones, of rows (keys, distance, sdf_a, sdf_b).
 
@@ -162,10 +169,7 @@ def compat_summary(rows: DataFrame, keys: dict[str, list], thresholds: list[floa
         F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in values], F.max("delta").alias("max_delta"),
         F.avg((F.col("ratio") > 1).cast("double")).alias("ratio_above_1"), F.avg(differ).alias("sign_mismatch"),
     )
-    each = r.select(*names, F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in values])).alias("m")).select(*names, "m.*")
-    ranked = percentiles(each, [*names, "measure"], "value", {"median": 0.5, "p95": 0.95})
-    wide = ranked.groupBy(*names).agg(*[F.max(F.when(F.col("measure") == c, F.col(p))).alias(f"{p}_{c}") for c in values for p in ("median", "p95")])
-    sums = sums.join(wide, names, "left")
+    sums = sums.join(measure_percentiles(r, names, list(values), {"median": 0.5, "p95": 0.95}), names, "left")
     grid = spark.range(1).select(*[F.explode(F.array(*[F.lit(v) for v in vs])).alias(k) for k, vs in list(keys.items())[:1]])
     for k, vs in [*list(keys.items())[1:], ("thr", [float(t) for t in thresholds])]:
         grid = grid.withColumn(k, F.explode(F.array(*[F.lit(v) for v in vs])))
@@ -176,15 +180,16 @@ def intersection_summary(rows: DataFrame, keys: list[str], levels: list[float])
     """Per keys of rows (sdf_sa, sdf_lax): n, mean, median, p95 and largest difference of the two fields, the same of those inside (either sdf at most 0), the
     share of differing signs, and how many differences are within each level."""
     d = F.abs(F.col("sdf_sa") - F.col("sdf_lax"))
+    rows = held(rows.select(*keys, "sdf_sa", "sdf_lax"))
     r = rows.withColumn("delta", d).withColumn("delta_inside", F.when((F.col("sdf_sa") <= 0) | (F.col("sdf_lax") <= 0), F.col("delta")))
     mismatch = (F.signum("sdf_sa") != F.signum("sdf_lax")).cast("double")
     sums = r.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count("delta_inside").alias("n_inside"), F.avg("delta").alias("mean"), F.max("delta").alias("most"), F.avg("delta_inside").alias("mean_inside"),
         F.avg(mismatch).alias("sign_mismatch"), *[F.count_if(F.col("delta") <= t).alias(f"within_{i}") for i, t in enumerate(levels)],
     )
-    whole = percentiles(r, keys, "delta", {"median": 0.5, "p95": 0.95})
-    inside = percentiles(r, keys, "delta_inside", {"median_inside": 0.5, "p95_inside": 0.95})
-    return sums.join(whole, keys, "left").join(inside, keys, "left")
+    ranked = measure_percentiles(r, keys, ["delta", "delta_inside"], {"median": 0.5, "p95": 0.95})
+    names = {"median_delta": "median", "p95_delta": "p95", "median_delta_inside": "median_inside", "p95_delta_inside": "p95_inside"}
+    return sums.join(ranked.withColumnsRenamed(names), keys, "left")
 
 
 def unique_tags(rows: DataFrame, key: str, tag: str) -> DataFrame:

@@ -735,6 +735,24 @@ def _(spark, sf):
     return r6(L.mahalanobis(table(spark, sf, "embeddings").withColumnRenamed("embedding", "code"), "vec_id"), "distance")
 
 
+_SHORT = "s AS (SELECT vec_id, embedding[1]::double AS x, embedding[2]::double AS y, embedding[3]::double AS z FROM embeddings)"
+
+
+@query("L3_mahalanobis_of_three", f"""WITH {_SHORT}, m AS (SELECT avg(x) mx, avg(y) my, avg(z) mz, var_samp(x) + 1e-6 a, covar_samp(x, y) b, covar_samp(x, z) c, var_samp(y) + 1e-6 d, covar_samp(y, z) e, var_samp(z) + 1e-6 f FROM s),
+i AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m),
+v AS (SELECT vec_id, x - mx AS x, y - my AS y, z - mz AS z, i.* EXCLUDE (mx, my, mz) FROM s, i)
+SELECT vec_id, round(sqrt((x * x * (d * f - e * e) + y * y * (a * f - c * c) + z * z * (a * d - b * b) + 2 * x * y * (c * e - b * f) + 2 * x * z * (b * e - c * d) + 2 * y * z * (b * c - a * e)) / det), 6) AS distance FROM v""")
+def _(spark, sf):
+    short = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("code"))
+    return r6(L.mahalanobis(short, "vec_id"), "distance")
+
+
+@query("A25_code_covariance", f"WITH {_SHORT}, n AS (SELECT vec_id, unnest([0, 1, 2]) AS i, unnest([x, y, z]) AS v FROM s) SELECT a.i, b.i AS j, round(covar_samp(a.v, b.v), 9) + 0.0 AS c FROM n a JOIN n b USING (vec_id) WHERE a.i <= b.i GROUP BY 1, 2")
+def _(spark, sf):
+    short = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("code"))
+    return L.covariance_table(short).select("i", "j", (F.round("c", 9) + 0.0).alias("c"))
+
+
 @query("L4_category", "SELECT vec_id, CASE WHEN label % 2 = 0 THEN 'AF' ELSE 'LEU_NORM' END AS category FROM embeddings")
 def _(spark, sf):
     id_ = F.when(F.col("label") % 2 == 0, F.concat(F.lit("AF"), "vec_id")).otherwise(F.concat(F.lit("LEU_NORM_"), "vec_id"))
