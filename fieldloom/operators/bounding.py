@@ -133,6 +133,16 @@ def _reach(a: pa.Table, b: pa.Table, k: int, chunk: int) -> pa.Table:
     return pa.table({"block": left[i], "r_block": right[j], "chunk": (place // chunk).astype(np.int32), "several": many[i] > chunk})
 
 
+def within_reach(a: pa.Table, b: pa.Table, most: float, chunk: int) -> pa.Table:
+    """(block, r_block, chunk, several) of the boxes of one share that are not farther apart than `most`."""
+    left, right = (t.column("block").to_numpy() for t in (a, b))
+    near = between(matrix(a, LOW + HIGH), matrix(b, LOW + HIGH))[0]
+    i, j = np.nonzero(near <= most * most * (1 + 1e-9))
+    many = np.bincount(i, minlength=len(left))
+    place = np.arange(len(i)) - (np.cumsum(many) - many)[i]
+    return pa.table({"block": left[i], "r_block": right[j], "chunk": (place // chunk).astype(np.int32), "several": many[i] > chunk})
+
+
 def candidates(left: DataFrame, right: DataFrame, key: str, run, schema: str, share: int = 256) -> DataFrame:
     """run(boxes of a share of a scene's left blocks, all boxes of its right blocks) for every share."""
     shares = left.groupBy(key).agg(F.ceil(F.count("*") / share).alias("shares"))
@@ -172,10 +182,10 @@ def by_scene(a: pa.Table, b: pa.Table, key: str):
     return order_a, order_b, at_a, at_b
 
 
-def _pack(a: pa.Table, b: pa.Table, run: Run, key: str, names: list[str], schema: pa.Schema) -> pa.Table:
+def _pack(a: pa.Table, b: pa.Table, run: Run, key: str, coordinates: list[str], names: list[str], schema: pa.Schema) -> pa.Table:
     """run for each scene of a pack."""
     order_a, order_b, at_a, at_b = by_scene(a, b, key)
-    points = matrix(a, ["x", "y", "z"])[order_a]
+    points = matrix(a, coordinates)[order_a]
     items = {c: v[order_b] for c, v in _columns(b, {key, "pack"}).items()}
     index, found = [np.zeros(0, np.int64)], []
     for (a0, a1), (b0, b1) in zip(at_a, at_b):
@@ -188,8 +198,8 @@ def _pack(a: pa.Table, b: pa.Table, run: Run, key: str, names: list[str], schema
     return _results(a, np.concatenate(index), values, names, schema)
 
 
-def _block(a: pa.Table, b: pa.Table, run: Run, names: list[str], schema: pa.Schema) -> pa.Table:
-    index, found = run(matrix(a, ["x", "y", "z"]), _columns(b, {"block", "chunk"}))
+def _block(a: pa.Table, b: pa.Table, run: Run, coordinates: list[str], names: list[str], schema: pa.Schema) -> pa.Table:
+    index, found = run(matrix(a, coordinates), _columns(b, {"block", "chunk"}))
     return _results(a, index, found, names, schema)
 
 
@@ -204,16 +214,16 @@ class Reach:
 
 def met(
     left: DataFrame, right: DataFrame, run: Run, results: str, merge: Callable[[DataFrame], DataFrame], k: int = 1, sizes: Sizes | None = None,
-    reach: Reach | None = None,
+    reach: Reach | None = None, more: tuple[str, ...] = (),
 ) -> DataFrame:
     """left (scene, id, x, y, z and more) with the columns `results` that run gives for its points and the items of its scene.
 
-    The first column of both sides is the scene. Items have the box lx .. hz and what run needs. run gets points and items
+    The first column of both sides is the scene. Items have the box lx .. hz and what run needs. run gets points (x, y, z and the columns `more` of left) and items
     and gives, for places among the points, the results; rows without any, and points with a coordinate that is null or not finite, get nulls. A point that meets its items in several chunks has
     results of each, which merge puts together: it gets them with `row`, the point's number. Without a reach, blocks meet that can hold one of
     the k nearest items of a point (in_reach)."""
     sizes = sizes or Sizes()
-    key, names = left.columns[0], left.columns
+    key, names, coordinates = left.columns[0], left.columns, ["x", "y", "z", *more]
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, where both sides come from one table
     n = left.groupBy(key).agg(F.count("*").alias("n_left")).join(right.groupBy(key).agg(F.count("*").alias("n_right")), key, "left").fillna(0, ["n_right"])
     big = (F.col("n_left") > sizes.scene_rows) | (F.col("n_right") > sizes.scene_rows) | (F.col("n_left") * F.col("n_right") > sizes.scene_pairs)
@@ -227,13 +237,13 @@ def met(
         small_left, small_right = (df.join(n.filter("big").select(key), key, "left_anti").select(*df.columns) for df in (left, right))
     packs = 1 + (total.rows or 0) // sizes.pack_rows
     pack = lambda df: df.withColumn("pack", F.pmod(F.xxhash64(key), F.lit(packs))).groupBy("pack")
-    out = pack(small_left).cogroup(pack(small_right)).applyInArrow(lambda a, b: _pack(a, b, run, key, names, arrow), schema)
+    out = pack(small_left).cogroup(pack(small_right)).applyInArrow(lambda a, b: _pack(a, b, run, key, coordinates, names, arrow), schema)
     if not total.big:
         return out
     large = n.filter("big")
     of = lambda df, keep: df.join(large.filter(keep).select(key), key, "left_semi").select(*df.columns)
     sound = F.lit(True)
-    for c in "xyz":
+    for c in coordinates:
         sound = sound & F.coalesce(F.abs(c) < float("inf"), F.lit(False))
     lone = of(left, "n_right = 0").unionByName(of(left.filter(~sound), "n_right > 0")).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
     p = blocked(of(left.filter(sound), "n_right > 0"), sizes.left_rows, [F.col(c) for c in "xyz"])
@@ -246,7 +256,7 @@ def met(
     b = b.select(*[F.col(c).alias(c) for c in b.columns])
     partial = StructType([*left.schema.fields, *StructType.fromDDL("row bigint, several boolean").fields, *added.fields])
     partial_arrow, kept = _arrow(partial), [*names, "row", "several"]
-    found = a.groupBy("block", "chunk").cogroup(b.groupBy("block", "chunk")).applyInArrow(lambda s, t: _block(s, t, run, kept, partial_arrow), partial)
+    found = a.groupBy("block", "chunk").cogroup(b.groupBy("block", "chunk")).applyInArrow(lambda s, t: _block(s, t, run, coordinates, kept, partial_arrow), partial)
     found = held(found)
     once = found.filter("not several").select(*names, *added.names)
     return out.unionByName(lone).unionByName(once).unionByName(merge(found.filter("several")).select(*names, *added.names))

@@ -73,19 +73,6 @@ def nearest_join(left: DataFrame, right: DataFrame, **options) -> DataFrame:
     return neighbours(left, right, 1, **options).select("scene_id", "point_id", F.col("r_id").alias("nearest_id"), F.sqrt("d2").alias("distance"))
 
 
-def in_blocks(a: DataFrame, b: DataFrame, run, schema: str, a_rows: int = 4_000, b_rows: int = 4_000) -> DataFrame:
-    """run(rows of a, rows of b), Arrow tables, for every two shares of a scene of about so many rows: every pair of rows meets once, in a task that holds two shares."""
-    shares = lambda df, rows, name: df.groupBy("scene_id").agg(F.ceil(F.count("*") / rows).alias(name))
-    n = shares(a, a_rows, "parts_a").join(shares(b, b_rows, "parts_b"), "scene_id")
-    to = lambda name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
-    own = lambda df, name: F.pmod(F.xxhash64(*[c for c, t in df.dtypes if t in ("bigint", "int", "double", "float", "string")]), F.col(name))
-    left = a.join(n, "scene_id").withColumns({"share_a": own(a, "parts_a"), "share_b": to("parts_b")}).drop("parts_a", "parts_b")
-    right = b.join(n, "scene_id").withColumns({"share_b": own(b, "parts_b"), "share_a": to("parts_a")}).drop("parts_a", "parts_b")
-    keys = ["scene_id", "share_a", "share_b"]
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, where both sides come from one table
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda p, q: run(p, q), schema)
-
-
 def columns_of(table: pa.Table, *names: str) -> np.ndarray:
     """The columns side by side, as double."""
     return np.stack([table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], 1).reshape(table.num_rows, len(names))

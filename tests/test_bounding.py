@@ -167,3 +167,23 @@ def test_segments_through_blocks(spark):
         got = {(r.scene_id, r.name, r.point_id): r.distance for r in G.segment_distance(p, q, "scene_id", "name", sizes=sizes).collect()}
         assert len(got) == len(points) and got.pop((9, "a", 1)) is None
         assert all(math.isclose(got[s, n, i], least(s, n, u, v), abs_tol=1e-12) for s, n, i, u, v in points[:-1])
+
+
+def test_varifold_through_blocks(spark):
+    rng = np.random.default_rng(8)
+    sides = [[(1, *map(float, rng.uniform(0, 3, 3)), *map(float, rng.normal(size=3)), float(rng.random())) for _ in range(60)] for _ in range(2)] + [[], []]
+    schema = "scene_id long, x double, y double, z double, nx double, ny double, nz double, area double"
+    a, b = (spark.createDataFrame(s + [(2, *s[0][1:])], schema) for s in sides[:2])
+    gamma = 6.0
+
+    def k(p, q):
+        p, q = np.array(p)[:, 1:], np.array(q)[:, 1:]
+        return (np.exp(-gamma * ((p[:, None, :3] - q[None, :, :3]) ** 2).sum(-1)) * (p[:, 3:6] @ q[:, 3:6].T) * p[:, 6:] * q[None, :, 6]).sum()
+
+    want = {1: k(sides[0], sides[0]) + k(sides[1], sides[1]) - 2 * k(*sides[:2]), 2: sum(k([s[0]], [s[0]]) for s in sides[:2]) - 2 * k([sides[0][0]], [sides[1][0]])}
+    for sizes in (None, SMALL):
+        got = {r.scene_id: r.distance for r in G.varifold(a, b, gamma, sizes=sizes).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], abs_tol=1e-9) for s in want)
+        for cut in (1e-3, 0.3):
+            for r in G.varifold(a, b, gamma, cut, sizes).collect():
+                assert abs(r.distance - want[r.scene_id]) <= r.left_out
