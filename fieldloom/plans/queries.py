@@ -708,9 +708,14 @@ def _(spark, sf):
     return z6(G.winding_number(wide(spark, sf), *torus(spark, sf)), "w")
 
 
-@query("G24_rigid_fit")
+@query("G24_rigid_fit", f"WITH {SAMPLES} SELECT DISTINCT scene_id, [0.6::double, -0.8, 0, 0.8, 0.6, 0, 0, 0, 1] AS rotation, [1.0::double, 0, 2] AS translation FROM s")
 def _(spark, sf):
     s = samples(spark, sf)
+    plain = lambda c: F.transform(c, lambda x: F.round(x, 6) + 0.0).alias(c)
+    return _rigid(s).select("scene_id", plain("rotation"), plain("translation"))
+
+
+def _rigid(s):
     return G.rigid_fit(s.select("scene_id", "x", "y", "z", (0.6 * F.col("x") - 0.8 * F.col("y") + 1).alias("tx"), (0.8 * F.col("x") + 0.6 * F.col("y")).alias("ty"), (F.col("z") + 2).alias("tz")))
 
 

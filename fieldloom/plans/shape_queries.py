@@ -344,13 +344,26 @@ def _(spark, sf):
     return r6(Z.score_rows(*_two(spark, sf), grid, tau=0.15), "value")
 
 
-@query("C6_with_varifold")
+_APART = "(a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z{0})*(a.z-b.z{0})"
+_KERNEL = "SELECT a.scene_id, sum(exp(-0.5 * (" + _APART + ")) * (a.nx*b.nx + a.ny*b.ny + a.nz*b.nz) * a.area * b.area) k FROM t a JOIN t b USING (scene_id) GROUP BY 1"
+_NEAREST = "SELECT a.scene_id, a.fid, sqrt(min(" + _APART + ")) AS d FROM t a JOIN t b USING (scene_id) GROUP BY 1, 2"
+
+
+@query("C6_with_varifold", f"""WITH {SAMPLES}, {TORUS}, ka AS ({_KERNEL.format('')}), kb AS ({_KERNEL.format('-0.1')}), da AS ({_NEAREST.format('-0.1')}), db AS ({_NEAREST.format('+0.1')}),
+tau AS (SELECT scene_id, 0.01 * sqrt((max(x)-min(x))*(max(x)-min(x)) + (max(y)-min(y))*(max(y)-min(y)) + (max(z)-min(z))*(max(z)-min(z))) AS tau FROM t GROUP BY 1),
+fa AS (SELECT scene_id, avg(d) m1, max(d) h1, avg((d < tau)::int) rc FROM da JOIN tau USING (scene_id) GROUP BY 1), fb AS (SELECT scene_id, avg(d) m2, max(d) h2, avg((d < tau)::int) pr FROM db JOIN tau USING (scene_id) GROUP BY 1),
+o AS (SELECT scene_id, count(*) FILTER (WHERE sdf_epi <= 0 AND sdf_lv <= 0) b, count(*) FILTER (WHERE sdf_epi <= 0) p, count(*) FILTER (WHERE sdf_lv <= 0) g FROM s GROUP BY 1),
+w AS (SELECT scene_id, (m1 + m2) / 2 AS chamfer, m1 + m2 AS chamfer_sum, greatest(h1, h2) AS hausdorff, pr AS precision, rc AS recall, CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END AS f1,
+  (2 * b + 1e-8) / (p + g + 1e-8) AS dice, (b + 1e-8) / (p + g - b + 1e-8) AS iou, 2 * ka.k - 2 * kb.k AS varifold
+  FROM fa FULL JOIN fb USING (scene_id) FULL JOIN o USING (scene_id) FULL JOIN ka USING (scene_id) FULL JOIN kb USING (scene_id))
+""" + " UNION ALL ".join(f"SELECT scene_id, '{m}' AS metric, round({m}, 5) + 0.0 AS value FROM w" for m in (*_METRICS6, "varifold")))
 def _(spark, sf):
     t = G.face_table(*torus(spark, sf))
     points = t.withColumnRenamed("fid", "point_id")
     moved = lambda df: df.withColumn("z", F.col("z") + 0.1)
     grid = samples(spark, sf).select("scene_id", F.col("sdf_epi").alias("sdf_pred"), F.col("sdf_lv").alias("sdf_gt"))
-    return r6(Z.score_rows(points, moved(points), grid, faces=(t, moved(t)), gamma=0.5), "value")
+    out = Z.score_rows(points, moved(points), grid, faces=(t, moved(t)), gamma=0.5)
+    return out.withColumn("value", F.round("value", 5) + 0.0)
 
 
 @query("C8_slice_compatibility", PAIR + ", f AS (SELECT scene_id, point_id, sqrt(min(d2)) AS d FROM d GROUP BY 1, 2) SELECT thr, count(*) AS n, round(avg(d), 6) AS mean, round(median(d), 6) AS median, round(quantile_cont(d, 0.95), 6) AS p95 FROM f, (VALUES (0.1::double), (0.2::double), (0.4::double)) t(thr) WHERE d <= thr GROUP BY 1")

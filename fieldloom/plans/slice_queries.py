@@ -83,12 +83,15 @@ def _(spark, sf):
     return Z.contour_curvature(G.plane_contours(v, f, level_plane(spark, sf, 0.11))).select("scene_id", "fid", F.round("curvature", 5).alias("curvature"))
 
 
-@query("G12_curvature_on_grid")
+@query("G12_curvature_on_grid", f"""WITH {SAMPLES}, {TORUS}, {_CURVED}, cu AS (SELECT k.scene_id, fid, (ax + bx) / 2 mx, (ay + "by") / 2 my, (coalesce(wa.v, 0) + coalesce(wb.v, 0)) / 2 AS curvature FROM k
+LEFT JOIN w wa ON wa.scene_id = k.scene_id AND wa.kx = round(ax, 9) + 0.0 AND wa.ky = round(ay, 9) + 0.0 AND wa.kz = round(az, 9) + 0.0
+LEFT JOIN w wb ON wb.scene_id = k.scene_id AND wb.kx = round(bx, 9) + 0.0 AND wb.ky = round("by", 9) + 0.0 AND wb.kz = round(bz, 9) + 0.0)
+SELECT s.scene_id, point_id, round(arg_min(curvature, ((x - mx)*(x - mx) + (y - my)*(y - my), fid)), 5) AS curvature FROM s JOIN cu USING (scene_id) GROUP BY 1, 2""")
 def _(spark, sf):
     v, f = torus(spark, sf)
     curved = Z.contour_curvature(G.plane_contours(v, f, level_plane(spark, sf, 0.11)))
     points = samples(spark, sf).select("scene_id", F.lit(0).alias("plane_id"), "point_id", "x", "y", F.lit(0.11).alias("z"))
-    return r6(Z.curvature_on_grid(points, curved).select("scene_id", "point_id", "curvature"), "curvature")
+    return Z.curvature_on_grid(points, curved).select("scene_id", "point_id", F.round("curvature", 5).alias("curvature"))
 
 
 def crossing_planes(spark, sf):
