@@ -8,6 +8,7 @@ index's place. A document is read by its index entry alone, with the dictionary
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -89,7 +90,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        model = __import__("json").loads(self.tokenizer.to_str())
+        model = json.loads(self.tokenizer.to_str())
         pre = model.get("pre_tokenizer") or {}
         added = [t["content"] for t in model.get("added_tokens", [])]
         self.by_piece = model.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(set(" \n.,") & set(t) for t in added) and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in model.get("added_tokens", []))
@@ -144,30 +145,32 @@ def filesystem(folder: str):
     return pafs.FileSystem.from_uri(folder if re.match(r"[a-z0-9+.-]+://|file:", folder) else f"file://{folder}")
 
 
-def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, sample_rows: int, sample_bytes: int, size: int) -> bytes:
-    """A dictionary from the id arrays of a sample: of the first sample_rows rows by hash those that fit, whole, into sample_bytes of text.
+def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, sample_rows: int, sample_bytes: int, size: int) -> tuple[bytes, int]:
+    """A dictionary from the id arrays of a sample, of the first sample_rows rows by hash those that fit, whole, into sample_bytes of text; and the bytes of all texts, counted on the way.
 
     A text that does not fit is skipped, and one of more than a sixteenth of the bytes never enters, so that no single text displaces the others."""
-    sample = docs.select(F.xxhash64(F.lit(3), F.col(id_col), F.length(text_col)).alias("h"), F.col(id_col).alias("id"), F.octet_length(text_col).alias("bytes")).filter(F.col("bytes") <= sample_bytes // 16)
+    counted = Observation()
+    sample = docs.observe(counted, F.sum(F.octet_length(text_col)).alias("bytes")).select(F.xxhash64(F.lit(3), F.col(id_col), F.length(text_col)).alias("h"), F.col(id_col).alias("id"), F.octet_length(text_col).alias("bytes")).filter(F.col("bytes") <= sample_bytes // 16)
     room, ids = sample_bytes, set()
     for r in sample.orderBy("h", "id", "bytes").limit(sample_rows).collect():  # ids and sizes of at most sample_rows rows
         if r.bytes <= room and r.id is not None and (r.id, r.bytes) not in ids:
             ids.add((r.id, r.bytes))
             room -= r.bytes
+    total = counted.get["bytes"] or 0
     near = docs.sparkSession.createDataFrame(sorted(ids), "sample_id bigint, sample_bytes int")
     texts = docs.join(F.broadcast(near), (F.col(id_col) == F.col("sample_id")) & (F.octet_length(text_col) == F.col("sample_bytes")))
     texts = texts.groupBy("sample_id", "sample_bytes").agg(F.min(text_col).alias("text"))  # one text for each: sample_bytes at most
     enc = encoder(tokenizer)
     texts = sorted(r.text for r in texts.collect() if r.text)
     if not texts:
-        return b""
+        return b"", total
     ids, at = enc.encode(pa.array(texts, pa.string()))
     ids = np.insert(ids, at[1:], end_id).astype(f"<u{enc.width}")
     at = at + np.arange(len(at))
     try:
-        return zstandard.train_dictionary(size, [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]).as_bytes()
+        return zstandard.train_dictionary(size, [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]).as_bytes(), total
     except zstandard.ZstdError:  # too few samples: without a dictionary
-        return b""
+        return b"", total
 
 
 def _write_shard(batches, folder: str, tokenizer: str, dictionary: bytes, end_id: int, level: int, batch_bytes: int):
@@ -206,7 +209,7 @@ def _write_shard(batches, folder: str, tokenizer: str, dictionary: bytes, end_id
 
 def write_tokens(
     docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shards: int | None = None,
-    level: int = 3, sample_rows: int = 2_000, sample_bytes: int = 8 << 20, dictionary_bytes: int = 112_640, batch_bytes: int = 12 << 20,
+    level: int = 3, sample_rows: int = 2_000, sample_bytes: int = 8 << 20, dictionary_bytes: int = 112_640, batch_bytes: int = 12 << 20, shard_bytes: int = 256 << 20,
 ) -> DataFrame:
     """Encode docs in ascending id order (null ids first, as the least 64-bit value) and write shards; the manifest (path, shard, n_docs, n_tokens).
 
@@ -216,13 +219,13 @@ def write_tokens(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dictionary = train_dictionary(docs, "id", "text", tokenizer, end_id, sample_rows, sample_bytes, dictionary_bytes)
+    dictionary, n_bytes = train_dictionary(docs, "id", "text", tokenizer, end_id, sample_rows, sample_bytes, dictionary_bytes)
     key = hashlib.sha256(dictionary).digest()
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/{key.hex()}.dict") as out:
         out.write(dictionary)
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n_bytes // shard_bytes)
 
     run = lambda batches: _write_shard(batches, folder, tokenizer, dictionary, end_id, level, batch_bytes)
     ordered = docs.repartitionByRange(shards, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
