@@ -735,6 +735,26 @@ def _(spark, sf):
     return L.pca(table(spark, sf, "embeddings").withColumnRenamed("embedding", "code"))[0].select("vec_id", "label", "scores")
 
 
+_TURNED = """two AS (SELECT vec_id, embedding[1]::double AS x, embedding[2]::double AS y FROM embeddings), mo AS (SELECT avg(x) mx, avg(y) my, var_samp(x) a, covar_samp(x, y) b, var_samp(y) d FROM two),
+ei AS (SELECT *, 0.5 * atan2(2 * b, a - d) AS turn, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS l1, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b) AS l2 FROM mo)"""
+
+
+def _two_wide(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("code"))
+
+
+@query("L1_pca_of_two", f"WITH {_TURNED} SELECT vec_id, round(abs((x - mx) * cos(turn) + (y - my) * sin(turn)), 6) AS first, round(abs((y - my) * cos(turn) - (x - mx) * sin(turn)), 6) AS second FROM two, ei")
+def _(spark, sf):
+    scores = L.pca(_two_wide(spark, sf))[0]
+    return scores.select("vec_id", *[F.round(F.abs(F.col("scores")[i]), 6).alias(n) for i, n in enumerate(("first", "second"))])
+
+
+@query("L2_shares_of_two", f"WITH {_TURNED} SELECT i AS component, round(CASE i WHEN 0 THEN l1 ELSE l2 END / (l1 + l2), 9) AS share, CASE WHEN l1 / (l1 + l2) >= 0.95 THEN 1 ELSE 2 END AS effective FROM ei, range(2) r(i)")
+def _(spark, sf):
+    shares = L.pca(_two_wide(spark, sf))[1]
+    return spark.createDataFrame([(i, round(float(s), 9), L.effective_dimension(shares)) for i, s in enumerate(shares)], "component long, share double, effective int")
+
+
 @query("L3_mahalanobis")
 def _(spark, sf):
     return r6(L.mahalanobis(table(spark, sf, "embeddings").withColumnRenamed("embedding", "code"), "vec_id"), "distance")
