@@ -199,8 +199,8 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, span: int, batches: int, group_rows: int, batch_bytes: int, part_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(rows (id, content, key), covered stretches (key, start, end)); key is a 64-bit hash of the content."""
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, span: int, batches: int, group_rows: int, batch_bytes: int, part_bytes: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(rows (id, content, key), covered stretches (key, start, end), the tables that these read); key is a 64-bit hash of the content."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("content"))
     rows = rows.withColumn("key", F.xxhash64("content"))
     run = lambda it: _entries(it, span, length, batch_bytes)
@@ -223,6 +223,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, spa
     texts = rows.select("key", "content").join(asked, "key")
     near = texts.mapInArrow(lambda it: _surroundings(it, length, span), "fp bigint, key bigint, pos int, left int, bytes binary").dropDuplicates(["fp", "key", "pos"])
     near = written(near, "suffix-near")
+    drop_written(asked)
     sizes = near.groupBy("fp").agg(F.count("*").alias("rows"))
     large = written(sizes.filter(F.col("rows") > group_rows).select("fp"), "suffix-large")
     # a part holds about part_bytes of surroundings, and at most one anchor's group_rows more
@@ -234,7 +235,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int, spa
     strings = near.join(large, "fp").select("fp", "key", "pos", "left", "bytes").mapInArrow(lambda it: _strings(it, span, length), "code bigint, key bigint, start int")
     both = strings.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code")
     many = strings.join(both, "code").select("key", "start", (F.col("start") + length).alias("end")).distinct()
-    return rows, whole.union(found).union(many)
+    return rows, whole.union(found).union(many), [entries, again, near, large]
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, span: int = 160, batches: int = 4, group_rows: int = 20_000, batch_bytes: int = 1 << 20, part_bytes: int = 4 << 20) -> DataFrame:
@@ -244,8 +245,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same row or another, is removed; all rows are judged as they came, so both of two copies lose it. Runs that touch
     are one span. Rows with equal ids are rows of their own. Strings are compared by 64-bit hashes of all their bytes.
     """
-    rows, spans = repeated_spans(docs, id_col, text_col, length, span, batches, group_rows, batch_bytes, part_bytes)
+    rows, spans, tables = repeated_spans(docs, id_col, text_col, length, span, batches, group_rows, batch_bytes, part_bytes)
     gathered = written(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suffix-spans")
+    for table in tables:
+        drop_written(table)
     kind = dict(docs.dtypes)[id_col]
     joined = rows.join(gathered, "key", "left").select("id", "content", "spans")
     return joined.mapInArrow(_remove, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("id", id_col)
