@@ -174,8 +174,9 @@ def _results(a: pa.Table, index: np.ndarray, found: dict[str, np.ndarray], names
 def by_scene(a: pa.Table, b: pa.Table, key: str):
     """(order of a, order of b, (from, to) of each scene of a in the first, (from, to) in the second)."""
     both = pa.chunked_array([*a.column(key).chunks, *b.column(key).chunks], a.schema.field(key).type).combine_chunks()
-    codes = both.dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(both) else np.zeros(0, np.int64)
-    left, right = codes[: a.num_rows], codes[a.num_rows :]
+    codes = both.dictionary_encode().indices if len(both) else pa.array([], pa.int32())
+    # rows without a scene meet nothing
+    left, right = (c.fill_null(v).to_numpy(zero_copy_only=False) for c, v in ((codes[: a.num_rows], -1), (codes[a.num_rows :], -2)))
     order_a, order_b = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
     scenes = np.unique(left)
     at_a, at_b = (np.stack([np.searchsorted(v, scenes, side) for side in ("left", "right")], 1) for v in (left[order_a], right[order_b]))
@@ -236,7 +237,7 @@ def met(
     if total.big:
         small_left, small_right = (df.join(n.filter("big").select(key), key, "left_anti").select(*df.columns) for df in (left, right))
     packs = 1 + (total.rows or 0) // sizes.pack_rows
-    pack = lambda df: df.withColumn("pack", F.pmod(F.xxhash64(key), F.lit(packs))).groupBy("pack")
+    pack = lambda df: df.withColumn("pack", F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.xxhash64(df.columns[1]).cast("string"))), F.lit(packs))).groupBy("pack")
     out = pack(small_left).cogroup(pack(small_right)).applyInArrow(lambda a, b: _pack(a, b, run, key, coordinates, names, arrow), schema)
     if not total.big:
         return out

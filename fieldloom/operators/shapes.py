@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform
-from fieldloom.operators.bounding import HIGH, LOW, Sizes, by_scene, least_distance, matrix, met
-from fieldloom.operators.geometry import SIGN_ERROR, corners, face_table, nearest_row, rigid_fit, rigid_of, winding_number
+from fieldloom.operators.bounding import LOW, Sizes, by_scene, least_distance, matrix, met
+from fieldloom.operators.geometry import SIGN_ERROR, boxed_triangles, corners, face_table, nearest_row, rigid_fit, rigid_of, winding_number
 from fieldloom.operators.spatial import _around, _d2, _nearest, nearest_join, neighbours, radius_sum
 from fieldloom.scratch import drop_written, held, scratch_path, written
 
@@ -71,16 +71,6 @@ def least_triangle(points: np.ndarray, items: dict[str, np.ndarray], counts: lis
     return np.arange(len(points)), {"d2": d2}
 
 
-def boxed_triangles(corners_: DataFrame, key: str = "scene_id") -> DataFrame:
-    """Triangles (key, fid, ax .. cz) with their boxes, as items of bounding.met; those with a corner that is null or not finite go."""
-    at = [q + k for q in "abc" for k in "xyz"]
-    edge = [f(*[F.col(q + k) for q in "abc"]).alias(n) for f, names in ((F.least, LOW), (F.greatest, HIGH)) for k, n in zip("xyz", names)]
-    sound = corners_.select(key, F.col("fid").cast("bigint").alias("fid"), *[F.col(c).cast("double").alias(c) for c in at])
-    for c in at:
-        sound = sound.filter(finite(c))
-    return sound.select("*", *edge)
-
-
 def triangle_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """(scene_id, point_id, distance) of each point to the surface; null in a scene without faces. Blocks of points meet the blocks of faces that can be nearest (see bounding.met)."""
     p = points.select(*KEY, *[F.col(k).cast("double").alias(k) for k in "xyz"])
@@ -391,8 +381,8 @@ def align(p: np.ndarray, q: np.ndarray, normals: np.ndarray | None, steps: Steps
 def _aligned(a: pa.Table, b: pa.Table, steps: Steps) -> pa.Table:
     """The scenes of a pack to their end: moved points, and a row without a point for each round."""
     order_a, order_b, at_a, at_b = by_scene(a, b, "scene_id")
-    points, ids = matrix(a, ["x", "y", "z"])[order_a], a.column("point_id").to_numpy()[order_a]
-    scenes = a.column("scene_id").to_numpy()[order_a]
+    points = matrix(a, ["x", "y", "z"])[order_a]
+    ids, scenes = (a.column(c).take(pa.array(order_a)).combine_chunks() for c in ("point_id", "scene_id"))
     targets, names = matrix(b, ["x", "y", "z"])[order_b], b.column("point_id").to_numpy()[order_b]
     normals = matrix(b, ["nx", "ny", "nz"])[order_b] if steps.to_plane else None
     log = []
@@ -400,11 +390,11 @@ def _aligned(a: pa.Table, b: pa.Table, steps: Steps) -> pa.Table:
         if b1 > b0:
             by_id = b0 + np.argsort(names[b0:b1], kind="stable")
             points[a0:a1], rounds = align(points[a0:a1], targets[by_id], normals[by_id] if steps.to_plane else None, steps)
-            log += [[scenes[a0], k, *r] for k, r in enumerate(rounds)]
+            log += [[scenes[int(a0)].as_py(), k, *r] for k, r in enumerate(rounds)]
     n, m = len(points), len(log)
     column = lambda values, empty, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(empty, kind)])
     later = lambda values, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array(values, kind)])
-    out = {"scene_id": pa.concat_arrays([pa.array(scenes, pa.int64()), pa.array([r[0] for r in log], pa.int64())]), "point_id": column(ids, m, pa.int64())}
+    out = {"scene_id": pa.concat_arrays([scenes, pa.array([r[0] for r in log], pa.int64())]), "point_id": pa.concat_arrays([ids, pa.nulls(m, pa.int64())])}
     out |= {c: column(points[:, k], m, pa.float64()) for k, c in enumerate("xyz")} | {"round": later([r[1] for r in log], pa.int32())}
     return pa.table(out | {c: later([float(r[2 + k]) for r in log], pa.float64()) for k, c in enumerate(RESIDUALS)})
 
@@ -436,9 +426,9 @@ def register_all(
     if total.big:
         small_a, small_t = (df.join(n.filter("big").select("scene_id"), "scene_id", "left_anti").select(*df.columns) for df in (a, t))
     packs = 1 + (total.rows or 0) // pack_rows
-    pack = lambda df: df.withColumn("pack", F.pmod(F.xxhash64("scene_id"), F.lit(packs))).groupBy("pack")
+    pack = lambda df: df.withColumn("pack", F.pmod(F.xxhash64(F.coalesce("scene_id", "point_id")), F.lit(packs))).groupBy("pack")
     done = written(pack(small_a).cogroup(pack(small_t)).applyInArrow(lambda p, q: _aligned(p, q, steps), ALIGNED), "aligned")
-    out, log = done.filter("point_id is not null").select(*KEY, "x", "y", "z"), done.filter("round is not null").select("scene_id", "round", *RESIDUALS)
+    out, log = done.filter("round is null").select(*KEY, "x", "y", "z"), done.filter("round is not null").select("scene_id", "round", *RESIDUALS)
     out = out.unionByName(every.filter(~sound))
     if total.big:
         of = lambda df: df.join(n.filter("big").select("scene_id"), "scene_id", "left_semi").select(*df.columns)
