@@ -46,7 +46,9 @@ def U(*key):
 # -- sources and sinks
 
 
-@query("S5_split_keys", "WITH k AS (SELECT s_suppkey AS line_no, regexp_replace(regexp_extract(trim('a/' || s_name || CASE WHEN s_suppkey % 2 = 0 THEN '.npy' ELSE '' END), '[^/]*$'), '\\.npy$', '') AS key FROM supplier WHERE s_suppkey % 5 <> 0) SELECT key, min(line_no) AS line_no FROM k GROUP BY key")
+@query("S5_split_keys", "WITH k AS (SELECT s_suppkey AS line_no, "
+    "regexp_replace(regexp_extract(trim('a/' || s_name || CASE WHEN s_suppkey % 2 = 0 THEN '.npy' ELSE '' END), '[^/]*$'), '\\.npy$', '') AS key FROM supplier"
+    " WHERE s_suppkey % 5 <> 0) SELECT key, min(line_no) AS line_no FROM k GROUP BY key")
 def _(spark, sf):
     s = table(spark, sf, "supplier")
     value = F.when(F.col("s_suppkey") % 5 == 0, "# none").otherwise(F.concat(F.lit("a/"), "s_name", F.when(F.col("s_suppkey") % 2 == 0, ".npy").otherwise("")))
@@ -78,12 +80,15 @@ def _(spark, sf):
     return r6(T.normalise_units(samples(spark, sf), meta, ["x", "sdf_epi"]), "x", "sdf_epi").select("scene_id", "point_id", "x", "sdf_epi")
 
 
-@query("P2_center_scale", f"WITH {SAMPLES}, c AS (SELECT scene_id, avg(x) cx, avg(y) cy, avg(z) cz FROM s GROUP BY 1), m AS (SELECT scene_id, point_id, x - cx x, y - cy y, z - cz z FROM s JOIN c USING (scene_id)), r AS (SELECT scene_id, max(sqrt(x*x + y*y + z*z)) r FROM m GROUP BY 1) SELECT scene_id, point_id, round(x / r, 6) + 0.0 x, round(y / r, 6) + 0.0 y, round(z / r, 6) + 0.0 z FROM m JOIN r USING (scene_id)")
+@query("P2_center_scale", f"WITH {SAMPLES}, c AS (SELECT scene_id, avg(x) cx, avg(y) cy, avg(z) cz FROM s"
+    f" GROUP BY 1), m AS (SELECT scene_id, point_id, x - cx x, y - cy y, z - cz z FROM s JOIN c USING (scene_id)), r AS (SELECT scene_id, max(sqrt(x*x + y*y + z*z)) r"
+    f" FROM m GROUP BY 1) SELECT scene_id, point_id, round(x / r, 6) + 0.0 x, round(y / r, 6) + 0.0 y, round(z / r, 6) + 0.0 z FROM m JOIN r USING (scene_id)")
 def _(spark, sf):
     return P.center_scale(samples(spark, sf)).select("scene_id", "point_id", *[(F.round(k, 6) + 0.0).alias(k) for k in "xyz"])
 
 
-@query("P3_apply_rigid", f"WITH {SAMPLES} SELECT scene_id, point_id, round(0.6 * x - 0.8 * y + 1, 6) AS x, round(0.8 * x + 0.6 * y + 2, 6) AS y, round(z + 3, 6) AS z, round(0.6 * x + 0.8 * y + 1, 6) AS rx, round(-0.8 * x + 0.6 * y + 2, 6) AS ry FROM s")
+@query("P3_apply_rigid", f"WITH {SAMPLES} SELECT scene_id, point_id, round(0.6 * x - 0.8 * y + 1, 6) AS x, round(0.8 * x + 0.6 * y + 2, 6) AS y, round(z + 3, 6) AS z, "
+    f"round(0.6 * x + 0.8 * y + 1, 6) AS rx, round(-0.8 * x + 0.6 * y + 2, 6) AS ry FROM s")
 def _(spark, sf):
     p, turn, shift = samples(spark, sf).select("scene_id", "point_id", "x", "y", "z"), [0.6, -0.8, 0, 0.8, 0.6, 0, 0, 0, 1], [1, 2, 3]
     left, right = (r6(T.apply_rigid(p, turn, shift, right=r), "x", "y", "z") for r in (False, True))
@@ -101,7 +106,8 @@ def _(spark, sf):
     return r6(T.plane_coords(p), "u", "v").select("scene_id", "point_id", "u", "v")
 
 
-@query("P5_project_to_plane", f"WITH {SAMPLES}, d AS (SELECT *, (x - 0.1) * 0.6 + (z - 0.05) * 0.8 AS depth FROM s) SELECT scene_id, point_id, round(depth, 6) AS depth, round(x - depth * 0.6, 6) AS fx, round(y, 6) AS fy, round(z - depth * 0.8, 6) AS fz FROM d")
+@query("P5_project_to_plane", f"WITH {SAMPLES}, d AS (SELECT *, (x - 0.1) * 0.6 + (z - 0.05) * 0.8 AS depth"
+    f" FROM s) SELECT scene_id, point_id, round(depth, 6) AS depth, round(x - depth * 0.6, 6) AS fx, round(y, 6) AS fy, round(z - depth * 0.8, 6) AS fz FROM d")
 def _(spark, sf):
     p = T.project_to_plane(_with_plane(samples(spark, sf), o=(0.1, 0, 0.05), n=(3, 0, 4)))
     return r6(p, "depth", "fx", "fy", "fz").select("scene_id", "point_id", "depth", "fx", "fy", "fz")
@@ -127,7 +133,9 @@ def _(spark, sf):
     return T.mask_filter(samples(spark, sf), "lv").select("scene_id", "point_id")
 
 
-@query("P10_periodic_slabs", f"WITH {SAMPLES}, e AS (SELECT scene_id, min(y) lo, max(y) hi FROM s GROUP BY 1), k AS (SELECT s.scene_id, point_id, y - lo AS rel, hi - lo AS span, floor((y - lo) / 0.21) AS k FROM s JOIN e USING (scene_id)) SELECT scene_id, point_id FROM k WHERE (k * 0.21 < span AND abs(rel - k * 0.21) <= 0.025) OR ((k + 1) * 0.21 < span AND abs(rel - (k + 1) * 0.21) <= 0.025)")
+@query("P10_periodic_slabs", f"WITH {SAMPLES}, e AS (SELECT scene_id, min(y) lo, max(y) hi FROM s"
+    f" GROUP BY 1), k AS (SELECT s.scene_id, point_id, y - lo AS rel, hi - lo AS span, floor((y - lo) / 0.21) AS k FROM s"
+    f" JOIN e USING (scene_id)) SELECT scene_id, point_id FROM k WHERE (k * 0.21 < span AND abs(rel - k * 0.21) <= 0.025) OR ((k + 1) * 0.21 < span AND abs(rel - (k + 1) * 0.21) <= 0.025)")
 def _(spark, sf):
     return P.periodic_slabs(samples(spark, sf), "y", 0.05, 0.21).select("scene_id", "point_id")
 
@@ -137,7 +145,9 @@ def _(spark, sf):
     return T.near_any_band(samples(spark, sf), 0.011).select("scene_id", "point_id")
 
 
-@query("P13_supervision_mask", f"WITH {SAMPLES} SELECT scene_id, point_id, 'hybrid' AS mode, (source_surface = 'epi')::int AS mask_epi, 1 AS mask_lv, (x <> 0)::int AS mask_rv FROM s UNION ALL SELECT scene_id, point_id, 'local', mask_epi, mask_lv, mask_rv FROM s UNION ALL SELECT scene_id, point_id, 'finite', 1, 1, (x <> 0)::int FROM s")
+@query("P13_supervision_mask", f"WITH {SAMPLES} SELECT scene_id, point_id, 'hybrid' AS mode, (source_surface = 'epi')::int AS mask_epi, "
+    f"1 AS mask_lv, (x <> 0)::int AS mask_rv FROM s UNION ALL SELECT scene_id, point_id, 'local', mask_epi, mask_lv, mask_rv FROM s"
+    f" UNION ALL SELECT scene_id, point_id, 'finite', 1, 1, (x <> 0)::int FROM s")
 def _(spark, sf):
     s = samples(spark, sf).withColumn("sdf_rv", F.when(F.col("x") == 0, F.lit(float("inf"))).otherwise(F.col("sdf_rv")))
     out = [s.select("scene_id", "point_id", F.lit(m).alias("mode"), *P.supervision_mask(m)) for m in ("hybrid", "local", "finite")]
@@ -156,7 +166,8 @@ def _(spark, sf):
     return T.with_status(table(spark, sf, "supplier"), "s_nationkey", [1, 2, 3]).select("s_suppkey", "status")
 
 
-@query("P16_degenerate_runs", "WITH b AS (SELECT user_id FROM events GROUP BY user_id, event_type HAVING min(value) <= 0.2) SELECT user_id AS version, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM b) GROUP BY 1")
+@query("P16_degenerate_runs", "WITH b AS (SELECT user_id FROM events GROUP BY user_id, event_type HAVING min(value) <= 0.2) SELECT user_id AS version, count(*) AS n"
+    " FROM events WHERE user_id NOT IN (SELECT user_id FROM b) GROUP BY 1")
 def _(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("version"), F.col("event_type").alias("tag"), "value")
     return X.degenerate_free(e, 0.2).groupBy("version").agg(F.count("*").alias("n"))
@@ -176,13 +187,15 @@ def _(spark, sf):
     return X.match_metadata(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), o, "id", "gender")
 
 
-@query("J2_merge_landmarks", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer)) ON o_custkey = c_custkey")
+@query("J2_merge_landmarks", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders"
+    " WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer)) ON o_custkey = c_custkey")
 def _(spark, sf):
     status = F.when(F.col("o_orderstatus") == "F", "ok").otherwise("failed").alias("status")
     return T.merge_landmarks(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), status), "c_custkey")
 
 
-@query("J3_combine_metrics", f"WITH {METRICS} SELECT organ, round(avg(value), 6) AS chamfer_mean, round(stddev_samp(value), 6) AS chamfer_std, round(avg(other), 6) AS hausdorff_mean, round(stddev_samp(other), 6) AS hausdorff_std FROM m GROUP BY 1")
+@query("J3_combine_metrics", f"WITH {METRICS} SELECT organ, round(avg(value), 6) AS chamfer_mean, round(stddev_samp(value), 6) AS chamfer_std, round(avg(other), "
+    f"6) AS hausdorff_mean, round(stddev_samp(other), 6) AS hausdorff_std FROM m GROUP BY 1")
 def _(spark, sf):
     m = metrics(spark, sf)
     rows = m.select("organ", F.lit("chamfer").alias("metric"), "value").unionByName(m.select("organ", F.lit("hausdorff").alias("metric"), F.col("other").alias("value")))
@@ -216,12 +229,15 @@ def _two(spark, sf):
     return s.filter("mask_epi = 1"), s.filter("mask_lv = 1")
 
 
-@query("J7_nearest_join", PAIR + " SELECT scene_id, point_id, arg_min(r, (d2, r)) AS nearest_id, round(sqrt(min(d2)), 6) AS distance FROM d GROUP BY 1, 2 UNION ALL SELECT scene_id, point_id, NULL, NULL FROM a WHERE scene_id NOT IN (SELECT scene_id FROM b)")
+@query("J7_nearest_join", PAIR + " SELECT scene_id, point_id, arg_min(r, (d2, r)) AS nearest_id, round(sqrt(min(d2)), 6) AS distance FROM d GROUP BY 1, 2"
+    " UNION ALL SELECT scene_id, point_id, NULL, NULL FROM a WHERE scene_id NOT IN (SELECT scene_id FROM b)")
 def _(spark, sf):
     return r6(N.nearest_join(*_two(spark, sf)), "distance")
 
 
-@query("J9_points_in_slab", f"WITH {SAMPLES} SELECT scene_id, plane_id, count(*) AS n, round(avg(d), 6) + 0.0 AS depth FROM (SELECT s.scene_id, plane_id, CASE WHEN plane_id < 5 THEN z - c ELSE 0.6 * x + 0.8 * y - c END AS d FROM s JOIN (SELECT s_suppkey AS scene_id, k AS plane_id, k * 0.33 - 1.003 AS c FROM supplier, range(7) t(k)) USING (scene_id)) WHERE abs(d) <= 0.1 GROUP BY 1, 2")
+@query("J9_points_in_slab", f"WITH {SAMPLES} SELECT scene_id, plane_id, count(*) AS n, round(avg(d), 6) + 0.0 AS depth"
+    f" FROM (SELECT s.scene_id, plane_id, CASE WHEN plane_id < 5 THEN z - c ELSE 0.6 * x + 0.8 * y - c END AS d FROM s"
+    f" JOIN (SELECT s_suppkey AS scene_id, k AS plane_id, k * 0.33 - 1.003 AS c FROM supplier, range(7) t(k)) USING (scene_id)) WHERE abs(d) <= 0.1 GROUP BY 1, 2")
 def _(spark, sf):
     planes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene_id"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("plane_id")).withColumn("c", F.col("plane_id") * 0.33 - 1.003)
     up = F.col("plane_id") < 5
@@ -267,13 +283,20 @@ def _(spark, sf):
     return z6(T.centroid(samples(spark, sf)), "x", "y", "z")
 
 
-@query("A2_area_weighted_centroid", f"WITH {TORUS}, g2 AS (SELECT f.scene_id, (a.x * (1 + a.x / 5) + b.x * (1 + b.x / 5) + c.x * (1 + c.x / 5)) / 3 AS x, (a.z + b.z + c.z) / 3 AS z, b.x * (1 + b.x / 5) - a.x * (1 + a.x / 5) AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x * (1 + c.x / 5) - a.x * (1 + a.x / 5) AS wx, c.y - a.y AS wy, c.z - a.z AS wz FROM f JOIN v a ON a.scene_id = f.scene_id AND a.vid = v0 JOIN v b ON b.scene_id = f.scene_id AND b.vid = v1 JOIN v c ON c.scene_id = f.scene_id AND c.vid = v2), q AS (SELECT *, sqrt((uy*wz-uz*wy)*(uy*wz-uz*wy) + (uz*wx-ux*wz)*(uz*wx-ux*wz) + (ux*wy-uy*wx)*(ux*wy-uy*wx)) / 2 AS area FROM g2) SELECT scene_id, round(sum(area * x) / sum(area), 6) + 0.0 AS x, round(sum(area * z) / sum(area), 6) + 0.0 AS z FROM q GROUP BY 1")
+@query("A2_area_weighted_centroid", f"WITH {TORUS}, "
+    f"g2 AS (SELECT f.scene_id, (a.x * (1 + a.x / 5) + b.x * (1 + b.x / 5) + c.x * (1 + c.x / 5)) / 3 AS x, (a.z + b.z + c.z) / 3 AS z, "
+    f"b.x * (1 + b.x / 5) - a.x * (1 + a.x / 5) AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x * (1 + c.x / 5) - a.x * (1 + a.x / 5) AS wx, c.y - a.y AS wy, c.z - a.z AS wz"
+    f" FROM f JOIN v a ON a.scene_id = f.scene_id AND a.vid = v0 JOIN v b ON b.scene_id = f.scene_id AND b.vid = v1"
+    f" JOIN v c ON c.scene_id = f.scene_id AND c.vid = v2), q AS (SELECT *, "
+    f"sqrt((uy*wz-uz*wy)*(uy*wz-uz*wy) + (uz*wx-ux*wz)*(uz*wx-ux*wz) + (ux*wy-uy*wx)*(ux*wy-uy*wx)) / 2 AS area"
+    f" FROM g2) SELECT scene_id, round(sum(area * x) / sum(area), 6) + 0.0 AS x, round(sum(area * z) / sum(area), 6) + 0.0 AS z FROM q GROUP BY 1")
 def _(spark, sf):
     v, f = torus(spark, sf)  # stretched along x, so that the centroid is not the origin
     return z6(G.area_weighted_centroid(v.withColumn("x", F.col("x") * (1 + F.col("x") / 5)), f), "x", "z").select("scene_id", "x", "z")
 
 
-@query("A3_area_volume", f"WITH {TORUS} SELECT scene_id, round(sum(sqrt(nx*nx + ny*ny + nz*nz) / 2), 6) AS area, round(abs(sum(ax * (by_*cz - bz*cy) + ay * (bz*cx - bx*cz) + az * (bx*cy - by_*cx)) / 6), 6) AS volume FROM n GROUP BY 1")
+@query("A3_area_volume", f"WITH {TORUS} SELECT scene_id, round(sum(sqrt(nx*nx + ny*ny + nz*nz) / 2), 6) AS area, "
+    f"round(abs(sum(ax * (by_*cz - bz*cy) + ay * (bz*cx - bx*cz) + az * (bx*cy - by_*cx)) / 6), 6) AS volume FROM n GROUP BY 1")
 def _(spark, sf):
     return r6(G.measures(*torus(spark, sf)), "area", "volume")
 
@@ -288,7 +311,9 @@ def _(spark, sf):
     return r6(X.mean_std(metrics(spark, sf), ["organ", "version"], population=True), "mean", "std")
 
 
-@query("A7_describe", f"WITH {METRICS} SELECT organ, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS least, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM m GROUP BY 1")
+@query("A7_describe", f"WITH {METRICS} SELECT organ, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS least, "
+    f"round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, "
+    f"0.95), 6) AS p95, max(value) AS most FROM m GROUP BY 1")
 def _(spark, sf):
     return r6(X.describe(metrics(spark, sf), ["organ"], "value"), "mean", "std", "p25", "p50", "p75", "p95")
 
@@ -296,14 +321,22 @@ def _(spark, sf):
 _COMPAT = ", ".join(f"round(avg({c}), 6) AS mean_{c}, round(median({c}), 6) AS median_{c}, round(quantile_cont({c}, 0.95), 6) AS p95_{c}" for c in ("distance", "delta", "ratio"))
 
 
-@query("A9_compat_summary", f"WITH {SAMPLES}, q AS (SELECT source_surface, abs(sdf_epi) AS distance, abs(sdf_lv - sdf_rv) AS delta, abs(sdf_lv - sdf_rv) / nullif(abs(sdf_epi), 0) AS ratio, (sign(sdf_lv) <> sign(sdf_rv))::int AS differ FROM s), g AS (SELECT surface, thr FROM (VALUES ('epi'), ('lv'), ('rv'), ('none')) a(surface), (VALUES (0.01::double), (0.03::double)) b(thr)) SELECT surface, thr, count(distance) AS n, {_COMPAT}, round(max(delta), 6) AS max_delta, round(avg((ratio > 1)::int), 6) AS ratio_above_1, round(avg(differ), 6) AS sign_mismatch FROM g LEFT JOIN q ON source_surface = surface AND distance <= thr GROUP BY 1, 2")
+@query("A9_compat_summary", f"WITH {SAMPLES}, q AS (SELECT source_surface, abs(sdf_epi) AS distance, abs(sdf_lv - sdf_rv) AS delta, "
+    f"abs(sdf_lv - sdf_rv) / nullif(abs(sdf_epi), 0) AS ratio, (sign(sdf_lv) <> sign(sdf_rv))::int AS differ FROM s), g AS (SELECT surface, thr"
+    f" FROM (VALUES ('epi'), ('lv'), ('rv'), ('none')) a(surface), (VALUES (0.01::double), (0.03::double)) b(thr)) SELECT surface, thr, count(distance) AS n, {_COMPAT}, "
+    f"round(max(delta), 6) AS max_delta, round(avg((ratio > 1)::int), 6) AS ratio_above_1, round(avg(differ), 6) AS sign_mismatch FROM g LEFT"
+    f" JOIN q ON source_surface = surface AND distance <= thr GROUP BY 1, 2")
 def _(spark, sf):
     rows = samples(spark, sf).select(F.col("source_surface").alias("surface"), F.abs("sdf_epi").alias("distance"), F.col("sdf_lv").alias("sdf_a"), F.col("sdf_rv").alias("sdf_b"))
     out = T.compat_summary(rows, {"surface": ["epi", "lv", "rv", "none"]}, [0.01, 0.03])
     return r6(out, *[c for c in out.columns if c not in ("surface", "thr", "n")])
 
 
-@query("A10_intersection_summary", f"WITH {SAMPLES}, q AS (SELECT scene_id % 4 AS sa_plane, scene_id % 3 AS lax_plane, source_surface AS organ, abs(sdf_lv - sdf_rv) AS d, CASE WHEN sdf_lv <= 0 OR sdf_rv <= 0 THEN abs(sdf_lv - sdf_rv) END AS i, (sign(sdf_lv) <> sign(sdf_rv))::int AS differ FROM s) SELECT sa_plane, lax_plane, organ, count(*) AS n, count(i) AS n_inside, round(avg(d), 6) AS mean, round(max(d), 6) AS most, round(avg(i), 6) AS mean_inside, round(avg(differ), 6) AS sign_mismatch, count(*) FILTER (WHERE d <= 0.02) AS within_0, count(*) FILTER (WHERE d <= 0.05) AS within_1, round(median(d), 6) AS median, round(quantile_cont(d, 0.95), 6) AS p95, round(median(i), 6) AS median_inside, round(quantile_cont(i, 0.95), 6) AS p95_inside FROM q GROUP BY 1, 2, 3")
+@query("A10_intersection_summary", f"WITH {SAMPLES}, q AS (SELECT scene_id % 4 AS sa_plane, scene_id % 3 AS lax_plane, source_surface AS organ, "
+    f"abs(sdf_lv - sdf_rv) AS d, CASE WHEN sdf_lv <= 0 OR sdf_rv <= 0 THEN abs(sdf_lv - sdf_rv) END AS i, (sign(sdf_lv) <> sign(sdf_rv))::int AS differ"
+    f" FROM s) SELECT sa_plane, lax_plane, organ, count(*) AS n, count(i) AS n_inside, round(avg(d), 6) AS mean, round(max(d), 6) AS most, round(avg(i), "
+    f"6) AS mean_inside, round(avg(differ), 6) AS sign_mismatch, count(*) FILTER (WHERE d <= 0.02) AS within_0, count(*) FILTER (WHERE d <= 0.05) AS within_1, "
+    f"round(median(d), 6) AS median, round(quantile_cont(d, 0.95), 6) AS p95, round(median(i), 6) AS median_inside, round(quantile_cont(i, 0.95), 6) AS p95_inside FROM q GROUP BY 1, 2, 3")
 def _(spark, sf):
     keys = (F.col("scene_id") % 4).alias("sa_plane"), (F.col("scene_id") % 3).alias("lax_plane"), F.col("source_surface").alias("organ")
     rows = samples(spark, sf).select(*keys, F.col("sdf_lv").alias("sdf_sa"), F.col("sdf_rv").alias("sdf_lax"))
@@ -311,28 +344,34 @@ def _(spark, sf):
     return r6(out, "mean", "most", "mean_inside", "sign_mismatch", "median", "p95", "median_inside", "p95_inside")
 
 
-@query("A11_mask_stats", f"WITH {SAMPLES}, k AS (SELECT DISTINCT scene_id, a, b, c FROM s, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b), (VALUES (0), (1)) z(c)) SELECT k.scene_id, a AS mask_epi, b AS mask_lv, c AS mask_rv, count(point_id) AS n FROM k LEFT JOIN s ON s.scene_id = k.scene_id AND mask_epi = a AND mask_lv = b AND mask_rv = c GROUP BY ALL")
+@query("A11_mask_stats", f"WITH {SAMPLES}, k AS (SELECT DISTINCT scene_id, a, b, c"
+    f" FROM s, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b), (VALUES (0), (1)) z(c)) SELECT k.scene_id, a AS mask_epi, b AS mask_lv, c AS mask_rv, count(point_id) AS n"
+    f" FROM k LEFT JOIN s ON s.scene_id = k.scene_id AND mask_epi = a AND mask_lv = b AND mask_rv = c GROUP BY ALL")
 def _(spark, sf):
     return P.mask_stats(samples(spark, sf))
 
 
-@query("A11_valid_shares", f"WITH {SAMPLES} " + " UNION ALL ".join(f"SELECT scene_id, '{s}' AS surface, count(*) FILTER (WHERE mask_{s} = 1) AS n_valid, round(100 * count(*) FILTER (WHERE mask_{s} = 1) / count(*), 6) AS percent FROM s GROUP BY 1" for s in SURFACES))
+@query("A11_valid_shares", f"WITH {SAMPLES} " + " UNION ALL ".join(f"SELECT scene_id, '{s}' AS surface, count(*) FILTER (WHERE mask_{s} = 1) AS n_valid, "
+    f"round(100 * count(*) FILTER (WHERE mask_{s} = 1) / count(*), 6) AS percent FROM s GROUP BY 1" for s in SURFACES))
 def _(spark, sf):
     return r6(P.valid_shares(samples(spark, sf)), "percent")
 
 
-@query("A12_sample_counts", f"WITH {SAMPLES}, p AS (SELECT scene_id, count(*) n, count(*) FILTER (WHERE mask_epi + mask_lv > 0) v FROM s GROUP BY 1) SELECT round(avg(n), 6) AS mean_n, min(n) AS min_n, max(n) AS max_n, round(avg(v), 6) AS mean_valid, round(100 * avg(v) / avg(n), 6) AS mean_percent FROM p")
+@query("A12_sample_counts", f"WITH {SAMPLES}, p AS (SELECT scene_id, count(*) n, count(*) FILTER (WHERE mask_epi + mask_lv > 0) v FROM s"
+    f" GROUP BY 1) SELECT round(avg(n), 6) AS mean_n, min(n) AS min_n, max(n) AS max_n, round(avg(v), 6) AS mean_valid, round(100 * avg(v) / avg(n), 6) AS mean_percent FROM p")
 def _(spark, sf):
     return r6(P.sample_counts(samples(spark, sf).withColumn("mask_rv", F.lit(0))), "mean_n", "mean_valid", "mean_percent")
 
 
-@query("A13_threshold_counts", f"WITH {SAMPLES} SELECT scene_id, " + ", ".join(f"count(*) FILTER (WHERE source_surface = '{s}' AND abs(sdf_{s}) < 0.03) AS n_{s}" for s in SURFACES) + ", count(*) AS n_total FROM s GROUP BY 1")
+@query("A13_threshold_counts", f"WITH {SAMPLES} SELECT scene_id, " + ", ".join(f"count(*) FILTER (WHERE source_surface = '{s}' AND abs(sdf_{s}) < 0.03) AS n_{s}" for s in SURFACES) + ", "
+    "count(*) AS n_total FROM s GROUP BY 1")
 def _(spark, sf):
     s = samples(spark, sf)
     return T.requested_guard(P.threshold_counts(s, 0.03), s)
 
 
-@query("A14_profile", f"WITH {SAMPLES} SELECT " + ", ".join(f"min({k}) AS min_{k}, max({k}) AS max_{k}" for k in "xyz") + ", " + ", ".join(f"min(sdf_{s}) AS min_{s}, max(sdf_{s}) AS max_{s}, round(avg(sdf_{s}), 6) AS avg_{s}" for s in SURFACES) + " FROM s")
+@query("A14_profile", f"WITH {SAMPLES} SELECT " + ", ".join(f"min({k}) AS min_{k}, max({k}) AS max_{k}" for k in "xyz") + ", " + ", ".join(f"min(sdf_{s}) AS min_{s}, "
+    f"max(sdf_{s}) AS max_{s}, round(avg(sdf_{s}), 6) AS avg_{s}" for s in SURFACES) + " FROM s")
 def _(spark, sf):
     return P.profile(samples(spark, sf))
 
@@ -360,7 +399,8 @@ def _(spark, sf):
     return T.grand_table(_genders(spark, sf), "c_mktsegment", "gender", ["F", "M"])
 
 
-@query("A16_histogram", "WITH e AS (SELECT floor(min(o_totalprice) / 10000) * 10000 lo, ceil(max(o_totalprice) / 10000) * 10000 hi FROM orders) SELECT least(floor((o_totalprice - lo) / 10000), greatest(round((hi - lo) / 10000), 1) - 1)::int AS bin, count(*) AS n FROM orders, e GROUP BY 1")
+@query("A16_histogram", "WITH e AS (SELECT floor(min(o_totalprice) / 10000) * 10000 lo, ceil(max(o_totalprice) / 10000) * 10000 hi"
+    " FROM orders) SELECT least(floor((o_totalprice - lo) / 10000), greatest(round((hi - lo) / 10000), 1) - 1)::int AS bin, count(*) AS n FROM orders, e GROUP BY 1")
 def _(spark, sf):
     return X.histogram(table(spark, sf, "orders"), "o_totalprice", 10000)
 
@@ -371,12 +411,17 @@ _DIRECTED = PAIR + ", f AS (SELECT scene_id, point_id, sqrt(min(d2)) d FROM d GR
 _SCORED = _DIRECTED + ", sc AS (SELECT DISTINCT scene_id FROM s WHERE mask_epi = 1 OR mask_lv = 1)"
 
 
-@query("A17_surface_scores", _SCORED + " SELECT scene_id, round((m1 + m2) / 2, 6) AS chamfer, round(m1 + m2, 6) AS chamfer_sum, round(greatest(h1, h2), 6) AS hausdorff, round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END, 6) AS f1 FROM sc LEFT JOIN (ff JOIN gg USING (scene_id)) USING (scene_id)")
+@query("A17_surface_scores", _SCORED + " SELECT scene_id, round((m1 + m2) / 2, 6) AS chamfer, round(m1 + m2, 6) AS chamfer_sum, round(greatest(h1, h2), 6) AS hausdorff, "
+    "round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END, 6) AS f1 FROM sc LEFT JOIN (ff JOIN gg USING (scene_id)) USING (scene_id)")
 def _(spark, sf):
     return r6(N.surface_scores(*_two(spark, sf), tau=0.15), "chamfer", "chamfer_sum", "hausdorff", "precision", "recall", "f1")
 
 
-@query("A20_f1_at_share_of_diagonal", PAIR + ", t AS (SELECT scene_id, 0.1 * sqrt((max(x)-min(x))*(max(x)-min(x)) + (max(y)-min(y))*(max(y)-min(y)) + (max(z)-min(z))*(max(z)-min(z))) AS tau FROM a GROUP BY 1), f AS (SELECT scene_id, point_id, sqrt(min(d2)) d FROM d GROUP BY 1, 2), g AS (SELECT scene_id, r, sqrt(min(d2)) d FROM d GROUP BY 1, 2), ff AS (SELECT scene_id, avg((d < tau)::int) rc FROM f JOIN t USING (scene_id) GROUP BY 1), gg AS (SELECT scene_id, avg((d < tau)::int) pr FROM g JOIN t USING (scene_id) GROUP BY 1) SELECT scene_id, round(pr, 6) AS precision, round(rc, 6) AS recall FROM ff JOIN gg USING (scene_id)")
+@query("A20_f1_at_share_of_diagonal", PAIR + ", t AS (SELECT scene_id, "
+    "0.1 * sqrt((max(x)-min(x))*(max(x)-min(x)) + (max(y)-min(y))*(max(y)-min(y)) + (max(z)-min(z))*(max(z)-min(z))) AS tau FROM a"
+    " GROUP BY 1), f AS (SELECT scene_id, point_id, sqrt(min(d2)) d FROM d GROUP BY 1, 2), g AS (SELECT scene_id, r, sqrt(min(d2)) d FROM d"
+    " GROUP BY 1, 2), ff AS (SELECT scene_id, avg((d < tau)::int) rc FROM f JOIN t USING (scene_id) GROUP BY 1), gg AS (SELECT scene_id, avg((d < tau)::int) pr FROM g"
+    " JOIN t USING (scene_id) GROUP BY 1) SELECT scene_id, round(pr, 6) AS precision, round(rc, 6) AS recall FROM ff JOIN gg USING (scene_id)")
 def _(spark, sf):
     gt, pred = _two(spark, sf)
     tau = N.share_of_diagonal(gt, 0.1)
@@ -384,7 +429,8 @@ def _(spark, sf):
     return f.join(b, "scene_id").select("scene_id", "precision", "recall")
 
 
-@query("A21_overlap", f"WITH {SAMPLES}, n AS (SELECT scene_id, count(*) FILTER (WHERE sdf_epi <= 0 AND sdf_lv <= 0) b, count(*) FILTER (WHERE sdf_epi <= 0) p, count(*) FILTER (WHERE sdf_lv <= 0) g FROM s GROUP BY 1) SELECT scene_id, round((2 * b + 1e-8) / (p + g + 1e-8), 6) AS dice, round((b + 1e-8) / (p + g - b + 1e-8), 6) AS iou FROM n")
+@query("A21_overlap", f"WITH {SAMPLES}, n AS (SELECT scene_id, count(*) FILTER (WHERE sdf_epi <= 0 AND sdf_lv <= 0) b, count(*) FILTER (WHERE sdf_epi <= 0) p, "
+    f"count(*) FILTER (WHERE sdf_lv <= 0) g FROM s GROUP BY 1) SELECT scene_id, round((2 * b + 1e-8) / (p + g + 1e-8), 6) AS dice, round((b + 1e-8) / (p + g - b + 1e-8), 6) AS iou FROM n")
 def _(spark, sf):
     cell = [(F.col("point_id") / 1000).cast("long").alias("ix"), (F.col("point_id") % 1000 / 10).cast("long").alias("iy"), (F.col("point_id") % 10).alias("iz")]
     s = samples(spark, sf).select("scene_id", *cell, "sdf_epi", "sdf_lv")
@@ -392,7 +438,12 @@ def _(spark, sf):
     return r6(N.overlap(both), "dice", "iou")
 
 
-@query("A22_varifold", f"WITH {TORUS}, k AS (SELECT a.scene_id, sum(exp(-0.5 * ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) * (a.nx*b.nx + a.ny*b.ny + a.nz*b.nz) * a.area * b.area) k FROM t a JOIN t b USING (scene_id) GROUP BY 1), q AS (SELECT a.scene_id, sum(exp(-0.5 * ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z-0.1)*(a.z-b.z-0.1))) * (a.nx*b.nx + a.ny*b.ny + a.nz*b.nz) * a.area * b.area) k FROM t a JOIN t b USING (scene_id) GROUP BY 1) SELECT scene_id, round(2 * k.k - 2 * q.k, 5) AS distance FROM k JOIN q USING (scene_id)")
+@query("A22_varifold", f"WITH {TORUS}, k AS (SELECT a.scene_id, "
+    f"sum(exp(-0.5 * ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) * (a.nx*b.nx + a.ny*b.ny + a.nz*b.nz) * a.area * b.area) k FROM t a"
+    f" JOIN t b USING (scene_id)"
+    f" GROUP BY 1), q AS (SELECT a.scene_id, "
+    f"sum(exp(-0.5 * ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z-0.1)*(a.z-b.z-0.1))) * (a.nx*b.nx + a.ny*b.ny + a.nz*b.nz) * a.area * b.area) k FROM t a"
+    f" JOIN t b USING (scene_id) GROUP BY 1) SELECT scene_id, round(2 * k.k - 2 * q.k, 5) AS distance FROM k JOIN q USING (scene_id)")
 def _(spark, sf):
     t = G.face_table(*torus(spark, sf))
     return G.varifold(t, t.withColumn("z", F.col("z") + 0.1), 0.5).select("scene_id", F.round("distance", 5).alias("distance"))
@@ -406,24 +457,32 @@ def _pred(spark, sf):
 PRED = SAMPLES + ", p AS (" + " UNION ALL ".join(f"SELECT scene_id, '{x}' AS surface, sdf_{x} AS gt, mask_{x} AS mask, sdf_{x} + x / 100 AS pred FROM s" for x in SURFACES) + ")"
 
 
-@query("A23_masked_loss", f"WITH {PRED}, k AS (SELECT *, 'l1' AS kind, abs(pred - gt) AS e FROM p UNION ALL SELECT *, 'mse', (pred - gt) * (pred - gt) FROM p UNION ALL SELECT *, 'smooth', CASE WHEN abs(pred - gt) < 1 THEN 0.5 * (pred - gt) * (pred - gt) ELSE abs(pred - gt) - 0.5 END FROM p), l AS (SELECT scene_id, kind, surface, sum(e * mask) / (sum(mask) + 1e-8) AS loss FROM k GROUP BY 1, 2, 3) SELECT scene_id, kind, round(avg(loss), 8) AS loss FROM l GROUP BY 1, 2")
+@query("A23_masked_loss", f"WITH {PRED}, k AS (SELECT *, 'l1' AS kind, abs(pred - gt) AS e FROM p UNION ALL SELECT *, 'mse', (pred - gt) * (pred - gt) FROM p"
+    f" UNION ALL SELECT *, 'smooth', CASE WHEN abs(pred - gt) < 1 THEN 0.5 * (pred - gt) * (pred - gt) ELSE abs(pred - gt) - 0.5 END"
+    f" FROM p), l AS (SELECT scene_id, kind, surface, sum(e * mask) / (sum(mask) + 1e-8) AS loss FROM k GROUP BY 1, 2, 3) SELECT scene_id, kind, round(avg(loss), 8) AS loss FROM l GROUP BY 1, 2")
 def _(spark, sf):
     out = [N.masked_loss(_pred(spark, sf), k).select("scene_id", F.lit(k).alias("kind"), F.round("loss", 8).alias("loss")) for k in ("l1", "mse", "smooth")]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("A24_error_summary", f"WITH {PRED} SELECT surface, count(*) AS n, round(avg(abs(pred - gt)), 6) AS mae, round(sqrt(avg((pred - gt) * (pred - gt))), 6) AS rmse, round(avg(pred - gt), 6) AS bias FROM p WHERE mask > 0.5 GROUP BY 1")
+@query("A24_error_summary", f"WITH {PRED} SELECT surface, count(*) AS n, round(avg(abs(pred - gt)), 6) AS mae, round(sqrt(avg((pred - gt) * (pred - gt))), 6) AS rmse, "
+    f"round(avg(pred - gt), 6) AS bias FROM p WHERE mask > 0.5 GROUP BY 1")
 def _(spark, sf):
     return r6(N.error_summary(_pred(spark, sf), "surface"), "mae", "rmse", "bias")
 
 
-@query("A25_covariance", f"WITH {SAMPLES} SELECT scene_id, " + ", ".join(f"round(avg({k}), 6) AS mean_{k}" for k in "xyz") + ", " + ", ".join(f"round(covar_samp({a}, {b}), 6) AS c{a}{b}" for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))) + " FROM s GROUP BY 1")
+@query("A25_covariance", f"WITH {SAMPLES} SELECT scene_id, " + ", ".join(f"round(avg({k}), "
+    f"6) AS mean_{k}" for k in "xyz") + ", " + ", ".join(f"round(covar_samp({a}, {b}), "
+    f"6) AS c{a}{b}" for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))) + " FROM s GROUP BY 1")
 def _(spark, sf):
     c = G.covariance(samples(spark, sf))
     return r6(c, *c.columns[1:])
 
 
-@query("A29_edge_audit", f"WITH {TORUS}, e AS (SELECT scene_id, least(v0, v1) p, greatest(v0, v1) q FROM f WHERE fid <> 5 UNION ALL SELECT scene_id, least(v1, v2), greatest(v1, v2) FROM f WHERE fid <> 5 UNION ALL SELECT scene_id, least(v2, v0), greatest(v2, v0) FROM f WHERE fid <> 5), ec AS (SELECT scene_id, p, q, count(*) n FROM e GROUP BY 1, 2, 3) SELECT scene_id, count(*) AS edges, count(*) FILTER (WHERE n = 1) AS boundary, count(*) FILTER (WHERE n = 1) = 0 AS watertight FROM ec GROUP BY 1")
+@query("A29_edge_audit", f"WITH {TORUS}, e AS (SELECT scene_id, least(v0, v1) p, greatest(v0, v1) q FROM f WHERE fid <> 5"
+    f" UNION ALL SELECT scene_id, least(v1, v2), greatest(v1, v2) FROM f WHERE fid <> 5 UNION ALL SELECT scene_id, least(v2, v0), greatest(v2, v0) FROM f"
+    f" WHERE fid <> 5), ec AS (SELECT scene_id, p, q, count(*) n FROM e"
+    f" GROUP BY 1, 2, 3) SELECT scene_id, count(*) AS edges, count(*) FILTER (WHERE n = 1) AS boundary, count(*) FILTER (WHERE n = 1) = 0 AS watertight FROM ec GROUP BY 1")
 def _(spark, sf):
     return G.edge_audit(torus(spark, sf)[1].filter("fid <> 5"))
 
@@ -441,7 +500,8 @@ def _statuses(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.when(k == 0, "completed").when(k == 1, "skipped_existing").when(k == 2, "failed").otherwise("skipped_missing").alias("status"))
 
 
-@query("A31_batch_report", f"WITH r AS ({_STATUS}) SELECT count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status LIKE 'skipped%') AS skipped, count(*) FILTER (WHERE status = 'failed') AS failed FROM r")
+@query("A31_batch_report", f"WITH r AS ({_STATUS}) SELECT count(*) FILTER (WHERE status = 'completed') AS completed, "
+    f"count(*) FILTER (WHERE status LIKE 'skipped%') AS skipped, count(*) FILTER (WHERE status = 'failed') AS failed FROM r")
 def _(spark, sf):
     return X.batch_report(_statuses(spark, sf))
 
@@ -456,7 +516,8 @@ def _(spark, sf):
     return T.extremes(table(spark, sf, "supplier"), "s_nationkey", "s_suppkey", "s_acctbal")
 
 
-@query("A33_extent", f"WITH {SAMPLES} SELECT scene_id, round(max(0.6*x + 0.8*y) - min(0.6*x + 0.8*y), 6) AS du, round(max(z) - min(z), 6) AS dv, round(greatest(max(0.6*x + 0.8*y) - min(0.6*x + 0.8*y), max(z) - min(z)), 6) AS larger FROM s GROUP BY 1")
+@query("A33_extent", f"WITH {SAMPLES} SELECT scene_id, round(max(0.6*x + 0.8*y) - min(0.6*x + 0.8*y), 6) AS du, round(max(z) - min(z), 6) AS dv, "
+    f"round(greatest(max(0.6*x + 0.8*y) - min(0.6*x + 0.8*y), max(z) - min(z)), 6) AS larger FROM s GROUP BY 1")
 def _(spark, sf):
     return r6(T.extent(samples(spark, sf), [0.6, 0.8, 0], [0, 0, 1]), "du", "dv", "larger")
 
@@ -466,33 +527,46 @@ def _(spark, sf):
 _H = U("scene_id::varchar", "point_id::varchar", "'{}'")
 
 
-@query("W1_stratified_pick", f"WITH {SAMPLES}, e AS (SELECT scene_id, min(x) ax, max(x) bx, min(y) ay, max(y) by_ FROM s GROUP BY 1), c AS (SELECT s.scene_id, point_id, least(floor((x - ax) / greatest(bx - ax, 1e-12) * 5), 4)::bigint || '_' || least(floor((y - ay) / greatest(by_ - ay, 1e-12) * 5), 4)::bigint AS cell FROM s JOIN e USING (scene_id)), t AS (SELECT *, row_number() OVER (PARTITION BY scene_id, cell ORDER BY {_H.format('pick')}, point_id) AS turn, {U('scene_id::varchar', 'cell', chr(39) + 'pick' + chr(39))} AS ch FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY turn, ch, cell) AS rank FROM t) SELECT scene_id, point_id, cell, rank FROM r WHERE rank <= 40")
+@query("W1_stratified_pick", f"WITH {SAMPLES}, e AS (SELECT scene_id, min(x) ax, max(x) bx, min(y) ay, max(y) by_ FROM s"
+    f" GROUP BY 1), c AS (SELECT s.scene_id, point_id, least(floor((x - ax) / greatest(bx - ax, 1e-12) * 5), "
+    f"4)::bigint || '_' || least(floor((y - ay) / greatest(by_ - ay, 1e-12) * 5), 4)::bigint AS cell FROM s"
+    f" JOIN e USING (scene_id)), t AS (SELECT *, row_number() OVER (PARTITION BY scene_id, cell"
+    f" ORDER BY {_H.format('pick')}, point_id) AS turn, {U('scene_id::varchar', 'cell', chr(39) + 'pick' + chr(39))} AS ch"
+    f" FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY turn, ch, cell) AS rank FROM t) SELECT scene_id, point_id, cell, rank FROM r WHERE rank <= 40")
 def _(spark, sf):
     return P.stratified_pick(samples(spark, sf), ["x", "y"], 5, 40).select("scene_id", "point_id", "cell", "rank")
 
 
-@query("W2_band_pick", f"WITH {SAMPLES}, n AS (SELECT scene_id, CASE WHEN count(*) FILTER (WHERE abs(sdf_epi) <= 0.005) >= 60 THEN 0.005 WHEN count(*) FILTER (WHERE abs(sdf_epi) <= 0.015) >= 60 THEN 0.015 ELSE 0.035 END AS band FROM s GROUP BY 1) SELECT scene_id, point_id, band::double AS band FROM s JOIN n USING (scene_id) WHERE abs(sdf_epi) <= band")
+@query("W2_band_pick", f"WITH {SAMPLES}, n AS (SELECT scene_id, "
+    f"CASE WHEN count(*) FILTER (WHERE abs(sdf_epi) <= 0.005) >= 60 THEN 0.005 WHEN count(*) FILTER (WHERE abs(sdf_epi) <= 0.015) >= 60 THEN 0.015 ELSE 0.035 END AS band"
+    f" FROM s GROUP BY 1) SELECT scene_id, point_id, band::double AS band FROM s JOIN n USING (scene_id) WHERE abs(sdf_epi) <= band")
 def _(spark, sf):
     return P.band_pick(samples(spark, sf).withColumn("d", F.abs("sdf_epi")), "d", [0.005, 0.015, 0.035], 60).select("scene_id", "point_id", "band")
 
 
-@query("W6_weighted_sample", f"WITH {SAMPLES}, k AS (SELECT scene_id, point_id, -ln({_H.format('weighted')}) / abs(y) AS key FROM s WHERE abs(y) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY key, point_id) AS rank FROM k) SELECT scene_id, point_id FROM r WHERE rank <= 25")
+@query("W6_weighted_sample", f"WITH {SAMPLES}, k AS (SELECT scene_id, point_id, -ln({_H.format('weighted')}) / abs(y) AS key FROM s"
+    f" WHERE abs(y) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY key, point_id) AS rank FROM k) SELECT scene_id, point_id FROM r WHERE rank <= 25")
 def _(spark, sf):
     return P.weighted_sample(samples(spark, sf), F.abs("y"), 25).select("scene_id", "point_id")
 
 
-@query("W8_resample", f"WITH {SAMPLES}, r AS (SELECT scene_id, point_id, row_number() OVER (PARTITION BY scene_id ORDER BY point_id) AS rank FROM s), d AS (SELECT scene_id, draw, floor({U('scene_id::varchar', 'draw::varchar', chr(39) + 'draw' + chr(39))} * n)::bigint + 1 AS rank FROM (SELECT scene_id, count(*) n FROM s GROUP BY 1), range(20) a(draw)) SELECT scene_id, draw, point_id FROM d JOIN r USING (scene_id, rank)")
+@query("W8_resample", f"WITH {SAMPLES}, r AS (SELECT scene_id, point_id, row_number() OVER (PARTITION BY scene_id ORDER BY point_id) AS rank"
+    f" FROM s), d AS (SELECT scene_id, draw, floor({U('scene_id::varchar', 'draw::varchar', chr(39) + 'draw' + chr(39))} * n)::bigint + 1 AS rank"
+    f" FROM (SELECT scene_id, count(*) n FROM s GROUP BY 1), range(20) a(draw)) SELECT scene_id, draw, point_id FROM d JOIN r USING (scene_id, rank)")
 def _(spark, sf):
     return P.resample(samples(spark, sf), 20).select("scene_id", "draw", "point_id")
 
 
-@query("W9_fraction_subsample", f"WITH {SAMPLES}, n AS (SELECT scene_id, floor(count(*) * 0.3) q FROM s WHERE mask_epi = 1 AND abs(sdf_epi) <= 0.021 GROUP BY 1), r AS (SELECT scene_id, point_id, row_number() OVER (PARTITION BY scene_id ORDER BY {_H.format('fraction')}, point_id) AS rank FROM s WHERE mask_epi = 1 AND abs(sdf_epi) <= 0.021) SELECT scene_id, point_id FROM r JOIN n USING (scene_id) WHERE rank <= q")
+@query("W9_fraction_subsample", f"WITH {SAMPLES}, n AS (SELECT scene_id, floor(count(*) * 0.3) q FROM s WHERE mask_epi = 1 AND abs(sdf_epi) <= 0.021"
+    f" GROUP BY 1), r AS (SELECT scene_id, point_id, row_number() OVER (PARTITION BY scene_id ORDER BY {_H.format('fraction')}, point_id) AS rank FROM s"
+    f" WHERE mask_epi = 1 AND abs(sdf_epi) <= 0.021) SELECT scene_id, point_id FROM r JOIN n USING (scene_id) WHERE rank <= q")
 def _(spark, sf):
     near = P.near_surface(samples(spark, sf).filter("mask_epi = 1"), "epi", 0.021)
     return P.fraction_subsample(near, 0.3).select("scene_id", "point_id")
 
 
-@query("W12_top_n", f"WITH {METRICS}, a AS (SELECT organ, version, round(avg(value), 6) AS mean FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY organ ORDER BY mean, version) AS rank FROM a) SELECT organ, version, mean, rank FROM r WHERE rank <= 3")
+@query("W12_top_n", f"WITH {METRICS}, a AS (SELECT organ, version, round(avg(value), 6) AS mean FROM m"
+    f" GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY organ ORDER BY mean, version) AS rank FROM a) SELECT organ, version, mean, rank FROM r WHERE rank <= 3")
 def _(spark, sf):
     m = r6(X.mean_std(metrics(spark, sf), ["organ", "version"]), "mean")
     return X.top_n(m.select("organ", "version", "mean"), ["organ"], "mean", "version", 3)
@@ -523,7 +597,9 @@ def _(spark, sf):
     return P.first_last_mask(samples(spark, sf).withColumn("mask_rv", F.lit(0)))
 
 
-@query("W17_cap_points", f"WITH {SAMPLES}, r AS (SELECT scene_id, point_id, row_number() OVER (PARTITION BY scene_id ORDER BY point_id) - 1 AS pos FROM s), d AS (SELECT DISTINCT scene_id, floor(i * (n - 1) / 14)::bigint AS pos FROM (SELECT scene_id, count(*) n FROM s GROUP BY 1), range(15) a(i)) SELECT scene_id, point_id FROM r JOIN d USING (scene_id, pos)")
+@query("W17_cap_points", f"WITH {SAMPLES}, r AS (SELECT scene_id, point_id, row_number() OVER (PARTITION BY scene_id ORDER BY point_id) - 1 AS pos"
+    f" FROM s), d AS (SELECT DISTINCT scene_id, floor(i * (n - 1) / 14)::bigint AS pos FROM (SELECT scene_id, count(*) n FROM s"
+    f" GROUP BY 1), range(15) a(i)) SELECT scene_id, point_id FROM r JOIN d USING (scene_id, pos)")
 def _(spark, sf):
     return P.cap_points(samples(spark, sf), 15).select("scene_id", "point_id")
 
@@ -547,13 +623,15 @@ def _(spark, sf):
     return c.unionByName(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price")), allowMissingColumns=True)
 
 
-@query("O5_version_set_check", "SELECT coalesce(a, b) AS version, CASE WHEN a IS NULL THEN 'test' ELSE 'train' END AS only_in FROM (SELECT DISTINCT o_custkey a FROM orders WHERE o_orderstatus = 'F') FULL JOIN (SELECT DISTINCT o_custkey b FROM orders WHERE o_orderstatus = 'P') ON a = b WHERE a IS NULL OR b IS NULL")
+@query("O5_version_set_check", "SELECT coalesce(a, b) AS version, CASE WHEN a IS NULL THEN 'test' ELSE 'train' END AS only_in FROM (SELECT DISTINCT o_custkey a"
+    " FROM orders WHERE o_orderstatus = 'F') FULL JOIN (SELECT DISTINCT o_custkey b FROM orders WHERE o_orderstatus = 'P') ON a = b WHERE a IS NULL OR b IS NULL")
 def _(spark, sf):
     o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "version")
     return X.version_set_check(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'P'"))
 
 
-@query("O9_heatmap", f"WITH {METRICS} SELECT version, round(avg(value) FILTER (WHERE organ = 'A'), 6) AS A, round(avg(value) FILTER (WHERE organ = 'N'), 6) AS N, round(avg(value) FILTER (WHERE organ = 'R'), 6) AS R FROM m GROUP BY 1")
+@query("O9_heatmap", f"WITH {METRICS} SELECT version, round(avg(value) FILTER (WHERE organ = 'A'), 6) AS A, round(avg(value) FILTER (WHERE organ = 'N'), 6) AS N, "
+    f"round(avg(value) FILTER (WHERE organ = 'R'), 6) AS R FROM m GROUP BY 1")
 def _(spark, sf):
     m = r6(X.mean_std(metrics(spark, sf), ["version", "organ"]), "mean")
     return X.heatmap(m, "version", "organ", ["A", "N", "R"], "mean")
@@ -610,12 +688,15 @@ def _(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", S.rename_suffix(F.array(F.concat("s_name", F.lit("_old.npy"))), "_old", "_new").alias("files"))
 
 
-@query("F14_minmax_norm", "SELECT s_suppkey, round(CASE WHEN max(s_acctbal) OVER w = min(s_acctbal) OVER w THEN 1 ELSE (s_acctbal - min(s_acctbal) OVER w) / (max(s_acctbal) OVER w - min(s_acctbal) OVER w) END, 6) AS v FROM supplier WINDOW w AS (PARTITION BY s_nationkey)")
+@query("F14_minmax_norm", "SELECT s_suppkey, "
+    "round(CASE WHEN max(s_acctbal) OVER w = min(s_acctbal) OVER w THEN 1 ELSE (s_acctbal - min(s_acctbal) OVER w) / (max(s_acctbal) OVER w - min(s_acctbal) OVER w) END, "
+    "6) AS v FROM supplier WINDOW w AS (PARTITION BY s_nationkey)")
 def _(spark, sf):
     return r6(T.minmax_norm(table(spark, sf, "supplier").withColumn("v", F.col("s_acctbal")), "v", "s_nationkey"), "v").select("s_suppkey", "v")
 
 
-@query("F15_positional_encode", f"WITH {SAMPLES} SELECT scene_id, point_id, round(x, 6) AS e0, round(sin(pi() * x), 6) + 0.0 AS e1, round(cos(pi() * x), 6) + 0.0 AS e2, round(sin(2 * pi() * x), 6) + 0.0 AS e3, round(cos(2 * pi() * x), 6) + 0.0 AS e4 FROM s")
+@query("F15_positional_encode", f"WITH {SAMPLES} SELECT scene_id, point_id, round(x, 6) AS e0, round(sin(pi() * x), 6) + 0.0 AS e1, round(cos(pi() * x), 6) + 0.0 AS e2, "
+    f"round(sin(2 * pi() * x), 6) + 0.0 AS e3, round(cos(2 * pi() * x), 6) + 0.0 AS e4 FROM s")
 def _(spark, sf):
     e = samples(spark, sf).select("scene_id", "point_id", S.positional_encode(F.col("x"), 2).alias("e"))
     return e.select("scene_id", "point_id", F.round(F.col("e")[0], 6).alias("e0"), *[(F.round(F.col("e")[i], 6) + 0.0).alias(f"e{i}") for i in range(1, 5)])
@@ -645,18 +726,21 @@ def _(spark, sf):
     return G.connected_components(patches(spark, sf)[1]).groupBy("scene_id", "component").agg(F.count("*").alias("n"))
 
 
-@query("G3_largest", f"WITH {_PATCHES}, n3 AS (SELECT scene_id, component, count(*) AS n FROM h GROUP BY 1, 2), b AS (SELECT scene_id, arg_min(component, (-n, component)) AS component FROM n3 GROUP BY 1) SELECT scene_id, fid, component FROM h JOIN b USING (scene_id, component)")
+@query("G3_largest", f"WITH {_PATCHES}, n3 AS (SELECT scene_id, component, count(*) AS n FROM h"
+    f" GROUP BY 1, 2), b AS (SELECT scene_id, arg_min(component, (-n, component)) AS component FROM n3 GROUP BY 1) SELECT scene_id, fid, component FROM h JOIN b USING (scene_id, component)")
 def _(spark, sf):
     return G.component_faces(patches(spark, sf)[1], largest=True).select("scene_id", "fid", "component")
 
 
-@query("G5_apex", f"WITH {SAMPLES}, d AS (SELECT *, (x - 0.1)*(x - 0.1) + (y - 0.2)*(y - 0.2) + (z - 0.3)*(z - 0.3) AS d2 FROM s) SELECT scene_id, arg_min(point_id, (-d2, point_id)) AS point_id, round(sqrt(max(d2)), 6) AS distance FROM d GROUP BY 1")
+@query("G5_apex", f"WITH {SAMPLES}, d AS (SELECT *, (x - 0.1)*(x - 0.1) + (y - 0.2)*(y - 0.2) + (z - 0.3)*(z - 0.3) AS d2"
+    f" FROM s) SELECT scene_id, arg_min(point_id, (-d2, point_id)) AS point_id, round(sqrt(max(d2)), 6) AS distance FROM d GROUP BY 1")
 def _(spark, sf):
     base = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene_id"), F.lit(0.1).alias("bx"), F.lit(0.2).alias("by"), F.lit(0.3).alias("bz"))
     return G.apex(samples(spark, sf), base).select("scene_id", "point_id", F.round("distance", 6).alias("distance"))
 
 
-@query("G6_plane_stack", "SELECT s_suppkey AS scene_id, k + 1 AS plane_id, round(k::double * 0.5 * 0.6, 6) AS ox, round(k::double * 0.5 * 0.8, 6) AS oy FROM supplier, range(-1, 30) a(k) WHERE k <= floor((2.1 + s_suppkey % 3) / 0.5)")
+@query("G6_plane_stack", "SELECT s_suppkey AS scene_id, k + 1 AS plane_id, round(k::double * 0.5 * 0.6, 6) AS ox, round(k::double * 0.5 * 0.8, 6) AS oy"
+    " FROM supplier, range(-1, 30) a(k) WHERE k <= floor((2.1 + s_suppkey % 3) / 0.5)")
 def _(spark, sf):
     n = 2.1 + F.col("s_suppkey") % 3
     marks = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene_id"), *[F.lit(0.0).alias("c" + k) for k in "xyz"], (n * 0.6).alias("ax"), (n * 0.8).alias("ay"), F.lit(0.0).alias("az"))
@@ -686,7 +770,9 @@ def _(spark, sf):
     return z6(G.plane_contours(v, f, level_plane(spark, sf, 0.11)).drop("plane_id"), *_ENDS)
 
 
-@query("G8_segment_distance", f"WITH {SAMPLES}, g AS (SELECT s_suppkey AS scene_id, k * 0.3 AS au, 0.1 AS av, k * 0.3 + 0.2 AS bu, 0.4 AS bv FROM supplier, range(3) a(k)), t AS (SELECT s.scene_id, point_id, x, y, au, av, greatest(0, least(1, ((x - au) * 0.2 + (y - av) * 0.3) / 0.13)) AS t FROM s JOIN g USING (scene_id)) SELECT scene_id, point_id, round(min(sqrt((x - au - t * 0.2)*(x - au - t * 0.2) + (y - av - t * 0.3)*(y - av - t * 0.3))), 6) AS distance FROM t GROUP BY 1, 2")
+@query("G8_segment_distance", f"WITH {SAMPLES}, g AS (SELECT s_suppkey AS scene_id, k * 0.3 AS au, 0.1 AS av, k * 0.3 + 0.2 AS bu, 0.4 AS bv"
+    f" FROM supplier, range(3) a(k)), t AS (SELECT s.scene_id, point_id, x, y, au, av, greatest(0, least(1, ((x - au) * 0.2 + (y - av) * 0.3) / 0.13)) AS t FROM s"
+    f" JOIN g USING (scene_id)) SELECT scene_id, point_id, round(min(sqrt((x - au - t * 0.2)*(x - au - t * 0.2) + (y - av - t * 0.3)*(y - av - t * 0.3))), 6) AS distance FROM t GROUP BY 1, 2")
 def _(spark, sf):
     k = F.col("k")
     seg = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select("scene_id", (k * 0.3).alias("au"), F.lit(0.1).alias("av"), (k * 0.3 + 0.2).alias("bu"), F.lit(0.4).alias("bv"))
@@ -722,7 +808,9 @@ def _rigid(s):
 _DRAW = f"u0 AS (SELECT scene_id, draw, {U('scene_id::varchar', 'draw::varchar', chr(39) + 'area' + chr(39))} AS u, sqrt({U('scene_id::varchar', 'draw::varchar', chr(39) + 'u' + chr(39))}) AS a, {U('scene_id::varchar', 'draw::varchar', chr(39) + 'v' + chr(39))} AS b FROM (SELECT DISTINCT scene_id FROM t), range(50) q(draw)), h AS (SELECT scene_id, fid, sum(area) OVER w / sum(area) OVER (PARTITION BY scene_id) AS high FROM t WINDOW w AS (PARTITION BY scene_id ORDER BY fid)), l AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY scene_id ORDER BY fid), 0) AS low FROM h)"
 
 
-@query("G14_surface_points", f"WITH {TORUS}, {_DRAW} SELECT scene_id, draw::int AS draw, fid, round((1 - a) * ax + a * (1 - b) * bx + a * b * cx, 6) + 0.0 AS x, round((1 - a) * ay + a * (1 - b) * by_ + a * b * cy, 6) + 0.0 AS y, round((1 - a) * az + a * (1 - b) * bz + a * b * cz, 6) + 0.0 AS z FROM u0 JOIN l USING (scene_id) JOIN c USING (scene_id, fid) WHERE u > low AND u <= high")
+@query("G14_surface_points", f"WITH {TORUS}, {_DRAW} SELECT scene_id, draw::int AS draw, fid, round((1 - a) * ax + a * (1 - b) * bx + a * b * cx, 6) + 0.0 AS x, "
+    f"round((1 - a) * ay + a * (1 - b) * by_ + a * b * cy, 6) + 0.0 AS y, round((1 - a) * az + a * (1 - b) * bz + a * b * cz, 6) + 0.0 AS z FROM u0"
+    f" JOIN l USING (scene_id) JOIN c USING (scene_id, fid) WHERE u > low AND u <= high")
 def _(spark, sf):
     return z6(G.surface_points(*torus(spark, sf), 50), "x", "y", "z")
 
@@ -749,7 +837,8 @@ def _(spark, sf):
     return scores.select("vec_id", *[F.round(F.abs(F.col("scores")[i]), 6).alias(n) for i, n in enumerate(("first", "second"))])
 
 
-@query("L2_shares_of_two", f"WITH {_TURNED} SELECT i AS component, round(CASE i WHEN 0 THEN l1 ELSE l2 END / (l1 + l2), 9) AS share, CASE WHEN l1 / (l1 + l2) >= 0.95 THEN 1 ELSE 2 END AS effective FROM ei, range(2) r(i)")
+@query("L2_shares_of_two", f"WITH {_TURNED} SELECT i AS component, round(CASE i WHEN 0 THEN l1 ELSE l2 END / (l1 + l2), 9) AS share, "
+    f"CASE WHEN l1 / (l1 + l2) >= 0.95 THEN 1 ELSE 2 END AS effective FROM ei, range(2) r(i)")
 def _(spark, sf):
     shares = L.pca(_two_wide(spark, sf))[1]
     return spark.createDataFrame([(i, round(float(s), 9), L.effective_dimension(shares)) for i, s in enumerate(shares)], "component long, share double, effective int")
@@ -772,7 +861,8 @@ def _(spark, sf):
     return r6(L.mahalanobis(short, "vec_id"), "distance")
 
 
-@query("A25_code_covariance", f"WITH {_SHORT}, n AS (SELECT vec_id, unnest([0, 1, 2]) AS i, unnest([x, y, z]) AS v FROM s) SELECT a.i, b.i AS j, round(covar_samp(a.v, b.v), 9) + 0.0 AS c FROM n a JOIN n b USING (vec_id) WHERE a.i <= b.i GROUP BY 1, 2")
+@query("A25_code_covariance", f"WITH {_SHORT}, n AS (SELECT vec_id, unnest([0, 1, 2]) AS i, unnest([x, y, z]) AS v"
+    f" FROM s) SELECT a.i, b.i AS j, round(covar_samp(a.v, b.v), 9) + 0.0 AS c FROM n a JOIN n b USING (vec_id) WHERE a.i <= b.i GROUP BY 1, 2")
 def _(spark, sf):
     short = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("code"))
     return L.covariance_table(short).select("i", "j", (F.round("c", 9) + 0.0).alias("c"))
@@ -800,14 +890,19 @@ def _(spark, sf):
     return K.cohort_table(pairs)
 
 
-@query("C4_cohort_measures", f"WITH {TORUS}, q AS (SELECT scene_id, sum(sqrt(nx*nx + ny*ny + nz*nz) / 2) a, abs(sum(ax * (by_*cz - bz*cy) + ay * (bz*cx - bx*cz) + az * (bx*cy - by_*cx)) / 6) v FROM n GROUP BY 1) SELECT s_nationkey, count(*) AS n, round(avg(v * pow(1000 + scene_id % 9, 3) / 1e12), 6) AS mean_ml, round(avg(a * pow(1000 + scene_id % 9, 2) / 1e6), 6) AS mean_mm2 FROM q JOIN supplier ON s_suppkey = scene_id GROUP BY 1")
+@query("C4_cohort_measures", f"WITH {TORUS}, q AS (SELECT scene_id, sum(sqrt(nx*nx + ny*ny + nz*nz) / 2) a, "
+    f"abs(sum(ax * (by_*cz - bz*cy) + ay * (bz*cx - bx*cz) + az * (bx*cy - by_*cx)) / 6) v FROM n"
+    f" GROUP BY 1) SELECT s_nationkey, count(*) AS n, round(avg(v * pow(1000 + scene_id % 9, 3) / 1e12), 6) AS mean_ml, round(avg(a * pow(1000 + scene_id % 9, 2) / 1e6), "
+    f"6) AS mean_mm2 FROM q JOIN supplier ON s_suppkey = scene_id GROUP BY 1")
 def _(spark, sf):
     m = G.measures(*torus(spark, sf)).join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene_id"), "s_nationkey"), "scene_id")
     scale = 1000 + F.col("scene_id") % 9
     return m.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.avg(F.col("volume") * F.pow(scale, F.lit(3)) / 1e12), 6).alias("mean_ml"), F.round(F.avg(F.col("area") * F.pow(scale, F.lit(2)) / 1e6), 6).alias("mean_mm2"))
 
 
-@query("C7_experiment_report", f"WITH {METRICS}, a AS (SELECT version, organ, split, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*) AS n FROM m GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY organ, split ORDER BY mean, version) AS rank FROM a) SELECT version, organ, split, mean, std, n, rank, p_brand, p_size::varchar AS p_size FROM r LEFT JOIN part ON p_partkey = version WHERE rank <= 3")
+@query("C7_experiment_report", f"WITH {METRICS}, a AS (SELECT version, organ, split, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*) AS n"
+    f" FROM m GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY organ, split ORDER BY mean, version) AS rank"
+    f" FROM a) SELECT version, organ, split, mean, std, n, rank, p_brand, p_size::varchar AS p_size FROM r LEFT JOIN part ON p_partkey = version WHERE rank <= 3")
 def experiment_report(spark, sf):
     m = metrics(spark, sf).withColumn("value", S.parse_value(F.concat(F.lit("["), F.col("value").cast("string"), F.lit("]"))))
     summary = r6(X.mean_std(m, ["version", "organ", "split"]), "mean", "std")
@@ -815,7 +910,9 @@ def experiment_report(spark, sf):
     return X.attach_specs(best, table(spark, sf, "part").withColumn("version", F.col("p_partkey").cast("int")), ["p_brand", "p_size"])
 
 
-@query("C10_make_splits", "WITH k AS (SELECT DISTINCT s_name AS name FROM supplier WHERE s_suppkey % 5 <> 0), w AS (SELECT name, CASE WHEN " + U("name", "'split'") + " < 0.25 THEN 'test' ELSE 'train' END AS split FROM k WHERE name IN (SELECT s_name FROM supplier WHERE s_nationkey <> 3)) SELECT split, to_json(list(name ORDER BY name))::varchar AS files FROM w GROUP BY 1")
+@query("C10_make_splits", "WITH k AS (SELECT DISTINCT s_name AS name FROM supplier"
+    " WHERE s_suppkey % 5 <> 0), w AS (SELECT name, CASE WHEN " + U("name", "'split'") + " < 0.25 THEN 'test' ELSE 'train' END AS split FROM k"
+    " WHERE name IN (SELECT s_name FROM supplier WHERE s_nationkey <> 3)) SELECT split, to_json(list(name ORDER BY name))::varchar AS files FROM w GROUP BY 1")
 def _(spark, sf):
     s = table(spark, sf, "supplier")
     value = F.when(F.col("s_suppkey") % 5 == 0, "# none").otherwise(F.concat(F.lit("a/"), "s_name", F.lit(".npy")))
@@ -825,7 +922,8 @@ def _(spark, sf):
     return io.split_lists(X.assign_split(keys, drawn.filter("u >= 0.25"), drawn, "key"))
 
 
-@query("C11_fold_compare", f"WITH {METRICS} SELECT organ, " + ", ".join(f"round(avg(value) FILTER (WHERE version = {i}), 6) AS f{i}_mean, round(stddev_pop(value) FILTER (WHERE version = {i}), 6) AS f{i}_std" for i in range(1, 8)) + " FROM m GROUP BY 1")
+@query("C11_fold_compare", f"WITH {METRICS} SELECT organ, " + ", ".join(f"round(avg(value) FILTER (WHERE version = {i}), 6) AS f{i}_mean, "
+    f"round(stddev_pop(value) FILTER (WHERE version = {i}), 6) AS f{i}_std" for i in range(1, 8)) + " FROM m GROUP BY 1")
 def _(spark, sf):
     out = T.fold_compare(metrics(spark, sf).withColumn("fold", F.concat(F.lit("f"), "version")), "fold", [f"f{i}" for i in range(1, 8)], "organ", "value")
     return r6(out, *out.columns[1:])
\ No newline at end of file

@@ -20,12 +20,14 @@ def _scenes(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene_id"))
 
 
-@query("J8_knn_join", PAIR + ", r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, point_id ORDER BY d2, r) AS rank FROM d) SELECT scene_id, point_id, rank, r AS nearest_id, round(sqrt(d2), 6) AS distance FROM r WHERE rank <= 3")
+@query("J8_knn_join", PAIR + ", r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, point_id ORDER BY d2, r) AS rank"
+    " FROM d) SELECT scene_id, point_id, rank, r AS nearest_id, round(sqrt(d2), 6) AS distance FROM r WHERE rank <= 3")
 def _(spark, sf):
     return r6(H.knn_join(*_two(spark, sf), k=3), "distance")
 
 
-@query("G2_transfer_labels", f"WITH {TORUS} SELECT a.scene_id, a.fid, arg_min(b.fid % 5, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z+0.05-b.z)*(a.z+0.05-b.z), b.fid)) AS tag FROM t a JOIN t b USING (scene_id) GROUP BY 1, 2")
+@query("G2_transfer_labels", f"WITH {TORUS} SELECT a.scene_id, a.fid, arg_min(b.fid % 5, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z+0.05-b.z)*(a.z+0.05-b.z), "
+    f"b.fid)) AS tag FROM t a JOIN t b USING (scene_id) GROUP BY 1, 2")
 def _(spark, sf):
     t = G.face_table(*torus(spark, sf)).select("scene_id", "fid", "x", "y", "z")
     return H.transfer_labels(t.withColumn("tag", F.col("fid") % 5), t.withColumn("z", F.col("z") + 0.05))
@@ -53,7 +55,8 @@ def _(spark, sf):
     return r6(H.triangle_distance(wide(spark, sf), *torus(spark, sf)), "distance")
 
 
-@query("G19_signed_distance", f"WITH {SAMPLES}, {TORUS}, {_TRIANGLES}, {WINDING} SELECT scene_id, point_id, round(distance * CASE WHEN abs(w) > 0.5 THEN -1 ELSE 1 END, 6) + 0.0 AS sdf FROM td JOIN wn USING (scene_id, point_id)")
+@query("G19_signed_distance", f"WITH {SAMPLES}, {TORUS}, {_TRIANGLES}, {WINDING} SELECT scene_id, point_id, round(distance * CASE WHEN abs(w) > 0.5 THEN -1 ELSE 1 END, "
+    f"6) + 0.0 AS sdf FROM td JOIN wn USING (scene_id, point_id)")
 def _(spark, sf):
     return z6(H.signed_distance(wide(spark, sf), *torus(spark, sf)), "sdf")
 
@@ -64,7 +67,8 @@ def _(spark, sf):
     return H.inside_or_near(rows, 0.012).select("scene_id", "point_id")
 
 
-@query("G18_slab_vertex_distance", f"WITH {SAMPLES}, {TORUS} SELECT s.scene_id, point_id, round(sqrt(min((s.x-v.x)*(s.x-v.x) + (s.y-v.y)*(s.y-v.y) + (s.z-v.z)*(s.z-v.z))), 6) AS distance FROM s LEFT JOIN v ON v.scene_id = s.scene_id AND abs(s.z - v.z) <= 0.103 GROUP BY 1, 2")
+@query("G18_slab_vertex_distance", f"WITH {SAMPLES}, {TORUS} SELECT s.scene_id, point_id, "
+    f"round(sqrt(min((s.x-v.x)*(s.x-v.x) + (s.y-v.y)*(s.y-v.y) + (s.z-v.z)*(s.z-v.z))), 6) AS distance FROM s LEFT JOIN v ON v.scene_id = s.scene_id AND abs(s.z - v.z) <= 0.103 GROUP BY 1, 2")
 def _(spark, sf):
     return r6(H.slab_vertex_distance(samples(spark, sf), torus(spark, sf)[0], 0.103), "distance")
 
@@ -72,7 +76,9 @@ def _(spark, sf):
 _ANGLE = "acos((({0}x-{1}x)*({2}x-{1}x) + ({0}y-{1}y)*({2}y-{1}y) + ({0}z-{1}z)*({2}z-{1}z)) / sqrt((({0}x-{1}x)*({0}x-{1}x) + ({0}y-{1}y)*({0}y-{1}y) + ({0}z-{1}z)*({0}z-{1}z)) * (({2}x-{1}x)*({2}x-{1}x) + ({2}y-{1}y)*({2}y-{1}y) + ({2}z-{1}z)*({2}z-{1}z))))"
 
 
-@query("G16_angle_defect", f"WITH {TORUS}, w AS (SELECT f.scene_id, unnest([v0, v1, v2]) AS vid, unnest([{_ANGLE.format('b', 'a', 'c').replace('by', 'by_')}, {_ANGLE.format('a', 'b', 'c').replace('by', 'by_')}, {_ANGLE.format('a', 'c', 'b').replace('by', 'by_')}]) AS angle FROM f JOIN c USING (scene_id, fid)) SELECT scene_id, vid, round(2 * pi() - sum(angle), 6) + 0.0 AS mass FROM w GROUP BY 1, 2")
+@query("G16_angle_defect", f"WITH {TORUS}, w AS (SELECT f.scene_id, unnest([v0, v1, v2]) AS vid, "
+    f"unnest([{_ANGLE.format('b', 'a', 'c').replace('by', 'by_')}, {_ANGLE.format('a', 'b', 'c').replace('by', 'by_')}, {_ANGLE.format('a', 'c', 'b').replace('by', 'by_')}]) AS angle"
+    f" FROM f JOIN c USING (scene_id, fid)) SELECT scene_id, vid, round(2 * pi() - sum(angle), 6) + 0.0 AS mass FROM w GROUP BY 1, 2")
 def _(spark, sf):
     return z6(H.angle_defect(*torus(spark, sf)), "mass")
 
@@ -80,7 +86,10 @@ def _(spark, sf):
 _BEND = "e0 AS (SELECT f.scene_id, f.fid, unnest([least(v0, v1), least(v1, v2), least(v2, v0)]) p, unnest([greatest(v0, v1), greatest(v1, v2), greatest(v2, v0)]) q FROM f), e1 AS (SELECT e0.*, nx, ny, nz FROM e0 JOIN t USING (scene_id, fid))"
 
 
-@query("G16_edge_bend", f"WITH {TORUS}, {_BEND} SELECT a.scene_id, a.p, a.q, round(sqrt((v.x-w.x)*(v.x-w.x) + (v.y-w.y)*(v.y-w.y) + (v.z-w.z)*(v.z-w.z)) * atan2(sqrt((a.ny*b.nz-a.nz*b.ny)*(a.ny*b.nz-a.nz*b.ny) + (a.nz*b.nx-a.nx*b.nz)*(a.nz*b.nx-a.nx*b.nz) + (a.nx*b.ny-a.ny*b.nx)*(a.nx*b.ny-a.ny*b.nx)), a.nx*b.nx + a.ny*b.ny + a.nz*b.nz), 6) AS mass FROM e1 a JOIN e1 b ON a.scene_id = b.scene_id AND a.p = b.p AND a.q = b.q AND a.fid < b.fid JOIN v ON v.scene_id = a.scene_id AND v.vid = a.p JOIN v w ON w.scene_id = a.scene_id AND w.vid = a.q")
+@query("G16_edge_bend", f"WITH {TORUS}, {_BEND} SELECT a.scene_id, a.p, a.q, "
+    f"round(sqrt((v.x-w.x)*(v.x-w.x) + (v.y-w.y)*(v.y-w.y) + (v.z-w.z)*(v.z-w.z)) * atan2(sqrt((a.ny*b.nz-a.nz*b.ny)*(a.ny*b.nz-a.nz*b.ny) + (a.nz*b.nx-a.nx*b.nz)*(a.nz*b.nx-a.nx*b.nz) + (a.nx*b.ny-a.ny*b.nx)*(a.nx*b.ny-a.ny*b.nx)), "
+    f"a.nx*b.nx + a.ny*b.ny + a.nz*b.nz), 6) AS mass FROM e1 a JOIN e1 b ON a.scene_id = b.scene_id AND a.p = b.p AND a.q = b.q AND a.fid < b.fid"
+    f" JOIN v ON v.scene_id = a.scene_id AND v.vid = a.p JOIN v w ON w.scene_id = a.scene_id AND w.vid = a.q")
 def _(spark, sf):
     return r6(H.edge_bend(*torus(spark, sf)), "mass")
 
@@ -98,19 +107,26 @@ for _name, _corners in (("ANGLE_A", "bac"), ("ANGLE_B", "abc"), ("ANGLE_C", "acb
     _CLIPPED = _CLIPPED.replace(_name, _ANGLE.format(*_corners).replace("by", "by_"))
 
 
-@query("G16_ball_curvature", f"WITH {TORUS.replace('g AS', 'g0 AS', 1).replace('FROM g)', 'FROM g0)').replace('FROM g' + chr(10), 'FROM g0' + chr(10))}, {_BEND.replace('e1 AS (SELECT e0.*, nx, ny, nz', 'e2 AS (SELECT e0.*, nx, ny, nz, x, y, z')}, {_CLIPPED} SELECT scene_id, vid AS point_id, round(gauss, 6) + 0.0 AS gauss, round(mean, 6) + 0.0 AS mean FROM g JOIN m USING (scene_id, vid)")
+@query("G16_ball_curvature", f"WITH {TORUS.replace('g AS', 'g0 AS', 1).replace('FROM g)', 'FROM g0)').replace('FROM g' + chr(10), 'FROM g0' + chr(10))}, {_BEND.replace('e1 AS (SELECT e0.*, nx, ny, nz', 'e2 AS (SELECT e0.*, nx, ny, nz, x, y, z')}, {_CLIPPED} SELECT scene_id, "
+    f"vid AS point_id, round(gauss, 6) + 0.0 AS gauss, round(mean, 6) + 0.0 AS mean FROM g JOIN m USING (scene_id, vid)")
 def _(spark, sf):
     v, f = torus(spark, sf)
     return z6(H.ball_curvature(v.withColumnRenamed("vid", "point_id"), v, f, 0.9, 0.7), "gauss", "mean")
 
 
-@query("G23_tagged_landmarks", f"WITH {TORUS}, m AS (SELECT scene_id, fid // 50 AS tag, avg(x) x, avg(y) y, avg(z) z FROM t GROUP BY 1, 2), o AS (SELECT a.scene_id, a.tag, arg_min(b.tag, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.tag)) AS other FROM m a JOIN m b USING (scene_id) WHERE a.tag <> b.tag GROUP BY 1, 2) SELECT p.scene_id, p.tag, p.other, round((a.x + b.x) / 2, 6) + 0.0 AS x, round((a.y + b.y) / 2, 6) + 0.0 AS y, round((a.z + b.z) / 2, 6) + 0.0 AS z FROM o p JOIN o q ON q.scene_id = p.scene_id AND q.tag = p.other AND q.other = p.tag JOIN m a ON a.scene_id = p.scene_id AND a.tag = p.tag JOIN m b ON b.scene_id = p.scene_id AND b.tag = p.other WHERE p.tag < p.other")
+@query("G23_tagged_landmarks", f"WITH {TORUS}, m AS (SELECT scene_id, fid // 50 AS tag, avg(x) x, avg(y) y, avg(z) z FROM t"
+    f" GROUP BY 1, 2), o AS (SELECT a.scene_id, a.tag, arg_min(b.tag, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.tag)) AS other FROM m a"
+    f" JOIN m b USING (scene_id) WHERE a.tag <> b.tag"
+    f" GROUP BY 1, 2) SELECT p.scene_id, p.tag, p.other, round((a.x + b.x) / 2, 6) + 0.0 AS x, round((a.y + b.y) / 2, 6) + 0.0 AS y, round((a.z + b.z) / 2, 6) + 0.0 AS z"
+    f" FROM o p JOIN o q ON q.scene_id = p.scene_id AND q.tag = p.other AND q.other = p.tag JOIN m a ON a.scene_id = p.scene_id AND a.tag = p.tag"
+    f" JOIN m b ON b.scene_id = p.scene_id AND b.tag = p.other WHERE p.tag < p.other")
 def _(spark, sf):
     v, f = torus(spark, sf)
     return z6(H.tagged_landmarks(v, f.withColumn("tag", F.floor(F.col("fid") / 50))), "x", "y", "z")
 
 
-@query("G13_planar_grid", "SELECT s_suppkey AS scene_id, p AS plane_id, i, j, round((i * 0.25 - 1)::double, 6) + 0.0 AS x, round((0.6 * (j * 0.25 - 1))::double, 6) + 0.0 AS y, round((p * 0.5 + 0.8 * (j * 0.25 - 1))::double, 6) + 0.0 AS z FROM supplier, range(3) a(p), range(9) b(i), range(9) c(j)")
+@query("G13_planar_grid", "SELECT s_suppkey AS scene_id, p AS plane_id, i, j, round((i * 0.25 - 1)::double, 6) + 0.0 AS x, round((0.6 * (j * 0.25 - 1))::double, "
+    "6) + 0.0 AS y, round((p * 0.5 + 0.8 * (j * 0.25 - 1))::double, 6) + 0.0 AS z FROM supplier, range(3) a(p), range(9) b(i), range(9) c(j)")
 def _(spark, sf):
     planes = _scenes(spark, sf).select("scene_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("plane_id"))
     fixed = {"ox": 0.0, "oy": 0.0, "ux": 1.0, "uy": 0.0, "uz": 0.0, "vx": 0.0, "vy": 0.6, "vz": 0.8, "side": 2.0}
@@ -144,7 +160,8 @@ def _(spark, sf):
     return z6(H.planar_grid(_tilted(spark, sf), 0.25, "centred"), "x", "y", "z")
 
 
-@query("G13_box_grid", "SELECT s_suppkey AS scene_id, i::int AS ix, j::int AS iy, k::int AS iz, round((i * 0.3 - 1.05)::double, 6) + 0.0 AS x, round((j * 0.3 - 1.05)::double, 6) + 0.0 AS y, round((k * 0.3 - 1.05)::double, 6) + 0.0 AS z FROM supplier, range(8) a(i), range(8) b(j), range(8) c(k)")
+@query("G13_box_grid", "SELECT s_suppkey AS scene_id, i::int AS ix, j::int AS iy, k::int AS iz, round((i * 0.3 - 1.05)::double, 6) + 0.0 AS x, "
+    "round((j * 0.3 - 1.05)::double, 6) + 0.0 AS y, round((k * 0.3 - 1.05)::double, 6) + 0.0 AS z FROM supplier, range(8) a(i), range(8) b(j), range(8) c(k)")
 def _(spark, sf):
     return z6(H.box_grid(_scenes(spark, sf), 8), "x", "y", "z")
 
@@ -153,7 +170,9 @@ def _gauss(*key):
     return "sqrt(-2 * ln(" + U(*key, "'r'") + ")) * cos(2 * pi() * " + U(*key, "'a'") + ")"
 
 
-@query("G15_jitter", f"WITH {SAMPLES} SELECT scene_id, point_id, k::int AS near, " + ", ".join(f"round({c} + CASE k WHEN 0 THEN 0.1 ELSE 0.01 END * {_gauss('scene_id::varchar', 'point_id::varchar', 'k::varchar', chr(39) + c + chr(39))}, 6) + 0.0 AS {c}" for c in "xyz") + " FROM s, range(2) a(k)")
+@query("G15_jitter", f"WITH {SAMPLES} SELECT scene_id, point_id, "
+    f"k::int AS near, " + ", ".join(f"round({c} + CASE k WHEN 0 THEN 0.1 ELSE 0.01 END * {_gauss('scene_id::varchar', 'point_id::varchar', 'k::varchar', chr(39) + c + chr(39))}, "
+    f"6) + 0.0 AS {c}" for c in "xyz") + " FROM s, range(2) a(k)")
 def _(spark, sf):
     return z6(H.jitter(samples(spark, sf), 0.1), "x", "y", "z")
 
@@ -162,7 +181,10 @@ def _ball(k):
     return U("scene_id::varchar", "draw::varchar", f"'{k}'")
 
 
-@query("G15_ball_points", f"WITH {SAMPLES}, c AS (SELECT scene_id, avg(x) cx, avg(y) cy, avg(z) cz FROM s GROUP BY 1), u AS (SELECT *, cbrt({_ball('radius')}) r, 2 * {_ball('height')} - 1 h, 2 * pi() * {_ball('turn')} t FROM c, range(40) a(draw)) SELECT scene_id, draw::int AS draw, round(cx + r * sqrt(1 - h * h) * cos(t), 6) + 0.0 AS x, round(cy + r * sqrt(1 - h * h) * sin(t), 6) + 0.0 AS y, round(cz + r * h, 6) + 0.0 AS z FROM u")
+@query("G15_ball_points", f"WITH {SAMPLES}, c AS (SELECT scene_id, avg(x) cx, avg(y) cy, avg(z) cz FROM s"
+    f" GROUP BY 1), u AS (SELECT *, cbrt({_ball('radius')}) r, 2 * {_ball('height')} - 1 h, 2 * pi() * {_ball('turn')} t"
+    f" FROM c, range(40) a(draw)) SELECT scene_id, draw::int AS draw, round(cx + r * sqrt(1 - h * h) * cos(t), 6) + 0.0 AS x, round(cy + r * sqrt(1 - h * h) * sin(t), "
+    f"6) + 0.0 AS y, round(cz + r * h, 6) + 0.0 AS z FROM u")
 def _(spark, sf):
     return z6(H.ball_points(T.centroid(samples(spark, sf)), 40), "x", "y", "z")
 
@@ -181,7 +203,8 @@ def _(spark, sf):
 
 
 @query("W10_lhs_thin", f"""WITH {SAMPLES}, e AS (SELECT scene_id, count(*) many, min(x) ax, max(x) bx, min(y) ay, max(y) b_y, min(z) az, max(z) bz FROM s GROUP BY 1),
-b AS (""" + " UNION ALL ".join(f"SELECT scene_id, point_id, '{k}' AS axis, floor(({k} - a{k}) / ({m} - a{k}) * 12) AS bin FROM s JOIN e USING (scene_id) WHERE many > 25" for k, m in (("x", "bx"), ("y", "b_y"), ("z", "bz"))) + f"""),
+b AS (""" + " UNION ALL ".join(f"SELECT scene_id, point_id, '{k}' AS axis, floor(({k} - a{k}) / ({m} - a{k}) * 12) AS bin FROM s JOIN e USING (scene_id)"
+    f" WHERE many > 25" for k, m in (("x", "bx"), ("y", "b_y"), ("z", "bz"))) + f"""),
 o AS (SELECT DISTINCT scene_id, point_id FROM (SELECT scene_id, axis, bin, arg_min(point_id, ({U('scene_id::varchar', 'point_id::varchar', 'axis', chr(39) + 'lhs' + chr(39))}, point_id)) AS point_id FROM b WHERE bin < 12 GROUP BY 1, 2, 3)),
 r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {U('scene_id::varchar', 'point_id::varchar', chr(39) + 'cap' + chr(39))}, point_id) AS rank FROM o)
 SELECT scene_id, point_id FROM r WHERE rank <= 25 UNION ALL SELECT scene_id, point_id FROM s JOIN e USING (scene_id) WHERE many <= 25""")
@@ -204,7 +227,9 @@ def _pairs(spark, sf):
 _PAIRS = SAMPLES + ", p AS (SELECT scene_id, x, y, z, " + ", ".join(f"{e} AS {c}" for c, e in _TARGET.items()) + ", 0.6::double AS nx, 0.8::double AS ny, 0.0::double AS nz FROM s)"
 
 
-@query("A26_cross_covariance", f"WITH {_PAIRS} SELECT scene_id, count(*) AS n, " + ", ".join(f"round(avg({c}), 5) + 0.0 AS mean_{c}" for c in ("x", "y", "z", "tx", "ty", "tz")) + ", " + ", ".join(f"round(covar_pop(t{a}, {b}) * count(*), 5) + 0.0 AS h_{a}{b}" for a in "xyz" for b in "xyz") + " FROM p GROUP BY 1")
+@query("A26_cross_covariance", f"WITH {_PAIRS} SELECT scene_id, count(*) AS n, " + ", ".join(f"round(avg({c}), "
+    f"5) + 0.0 AS mean_{c}" for c in ("x", "y", "z", "tx", "ty", "tz")) + ", " + ", ".join(f"round(covar_pop(t{a}, {b}) * count(*), "
+    f"5) + 0.0 AS h_{a}{b}" for a in "xyz" for b in "xyz") + " FROM p GROUP BY 1")
 def _(spark, sf):
     out = H.cross_covariance(_pairs(spark, sf))
     return out.select("scene_id", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in out.columns[2:]])
@@ -213,7 +238,9 @@ def _(spark, sf):
 _ROW = ["(y * nz - z * ny)", "(z * nx - x * nz)", "(x * ny - y * nx)", "nx", "ny", "nz"]
 
 
-@query("A27_plane_equations", f"WITH {_PAIRS} SELECT scene_id, " + ", ".join(f"round(sum({_ROW[i]} * {_ROW[j]}), 5) + 0.0 AS a{i}{j}" for i in range(6) for j in range(i, 6)) + ", " + ", ".join(f"round(sum({_ROW[i]} * (nx * (tx - x) + ny * (ty - y) + nz * (tz - z))), 5) + 0.0 AS b{i}" for i in range(6)) + " FROM p GROUP BY 1")
+@query("A27_plane_equations", f"WITH {_PAIRS} SELECT scene_id, " + ", ".join(f"round(sum({_ROW[i]} * {_ROW[j]}), "
+    f"5) + 0.0 AS a{i}{j}" for i in range(6) for j in range(i, 6)) + ", " + ", ".join(f"round(sum({_ROW[i]} * (nx * (tx - x) + ny * (ty - y) + nz * (tz - z))), "
+    f"5) + 0.0 AS b{i}" for i in range(6)) + " FROM p GROUP BY 1")
 def _(spark, sf):
     out = H.plane_equations(_pairs(spark, sf))
     return out.select("scene_id", *[(F.round(c, 5) + 0.0).alias(c) for c in out.columns[1:]])
@@ -225,7 +252,8 @@ def _(spark, sf):
     return r6(H.register_all(a, b)[1], *H.RESIDUALS)
 
 
-@query("A28_first_residuals", PAIR + ", n AS (SELECT scene_id, point_id, min(d2) AS d2 FROM d GROUP BY 1, 2) SELECT scene_id, 0 AS round, round(sqrt(avg(d2)), 6) AS rmse, round(avg(sqrt(d2)), 6) AS mean_abs FROM n GROUP BY 1")
+@query("A28_first_residuals", PAIR + ", n AS (SELECT scene_id, point_id, min(d2) AS d2 FROM d"
+    " GROUP BY 1, 2) SELECT scene_id, 0 AS round, round(sqrt(avg(d2)), 6) AS rmse, round(avg(sqrt(d2)), 6) AS mean_abs FROM n GROUP BY 1")
 def _(spark, sf):
     a, b = _two(spark, sf)
     return r6(H.register_all(a, b)[1].filter("round = 0").select("scene_id", "round", "rmse", "mean_abs"), "rmse", "mean_abs")
@@ -276,7 +304,10 @@ def _(spark, sf):
     return samples(spark, sf).select("scene_id", "point_id", (F.round(S.dot(p, q), 6) + 0.0).alias("d"), (F.round(S.cross(p, q)[0], 6) + 0.0).alias("cx"), F.round(S.norm(p), 6).alias("size"), F.signum("z").cast("int").alias("s"))
 
 
-@query("F16_anatomical_axes", f"WITH {SAMPLES}, d AS (SELECT scene_id, point_id, 1.5 - x AS dx, 0.2 - y AS dy, 0.3 - z AS dz, 0.1 - x AS wx, 1.7 - y AS wy, 0.4 - z AS wz FROM s), c AS (SELECT *, dy * wz - dz * wy AS ex, dz * wx - dx * wz AS ey, dx * wy - dy * wx AS ez FROM d) SELECT scene_id, point_id, round(dx / sqrt(dx*dx + dy*dy + dz*dz), 6) + 0.0 AS e1x, round(ex / sqrt(ex*ex + ey*ey + ez*ez), 6) + 0.0 AS e3x, round(ez / sqrt(ex*ex + ey*ey + ez*ez), 6) + 0.0 AS e3z FROM c")
+@query("F16_anatomical_axes", f"WITH {SAMPLES}, d AS (SELECT scene_id, point_id, 1.5 - x AS dx, 0.2 - y AS dy, 0.3 - z AS dz, 0.1 - x AS wx, 1.7 - y AS wy, 0.4 - z AS wz"
+    f" FROM s), c AS (SELECT *, dy * wz - dz * wy AS ex, dz * wx - dx * wz AS ey, dx * wy - dy * wx AS ez"
+    f" FROM d) SELECT scene_id, point_id, round(dx / sqrt(dx*dx + dy*dy + dz*dz), 6) + 0.0 AS e1x, round(ex / sqrt(ex*ex + ey*ey + ez*ez), 6) + 0.0 AS e3x, "
+    f"round(ez / sqrt(ex*ex + ey*ey + ez*ez), 6) + 0.0 AS e3z FROM c")
 def _(spark, sf):
     e1, _, e3 = S.anatomical_axes([F.col(k) for k in "xyz"], [F.lit(1.5), F.lit(0.2), F.lit(0.3)], [F.lit(0.1), F.lit(1.7), F.lit(0.4)])
     return z6(samples(spark, sf).select("scene_id", "point_id", e1[0].alias("e1x"), e3[0].alias("e3x"), e3[2].alias("e3z")), "e1x", "e3x", "e3z")
@@ -338,7 +369,11 @@ def nested(spark, sf):
 _METRICS6 = ["chamfer", "chamfer_sum", "hausdorff", "precision", "recall", "f1", "dice", "iou"]
 
 
-@query("C6_score_rows", _SCORED + ", o AS (SELECT scene_id, count(*) FILTER (WHERE sdf_epi <= 0 AND sdf_lv <= 0) b, count(*) FILTER (WHERE sdf_epi <= 0) p, count(*) FILTER (WHERE sdf_lv <= 0) g FROM s GROUP BY 1), w AS (SELECT scene_id, (m1 + m2) / 2 AS chamfer, m1 + m2 AS chamfer_sum, greatest(h1, h2) AS hausdorff, pr AS precision, rc AS recall, CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END AS f1, (2 * b + 1e-8) / (p + g + 1e-8) AS dice, (b + 1e-8) / (p + g - b + 1e-8) AS iou FROM o LEFT JOIN (ff JOIN gg USING (scene_id)) USING (scene_id)) " + " UNION ALL ".join(f"SELECT scene_id, '{m}' AS metric, round({m}, 6) AS value FROM w" for m in _METRICS6))
+@query("C6_score_rows", _SCORED + ", o AS (SELECT scene_id, count(*) FILTER (WHERE sdf_epi <= 0 AND sdf_lv <= 0) b, count(*) FILTER (WHERE sdf_epi <= 0) p, "
+    "count(*) FILTER (WHERE sdf_lv <= 0) g FROM s"
+    " GROUP BY 1), w AS (SELECT scene_id, (m1 + m2) / 2 AS chamfer, m1 + m2 AS chamfer_sum, greatest(h1, h2) AS hausdorff, pr AS precision, rc AS recall, "
+    "CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END AS f1, (2 * b + 1e-8) / (p + g + 1e-8) AS dice, (b + 1e-8) / (p + g - b + 1e-8) AS iou FROM o LEFT"
+    " JOIN (ff JOIN gg USING (scene_id)) USING (scene_id)) " + " UNION ALL ".join(f"SELECT scene_id, '{m}' AS metric, round({m}, 6) AS value FROM w" for m in _METRICS6))
 def _(spark, sf):
     grid = samples(spark, sf).select("scene_id", F.col("sdf_epi").alias("sdf_pred"), F.col("sdf_lv").alias("sdf_gt"))
     return r6(Z.score_rows(*_two(spark, sf), grid, tau=0.15), "value")
@@ -366,7 +401,9 @@ def _(spark, sf):
     return out.withColumn("value", F.round("value", 5) + 0.0)
 
 
-@query("C8_slice_compatibility", PAIR + ", f AS (SELECT scene_id, point_id, sqrt(min(d2)) AS d FROM d GROUP BY 1, 2) SELECT thr, count(*) AS n, round(avg(d), 6) AS mean, round(median(d), 6) AS median, round(quantile_cont(d, 0.95), 6) AS p95 FROM f, (VALUES (0.1::double), (0.2::double), (0.4::double)) t(thr) WHERE d <= thr GROUP BY 1")
+@query("C8_slice_compatibility", PAIR + ", f AS (SELECT scene_id, point_id, sqrt(min(d2)) AS d FROM d"
+    " GROUP BY 1, 2) SELECT thr, count(*) AS n, round(avg(d), 6) AS mean, round(median(d), 6) AS median, round(quantile_cont(d, 0.95), 6) AS p95"
+    " FROM f, (VALUES (0.1::double), (0.2::double), (0.4::double)) t(thr) WHERE d <= thr GROUP BY 1")
 def _(spark, sf):
     near = T.explode_thresholds(N.nearest_join(*_two(spark, sf)), "distance", [0.1, 0.2, 0.4])
     out = near.groupBy("thr").agg(F.count("*").alias("n"), F.avg("distance").alias("mean")).join(T.percentiles(near, ["thr"], "distance", {"median": 0.5, "p95": 0.95}), "thr")
@@ -376,7 +413,11 @@ def _(spark, sf):
 _COMBOS = ", ".join(f"count(*) FILTER (WHERE mask_epi = {a} AND mask_lv = {b} AND mask_rv = {c}) AS n_{a}{b}{c}" for a in (0, 1) for b in (0, 1) for c in (0, 1))
 
 
-@query("C9_dataset_qa", f"WITH {SAMPLES} SELECT scene_id, count(*) FILTER (WHERE source_surface = 'epi' AND abs(sdf_epi) < 0.03) AS n_epi, count(*) FILTER (WHERE source_surface = 'lv' AND abs(sdf_lv) < 0.03) AS n_lv, count(*) FILTER (WHERE source_surface = 'rv' AND abs(sdf_rv) < 0.03) AS n_rv, count(*) AS n_total, arg_min((mask_epi + mask_lv + mask_rv = 0)::int, point_id) AS first_zero, arg_max((mask_epi + mask_lv + mask_rv = 0)::int, point_id) AS last_zero, " + ", ".join(f"round(100 * count(*) FILTER (WHERE mask_{s} = 1) / count(*), 6) AS percent_{s}, min(sdf_{s}) AS min_{s}, max(sdf_{s}) AS max_{s}" for s in ("epi", "lv", "rv")) + f", {_COMBOS}, CASE WHEN count(*) < 500 THEN 'failed' ELSE 'completed' END AS status FROM s GROUP BY 1")
+@query("C9_dataset_qa", f"WITH {SAMPLES} SELECT scene_id, count(*) FILTER (WHERE source_surface = 'epi' AND abs(sdf_epi) < 0.03) AS n_epi, "
+    f"count(*) FILTER (WHERE source_surface = 'lv' AND abs(sdf_lv) < 0.03) AS n_lv, count(*) FILTER (WHERE source_surface = 'rv' AND abs(sdf_rv) < 0.03) AS n_rv, "
+    f"count(*) AS n_total, arg_min((mask_epi + mask_lv + mask_rv = 0)::int, point_id) AS first_zero, arg_max((mask_epi + mask_lv + mask_rv = 0)::int, "
+    f"point_id) AS last_zero, " + ", ".join(f"round(100 * count(*) FILTER (WHERE mask_{s} = 1) / count(*), 6) AS percent_{s}, min(sdf_{s}) AS min_{s}, "
+    f"max(sdf_{s}) AS max_{s}" for s in ("epi", "lv", "rv")) + f", {_COMBOS}, CASE WHEN count(*) < 500 THEN 'failed' ELSE 'completed' END AS status FROM s GROUP BY 1")
 def _(spark, sf):
     out = Z.dataset_qa(samples(spark, sf), 0.03, 500)
     return r6(out, *[f"percent_{s}" for s in ("epi", "lv", "rv")])
\ No newline at end of file

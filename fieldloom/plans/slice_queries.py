@@ -38,12 +38,22 @@ def landmarks(spark, sf):
     return _fixed(s, c=(0, 0, 0), a=(n * 0.6, n * 0.8, 0), e1=(0.6, 0.8, 0), e2=(-0.8, 0.6, 0), e3=(0, 0, 1))
 
 
-@query("G6_all_planes", f"WITH {_LANDMARKS}, sa AS (SELECT scene_id, k + 1 AS plane_id, 'short_axis' AS plane_type, k::double * 0.3 AS ox, k::double * 0.4 AS oy, 0.6::double AS nx, 0.0::double AS nz FROM l, range(-1, 30) a(k) WHERE k <= floor(n / 0.5) + 1), m AS (SELECT scene_id, count(*) c FROM sa GROUP BY 1) SELECT scene_id, plane_id, plane_type, round(ox, 6) + 0.0 AS ox, round(oy, 6) + 0.0 AS oy, nx, nz FROM sa UNION ALL SELECT scene_id, c + i, 'long_axis_' || (i + 1), round(25.0::double / scale * 0.6, 6), round(25.0::double / scale * 0.8, 6), CASE i WHEN 0 THEN -0.8::double ELSE 0 END, i::double FROM l JOIN m USING (scene_id), range(2) b(i)")
+@query("G6_all_planes", f"WITH {_LANDMARKS}, sa AS (SELECT scene_id, k + 1 AS plane_id, 'short_axis' AS plane_type, k::double * 0.3 AS ox, k::double * 0.4 AS oy, "
+    f"0.6::double AS nx, 0.0::double AS nz FROM l, range(-1, 30) a(k) WHERE k <= floor(n / 0.5) + 1), m AS (SELECT scene_id, count(*) c FROM sa"
+    f" GROUP BY 1) SELECT scene_id, plane_id, plane_type, round(ox, 6) + 0.0 AS ox, round(oy, 6) + 0.0 AS oy, nx, nz FROM sa"
+    f" UNION ALL SELECT scene_id, c + i, 'long_axis_' || (i + 1), round(25.0::double / scale * 0.6, 6), round(25.0::double / scale * 0.8, 6), "
+    f"CASE i WHEN 0 THEN -0.8::double ELSE 0 END, i::double FROM l JOIN m USING (scene_id), range(2) b(i)")
 def _(spark, sf):
     return z6(Z.all_planes(landmarks(spark, sf), 0.5, 1, 1), "ox", "oy", "nx", "nz").select("scene_id", "plane_id", "plane_type", "ox", "oy", "nx", "nz")
 
 
-@query("G20_square_frame", f"WITH {SAMPLES}, n AS (SELECT scene_id, point_id, x / sqrt(x*x + y*y + z*z) AS nx, y / sqrt(x*x + y*y + z*z) AS ny, z / sqrt(x*x + y*y + z*z) AS nz FROM s WHERE x*x + y*y + z*z > 0.01), u AS (SELECT *, CASE WHEN abs(nx) > 0.9 THEN -nz / sqrt(nx*nx + nz*nz) ELSE 0 END AS ux, CASE WHEN abs(nx) > 0.9 THEN 0 ELSE nz / sqrt(ny*ny + nz*nz) END AS uy, CASE WHEN abs(nx) > 0.9 THEN nx / sqrt(nx*nx + nz*nz) ELSE -ny / sqrt(ny*ny + nz*nz) END AS uz FROM n) SELECT scene_id, point_id, round(ux, 6) + 0.0 AS ux, round(uy, 6) + 0.0 AS uy, round(uz, 6) + 0.0 AS uz, round(ny*uz - nz*uy, 6) + 0.0 AS vx, round(nz*ux - nx*uz, 6) + 0.0 AS vy, round(nx*uy - ny*ux, 6) + 0.0 AS vz FROM u")
+@query("G20_square_frame", f"WITH {SAMPLES}, n AS (SELECT scene_id, point_id, x / sqrt(x*x + y*y + z*z) AS nx, y / sqrt(x*x + y*y + z*z) AS ny, "
+    f"z / sqrt(x*x + y*y + z*z) AS nz FROM s"
+    f" WHERE x*x + y*y + z*z > 0.01), u AS (SELECT *, CASE WHEN abs(nx) > 0.9 THEN -nz / sqrt(nx*nx + nz*nz) ELSE 0 END AS ux, "
+    f"CASE WHEN abs(nx) > 0.9 THEN 0 ELSE nz / sqrt(ny*ny + nz*nz) END AS uy, "
+    f"CASE WHEN abs(nx) > 0.9 THEN nx / sqrt(nx*nx + nz*nz) ELSE -ny / sqrt(ny*ny + nz*nz) END AS uz"
+    f" FROM n) SELECT scene_id, point_id, round(ux, 6) + 0.0 AS ux, round(uy, 6) + 0.0 AS uy, round(uz, 6) + 0.0 AS uz, round(ny*uz - nz*uy, 6) + 0.0 AS vx, "
+    f"round(nz*ux - nx*uz, 6) + 0.0 AS vy, round(nx*uy - ny*ux, 6) + 0.0 AS vz FROM u")
 def _(spark, sf):
     p = samples(spark, sf).filter("x*x + y*y + z*z > 0.01").select("scene_id", "point_id", *[F.col(k).alias("n" + k) for k in "xyz"])
     out = Z.square_frame(p)
@@ -51,7 +61,8 @@ def _(spark, sf):
     return z6(out, *columns).select("scene_id", "point_id", *columns)
 
 
-@query("G20_square_corners", "SELECT s_suppkey AS scene_id, i::int AS corner, round((0.1 + 2.0 * (CASE WHEN i IN (1, 2) THEN 0.5 ELSE -0.5 END + 0.25))::double, 6) + 0.0 AS x, round((0.2 + 2.0 * (CASE WHEN i > 1 THEN 0.5 ELSE -0.5 END + 0.25))::double, 6) + 0.0 AS y FROM supplier, range(4) a(i)")
+@query("G20_square_corners", "SELECT s_suppkey AS scene_id, i::int AS corner, round((0.1 + 2.0 * (CASE WHEN i IN (1, 2) THEN 0.5 ELSE -0.5 END + 0.25))::double, "
+    "6) + 0.0 AS x, round((0.2 + 2.0 * (CASE WHEN i > 1 THEN 0.5 ELSE -0.5 END + 0.25))::double, 6) + 0.0 AS y FROM supplier, range(4) a(i)")
 def _(spark, sf):
     p = _fixed(_scenes(spark, sf).withColumns({"plane_id": F.lit(0), "side": F.lit(2.0)}), o=(0.1, 0.2, 0.3), u=(1, 0, 0), v=(0, 1, 0))
     return z6(Z.square_corners(p, 0.25), "x", "y").select("scene_id", "corner", "x", "y")
@@ -63,7 +74,9 @@ def _(spark, sf):
 _BELOW = "CASE WHEN {0} <= d1 THEN 0 WHEN {0} >= d3 THEN area WHEN {0} <= d2 THEN area * ({0}-d1)*({0}-d1) / ((d2-d1)*(d3-d1)) ELSE area * (1 - (d3-{0})*(d3-{0}) / ((d3-d1)*(d3-d2))) END"
 
 
-@query("G11_slab_clip", f"WITH {TORUS}, q AS (SELECT scene_id, area, list_sort([az - 0.11, bz - 0.11, cz - 0.11]) AS d FROM t JOIN c USING (scene_id, fid)), r AS (SELECT scene_id, area, d[1] AS d1, d[2] AS d2, d[3] AS d3 FROM q) SELECT scene_id, round(sum({_BELOW.format('0.2')} - ({_BELOW.format('(-0.2)')})), 5) AS area FROM r GROUP BY 1")
+@query("G11_slab_clip", f"WITH {TORUS}, q AS (SELECT scene_id, area, list_sort([az - 0.11, bz - 0.11, cz - 0.11]) AS d FROM t"
+    f" JOIN c USING (scene_id, fid)), r AS (SELECT scene_id, area, d[1] AS d1, d[2] AS d2, d[3] AS d3"
+    f" FROM q) SELECT scene_id, round(sum({_BELOW.format('0.2')} - ({_BELOW.format('(-0.2)')})), 5) AS area FROM r GROUP BY 1")
 def _(spark, sf):
     v, f = torus(spark, sf)
     c = Z.slab_clip(v, f, level_plane(spark, sf, 0.11), 0.2)
@@ -77,7 +90,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, kx, ky, kz ORDER BY fi
 w AS (SELECT p.scene_id, p.kx, p.ky, p.kz, (pi() - acos(greatest(-1, least(1, (p.dx*q.dx + p.dy*q.dy + p.dz*q.dz) / (p.len * q.len))))) / ((p.len + q.len) / 2) AS v FROM r p JOIN r q ON p.scene_id = q.scene_id AND p.kx = q.kx AND p.ky = q.ky AND p.kz = q.kz AND p.rn = 1 AND q.rn = 2)"""
 
 
-@query("G12_contour_curvature", f'WITH {TORUS}, {_CURVED} SELECT k.scene_id, fid, round((coalesce(wa.v, 0) + coalesce(wb.v, 0)) / 2, 5) AS curvature FROM k LEFT JOIN w wa ON wa.scene_id = k.scene_id AND wa.kx = round(ax, 9) + 0.0 AND wa.ky = round(ay, 9) + 0.0 AND wa.kz = round(az, 9) + 0.0 LEFT JOIN w wb ON wb.scene_id = k.scene_id AND wb.kx = round(bx, 9) + 0.0 AND wb.ky = round("by", 9) + 0.0 AND wb.kz = round(bz, 9) + 0.0')
+@query("G12_contour_curvature", f'WITH {TORUS}, {_CURVED} SELECT k.scene_id, fid, round((coalesce(wa.v, 0) + coalesce(wb.v, 0)) / 2, 5) AS curvature FROM k LEFT'
+    f' JOIN w wa ON wa.scene_id = k.scene_id AND wa.kx = round(ax, 9) + 0.0 AND wa.ky = round(ay, 9) + 0.0 AND wa.kz = round(az, 9) + 0.0 LEFT'
+    f' JOIN w wb ON wb.scene_id = k.scene_id AND wb.kx = round(bx, 9) + 0.0 AND wb.ky = round("by", 9) + 0.0 AND wb.kz = round(bz, 9) + 0.0')
 def _(spark, sf):
     v, f = torus(spark, sf)
     return Z.contour_curvature(G.plane_contours(v, f, level_plane(spark, sf, 0.11))).select("scene_id", "fid", F.round("curvature", 5).alias("curvature"))
@@ -104,7 +119,12 @@ def crossing_planes(spark, sf):
     return _fixed(p, o=o, n=(pick(0.0, 1.0, 0.6), pick(0.0, 0.0, 0.8), pick(1.0, 0.0, 0.0)))
 
 
-@query("G17_plane_line_samples", f"WITH {TORUS}, e AS (SELECT scene_id, min(y) - 0.1 a4, max(y) + 0.1 b4, min(-0.8 * (x - 0.12) + 0.6 * (y - 0.16)) - 0.1 a5, max(-0.8 * (x - 0.12) + 0.6 * (y - 0.16)) + 0.1 b5 FROM v GROUP BY 1), q AS (SELECT scene_id, sa, la, CASE la WHEN 4 THEN a4 ELSE a5 END AS low, CASE la WHEN 4 THEN b4 ELSE b5 END AS high FROM e, range(4) a(sa), range(4, 6) b(la)), i AS (SELECT *, low + i * 0.25 AS t FROM (SELECT *, unnest(range(0, ceil((high + 0.125 - low) / 0.25)::bigint)) AS i FROM q)) SELECT scene_id, sa AS sa_plane, la AS la_plane, i, round(t, 6) + 0.0 AS t, round(CASE la WHEN 4 THEN 0.1 ELSE 0.12 - 0.8 * t END, 6) + 0.0 AS x, round(CASE la WHEN 4 THEN t ELSE 0.16 + 0.6 * t END, 6) + 0.0 AS y, round((sa * 0.2 - 0.3)::double, 6) + 0.0 AS z FROM i")
+@query("G17_plane_line_samples", f"WITH {TORUS}, e AS (SELECT scene_id, min(y) - 0.1 a4, max(y) + 0.1 b4, min(-0.8 * (x - 0.12) + 0.6 * (y - 0.16)) - 0.1 a5, "
+    f"max(-0.8 * (x - 0.12) + 0.6 * (y - 0.16)) + 0.1 b5 FROM v"
+    f" GROUP BY 1), q AS (SELECT scene_id, sa, la, CASE la WHEN 4 THEN a4 ELSE a5 END AS low, CASE la WHEN 4 THEN b4 ELSE b5 END AS high"
+    f" FROM e, range(4) a(sa), range(4, 6) b(la)), i AS (SELECT *, low + i * 0.25 AS t FROM (SELECT *, unnest(range(0, ceil((high + 0.125 - low) / 0.25)::bigint)) AS i"
+    f" FROM q)) SELECT scene_id, sa AS sa_plane, la AS la_plane, i, round(t, 6) + 0.0 AS t, round(CASE la WHEN 4 THEN 0.1 ELSE 0.12 - 0.8 * t END, 6) + 0.0 AS x, "
+    f"round(CASE la WHEN 4 THEN t ELSE 0.16 + 0.6 * t END, 6) + 0.0 AS y, round((sa * 0.2 - 0.3)::double, 6) + 0.0 AS z FROM i")
 def _(spark, sf):
     return z6(Z.plane_line_samples(crossing_planes(spark, sf), torus(spark, sf)[0], 0.25, 0.1), "t", "x", "y", "z")
 
@@ -116,7 +136,10 @@ def spheres(spark, sf):
 _L = [0.64 / math.sqrt(0.64**2 + 0.48**2 + 4), -0.48 / math.sqrt(0.64**2 + 0.48**2 + 4), 2 / math.sqrt(0.64**2 + 0.48**2 + 4)]
 
 
-@query("G21_sector_geometry", "WITH q AS (SELECT s_suppkey AS scene_id, 2.5 + s_suppkey % 3 * 0.5 AS r, i, -pi() / 3 + 2 * pi() / 3 * i / 6 AS a FROM supplier, range(-1, 7) t(i)) SELECT scene_id, CASE WHEN i < 0 THEN 'apex' ELSE 'arc' END AS part, i::int AS i, " + ", ".join(f"round({c} + r * CASE WHEN i < 0 THEN {w} ELSE -cos(a) * {w} + sin(a) * {q}::double END, 6) + 0.0 AS {k}" for k, c, w, q in zip("xyz", (0.1, 0.2, 0.3), (0.6, 0.8, 0.0), _L)) + " FROM q")
+@query("G21_sector_geometry", "WITH q AS (SELECT s_suppkey AS scene_id, 2.5 + s_suppkey % 3 * 0.5 AS r, i, -pi() / 3 + 2 * pi() / 3 * i / 6 AS a"
+    " FROM supplier, range(-1, 7) t(i)) SELECT scene_id, CASE WHEN i < 0 THEN 'apex' ELSE 'arc' END AS part, "
+    "i::int AS i, " + ", ".join(f"round({c} + r * CASE WHEN i < 0 THEN {w} ELSE -cos(a) * {w} + sin(a) * {q}::double END, "
+    f"6) + 0.0 AS {k}" for k, c, w, q in zip("xyz", (0.1, 0.2, 0.3), (0.6, 0.8, 0.0), _L)) + " FROM q")
 def _(spark, sf):
     return z6(Z.sector_geometry(spheres(spark, sf), 60, 7), "x", "y", "z")
 
@@ -155,13 +178,15 @@ def _budget_sql(n, quota, labelled):
     ctes, parts, left = [_DIST, f"l0 AS (SELECT * FROM p0{'' if labelled else f' WHERE size > {n}'})"], [], "l0"
     for i, (s, need) in enumerate(zip(("epi", "lv", "rv"), quota)):
         band = "CASE " + " ".join(f"WHEN count(*) FILTER (WHERE dist_{s} <= {b}) >= {need} THEN {b}" for b in _BANDS) + f" ELSE {_BANDS[-1]} END"
-        ctes += [f"n{i} AS (SELECT q.* FROM {left} q JOIN (SELECT scene_id, {band} AS band FROM {left} GROUP BY 1) USING (scene_id) WHERE dist_{s} <= band)", f"k{i} AS ({pick_sql(f'n{i}', need, f'budget_{s}')})", f"l{i + 1} AS (SELECT * FROM {left} ANTI JOIN k{i} USING (scene_id, point_id))"]
+        ctes += [f"n{i} AS (SELECT q.* FROM {left} q JOIN (SELECT scene_id, {band} AS band FROM {left} GROUP BY 1) USING (scene_id)"
+            f" WHERE dist_{s} <= band)", f"k{i} AS ({pick_sql(f'n{i}', need, f'budget_{s}')})", f"l{i + 1} AS (SELECT * FROM {left} ANTI JOIN k{i} USING (scene_id, point_id))"]
         parts.append((f"k{i}", s, 1))
         left = f"l{i + 1}"
     fills = [(f"fill_{s}", s, f" AND dist_{s} <= {_BANDS[-1]}") for s in ("epi", "lv", "rv")] if labelled else [("budget_background", "background", "")]
     for j, (salt, s, near) in enumerate(fills):
         got = " UNION ALL ".join(f"SELECT scene_id FROM {p}" for p, _, _ in parts)
-        ctes += [f"m{j} AS (SELECT q.*, {n} - coalesce(got, 0) AS need FROM {left} q LEFT JOIN (SELECT scene_id, count(*) AS got FROM ({got}) GROUP BY 1) USING (scene_id) WHERE coalesce(got, 0) < {n}{near})", f"f{j} AS ({pick_sql(f'm{j}', 'need', salt)})", f"g{j} AS (SELECT * FROM {left} ANTI JOIN f{j} USING (scene_id, point_id))"]
+        ctes += [f"m{j} AS (SELECT q.*, {n} - coalesce(got, 0) AS need FROM {left} q LEFT JOIN (SELECT scene_id, count(*) AS got FROM ({got}) GROUP BY 1) USING (scene_id)"
+            f" WHERE coalesce(got, 0) < {n}{near})", f"f{j} AS ({pick_sql(f'm{j}', 'need', salt)})", f"g{j} AS (SELECT * FROM {left} ANTI JOIN f{j} USING (scene_id, point_id))"]
         parts.append((f"f{j}", s, 2))
         left = f"g{j}"
     out = " UNION ALL ".join(f"SELECT scene_id, point_id, '{s}' AS source_surface, {t} AS pass FROM {c}" for c, s, t in parts)
@@ -192,7 +217,8 @@ def _(spark, sf):
     return K.curvature_mixed_pick(samples(spark, sf).withColumn("bend", F.abs("sdf_rv")), "bend", ["x", "y"], 5, 60, 0.4)
 
 
-@query("W6_curvature_weight", f"WITH {SAMPLES} SELECT scene_id, point_id, round(0.7 * pow(abs(sdf_rv), 0.5) / sum(pow(abs(sdf_rv), 0.5)) OVER w + 0.3 * pow(abs(sdf_lv), 0.5) / sum(pow(abs(sdf_lv), 0.5)) OVER w, 9) AS weight FROM s WINDOW w AS (PARTITION BY scene_id)")
+@query("W6_curvature_weight", f"WITH {SAMPLES} SELECT scene_id, point_id, round(0.7 * pow(abs(sdf_rv), 0.5) / sum(pow(abs(sdf_rv), 0.5)) OVER w + 0.3 * pow(abs(sdf_lv), "
+    f"0.5) / sum(pow(abs(sdf_lv), 0.5)) OVER w, 9) AS weight FROM s WINDOW w AS (PARTITION BY scene_id)")
 def _(spark, sf):
     from fieldloom.operators.samples import curvature_weight
 
@@ -215,10 +241,13 @@ def _tilted(spark, sf):
     return v.withColumn("z", F.col("z") + F.col("x") * 0.11 + F.col("y") * 0.07), f
 
 
-_TILTED = _SCORES.replace("AS x, (2 + r * cos(j * (2 * pi() / 8))) * sin(i * (2 * pi() / 12)) AS y, r * sin(j * (2 * pi() / 8)) AS z FROM g)", "AS x, (2 + r * cos(j * (2 * pi() / 8))) * sin(i * (2 * pi() / 12)) AS y, r * sin(j * (2 * pi() / 8)) + (2 + r * cos(j * (2 * pi() / 8))) * (cos(i * (2 * pi() / 12)) * 0.11 + sin(i * (2 * pi() / 12)) * 0.07) AS z FROM g)")
+_TILTED = _SCORES.replace("AS x, (2 + r * cos(j * (2 * pi() / 8))) * sin(i * (2 * pi() / 12)) AS y, r * sin(j * (2 * pi() / 8)) AS z"
+    " FROM g)", "AS x, (2 + r * cos(j * (2 * pi() / 8))) * sin(i * (2 * pi() / 12)) AS y, "
+    "r * sin(j * (2 * pi() / 8)) + (2 + r * cos(j * (2 * pi() / 8))) * (cos(i * (2 * pi() / 12)) * 0.11 + sin(i * (2 * pi() / 12)) * 0.07) AS z FROM g)")
 
 
-@query("G4_hole_patch_scores", f"WITH {_TILTED} SELECT scene_id, kind, component, round(projection, 6) + 0.0 AS projection, round(area, 6) AS area, round(prior, 6) + 0.0 AS prior, round(likelihood, 5) AS likelihood FROM k")
+@query("G4_hole_patch_scores", f"WITH {_TILTED} SELECT scene_id, kind, component, round(projection, 6) + 0.0 AS projection, round(area, 6) AS area, round(prior, "
+    f"6) + 0.0 AS prior, round(likelihood, 5) AS likelihood FROM k")
 def _(spark, sf):
     v, f = _tilted(spark, sf)
     faces = G.component_faces(f)
@@ -226,7 +255,13 @@ def _(spark, sf):
     return z6(out[0].unionByName(out[1]).unionByName(out[2]), "projection", "area", "prior").withColumn("likelihood", F.round("likelihood", 5))
 
 
-@query("C5_landmark_table", f"WITH {_TILTED}, b AS (SELECT scene_id, kind, arg_min(component, (-round(likelihood, 9), component)) AS component FROM k GROUP BY 1, 2), c5 AS (SELECT b.scene_id, kind, b.component, gx, gy, gz FROM b JOIN k0 ON k0.scene_id = b.scene_id AND k0.component = b.component), m AS (SELECT * FROM c5 WHERE kind = 'mitral'), d AS (SELECT v.scene_id, vid, (x-gx)*(x-gx) + (y-gy)*(y-gy) + (z-gz)*(z-gz) AS d2 FROM v JOIN m USING (scene_id)), a AS (SELECT scene_id, arg_min(vid, (-round(d2, 9), vid)) AS apex_id FROM d GROUP BY 1) SELECT m.scene_id, m.component AS mitral_patch, t.component AS tricuspid_patch, p.component AS pulmonary_patch, round(m.gx, 6) + 0.0 AS mitral_x, round(t.gy, 6) + 0.0 AS tricuspid_y, round(p.gz, 6) + 0.0 AS pulmonary_z, apex_id FROM m JOIN c5 t ON t.scene_id = m.scene_id AND t.kind = 'tricuspid' JOIN c5 p ON p.scene_id = m.scene_id AND p.kind = 'pulmonary' JOIN a ON a.scene_id = m.scene_id")
+@query("C5_landmark_table", f"WITH {_TILTED}, b AS (SELECT scene_id, kind, arg_min(component, (-round(likelihood, 9), component)) AS component FROM k"
+    f" GROUP BY 1, 2), c5 AS (SELECT b.scene_id, kind, b.component, gx, gy, gz FROM b JOIN k0 ON k0.scene_id = b.scene_id AND k0.component = b.component), m AS (SELECT *"
+    f" FROM c5 WHERE kind = 'mitral'), d AS (SELECT v.scene_id, vid, (x-gx)*(x-gx) + (y-gy)*(y-gy) + (z-gz)*(z-gz) AS d2 FROM v"
+    f" JOIN m USING (scene_id)), a AS (SELECT scene_id, arg_min(vid, (-round(d2, 9), vid)) AS apex_id FROM d"
+    f" GROUP BY 1) SELECT m.scene_id, m.component AS mitral_patch, t.component AS tricuspid_patch, p.component AS pulmonary_patch, round(m.gx, 6) + 0.0 AS mitral_x, "
+    f"round(t.gy, 6) + 0.0 AS tricuspid_y, round(p.gz, 6) + 0.0 AS pulmonary_z, apex_id FROM m JOIN c5 t ON t.scene_id = m.scene_id AND t.kind = 'tricuspid'"
+    f" JOIN c5 p ON p.scene_id = m.scene_id AND p.kind = 'pulmonary' JOIN a ON a.scene_id = m.scene_id")
 def _(spark, sf):
     out = Z.landmark_table(*_tilted(spark, sf))
     return z6(out, "mitral_x", "tricuspid_y", "pulmonary_z").select("scene_id", "mitral_patch", "tricuspid_patch", "pulmonary_patch", "mitral_x", "tricuspid_y", "pulmonary_z", "apex_id")
