@@ -32,10 +32,10 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(total: np.ndarray, a: int, b: int, span: int, length: int) -> np.ndarray:
+def anchors(total: np.ndarray, down: np.ndarray, a: int, b: int, span: int, length: int) -> np.ndarray:
     """Places in the text [a, b) whose hash of span bytes is the least of some run of length - span + 1 such hashes."""
     w = length - span + 1
-    h = mix64((total[a + span : b + 1] - total[a : b + 1 - span]) * inverse_powers(len(total))[a : b + 1 - span])
+    h = mix64((total[a + span : b + 1] - total[a : b + 1 - span]) * down[a : b + 1 - span])
     low = _least(h, w)
     # the largest of the minima of the runs that hold a place equals its own hash if it is the least of one
     most = np.iinfo(np.uint64).max
@@ -44,8 +44,9 @@ def anchors(total: np.ndarray, a: int, b: int, span: int, length: int) -> np.nda
     return np.flatnonzero(high == h)
 
 
-def _window_hash(total, at, n):
-    return mix64((total[at + n] - total[at]) * inverse_powers(len(total))[at] + np.uint64(0x51ED27))
+def _window_hash(total, down, at, n):
+    """down: inverse_powers(len(total)), made once for all windows, as a large table is not kept."""
+    return mix64((total[at + n] - total[at]) * down[at] + np.uint64(0x51ED27))
 
 
 def _entries(batches, span: int, length: int, batch_bytes: int):
@@ -55,16 +56,17 @@ def _entries(batches, span: int, length: int, batch_bytes: int):
         keys = batch.column(0).to_numpy()
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(LETTERS[data] * powers(len(data)), out=total[1:])
+        down = inverse_powers(len(total))
         seen: dict[int, int] = {}
         out = []
         for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
             times = seen[keys[k]] = seen.get(keys[k], 0) + 1
             if b - a < length or times > 2:
                 continue
-            at = a + anchors(total, a, b, span, length)
+            at = a + anchors(total, down, a, b, span, length)
             left, right = np.minimum(at - a, length - span), np.minimum(b - at, length)
-            fp = _window_hash(total, at, span)
-            around = mix64((total[at + right] - total[at - left]) * inverse_powers(len(total))[at - left] + left.astype(np.uint64) * np.uint64(0x9E3779B1) + right.astype(np.uint64))
+            fp = _window_hash(total, down, at, span)
+            around = mix64((total[at + right] - total[at - left]) * down[at - left] + left.astype(np.uint64) * np.uint64(0x9E3779B1) + right.astype(np.uint64))
             out.append((fp.view(np.int64), around.view(np.int64), np.full(len(at), keys[k]), at - a, left, right))
         if out:
             cols = [np.concatenate(c) for c in zip(*out)]
@@ -131,11 +133,11 @@ def _windows(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, span: int,
     """For each shift: (shift, rows that have the string, its hash), of strings of `length` bytes that begin `shift` before the anchor."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(LETTERS[data] * powers(len(data)), out=total[1:])
-    anchor = offsets[:-1] + left
+    anchor, down = offsets[:-1] + left, inverse_powers(len(total))
     for shift in range(length - span + 1):
         rows = np.flatnonzero((left >= shift) & (anchor - shift + length <= offsets[1:]))
         if len(rows):
-            yield shift, rows, _window_hash(total, anchor[rows] - shift, length)
+            yield shift, rows, _window_hash(total, down, anchor[rows] - shift, length)
 
 
 def _runs(rows: np.ndarray, shifts: np.ndarray, pos: np.ndarray, length: int):
