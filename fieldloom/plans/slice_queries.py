@@ -267,7 +267,21 @@ def _(spark, sf):
     return z6(out, "mitral_x", "tricuspid_y", "pulmonary_z").select("scene_id", "mitral_patch", "tricuspid_patch", "pulmonary_patch", "mitral_x", "tricuspid_y", "pulmonary_z", "apex_id")
 
 
-@query("G5_apex_gap")
+#: The leading axis by squaring the covariance again and again: its columns turn into it.
+_LEADING = """co AS (SELECT scene_id, avg(x) mx, avg(y) my, avg(z) mz, covar_samp(x, x) a, covar_samp(x, y) b, covar_samp(x, z) c, covar_samp(y, y) d, covar_samp(y, z) e, covar_samp(z, z) f FROM s GROUP BY 1),
+pw AS (SELECT scene_id, 0 AS k, a / (a + d + f) a, b / (a + d + f) b, c / (a + d + f) c, d / (a + d + f) d, e / (a + d + f) e, f / (a + d + f) f FROM co
+  UNION ALL SELECT scene_id, k + 1, (a*a + b*b + c*c) / t, (a*b + b*d + c*e) / t, (a*c + b*e + c*f) / t, (b*b + d*d + e*e) / t, (b*c + d*e + e*f) / t, (c*c + e*e + f*f) / t
+  FROM (SELECT *, a*a + 2*b*b + 2*c*c + d*d + 2*e*e + f*f AS t FROM pw) WHERE k < 24),
+ax AS (SELECT scene_id, CASE WHEN a >= greatest(d, f) THEN a WHEN d >= f THEN b ELSE c END ux, CASE WHEN a >= greatest(d, f) THEN b WHEN d >= f THEN d ELSE e END uy,
+  CASE WHEN a >= greatest(d, f) THEN c WHEN d >= f THEN e ELSE f END uz FROM pw WHERE k = 24)"""
+
+
+@query("G5_apex_gap", f"""WITH RECURSIVE {SAMPLES}, {_LEADING},
+t AS (SELECT *, CASE WHEN (mx - 0.1) * ux + (my - 0.2) * uy + (mz - 0.3) * uz < 0 THEN -1 ELSE 1 END AS turn FROM ax JOIN co USING (scene_id)),
+p AS (SELECT s.scene_id, point_id, x, y, z, ((x - 0.1) * ux + (y - 0.2) * uy + (z - 0.3) * uz) * turn AS along, (x - 0.1)*(x - 0.1) + (y - 0.2)*(y - 0.2) + (z - 0.3)*(z - 0.3) AS d2 FROM s JOIN t USING (scene_id)),
+b AS (SELECT scene_id, arg_min(struct_pack(point_id, x, y, z), (-d2, point_id)) AS f, arg_min(struct_pack(point_id, x, y, z), (-along, point_id)) AS g FROM p GROUP BY 1)
+SELECT scene_id, f.point_id AS far_id, g.point_id AS pca_id,
+  round(sqrt((f.x - g.x)*(f.x - g.x) + (f.y - g.y)*(f.y - g.y) + (f.z - g.z)*(f.z - g.z)) * (50.0 + scene_id % 5), 6) AS gap_mm FROM b""")
 def _(spark, sf):
     base = _fixed(_scenes(spark, sf), b=(0.1, 0.2, 0.3))
     meta = _scenes(spark, sf).withColumn("scale_mm", 50.0 + F.col("scene_id") % 5)
