@@ -12,7 +12,7 @@ from fieldloom.operators import shapes as H
 from fieldloom.operators import slices as Z
 from fieldloom.operators import spatial as N
 from fieldloom.operators import tables as T
-from fieldloom.plans.queries import _SCORED, PAIR, WINDING, U, _two, query, r6, wide, z6
+from fieldloom.plans.queries import _DRAW, _SCORED, PAIR, WINDING, U, _two, query, r6, wide, z6
 from fieldloom.plans.views import METRICS, SAMPLES, TORUS, metrics, samples, table, torus
 
 
@@ -355,9 +355,26 @@ def _(spark, sf):
     return spark.createDataFrame([(i, float(s), L.effective_dimension(shares)) for i, s in enumerate(shares)], "component int, share double, effective int")
 
 
-@query("C1_build_samples")
+_SCALES = "(VALUES (0, 1.0::double, 'epi'), (1, 0.9::double, 'lv'), (2, 0.8::double, 'rv'))"
+_MOVED = ", ".join(f"{k} + CASE n WHEN 0 THEN 0.1 ELSE 0.01 END * {_gauss('scene_id::varchar', 'point_id::varchar', 'n::varchar', chr(39) + k + chr(39))} AS {k}" for k in "xyz")
+#: The points of the build as pt; s has each of them three times, as the torus sees it if a scaled one is put in its place.
+_BUILT = f"""{TORUS}, {_DRAW.replace('range(50)', 'range(40)')},
+base AS (SELECT u0.scene_id, draw, (1 - a) * ax + a * (1 - b) * bx + a * b * cx AS x, (1 - a) * ay + a * (1 - b) * by_ + a * b * cy AS y, (1 - a) * az + a * (1 - b) * bz + a * b * cz AS z
+  FROM u0 JOIN l USING (scene_id) JOIN c USING (scene_id, fid) WHERE u > low AND u <= high),
+dp AS (SELECT scene_id, draw * 3 + i AS point_id, x * scale AS x, y * scale AS y, z * scale AS z, source_surface FROM base, {_SCALES} sf(i, scale, source_surface)),
+jt AS (SELECT scene_id, point_id * 2 + n AS pid, {_MOVED}, source_surface FROM dp, range(2) r(n)),
+ce AS (SELECT scene_id, avg(x) cx, avg(y) cy, avg(z) cz FROM v GROUP BY 1),
+bu AS (SELECT *, cbrt({_ball('radius')}) r, 2 * {_ball('height')} - 1 h, 2 * pi() * {_ball('turn')} a FROM ce, range(20) d(draw)),
+pt AS (SELECT * FROM jt UNION ALL SELECT scene_id, 240 + draw, cx + r * sqrt(1 - h * h) * cos(a), cy + r * sqrt(1 - h * h) * sin(a), cz + r * h, 'ball' FROM bu),
+s AS (SELECT scene_id, pid * 3 + i AS point_id, x / (3 * scale) AS x, y / (3 * scale) AS y, z / scale AS z FROM pt, {_SCALES} sg(i, scale, name)), {_TRIANGLES}, {WINDING},
+q AS (SELECT scene_id, point_id // 3 AS pid, point_id % 3 AS i, distance * CASE WHEN abs(w) > 0.5 THEN -1 ELSE 1 END AS sdf FROM td JOIN wn USING (scene_id, point_id))"""
+
+
+@query("C1_build_samples", f"WITH {_BUILT} SELECT scene_id, pid AS point_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, source_surface, "
+    + ", ".join(f"round({g} * max(sdf) FILTER (WHERE i = {i}), 6) + 0.0 AS sdf_{n}" for i, (g, n) in enumerate(((1.0, "epi"), (0.9, "lv"), (0.8, "rv"))))
+    + " FROM pt JOIN q USING (scene_id, pid) GROUP BY scene_id, pid, x, y, z, source_surface")
 def _(spark, sf):
-    return r6(Z.build_samples(nested(spark, sf), 40, 0.1, 20), *[f"sdf_{s}" for s in ("epi", "lv", "rv")])
+    return z6(Z.build_samples(nested(spark, sf), 40, 0.1, 20), "x", "y", "z", *[f"sdf_{s}" for s in ("epi", "lv", "rv")])
 
 
 def nested(spark, sf):
