@@ -144,12 +144,12 @@ def nearest_row(rows: DataFrame) -> DataFrame:
 SIGN_ERROR = 0.2
 
 
-def winding_number(points: DataFrame, vertices: DataFrame, faces: DataFrame, error: float = 0.0, sizes: Sizes | None = None) -> DataFrame:
-    """Generalised winding number of points (scene_id, point_id, x, y, z), and -1 inside (over a half in size), +1 outside.
+def winding_number(points: DataFrame, vertices: DataFrame, faces: DataFrame, error: float = 0.0, sizes: Sizes | None = None, items: DataFrame | None = None) -> DataFrame:
+    """Generalised winding number of points (scene_id, point_id, x, y, z), and -1 inside (over a half in size), +1 outside. items: the faces as boxed_triangles, if they are at hand.
 
     Points outside the surface's box are outside without a look at the faces. With an error, groups of faces that are far enough count by the sum of their
     area vectors alone: near groups are opened until what is left out is below the error; rows whose sign this leaves open are summed in full."""
-    c = corners(vertices, faces)
+    c = boxed_triangles(corners(vertices, faces)) if items is None else items
     box = vertices.groupBy("scene_id").agg(*[f(k).alias(f"{f.__name__}_{k}") for k in "xyz" for f in (F.min, F.max)])
     boxed = points.join(box, "scene_id")
     within = F.lit(True)
@@ -166,8 +166,7 @@ def winding_number(points: DataFrame, vertices: DataFrame, faces: DataFrame, err
     return points.join(w, ["scene_id", "point_id"], "left").select("scene_id", "point_id", F.coalesce("w", F.lit(0.0)).alias("w"), F.when(F.abs(F.coalesce("w", F.lit(0.0))) > 0.5, -1).otherwise(1).alias("sign"))
 
 
-def _wound(points: DataFrame, faces: DataFrame, error: float, sizes: Sizes | None) -> DataFrame:
-    items = boxed_triangles(faces)
+def _wound(points: DataFrame, items: DataFrame, error: float, sizes: Sizes | None) -> DataFrame:
     half = [x / 2 for x in cross(minus(_p("b"), _p("a")), minus(_p("c"), _p("a")))]
     area = norm(half)
     middle = [F.sum(area * (F.col("a" + k) + F.col("b" + k) + F.col("c" + k)) / 3).alias("m" + k) for k in "xyz"]

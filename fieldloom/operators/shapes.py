@@ -71,27 +71,29 @@ def least_triangle(points: np.ndarray, items: dict[str, np.ndarray], counts: lis
     return np.arange(len(points)), {"d2": d2}
 
 
-def triangle_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None) -> DataFrame:
-    """(scene_id, point_id, distance) of each point to the surface; null in a scene without faces. Blocks of points meet the blocks of faces that can be nearest (see bounding.met)."""
+def triangle_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None, items: DataFrame | None = None) -> DataFrame:
+    """(scene_id, point_id, distance) of each point to the surface; null in a scene without faces. Blocks of points meet the blocks of faces that can be nearest (see bounding.met). items: the faces as boxed_triangles, if they are at hand."""
     p = points.select(*KEY, *[F.col(k).cast("double").alias(k) for k in "xyz"])
-    near = met(p, boxed_triangles(corners(vertices, faces)), least_triangle, "d2 double", nearest_row, sizes=sizes)
+    items = boxed_triangles(corners(vertices, faces)) if items is None else items
+    near = met(p, items, least_triangle, "d2 double", nearest_row, sizes=sizes)
     return near.select(*KEY, F.sqrt("d2").alias("distance"))
 
 
-def signed_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None) -> DataFrame:
+def signed_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None, items: DataFrame | None = None) -> DataFrame:
     """Distance to the surface, negative inside."""
-    d = triangle_distance(points, vertices, faces, sizes)
-    return d.join(winding_number(points, vertices, faces, SIGN_ERROR, sizes), KEY).select(*KEY, (F.col("distance") * F.col("sign")).alias("sdf"))
+    items = held(boxed_triangles(corners(vertices, faces))) if items is None else items
+    d = triangle_distance(points, vertices, faces, sizes, items)
+    return d.join(winding_number(points, vertices, faces, SIGN_ERROR, sizes, items), KEY).select(*KEY, (F.col("distance") * F.col("sign")).alias("sdf"))
 
 
-def multi_plane_sdf(points: DataFrame, patches: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None) -> DataFrame:
+def multi_plane_sdf(points: DataFrame, patches: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None, items: DataFrame | None = None) -> DataFrame:
     """(scene_id, point_id, plane_id, sdf): each point (with plane_id) against its own plane's patch (scene_id, plane_id, fid, a*, b*, c*), with the sign of the whole surface; null without a patch."""
     key = [*KEY, "plane_id"]
     one = F.concat_ws("/", "scene_id", "plane_id").alias("plane")  # a plane is a scene of its own
     p = points.select(one, *key, *[F.col(k).cast("double").alias(k) for k in "xyz"])
     c = patches.select(one, "fid", *[q + k for q in "abc" for k in "xyz"])
     near = met(p, boxed_triangles(c, "plane"), least_triangle, "d2 double", nearest_row, sizes=sizes)
-    sign = winding_number(points.select(*KEY, "x", "y", "z"), vertices, faces, SIGN_ERROR, sizes).select(*KEY, "sign")
+    sign = winding_number(points.select(*KEY, "x", "y", "z"), vertices, faces, SIGN_ERROR, sizes, items).select(*KEY, "sign")
     return near.join(sign, KEY, "left").select(*key, (F.sqrt("d2") * F.col("sign")).alias("sdf"))
 
 

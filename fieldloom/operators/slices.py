@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, unit
 from fieldloom.operators.geometry import (
-    SIGN_ERROR, apex, area_weighted_centroid, component_faces, corners, covariance, face_table, plane_contours, plane_pairs, plane_stack, segment_distance, surface_points, varifold, winding_number,
+    SIGN_ERROR, apex, area_weighted_centroid, boxed_triangles, component_faces, corners, covariance, face_table, plane_contours, plane_pairs, plane_stack, segment_distance, surface_points, varifold, winding_number,
 )
 from fieldloom.operators.samples import SURFACES, first_last_mask, mask_stats, stratified_pick, supervision_mask, threshold_counts, valid_shares
 from fieldloom.operators.shapes import ball_points, inside_or_near, jitter, multi_plane_sdf, planar_grid, signed_distance, triangle_distance, volume_grid
@@ -421,16 +421,17 @@ def build_slice_samples(
     names = ["scene_id", "plane_id", "point_id", "x", "y", "z"]
     grid = held(grid.select(*names, "i", "j"))
     epi = surfaces["epi"]
-    signed = triangle_distance(grid, *epi).join(winding_number(grid, *epi, SIGN_ERROR), ["scene_id", "point_id"])
+    items = {s: held(boxed_triangles(corners(v, f))) for s, (v, f) in surfaces.items()}
+    signed = triangle_distance(grid, *epi, items=items["epi"]).join(winding_number(grid, *epi, SIGN_ERROR, items=items["epi"]), ["scene_id", "point_id"])
     near = inside_or_near(signed.withColumn("inside", F.col("sign") < 0), expansion).select("scene_id", "point_id")
     rows = held(grid.join(near, ["scene_id", "point_id"], "left_semi"))
     key = ["scene_id", "plane_id", "point_id"]
     for s, (v, f) in surfaces.items():
         if mode == "volume":
-            d = signed_distance(rows, v, f).select("scene_id", "point_id", F.col("sdf").alias(f"sdf_{s}"))
+            d = signed_distance(rows, v, f, items=items[s]).select("scene_id", "point_id", F.col("sdf").alias(f"sdf_{s}"))
             rows = rows.join(d, ["scene_id", "point_id"], "left")
         elif mode == "slab":
-            d = multi_plane_sdf(rows, slab_clip(v, f, planes, half), v, f).withColumnRenamed("sdf", f"sdf_{s}")
+            d = multi_plane_sdf(rows, slab_clip(v, f, planes, half), v, f, items=items[s]).withColumnRenamed("sdf", f"sdf_{s}")
             rows = rows.join(d, key, "left")
         else:
             flat = planes.select("scene_id", "plane_id", *named(vec("o"), "o"), *named(vec("u"), "u"), *named(vec("v"), "v"))
@@ -439,7 +440,7 @@ def build_slice_samples(
             segments = cut.select("scene_id", "plane_id", *[c.alias(p + a) for p in "ab" for a, c in zip("uv", coords(p))])
             local = rows.join(flat, ["scene_id", "plane_id"]).select(*key, *[c.alias(a) for a, c in zip("uv", coords(""))])
             d = segment_distance(local, segments, "scene_id", "plane_id")
-            sign = winding_number(rows, v, f, SIGN_ERROR).select("scene_id", "point_id", "sign")
+            sign = winding_number(rows, v, f, SIGN_ERROR, items=items[s]).select("scene_id", "point_id", "sign")
             d = d.join(sign, ["scene_id", "point_id"]).select(*key, (F.col("distance") * F.col("sign")).alias(f"sdf_{s}"))
             rows = rows.join(d, key, "left")
     rows = held(rows.withColumns({f"dist_{s}": F.abs(f"sdf_{s}") for s in surfaces}))
