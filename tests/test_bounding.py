@@ -137,14 +137,13 @@ def test_winding_numbers_through_blocks(spark):
         one, other = surface(spark, v, faces), surface(spark, v * 3, faces, 3)
         both = [a.unionByName(b) for a, b in zip(one, other)]
         want = {1: full_winding(p, v, faces), 3: full_winding(p, v * 3, faces)}
-        for sizes in (None, SMALL):
-            for error in (0.0, 0.3):
-                got = {(r.scene_id, r.point_id): r for r in G.winding_number(points, *both, error, sizes).collect()}
-                assert len(got) == 161 and got[2, 100].sign == 1
-                for s in (1, 3):
-                    for i, w in enumerate(want[s]):
-                        inside = all(lo <= c <= hi for c, lo, hi in zip(p[i], (v * s).min(0), (v * s).max(0)))
-                        assert not inside or (abs(got[s, i].w - w) <= error + 1e-9 and (got[s, i].sign == -1) == (abs(w) > 0.5))
+        for sizes, error in ((None, 0.0), (SMALL, 0.0), (SMALL, 0.3)):
+            got = {(r.scene_id, r.point_id): r for r in G.winding_number(points, *both, error, sizes).collect()}
+            assert len(got) == 161 and got[2, 100].sign == 1
+            for s in (1, 3):
+                for i, w in enumerate(want[s]):
+                    inside = all(lo <= c <= hi for c, lo, hi in zip(p[i], (v * s).min(0), (v * s).max(0)))
+                    assert not inside or (abs(got[s, i].w - w) <= error + 1e-9 and (got[s, i].sign == -1) == (abs(w) > 0.5))
 
 
 def test_segments_through_blocks(spark):
