@@ -345,6 +345,7 @@ def varifold(a: DataFrame, b: DataFrame, gamma: float, cut: float | None = None,
     both = one(a, 0).unionByName(one(b, 1))
     for c in columns:
         both = both.filter(finite(c))
+    both = held(both)  # counted, and read as both sides
     items = both.select("*", *[F.col(k).alias(n) for k, n in zip("xyz" * 2, LOW + HIGH)])
     most = math.inf if cut is None else math.sqrt(max(0.0, -math.log(cut) / gamma))
     chunk = (sizes or Sizes()).chunk
