@@ -18,10 +18,12 @@ from fieldloom.scratch import held
 
 
 def corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """faces (scene_id, fid, v0, v1, v2) with the corners' coordinates a*, b*, c*."""
+    """faces (scene_id, fid, v0, v1, v2) with the corners' coordinates a*, b*, c*.
+
+    Spark does not count what explode makes of a row, so it takes tables of vertices and planes for small and would send them whole through the driver: here and below they are joined by merge."""
     out = faces
     for v, p in (("v0", "a"), ("v1", "b"), ("v2", "c")):
-        out = out.join(vertices.select("scene_id", F.col("vid").alias(v), *[F.col(k).alias(p + k) for k in "xyz"]), ["scene_id", v])
+        out = out.join(vertices.select("scene_id", F.col("vid").alias(v), *[F.col(k).alias(p + k) for k in "xyz"]).hint("merge"), ["scene_id", v])
     return out
 
 
@@ -73,10 +75,10 @@ def connected_components(faces: DataFrame) -> DataFrame:
     edges = edges.unionByName(edges.select("scene_id", F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
     labels = edges.groupBy("scene_id", "p").agg(F.least(F.min("q"), F.first("p")).alias("label")).withColumnRenamed("p", "vid")
     while True:
-        near = edges.join(labels.select("scene_id", F.col("vid").alias("q"), "label"), ["scene_id", "q"]).groupBy("scene_id", F.col("p").alias("vid")).agg(F.min("label").alias("near"))
-        new = labels.join(near, ["scene_id", "vid"]).select("scene_id", "vid", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        near = edges.join(labels.select("scene_id", F.col("vid").alias("q"), "label").hint("merge"), ["scene_id", "q"]).groupBy("scene_id", F.col("p").alias("vid")).agg(F.min("label").alias("near"))
+        new = labels.join(near.hint("merge"), ["scene_id", "vid"]).select("scene_id", "vid", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = new.select("scene_id", F.col("vid").alias("label"), F.col("label").alias("far"))
-        new = new.join(jump, ["scene_id", "label"], "left").select("scene_id", "vid", F.least("label", "far").alias("label"), "old")
+        new = new.join(jump.hint("merge"), ["scene_id", "label"], "left").select("scene_id", "vid", F.least("label", "far").alias("label"), "old")
         new = held(new)
         labels = new.drop("old")
         if not new.filter("label != old").limit(1).count():
@@ -87,7 +89,7 @@ def connected_components(faces: DataFrame) -> DataFrame:
 def component_faces(faces: DataFrame, largest: bool = False) -> DataFrame:
     """faces with their component; of each scene only the one with the most faces if `largest` (ties: the least)."""
     c = connected_components(faces).select("scene_id", F.col("vid").alias("v0"), "component")
-    out = faces.join(c, ["scene_id", "v0"])
+    out = faces.join(c.hint("merge"), ["scene_id", "v0"])
     if not largest:
         return out
     best = out.groupBy("scene_id", "component").agg(F.count("*").alias("n")).groupBy("scene_id").agg(F.min_by("component", F.struct(-F.col("n"), F.col("component"))).alias("component"))
@@ -96,7 +98,7 @@ def component_faces(faces: DataFrame, largest: bool = False) -> DataFrame:
 
 def plane_contours(vertices: DataFrame, faces: DataFrame, planes: DataFrame) -> DataFrame:
     """Segments where faces cross planes (scene_id, plane_id, ox, oy, oz, nx, ny, nz); faces off the plane are dropped by their depths first."""
-    c = corners(vertices, faces).join(planes, "scene_id")
+    c = corners(vertices, faces).join(planes.hint("merge"), "scene_id")
     depth = {p: dot(minus(_p(p), _p("o")), _p("n")) for p in "abc"}
     c = c.withColumns({f"d{p}": d for p, d in depth.items()}).filter((F.least("da", "db", "dc") < 0) & (F.greatest("da", "db", "dc") >= 0))
     hits = []
@@ -372,7 +374,7 @@ def plane_stack(landmarks: DataFrame, spacing: float, before: int = 0, after: in
 def plane_pairs(planes: DataFrame) -> DataFrame:
     """Pairs of a short-axis and a long-axis plane of a scene that are not parallel."""
     sa, la = (planes.filter(F.col("plane_type") == t).select("scene_id", F.col("plane_id").alias(f"{p}plane"), *[F.col("n" + k).alias(p + k) for k in "xyz"]) for t, p in (("SA", "a"), ("LA", "b")))
-    return sa.join(la, "scene_id").filter(norm(cross(_p("a"), _p("b"))) >= 1e-10).select("scene_id", F.col("aplane").alias("sa_plane"), F.col("bplane").alias("la_plane"))
+    return sa.join(la.hint("merge"), "scene_id").filter(norm(cross(_p("a"), _p("b"))) >= 1e-10).select("scene_id", F.col("aplane").alias("sa_plane"), F.col("bplane").alias("la_plane"))
 
 
 def covariance(points: DataFrame) -> DataFrame:
@@ -407,7 +409,7 @@ def rigid_of(h: np.ndarray, source: np.ndarray, target: np.ndarray) -> tuple[np.
 def apex(points: DataFrame, base: DataFrame) -> DataFrame:
     """The point of each scene farthest from the base point (bx, by, bz); ties: the least id."""
     d = sum((F.col(k) - F.col("b" + k)) ** 2 for k in "xyz")
-    j = points.join(base, "scene_id").withColumn("d2", d)
+    j = points.join(base.hint("merge"), "scene_id").withColumn("d2", d)
     best = j.groupBy("scene_id").agg(F.min_by(F.struct("point_id", "x", "y", "z", "d2"), F.struct(-F.col("d2"), F.col("point_id"))).alias("p"))
     return best.select("scene_id", "p.point_id", "p.x", "p.y", "p.z", F.sqrt("p.d2").alias("distance"))
 
@@ -427,6 +429,6 @@ def surface_points(vertices: DataFrame, faces: DataFrame, n: int, slots: int = 6
     slot = lambda u: F.least(F.floor(u * slots), F.lit(slots - 1))
     cum = cum.withColumn("slot", F.explode(F.sequence(slot(F.col("low")), slot(F.col("high")))))
     draws = total.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).withColumn("u", uniform("scene_id", "draw", F.lit("area")))
-    hit = draws.withColumn("slot", slot(F.col("u"))).join(cum, ["scene_id", "slot"]).filter((F.col("u") > F.col("low")) & (F.col("u") <= F.col("high")))
+    hit = draws.withColumn("slot", slot(F.col("u"))).join(cum.hint("merge"), ["scene_id", "slot"]).filter((F.col("u") > F.col("low")) & (F.col("u") <= F.col("high")))
     a, b = F.sqrt(uniform("scene_id", "draw", F.lit("u"))), uniform("scene_id", "draw", F.lit("v"))
     return hit.select("scene_id", "draw", "fid", *[((1 - a) * F.col("a" + k) + a * (1 - b) * F.col("b" + k) + a * b * F.col("c" + k)).alias(k) for k in "xyz"])

@@ -26,7 +26,7 @@ def balanced_resample(points: DataFrame, n: int) -> DataFrame:
     plus = F.when(F.col("draw") < half, F.col("pos") > 0).otherwise(F.col("neg") == 0)
     draws = draws.select("scene_id", "surface", (F.col("surface") * 2 * half + F.col("draw")).alias("slot"), F.when(plus, 1).otherwise(-1).alias("sign"), F.when(plus, F.col("pos")).otherwise(F.col("neg")).alias("many"))
     rank = (F.floor(uniform("scene_id", "slot", F.lit("balance")) * F.col("many")) + 1).cast("int")
-    drawn = draws.withColumn("rank", rank).join(ranked, ["scene_id", "surface", "sign", "rank"]).select("scene_id", "slot", "point_id")
+    drawn = draws.withColumn("rank", rank).join(ranked.hint("merge"), ["scene_id", "surface", "sign", "rank"]).select("scene_id", "slot", "point_id")
     if n <= 6 * half or not half:
         return drawn
     extra = points.select("scene_id").distinct().select("scene_id", F.explode(F.sequence(F.lit(6 * half), F.lit(n - 1))).alias("new"))

@@ -141,7 +141,7 @@ def resample(points: DataFrame, n: int, salt: str = "draw") -> DataFrame:
     rows = points.withColumn("rank", F.row_number().over(W.partitionBy("scene_id").orderBy("point_id")))
     draws = points.groupBy("scene_id").agg(F.count("*").alias("n")).select("scene_id", "n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
     draws = draws.select("scene_id", "draw", (F.floor(uniform("scene_id", "draw", F.lit(salt)) * F.col("n")) + 1).cast("int").alias("rank"))
-    return draws.join(rows, ["scene_id", "rank"]).drop("rank")
+    return draws.join(rows.hint("merge"), ["scene_id", "rank"]).drop("rank")
 
 
 def cap_points(points: DataFrame, n: int) -> DataFrame:

@@ -107,7 +107,7 @@ def slab_vertex_distance(points: DataFrame, vertices: DataFrame, half: float, ax
     along = lambda p: sum(F.col(p + k) * a for k, a in zip("xyz", axis))
     v = vertices.select("scene_id", *[F.col(k).alias("r_" + k) for k in "xyz"], F.floor(along("") / (2 * half)).alias("bin"))
     p = points.select(*KEY, "x", "y", "z", F.explode(F.array(*[F.floor(along("") / (2 * half)) + i for i in (-1, 0, 1)])).alias("bin"))
-    near = p.join(v, ["scene_id", "bin"]).filter(F.abs(along("") - along("r_")) <= half).groupBy(*KEY).agg(F.sqrt(F.min(_d2())).alias("distance"))
+    near = p.join(v.hint("merge"), ["scene_id", "bin"]).filter(F.abs(along("") - along("r_")) <= half).groupBy(*KEY).agg(F.sqrt(F.min(_d2())).alias("distance"))
     return points.select(*KEY).join(near, KEY, "left")
 
 
@@ -127,10 +127,10 @@ def edge_bend(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """(scene_id, p, q, mass): the length of each edge of two faces times the angle between their normals."""
     t = face_table(vertices, faces).select("scene_id", "fid", "nx", "ny", "nz")
     sides = F.array(*[F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")) for a, b in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))])
-    e = faces.select("scene_id", "fid", F.explode(sides).alias("e")).join(t, ["scene_id", "fid"]).groupBy("scene_id", "e.p", "e.q")
+    e = faces.select("scene_id", "fid", F.explode(sides).alias("e")).join(t.hint("merge"), ["scene_id", "fid"]).groupBy("scene_id", "e.p", "e.q")
     e = e.agg(F.count("*").alias("n"), F.min_by(F.struct("nx", "ny", "nz"), "fid").alias("f"), F.max_by(F.struct("nx", "ny", "nz"), "fid").alias("g")).filter("n = 2")
     for v in "pq":
-        e = e.join(vertices.select("scene_id", F.col("vid").alias(v), *[F.col(k).alias(v + k) for k in "xyz"]), ["scene_id", v])
+        e = e.join(vertices.select("scene_id", F.col("vid").alias(v), *[F.col(k).alias(v + k) for k in "xyz"]).hint("merge"), ["scene_id", v])
     f, g = ([F.col(f"{s}.n{k}") for k in "xyz"] for s in "fg")
     return e.select("scene_id", "p", "q", (norm(minus(_vec("q"), _vec("p"))) * F.atan2(norm(cross(f, g)), dot(f, g))).alias("mass"))
 
@@ -139,11 +139,11 @@ def signed_bends(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """(scene_id, p, q, px .. qz, bend): the edges of two faces, and the angle between their normals, negative where the surface is hollow."""
     t = face_table(vertices, faces)
     sides = F.array(*[F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")) for a, b in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))])
-    e = faces.select("scene_id", "fid", F.explode(sides).alias("e")).join(t, ["scene_id", "fid"]).groupBy("scene_id", "e.p", "e.q")
+    e = faces.select("scene_id", "fid", F.explode(sides).alias("e")).join(t.hint("merge"), ["scene_id", "fid"]).groupBy("scene_id", "e.p", "e.q")
     face = F.struct("nx", "ny", "nz", "x", "y", "z")
     e = e.agg(F.count("*").alias("n"), F.min_by(face, "fid").alias("f"), F.max_by(face, "fid").alias("g")).filter("n = 2")
     for v in "pq":
-        e = e.join(vertices.select("scene_id", F.col("vid").alias(v), *[F.col(k).alias(v + k) for k in "xyz"]), ["scene_id", v])
+        e = e.join(vertices.select("scene_id", F.col("vid").alias(v), *[F.col(k).alias(v + k) for k in "xyz"]).hint("merge"), ["scene_id", v])
     f, g = ([F.col(f"{s}.n{k}") for k in "xyz"] for s in "fg")
     above = dot(f, minus([F.col(f"g.{k}") for k in "xyz"], _vec("p")))  # of the second face's centre over the first face
     bend = F.atan2(norm(cross(f, g)), dot(f, g))
@@ -164,7 +164,7 @@ def ball_curvature(points: DataFrame, vertices: DataFrame, faces: DataFrame, gau
 
     Edges are cut into pieces no longer than the radius, whose clipped lengths add up to the edge's; a point and the middle of a piece that its ball
     reaches are less than 1.5 radii apart, so both meet by cells of that size: an equi-join, with as many pieces as edges have radii."""
-    defects = angle_defect(vertices, faces).join(vertices.select("scene_id", "vid", *_vec()), ["scene_id", "vid"])
+    defects = angle_defect(vertices, faces).join(vertices.select("scene_id", "vid", *_vec()).hint("merge"), ["scene_id", "vid"])
     gauss = radius_sum(points, defects, gauss_radius).select(*KEY, F.col("mass").alias("gauss"))
     e = signed_bends(vertices, faces)
     n = F.greatest(F.ceil(norm(minus(_vec("q"), _vec("p"))) / mean_radius), F.lit(1))
@@ -172,7 +172,7 @@ def ball_curvature(points: DataFrame, vertices: DataFrame, faces: DataFrame, gau
     along = lambda k, i: F.col("p" + k) + (F.col("q" + k) - F.col("p" + k)) * (F.col("piece") + i) / F.col("pieces")
     size = 1.5 * mean_radius * (1 + 1e-9)
     e = e.select("scene_id", "bend", *[along(k, i).alias(f"{v}{k}") for v, i in (("a", 0), ("b", 1)) for k in "xyz"], *[F.floor(along(k, 0.5) / size).alias("c" + k) for k in "xyz"])
-    met_ = _around(points.select(*KEY, *_vec()), size).join(e, ["scene_id", "cx", "cy", "cz"])
+    met_ = _around(points.select(*KEY, *_vec()), size).join(e.hint("merge"), ["scene_id", "cx", "cy", "cz"])
     mean = met_.groupBy(*KEY).agg((F.sum(clipped_length(_vec("a"), _vec("b"), _vec(), mean_radius) * F.col("bend")) / 2).alias("mean"))
     return points.select(*KEY).join(gauss, KEY, "left").join(mean, KEY, "left").na.fill(0.0, ["gauss", "mean"])
 
@@ -188,7 +188,7 @@ def curvature_weight(curvatures: DataFrame, power: float = 0.75, share: float =
 
 def tagged_landmarks(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Centres of each tag's faces; of two tags whose centres are nearest to each other, the mean: (scene_id, tag, other, x, y, z)."""
-    centres = face_table(vertices, faces).join(faces.select("scene_id", "fid", "tag"), ["scene_id", "fid"]).groupBy("scene_id", "tag").agg(*[F.avg(k).alias(k) for k in "xyz"])
+    centres = face_table(vertices, faces).join(faces.select("scene_id", "fid", "tag").hint("merge"), ["scene_id", "fid"]).groupBy("scene_id", "tag").agg(*[F.avg(k).alias(k) for k in "xyz"])
     other = centres.select("scene_id", F.col("tag").alias("other"), *[F.col(k).alias("r_" + k) for k in "xyz"])
     near = centres.join(other, "scene_id").filter("tag != other").groupBy("scene_id", "tag").agg(F.min_by(F.struct("other", "r_x", "r_y", "r_z"), F.struct(_d2(), "other")).alias("n"))
     near = near.join(centres, ["scene_id", "tag"])

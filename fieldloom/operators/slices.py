@@ -131,7 +131,7 @@ def slab_clip(vertices: DataFrame, faces: DataFrame, planes: DataFrame, half: fl
     Faces off the slab are dropped by their depths; the others are cut at both of its sides as polygons, and each polygon is a
     fan of triangles. The slab is wider by max(1e-12, 1e-9 half), so that faces on its border stay."""
     wide = half + max(1e-12, 1e-9 * half)
-    c = corners(vertices, faces).join(planes.select("scene_id", "plane_id", *vec("o"), *vec("n")), "scene_id")
+    c = corners(vertices, faces).join(planes.select("scene_id", "plane_id", *vec("o"), *vec("n")).hint("merge"), "scene_id")
     depth = {p: dot(minus(vec(p), vec("o")), vec("n")) for p in "abc"}
     c = c.withColumns({"d" + p: d for p, d in depth.items()}).filter((F.least("da", "db", "dc") <= wide) & (F.greatest("da", "db", "dc") >= -wide))
     corner = [p + k for p in "abc" for k in "xyz"]
@@ -176,7 +176,7 @@ def plane_lines(planes: DataFrame) -> DataFrame:
     pairs = plane_pairs(planes)
     for name, p in (("sa_plane", "1"), ("la_plane", "2")):
         side = planes.select("scene_id", F.col("plane_id").alias(name), *[F.col(f"n{k}").alias(f"n{p}{k}") for k in "xyz"], dot(vec("o"), vec("n")).alias("h" + p))
-        pairs = pairs.join(side, ["scene_id", name])
+        pairs = pairs.join(side.hint("merge"), ["scene_id", name])
     n1, n2 = vec("n1"), vec("n2")
     d = unit(cross(n1, n2))
     pairs = pairs.withColumns({"d" + k: c for k, c in zip("xyz", d)})
@@ -192,7 +192,7 @@ def plane_line_samples(planes: DataFrame, vertices: DataFrame, step: float, marg
     lines = plane_lines(planes)
     key = ["scene_id", "sa_plane", "la_plane"]
     along = dot(minus(vec(), vec("p")), vec("d"))
-    ends = lines.join(vertices.select("scene_id", "x", "y", "z"), "scene_id").groupBy(*key).agg((F.min(along) - margin).alias("low"), (F.max(along) + margin).alias("high"))
+    ends = lines.join(vertices.select("scene_id", "x", "y", "z").hint("merge"), "scene_id").groupBy(*key).agg((F.min(along) - margin).alias("low"), (F.max(along) + margin).alias("high"))
     last = F.ceil((F.col("high") + step / 2 - F.col("low")) / step) - 1
     rows = lines.join(ends, key).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("i")).withColumn("t", F.col("low") + F.col("i") * step)
     return rows.select(*key, "i", "t", *named([p + F.col("t") * d for p, d in zip(vec("p"), vec("d"))], ""))
@@ -230,7 +230,7 @@ def sector_contours(vertices: DataFrame, faces: DataFrame, spheres: DataFrame, d
     apex_of = [c + F.col("radius") * w for c, w in zip(vec("c"), vec("w"))]
     planes = s.select("scene_id", F.lit(0).alias("plane_id"), *named(apex_of, "o"), *named(cross(vec("w"), vec("l")), "n"))
     cut = plane_contours(vertices, faces, planes).filter("ax is not null and bx is not null")
-    j = cut.join(s.select("scene_id", *vec("c"), *vec("w"), *vec("l"), "radius"), "scene_id")
+    j = cut.join(s.select("scene_id", *vec("c"), *vec("w"), *vec("l"), "radius").hint("merge"), "scene_id")
     tan, lower, upper = math.tan(math.radians(degrees) / 2), F.lit(0.0), F.lit(1.0)
     place = {}
     for e in "ab":
@@ -327,9 +327,9 @@ def hole_patch_scores(vertices: DataFrame, patch_faces: DataFrame, kind: str) ->
     kind mitral: the patch's first vertex, prior y + x; tricuspid: the mean of its vertices, prior -z; pulmonary: its
     centroid by area, prior z, and all three values scaled from 0 to 1 within the scene. Else values v score (v + 1) / 2, areas their share of FULL_AREA, from 0 to 1."""
     key = ["scene_id", "component"]
-    t = face_table(vertices, patch_faces).join(patch_faces.select("scene_id", "fid", "component"), ["scene_id", "fid"])
+    t = face_table(vertices, patch_faces).join(patch_faces.select("scene_id", "fid", "component").hint("merge"), ["scene_id", "fid"])
     area = t.groupBy(*key).agg(F.sum("area").alias("area"), *[(F.sum(F.col("area") * F.col(k)) / F.nullif(F.sum("area"), F.lit(0.0))).alias(k) for k in "xyz"])
-    corner = patch_faces.select(*key, F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct().join(vertices.select("scene_id", "vid", "x", "y", "z"), ["scene_id", "vid"])
+    corner = patch_faces.select(*key, F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct().join(vertices.select("scene_id", "vid", "x", "y", "z").hint("merge"), ["scene_id", "vid"])
     if kind == "mitral":
         at = corner.groupBy(*key).agg(F.min_by(F.struct("x", "y", "z"), "vid").alias("p")).select(*key, "p.*")
     elif kind == "tricuspid":
@@ -435,10 +435,10 @@ def build_slice_samples(
             rows = rows.join(d, key, "left")
         else:
             flat = planes.select("scene_id", "plane_id", *named(vec("o"), "o"), *named(vec("u"), "u"), *named(vec("v"), "v"))
-            cut = plane_contours(v, f, planes).filter("ax is not null and bx is not null").join(flat, ["scene_id", "plane_id"])
+            cut = plane_contours(v, f, planes).filter("ax is not null and bx is not null").join(flat.hint("merge"), ["scene_id", "plane_id"])
             coords = lambda p: [dot(minus(vec(p), vec("o")), vec(a)) for a in "uv"]
             segments = cut.select("scene_id", "plane_id", *[c.alias(p + a) for p in "ab" for a, c in zip("uv", coords(p))])
-            local = rows.join(flat, ["scene_id", "plane_id"]).select(*key, *[c.alias(a) for a, c in zip("uv", coords(""))])
+            local = rows.join(flat.hint("merge"), ["scene_id", "plane_id"]).select(*key, *[c.alias(a) for a, c in zip("uv", coords(""))])
             d = segment_distance(local, segments, "scene_id", "plane_id")
             sign = winding_number(rows, v, f, SIGN_ERROR, items=items[s]).select("scene_id", "point_id", "sign")
             d = d.join(sign, ["scene_id", "point_id"]).select(*key, (F.col("distance") * F.col("sign")).alias(f"sdf_{s}"))
@@ -459,12 +459,12 @@ def line_compatibility(planes: DataFrame, vertices: DataFrame, faces: DataFrame,
     """(scene_id, sa_plane, la_plane, i, sdf_sa, sdf_lax): at points of the line that two planes share, the distance to the surface's contour in each plane, negative inside the surface; null without a contour."""
     points = held(plane_line_samples(planes, vertices, step, margin).withColumn("point_id", F.xxhash64("sa_plane", "la_plane", "i")))
     frames = square_frame(planes.select("scene_id", "plane_id", *vec("o"), *vec("n")))
-    cut = plane_contours(vertices, faces, planes.select("scene_id", "plane_id", *vec("o"), *vec("n"))).filter("ax is not null and bx is not null").join(frames, ["scene_id", "plane_id"])
+    cut = plane_contours(vertices, faces, planes.select("scene_id", "plane_id", *vec("o"), *vec("n"))).filter("ax is not null and bx is not null").join(frames.hint("merge"), ["scene_id", "plane_id"])
     coords = lambda p: [dot(minus(vec(p), vec("o")), vec(a)) for a in "uv"]
     segments = held(cut.select("scene_id", "plane_id", *[c.alias(p + a) for p in "ab" for a, c in zip("uv", coords(p))]))
     out = points.join(winding_number(points, vertices, faces, SIGN_ERROR).select("scene_id", "point_id", "sign"), ["scene_id", "point_id"])
     for plane, name in (("sa_plane", "sdf_sa"), ("la_plane", "sdf_lax")):
-        local = points.withColumn("plane_id", F.col(plane)).join(frames, ["scene_id", "plane_id"]).select("scene_id", "plane_id", "point_id", *[c.alias(a) for a, c in zip("uv", coords(""))])
+        local = points.withColumn("plane_id", F.col(plane)).join(frames.hint("merge"), ["scene_id", "plane_id"]).select("scene_id", "plane_id", "point_id", *[c.alias(a) for a, c in zip("uv", coords(""))])
         d = segment_distance(local, segments, "scene_id", "plane_id").select("scene_id", "point_id", F.col("distance").alias(name))
         out = out.join(d, ["scene_id", "point_id"], "left").withColumn(name, F.col(name) * F.col("sign"))
     return out.select("scene_id", "sa_plane", "la_plane", "i", "sdf_sa", "sdf_lax")

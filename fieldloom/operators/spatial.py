@@ -79,9 +79,9 @@ def columns_of(table: pa.Table, *names: str) -> np.ndarray:
 
 
 def radius_sum(queries: DataFrame, weights: DataFrame, radius: float) -> DataFrame:
-    """The sum of mass within a ball around each query, by a join on the 27 cells of the radius's size."""
+    """The sum of mass within a ball around each query, by a join on the 27 cells of the radius's size, never through the driver: 27 copies of the queries are more than Spark reckons with."""
     w = weights.select("scene_id", "mass", *[F.col(k).alias(f"r_{k}") for k in "xyz"], *[F.floor(F.col(k) / radius).alias(f"c{k}") for k in "xyz"])
-    hit = _around(queries.select("scene_id", "point_id", "x", "y", "z"), radius).join(w, ["scene_id", "cx", "cy", "cz"]).filter(_d2() <= radius * radius)
+    hit = _around(queries.select("scene_id", "point_id", "x", "y", "z"), radius).join(w.hint("merge"), ["scene_id", "cx", "cy", "cz"]).filter(_d2() <= radius * radius)
     return hit.groupBy("scene_id", "point_id").agg(F.sum("mass").alias("mass"), F.count("*").alias("n"))
 
 
@@ -96,7 +96,7 @@ def points_in_slab(points: DataFrame, planes: DataFrame, half: float) -> DataFra
     listed = listed.withColumn("bin", F.floor(along("o", "s") / width))
     stacks = listed.select("scene_id", "sx", "sy", "sz").distinct()
     p = points.join(stacks, "scene_id").withColumn("bin", F.explode(F.array(*[F.floor(along("", "s") / width) + i for i in (-1, 0, 1)])))
-    j = p.join(listed, ["scene_id", "sx", "sy", "sz", "bin"])
+    j = p.join(listed.hint("merge"), ["scene_id", "sx", "sy", "sz", "bin"])
     depth = sum((F.col(k) - F.col("o" + k)) * F.col("n" + k) for k in "xyz")
     return j.withColumn("depth", depth).filter(F.abs("depth") <= half).drop("bin", "sx", "sy", "sz")
 
