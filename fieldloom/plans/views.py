@@ -39,8 +39,8 @@ METRICS = "m AS (SELECT l_linenumber AS version, l_suppkey AS patient, l_returnf
 
 
 def torus(spark, sf, nu=12, nv=8):
-    """A closed surface for every supplier: (vertices, faces)."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene_id")).withColumn("r", 0.5 + F.col("scene_id") % 7 * 0.1)
+    """A closed surface for every supplier: (vertices, faces). Suppliers are few bytes in one task of a scan, so they are dealt out before each gets its 288 rows."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene_id")).repartition(4 * spark.sparkContext.defaultParallelism, "scene_id").withColumn("r", 0.5 + F.col("scene_id") % 7 * 0.1)
     a, b = F.col("i") * (2 * math.pi / nu), F.col("j") * (2 * math.pi / nv)
     grid = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nu - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
     ring = 2 + F.col("r") * F.cos(b)

@@ -37,3 +37,9 @@ def test_no_surface_is_broadcast(spark, make):
     for part in plan.split("BroadcastExchange")[1:]:  # what is grouped first has a size that Spark measures
         below = part.split("BroadcastHashJoin")[0]
         assert "Exchange hashpartitioning" in below and "HashAggregate" in below
+
+
+def test_surfaces_come_from_many_tasks(spark):
+    v, f = torus(spark, SF)
+    assert v.rdd.getNumPartitions() > 1 and f.rdd.getNumPartitions() > 1
+    assert f.groupBy("scene_id").count().filter("count != 192").count() == 0
