@@ -80,8 +80,9 @@ def columns_of(table: pa.Table, *names: str) -> np.ndarray:
 
 def radius_sum(queries: DataFrame, weights: DataFrame, radius: float) -> DataFrame:
     """The sum of mass within a ball around each query, by a join on the 27 cells of the radius's size, never through the driver: 27 copies of the queries are more than Spark reckons with."""
-    w = weights.select("scene_id", "mass", *[F.col(k).alias(f"r_{k}") for k in "xyz"], *[F.floor(F.col(k) / radius).alias(f"c{k}") for k in "xyz"])
-    hit = _around(queries.select("scene_id", "point_id", "x", "y", "z"), radius).join(w.hint("merge"), ["scene_id", "cx", "cy", "cz"]).filter(_d2() <= radius * radius)
+    size = radius * (1 + 1e-9)  # so that no pair within the radius is two cells apart by rounding
+    w = weights.select("scene_id", "mass", *[F.col(k).alias(f"r_{k}") for k in "xyz"], *[F.floor(F.col(k) / size).alias(f"c{k}") for k in "xyz"])
+    hit = _around(queries.select("scene_id", "point_id", "x", "y", "z"), size).join(w.hint("merge"), ["scene_id", "cx", "cy", "cz"]).filter(_d2() <= radius * radius)
     return hit.groupBy("scene_id", "point_id").agg(F.sum("mass").alias("mass"), F.count("*").alias("n"))
 
 

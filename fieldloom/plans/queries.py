@@ -258,7 +258,7 @@ def _(spark, sf):
     return G.plane_pairs(p)
 
 
-@query("J11_radius_sum", PAIR + " SELECT scene_id, d.point_id, count(*) AS n, round(sum(b.sdf_rv), 6) + 0.0 AS mass FROM d JOIN b USING (scene_id) WHERE b.point_id = d.r AND d2 <= 0.04 GROUP BY 1, 2")
+@query("J11_radius_sum", PAIR + " SELECT scene_id, d.point_id, count(*) AS n, round(sum(b.sdf_rv), 6) + 0.0 AS mass FROM d JOIN b USING (scene_id) WHERE b.point_id = d.r AND d2 <= 0.2::double * 0.2::double GROUP BY 1, 2")
 def _(spark, sf):
     a, b = _two(spark, sf)
     return N.radius_sum(a, b.withColumn("mass", F.col("sdf_rv")), 0.2).select("scene_id", "point_id", "n", (F.round("mass", 6) + 0.0).alias("mass"))
