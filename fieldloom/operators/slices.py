@@ -67,11 +67,19 @@ def all_planes(landmarks: DataFrame, spacing: float, before: int, after: int, sh
 
 def square_frame(planes: DataFrame) -> DataFrame:
     """planes (n*) with axes u and v of a square: u at right angles to the normal and to x (to y where the normal is nearly x), v to both."""
-    n = unit(vec("n"))
     x, y = [F.lit(1.0), F.lit(0.0), F.lit(0.0)], [F.lit(0.0), F.lit(1.0), F.lit(0.0)]
+    out = _unit_columns(planes, vec("n"), "unit_n")
+    n = vec("unit_n")
     tmp = [F.when(F.abs(n[0]) > 0.9, b).otherwise(a) for a, b in zip(x, y)]
-    out = planes.withColumns({"u" + k: c for k, c in zip("xyz", unit(cross(n, tmp)))})
-    return out.withColumns({"v" + k: c for k, c in zip("xyz", unit(cross(n, vec("u"))))})
+    out = _unit_columns(out, cross(n, tmp), "u")
+    return _unit_columns(out, cross(n, vec("u")), "v").drop(*["unit_n" + k for k in "xyz"])
+
+
+def _unit_columns(rows: DataFrame, vector: list[Column], prefix: str) -> DataFrame:
+    """rows with the vector made a unit vector, in steps: as one expression each use would repeat all before it."""
+    out = rows.withColumns({"raw_" + k: c for k, c in zip("xyz", vector)})
+    out = out.withColumn("raw_size", F.nullif(norm(vec("raw_")), F.lit(0.0)))
+    return out.withColumns({prefix + k: F.col("raw_" + k) / F.col("raw_size") for k in "xyz"}).drop("raw_x", "raw_y", "raw_z", "raw_size")
 
 
 def square_corners(planes: DataFrame, fraction: float = 0.5) -> DataFrame:
