@@ -12,8 +12,12 @@ def table(spark, sf, name):
 
 
 def samples(spark, sf):
-    keys = ["l_suppkey", "l_orderkey", "l_linenumber"]  # a few keys occur twice: the least value of each column stays
-    t = table(spark, sf, "lineitem").groupBy(*keys).agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_returnflag")])
+    """The points of every supplier. They are dealt by scene once, before their grouping: what follows within a scene needs no further shuffle, and a scan's task holds no rows.
+
+    The number of parts is given, so that small ones are not merged: a task's memory is its share of the rows."""
+    keys, values = ["l_suppkey", "l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_returnflag"]
+    t = table(spark, sf, "lineitem").select(*keys, *values).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_suppkey")
+    t = t.groupBy(*keys).agg(*[F.min(c).alias(c) for c in values])  # a few keys occur twice: the least value of each column stays
     flag = F.col("l_returnflag")
     surface = F.when(flag == "A", "epi").when(flag == "N", "lv").otherwise("rv")
     return t.select(
