@@ -95,11 +95,16 @@ def first_last_mask(samples: DataFrame) -> DataFrame:
     return samples.groupBy("scene_id").agg(F.min_by(none, "point_id").alias("first_zero"), F.max_by(none, "point_id").alias("last_zero"))
 
 
+def cell_name(axes: list[str], bins: int) -> Column:
+    """The cell of a row among bins of equal width from min_* to max_* of each axis."""
+    place = [F.floor((F.col(a) - F.col(f"min_{a}")) / F.greatest(F.col(f"max_{a}") - F.col(f"min_{a}"), F.lit(1e-12)) * bins) for a in axes]
+    return F.concat_ws("_", *[F.least(p, F.lit(bins - 1)).cast("string") for p in place])
+
+
 def stratified_pick(points: DataFrame, axes: list[str], bins: int, n: int, salt: str = "pick") -> DataFrame:
     """n rows per scene, one per cell in turn: cells of equal width over the scene's range, in a keyed order that holds in every turn."""
     ends = points.groupBy("scene_id").agg(*[f(a).alias(f"{f.__name__}_{a}") for a in axes for f in (F.min, F.max)])
-    cell = [F.least(F.floor((F.col(a) - F.col(f"min_{a}")) / F.greatest(F.col(f"max_{a}") - F.col(f"min_{a}"), F.lit(1e-12)) * bins), F.lit(bins - 1)) for a in axes]
-    rows = points.join(ends, "scene_id").withColumn("cell", F.concat_ws("_", *[c.cast("string") for c in cell])).withColumn("h", uniform("scene_id", "point_id", F.lit(salt)))
+    rows = points.join(ends, "scene_id").withColumn("cell", cell_name(axes, bins)).withColumn("h", uniform("scene_id", "point_id", F.lit(salt)))
     turn = F.row_number().over(W.partitionBy("scene_id", "cell").orderBy("h", "point_id"))
     rows = rows.withColumn("turn", turn).withColumn("ch", uniform("scene_id", "cell", F.lit(salt)))
     rank = F.row_number().over(W.partitionBy("scene_id").orderBy("turn", "ch", "cell"))

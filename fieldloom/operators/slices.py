@@ -9,12 +9,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from fieldloom.functions.scalars import cross, dot, finite, minus, norm, unit
+from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform, unit
 from fieldloom.operators.geometry import (
     SIGN_ERROR, apex, area_weighted_centroid, boxed_triangles, component_faces, corners, covariance, face_table, plane_contours, plane_pairs, plane_stack, segment_distance, surface_points, varifold, winding_number,
 )
-from fieldloom.operators.samples import SURFACES, first_last_mask, mask_stats, stratified_pick, supervision_mask, threshold_counts, valid_shares
+from fieldloom.operators.samples import SURFACES, cell_name, first_last_mask, mask_stats, supervision_mask, threshold_counts, valid_shares
 from fieldloom.operators.shapes import ball_points, inside_or_near, jitter, multi_plane_sdf, planar_grid, signed_distance, triangle_distance, volume_grid
 from fieldloom.operators.spatial import columns_of, held, nearest_join, overlap, surface_scores
 from fieldloom.operators.tables import best_patch, centroid, minmax_norm
@@ -284,46 +285,41 @@ def budget_pick(
 
     A share of n is split by the weights; surface after surface picks its part, one per cell in turn, among the rows not yet picked that lie in the narrowest
     band that holds enough (else in the widest). The rest comes from all other rows (background); labelled, all of n is split, and
-    what is missing is filled surface after surface from the widest band."""
+    what is missing is filled surface after surface from the widest band. (scene_id, point_id) is a key. The turns are windows within scenes over one table,
+    so the rows are shuffled once."""
     quota = budgets(n if labelled else round(share * n), weights, remainder)
-    size = points.groupBy("scene_id").agg(F.count("*").alias("size"))
-    left = points.join(size, "scene_id")
-    whole = None if labelled else left.filter(F.col("size") <= n).select("scene_id", "point_id", F.lit("all").alias("source_surface"), F.lit(0).alias("pass"))
-    left = left.drop("size") if labelled else left.filter(F.col("size") > n).drop("size")
-    parts = []
-
-    def take(rows, need, surface, turn, salt):
-        nonlocal left
-        picked = held(stratified_pick(rows, axes, bins, need, salt).select("scene_id", "point_id", "rank", *(["need"] if "need" in rows.columns else [])))
-        picked = picked.filter("rank <= need") if "need" in picked.columns else picked
-        parts.append(picked.select("scene_id", "point_id", F.lit(surface).alias("source_surface"), F.lit(turn).alias("pass")))
-        left = left.join(picked.select("scene_id", "point_id"), ["scene_id", "point_id"], "left_anti")
-
+    scene = W.partitionBy("scene_id")
+    points = points.select(*dict.fromkeys(["scene_id", "point_id", *axes, *[f"dist_{s}" for s in surfaces]])).filter("scene_id is not null")
+    whole = F.lit(None).cast("string") if labelled else F.when(F.count("*").over(scene) <= n, "all")
+    rows = points.withColumn("picked", whole).withColumn("pass", F.when(F.col("picked").isNotNull(), 0))
+
+    def take(rows, open_, need, surface, turn, salt):
+        """rows with picked and pass set for the first `need` rows of stratified_pick among those with open_."""
+        rows = rows.withColumn("open", F.coalesce(open_, F.lit(False)))
+        rows = rows.withColumns({f"{f.__name__}_{a}": f(F.when(F.col("open"), F.col(a))).over(scene) for a in axes for f in (F.min, F.max)})
+        rows = rows.withColumn("cell", F.when(F.col("open"), cell_name(axes, bins)))
+        rows = rows.withColumn("h", F.when(F.col("open"), uniform("scene_id", "point_id", F.lit(salt))))
+        rows = rows.withColumn("turn", F.row_number().over(W.partitionBy("scene_id", "cell").orderBy("h", "point_id")))
+        rows = rows.withColumn("ch", F.when(F.col("open"), uniform("scene_id", "cell", F.lit(salt))))
+        rows = rows.withColumn("rank", F.row_number().over(scene.orderBy(F.desc("open"), "turn", "ch", "cell")))
+        new = F.col("open") & (F.col("rank") <= need)
+        rows = rows.withColumns({"picked": F.when(new, surface).otherwise(F.col("picked")), "pass": F.when(new, turn).otherwise(F.col("pass"))})
+        return rows.select(*points.columns, "picked", "pass")
+
+    free = F.col("picked").isNull()
     for s, need in zip(surfaces, quota):
         if need <= 0:
             continue
         d = F.when(finite(f"dist_{s}"), F.col(f"dist_{s}"))
-        enough = left.groupBy("scene_id").agg(*[F.count_if(d <= b).alias(f"n{i}") for i, b in enumerate(bands)])
+        rows = rows.withColumns({f"n{i}": F.count_if(free & (d <= b)).over(scene) for i, b in enumerate(bands)})
         band = F.coalesce(*[F.when(F.col(f"n{i}") >= need, F.lit(b)) for i, b in enumerate(bands)], F.lit(bands[-1]))
-        near = left.join(enough.select("scene_id", band.alias("band")), "scene_id").filter(d <= F.col("band")).drop("band")
-        take(near, need, s, 1, f"budget_{s}")
-
-    def shortfall():
-        got = parts[0]
-        for p in parts[1:]:
-            got = got.unionByName(p)
-        return left.join(got.groupBy("scene_id").agg(F.count("*").alias("got")), "scene_id", "left").withColumn("need", n - F.coalesce("got", F.lit(0))).drop("got").filter("need > 0")
-
-    if labelled:
-        for s in surfaces:
-            take(shortfall().filter(finite(f"dist_{s}") & (F.col(f"dist_{s}") <= bands[-1])), n, s, 2, f"fill_{s}")
-    else:
-        take(shortfall(), n, "background", 2, "budget_background")
-        parts.append(whole)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rows = take(rows, free & (d <= band), F.lit(need), s, 1, f"budget_{s}")
+
+    fills = [(s, f"fill_{s}", finite(f"dist_{s}") & (F.col(f"dist_{s}") <= bands[-1])) for s in surfaces] if labelled else [("background", "budget_background", F.lit(True))]
+    for name, salt, near in fills:
+        rows = rows.withColumn("need", n - F.count("picked").over(scene))
+        rows = take(rows, free & near & (F.col("need") > 0), F.col("need"), name, 2, salt)
+    return rows.filter("picked is not null").select("scene_id", "point_id", F.col("picked").alias("source_surface"), "pass")
 
 
 # -- hole patches, apexes, landmarks
