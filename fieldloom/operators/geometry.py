@@ -138,8 +138,8 @@ def segment_distance(points: DataFrame, segments: DataFrame, *keys: str, sizes:
 
 
 def nearest_row(rows: DataFrame) -> DataFrame:
-    """Of a point's results in several chunks the least distance."""
-    return rows.groupBy("row").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("row", "several")]), F.col("d2")).alias("r")).select("row", "r.*")
+    """Of a point's results in several chunks the least distance, null if all are."""
+    return rows.groupBy("row").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("row", "several")]), F.coalesce("d2", F.lit(math.inf))).alias("r")).select("row", "r.*")
 
 
 #: The error of winding numbers that are wanted for their sign: those within it of a half are summed in full again.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform
-from fieldloom.operators.bounding import LOW, Sizes, by_scene, least_distance, matrix, met
+from fieldloom.operators.bounding import HIGH, LOW, Reach, Sizes, between, by_scene, least_distance, matrix, met
 from fieldloom.operators.geometry import SIGN_ERROR, boxed_triangles, corners, face_table, nearest_row, rigid_fit, rigid_of, winding_number
 from fieldloom.operators.spatial import _around, _d2, _nearest, nearest_join, neighbours, radius_sum
 from fieldloom.scratch import drop_written, held, scratch_path, written
@@ -102,13 +102,51 @@ def inside_or_near(rows: DataFrame, expansion: float, inside: str = "inside", di
     return rows.filter(F.coalesce(F.col(inside), F.lit(False)) | (finite(distance) & (F.col(distance) <= expansion)))
 
 
-def slab_vertex_distance(points: DataFrame, vertices: DataFrame, half: float, axis: tuple[float, float, float] = (0.0, 0.0, 1.0)) -> DataFrame:
-    """The least distance of each point to vertices that are at most `half` off along the unit axis; null without one. Bins of the place along it make it an equi-join."""
-    along = lambda p: sum(F.col(p + k) * a for k, a in zip("xyz", axis))
-    v = vertices.select("scene_id", *[F.col(k).alias("r_" + k) for k in "xyz"], F.floor(along("") / (2 * half)).alias("bin"))
-    p = points.select(*KEY, "x", "y", "z", F.explode(F.array(*[F.floor(along("") / (2 * half)) + i for i in (-1, 0, 1)])).alias("bin"))
-    near = p.join(v.hint("merge"), ["scene_id", "bin"]).filter(F.abs(along("") - along("r_")) <= half).groupBy(*KEY).agg(F.sqrt(F.min(_d2())).alias("distance"))
-    return points.select(*KEY).join(near, KEY, "left")
+def _in_slab(points: np.ndarray, items: dict[str, np.ndarray], half: float, axis: tuple[float, ...]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The least squared distance of each point to the items that are at most `half` off along the axis; points without one have no result."""
+    q = np.stack([items[c] for c in LOW], 1)
+    along = lambda p: sum(p[:, k] * a for k, a in enumerate(axis))
+    place, index, found = along(q), [np.zeros(0, np.int64)], [np.zeros(0)]
+    step = max(1, 2_000_000 // max(1, len(q)))
+    for at in range(0, len(points) if len(q) else 0, step):
+        part = points[at : at + step]
+        i, j = np.nonzero(np.abs(along(part)[:, None] - place[None, :]) <= half)
+        if len(i):
+            first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            found.append(np.minimum.reduceat(sum((part[i, k] - q[j, k]) ** 2 for k in range(3)), first))
+            index.append(i[first] + at)
+    return np.concatenate(index), {"d2": np.concatenate(found)}
+
+
+def _slab_reach(a: pa.Table, b: pa.Table, half: float, axis: tuple[float, ...], chunk: int) -> pa.Table:
+    """PAIRS of the blocks that a slab can join: not those that are farther than one whose rows are all within the slab. A block of points without any has its first, so that its points stay."""
+    p, q = matrix(a, LOW + HIGH), matrix(b, LOW + HIGH)
+    ends = lambda m: [sum(f(m[:, k] * w, m[:, k + 3] * w) for k, w in enumerate(axis)) for f in (np.minimum, np.maximum)]
+    (al, ah), (bl, bh) = ([e[:, None] for e in ends(p)], [e[None, :] for e in ends(q)])
+    slack = 1e-9 * (half + np.abs(np.concatenate([ah.ravel(), al.ravel(), bh.ravel(), bl.ravel()])).max())
+    near, far = between(p, q)
+    sure = np.maximum(ah - bl, bh - al) <= half - slack
+    hit = (np.maximum(bl - ah, al - bh) <= half + slack) & (near <= np.where(sure, far, np.inf).min(1)[:, None] * (1 + 1e-9) + 1e-300)
+    hit[:, 0] |= ~hit.any(1)
+    i, j = np.nonzero(hit)
+    many = hit.sum(1)
+    place = np.arange(len(i)) - (np.cumsum(many) - many)[i]
+    left, right = (t.column("block").to_numpy() for t in (a, b))
+    return pa.table({"block": left[i], "r_block": right[j], "chunk": (place // chunk).astype(np.int32), "several": many[i] > chunk})
+
+
+def slab_vertex_distance(points: DataFrame, vertices: DataFrame, half: float, axis: tuple[float, float, float] = (0.0, 0.0, 1.0), sizes: Sizes | None = None) -> DataFrame:
+    """The least distance of each point to vertices that are at most `half` off along the unit axis; null without one, and where a coordinate of the point is null or not finite.
+
+    Scenes are searched whole, in packs; blocks of a large one meet those that the slab can join (see bounding.met). So no row is copied for bins, and no pair leaves its task."""
+    sizes = sizes or Sizes()
+    p = points.select(*KEY, *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    q = vertices.select("scene_id", *[F.col(c).cast("double").alias(n) for c, n in zip("xyz" * 2, LOW + HIGH)])
+    for c in LOW:
+        q = q.filter(finite(c))
+    reach = Reach(lambda a, b: _slab_reach(a, b, half, axis, sizes.chunk), "")
+    near = met(p, q, lambda a, b: _in_slab(a, b, half, axis), "d2 double", nearest_row, sizes=sizes, reach=reach)
+    return near.select(*KEY, F.sqrt("d2").alias("distance"))
 
 
 def angle_defect(vertices: DataFrame, faces: DataFrame) -> DataFrame:
