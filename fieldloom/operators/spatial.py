@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from fieldloom.functions.scalars import finite
 from fieldloom.operators.bounding import HIGH, LOW, Sizes, met
-from fieldloom.scratch import held  # noqa: F401  other modules take it from here
+from fieldloom.scratch import held, written  # noqa: F401  other modules take held from here
 
 
 def _cells(df: DataFrame, size: float, prefix: str) -> DataFrame:
@@ -30,16 +30,53 @@ def _d2(a: str = "", b: str = "r_") -> Column:
     return sum((F.col(f"{a}{k}") - F.col(f"{b}{k}")) ** 2 for k in "xyz")
 
 
+def _least(points: np.ndarray, q: np.ndarray) -> np.ndarray | None:
+    """The place of the nearest row of q for each point, ties by the first; None if rounding leaves too many of them open.
+
+    A product of matrices finds the rows that may be nearest, within a bound of its rounding errors, and only these are measured as differences."""
+    squares = (q * q).sum(1)
+    size = (points * points).sum(1).max() + squares.max()
+    rough = points @ (-2 * q).T
+    rough += squares
+    j = rough.argmin(1)
+    hit = rough <= (rough[np.arange(len(points)), j] + 64 * np.finfo(float).eps * size)[:, None]
+    found = np.count_nonzero(hit)
+    if not np.isfinite(size) or found > 4 * len(points):
+        return None
+    if found == len(points):
+        return j
+    i, j = np.nonzero(hit)
+    d2 = sum((points[i, c] - q[j, c]) ** 2 for c in range(3))
+    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    least = np.flatnonzero(d2 == np.repeat(np.minimum.reduceat(d2, first), np.diff(np.append(first, len(i)))))
+    return j[least[np.unique(i[least], return_index=True)[1]]]
+
+
+def nearest_places(points: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the nearest row of q for each point, ties by the first, and its squared distance."""
+    places = []
+    step = max(1, 2_000_000 // len(q))
+    for at in range(0, len(points), step):
+        part = points[at : at + step]
+        least = _least(part, q)
+        places.append(np.argmin(sum((part[:, c, None] - q[None, :, c]) ** 2 for c in range(3)), 1) if least is None else least)
+    place = places[0] if len(places) == 1 else np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+    return place, sum((points[:, c] - q[place, c]) ** 2 for c in range(3))
+
+
 def _nearest(points: np.ndarray, items: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The k nearest items of each point, ties by the least id."""
     by_id = np.argsort(items["r_id"], kind="stable")  # so the stable order of equal distances is that of ids
     ids, q = items["r_id"][by_id], np.stack([items[c][by_id] for c in LOW], 1)
+    if k == 1 and len(q):
+        place, d2 = nearest_places(points, q)
+        return np.arange(len(points)), {"rank": np.ones(len(points), np.int32), "r_id": ids[place].astype(np.int64), "d2": d2}
     index, found, ranks, d2s = [], [], [], []
     step = max(1, 2_000_000 // max(1, len(q)))
     for at in range(0, len(points) if len(q) else 0, step):
         part = points[at : at + step]
         d2 = sum((part[:, c, None] - q[None, :, c]) ** 2 for c in range(3))
-        near = np.argmin(d2, 1)[:, None] if k == 1 else np.argsort(d2, 1, kind="stable")[:, :k]
+        near = np.argsort(d2, 1, kind="stable")[:, :k]
         index.append(np.repeat(np.arange(at, at + len(d2)), near.shape[1]))
         ranks.append(np.tile(np.arange(1, near.shape[1] + 1), len(d2)))
         found.append(ids[near.ravel()])
@@ -102,10 +139,18 @@ def points_in_slab(points: DataFrame, planes: DataFrame, half: float) -> DataFra
     return j.withColumn("depth", depth).filter(F.abs("depth") <= half).drop("bin", "sx", "sy", "sz")
 
 
+def sides(a: DataFrame, b: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Points of two sides (scene_id, point_id, x, y, z, and those of the columns `more` that b has), made once and read again from one table of the shared folder: each step that follows reads both."""
+    names = ["scene_id", "point_id", "x", "y", "z"]
+    both = a.select(*names, F.lit(True).alias("first")).unionByName(b.select(*names, *more, F.lit(False).alias("first")), allowMissingColumns=True)
+    both = written(both, "sides")
+    return both.filter("first").select(*names), both.filter("not first").select(*names, *more)
+
+
 def directed(a: DataFrame, b: DataFrame, tau: float | DataFrame) -> DataFrame:
     """Per scene of a: the mean and the largest distance to b, and the share nearer than tau, a number or a table (scene_id, tau)."""
     near = nearest_join(a, b)
-    near = near.join(tau, "scene_id", "left") if isinstance(tau, DataFrame) else near.withColumn("tau", F.lit(tau))
+    near = near.join(tau.hint("shuffle_hash"), "scene_id", "left") if isinstance(tau, DataFrame) else near.withColumn("tau", F.lit(tau))
     return near.groupBy("scene_id").agg(F.avg("distance").alias("mean"), F.max("distance").alias("most"), F.avg((F.col("distance") < F.col("tau")).cast("double")).alias("share"))
 
 
@@ -118,7 +163,8 @@ def share_of_diagonal(points: DataFrame, share: float = 0.01) -> DataFrame:
 def surface_scores(gt: DataFrame, pred: DataFrame, tau: float | None = None) -> DataFrame:
     """Per scene: chamfer (half the sum of the mean distances), chamfer_sum, hausdorff, precision, recall and f1 at tau (without: 1 % of gt's diagonal).
 
-    All are null in a scene of which one side is empty."""
+    All are null in a scene of which one side is empty. Both sides are made once (see sides)."""
+    gt, pred = sides(gt, pred)
     limit = share_of_diagonal(gt) if tau is None else tau
     f, b = directed(gt, pred, limit), directed(pred, gt, limit)
     j = f.select("scene_id", F.col("mean").alias("m1"), F.col("most").alias("h1"), F.col("share").alias("recall")).join(b.select("scene_id", F.col("mean").alias("m2"), F.col("most").alias("h2"), F.col("share").alias("precision")), "scene_id", "full")

@@ -423,7 +423,7 @@ def _(spark, sf):
     " GROUP BY 1, 2), ff AS (SELECT scene_id, avg((d < tau)::int) rc FROM f JOIN t USING (scene_id) GROUP BY 1), gg AS (SELECT scene_id, avg((d < tau)::int) pr FROM g"
     " JOIN t USING (scene_id) GROUP BY 1) SELECT scene_id, round(pr, 6) AS precision, round(rc, 6) AS recall FROM ff JOIN gg USING (scene_id)")
 def _(spark, sf):
-    gt, pred = _two(spark, sf)
+    gt, pred = N.sides(*_two(spark, sf))
     tau = N.share_of_diagonal(gt, 0.1)
     f, b = (N.directed(p, q, tau).filter("share is not null").select("scene_id", F.round("share", 6).alias(n)) for p, q, n in ((gt, pred, "recall"), (pred, gt, "precision")))
     return f.join(b, "scene_id").select("scene_id", "precision", "recall")
