@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform
 from fieldloom.operators.bounding import HIGH, LOW, Reach, Sizes, between, by_scene, least_distance, matrix, met
 from fieldloom.operators.geometry import SIGN_ERROR, boxed_triangles, corners, face_table, nearest_row, rigid_fit, rigid_of, winding_number
-from fieldloom.operators.spatial import _around, _d2, _nearest, nearest_join, neighbours, radius_sum
+from fieldloom.operators.spatial import _around, _d2, nearest_join, nearest_places, neighbours, radius_sum, sides
 from fieldloom.scratch import drop_written, held, scratch_path, written
 
 KEY = ["scene_id", "point_id"]
@@ -399,18 +399,18 @@ class Steps:
 
 def align(p: np.ndarray, q: np.ndarray, normals: np.ndarray | None, steps: Steps) -> tuple[np.ndarray, list[list[float]]]:
     """Sources p moved onto targets q (in the order of their ids), and the RESIDUALS of each round."""
-    log, items = [], {"r_id": np.arange(len(q)), **{c: q[:, k] for k, c in enumerate(LOW)}}
+    log = []
     for _ in range(steps.rounds):
-        _, near = _nearest(p, items, 1)
-        t, before = q[near["r_id"]], np.sqrt(near["d2"])
+        near, d2 = nearest_places(p, q)
+        t, before = q[near], np.sqrt(d2)
         if steps.to_plane:
-            n = normals[near["r_id"]]
+            n = normals[near]
             rows = np.concatenate([np.cross(p, n), n], 1)
             turn, shift = plane_of(rows.T @ rows, rows.T @ (n * (t - p)).sum(1), steps.most_turn, steps.most_shift)
         else:
             turn, shift = rigid_of((p - p.mean(0)).T @ (t - t.mean(0)) / len(p), p.mean(0), t.mean(0))
         p = p @ turn.T + shift
-        after = np.abs((normals[near["r_id"]] * (t - p)).sum(1)) if steps.to_plane else np.sqrt(((t - p) ** 2).sum(1))
+        after = np.abs((normals[near] * (t - p)).sum(1)) if steps.to_plane else np.sqrt(((t - p) ** 2).sum(1))
         angle, size = math.acos(max(-1.0, min(1.0, (np.trace(turn) - 1) / 2))), float(np.sqrt((shift**2).sum()))
         log.append([math.sqrt((before**2).mean()), before.mean(), math.sqrt((after**2).mean()), after.mean(), angle, size])
         if angle < steps.tolerance and size < steps.tolerance:
@@ -455,7 +455,8 @@ def register_all(
     spark = sources.sparkSession
     number = lambda df, *more: df.select("scene_id", F.col("point_id").cast("bigint").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", *more)])
     sound = finite("x") & finite("y") & finite("z")
-    every, t = number(sources), number(targets, *(("nx", "ny", "nz") if to_plane else ())).filter(sound)
+    normals = ("nx", "ny", "nz") if to_plane else ()
+    every, t = sides(number(sources), number(targets, *normals).filter(sound), *normals)
     a = every.filter(sound)
     t = t.select(*[F.col(c).alias(c) for c in t.columns])
     n = a.groupBy("scene_id").agg(F.count("*").alias("n_a")).join(t.groupBy("scene_id").agg(F.count("*").alias("n_b")), "scene_id", "left").fillna(0, ["n_b"])

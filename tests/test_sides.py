@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from fieldloom.operators import shapes as H
 from fieldloom.operators import spatial as N
 from fieldloom.plans.queries import QUERIES
 
@@ -15,7 +16,7 @@ def rows_of(seed, n, scenes=2):
     return [(s, i, *np.round(r.random(3) * 4, 1).tolist()) for s in range(scenes) for i in range(n)]
 
 
-@pytest.mark.parametrize("make", [lambda a, b: N.surface_scores(a, b)], ids=["scores"])
+@pytest.mark.parametrize("make", [lambda a, b: N.surface_scores(a, b), lambda a, b: H.register_all(a, b, rounds=3)[1]], ids=["scores", "registration"])
 def test_both_sides_are_made_once(spark, make):
     made = spark.sparkContext.accumulator(0)
 
