@@ -1,5 +1,6 @@
 """Slab distances copy no row for bins and are those of all pairs."""
 
+import numpy as np
 import pytest
 
 from fieldloom.operators import shapes as H
