@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform
-from fieldloom.operators.bounding import HIGH, LOW, Reach, Sizes, between, by_scene, least_distance, matrix, met
+from fieldloom.operators.bounding import HIGH, LOW, Reach, Sizes, between, by_scene, least_distance, matrix, met, within_reach
 from fieldloom.operators.geometry import SIGN_ERROR, boxed_triangles, corners, face_table, nearest_row, rigid_fit, rigid_of, winding_number
-from fieldloom.operators.spatial import _around, _d2, nearest_join, nearest_places, neighbours, radius_sum, sides
+from fieldloom.operators.spatial import _around, _d2, nearest_join, nearest_places, neighbours, sides
 from fieldloom.scratch import drop_written, held, scratch_path, written
 
 KEY = ["scene_id", "point_id"]
@@ -188,31 +188,64 @@ def signed_bends(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return e.select("scene_id", "p", "q", *_vec("p"), *_vec("q"), F.when(above > 0, -bend).otherwise(bend).alias("bend"))
 
 
-def clipped_length(a: list[Column], b: list[Column], c: list[Column], radius: float) -> Column:
-    """The length of what of the segment from a to b lies in the ball around c."""
-    d, w = minus(b, a), minus(a, c)
-    dd, dw, ww = dot(d, d), dot(w, d), dot(w, w) - radius * radius
-    root = F.sqrt(F.greatest(dw * dw - dd * ww, F.lit(0.0)))
-    within = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    return F.when((dd > 0) & (dw * dw > dd * ww), (within((-dw + root) / dd) - within((-dw - root) / dd)) * F.sqrt(dd)).otherwise(0.0)
-
-
-def ball_curvature(points: DataFrame, vertices: DataFrame, faces: DataFrame, gauss_radius: float, mean_radius: float) -> DataFrame:
+def clipped_length(a: np.ndarray, b: np.ndarray, c: np.ndarray, radius: float) -> np.ndarray:
+    """The length of what of the segment from a to b lies in the ball around c, row by row."""
+    d, w = b - a, a - c
+    dd, dw, ww = (d * d).sum(1), (w * d).sum(1), (w * w).sum(1) - radius * radius
+    root = np.sqrt(np.maximum(dw * dw - dd * ww, 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.clip((-dw + root) / dd, 0, 1) - np.clip((-dw - root) / dd, 0, 1)
+    return np.where((dd > 0) & (dw * dw > dd * ww), share * np.sqrt(dd), 0)
+
+
+def _in_balls(points: np.ndarray, items: dict[str, np.ndarray], gauss_radius: float, mean_radius: float) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """For each point the sum of what vertices in its ball weigh, and half the sum of edge lengths in its ball times what the edges weigh."""
+    a, b = (np.stack([items[p + k] for k in "xyz"], 1) for p in "ab")
+    weight, edge = items["weight"], items["edge"].astype(bool)
+    half = np.sqrt(((b - a) ** 2).sum(1)) / 2
+    middle, reach = (a + b) / 2, np.where(edge, (mean_radius + half) * (1 + 1e-9), gauss_radius * (1 + 1e-9))
+    sums = np.zeros((2, len(points)))
+    step = max(1, 1_000_000 // max(1, len(a)))
+    for at in range(0, len(points) if len(a) else 0, step):
+        part = points[at : at + step]
+        i, j = np.nonzero(sum((part[:, k, None] - middle[None, :, k]) ** 2 for k in range(3)) <= (reach * reach)[None])
+        for side in (False, True):
+            of = edge[j] == side
+            p, q, n = part[i[of]], j[of], i[of]
+            if side:
+                value = clipped_length(a[q], b[q], p, mean_radius) / 2
+                value, n = (value * weight[q])[value > 0], n[value > 0]
+            else:
+                inside = sum((p[:, k] - a[q, k]) ** 2 for k in range(3)) <= gauss_radius * gauss_radius
+                value, n = weight[q][inside], n[inside]
+            sums[int(side), at : at + step] = np.bincount(n, value, len(part))
+    return np.arange(len(points)), {"gauss": sums[0], "mean": sums[1]}
+
+
+def ball_curvature(points: DataFrame, vertices: DataFrame, faces: DataFrame, gauss_radius: float, mean_radius: float, sizes: Sizes | None = None) -> DataFrame:
     """(scene_id, point_id, gauss, mean): in a ball around each point the sum of angle defects of vertices, and half the sum of edge lengths, clipped to the ball, times signed bends.
 
-    Edges are cut into pieces no longer than the radius, whose clipped lengths add up to the edge's; a point and the middle of a piece that its ball
-    reaches are less than 1.5 radii apart, so both meet by cells of that size: an equi-join, with as many pieces as edges have radii."""
-    defects = angle_defect(vertices, faces).join(vertices.select("scene_id", "vid", *_vec()).hint("merge"), ["scene_id", "vid"])
-    gauss = radius_sum(points, defects, gauss_radius).select(*KEY, F.col("mass").alias("gauss"))
-    e = signed_bends(vertices, faces)
-    n = F.greatest(F.ceil(norm(minus(_vec("q"), _vec("p"))) / mean_radius), F.lit(1))
-    e = e.withColumn("pieces", n).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
-    along = lambda k, i: F.col("p" + k) + (F.col("q" + k) - F.col("p" + k)) * (F.col("piece") + i) / F.col("pieces")
-    size = 1.5 * mean_radius * (1 + 1e-9)
-    e = e.select("scene_id", "bend", *[along(k, i).alias(f"{v}{k}") for v, i in (("a", 0), ("b", 1)) for k in "xyz"], *[F.floor(along(k, 0.5) / size).alias("c" + k) for k in "xyz"])
-    met_ = _around(points.select(*KEY, *_vec()), size).join(e.hint("merge"), ["scene_id", "cx", "cy", "cz"])
-    mean = met_.groupBy(*KEY).agg((F.sum(clipped_length(_vec("a"), _vec("b"), _vec(), mean_radius) * F.col("bend")) / 2).alias("mean"))
-    return points.select(*KEY).join(gauss, KEY, "left").join(mean, KEY, "left").na.fill(0.0, ["gauss", "mean"])
+    Scenes are searched whole, in packs; blocks of a large one meet those that a ball can reach (see bounding.met). So no row is copied for cells, and no pair leaves its task.
+    Vertices and edges are made once, in a table of the shared folder."""
+    sizes = sizes or Sizes()
+    ends = [p + k for p in "ab" for k in "xyz"]
+    item = lambda edge, first, last, weight: [F.lit(edge).alias("edge"), *[F.col(c).cast("double").alias(n) for c, n in zip(first + last, ends)], F.col(weight).cast("double").alias("weight")]
+    at = [list("xyz"), ["px", "py", "pz"], ["qx", "qy", "qz"]]
+    items = angle_defect(vertices, faces).join(vertices.select("scene_id", "vid", *_vec()).hint("merge"), ["scene_id", "vid"]).select("scene_id", *item(False, at[0], at[0], "mass"))
+    items = items.unionByName(signed_bends(vertices, faces).select("scene_id", *item(True, at[1], at[2], "bend"))).filter("weight is not null")
+    for c in ends:
+        items = items.filter(finite(c))
+    box = [f("a" + k, "b" + k).alias(n) for f, names in ((F.least, LOW), (F.greatest, HIGH)) for k, n in zip("xyz", names)]
+    items = written(items, "curvature").select("*", *box)
+
+    def merge(rows):
+        first = [F.first(c).alias(c) for c in rows.columns if c not in ("row", "several", "gauss", "mean")]
+        return rows.groupBy("row").agg(*first, F.sum("gauss").alias("gauss"), F.sum("mean").alias("mean"))
+
+    p = points.select(*KEY, *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    reach = Reach(lambda a, b: within_reach(a, b, max(gauss_radius, mean_radius), sizes.chunk), "")
+    out = met(p, items, lambda a, b: _in_balls(a, b, gauss_radius, mean_radius), "gauss double, mean double", merge, sizes=sizes, reach=reach)
+    return out.select(*KEY, "gauss", "mean").na.fill(0.0, ["gauss", "mean"])
 
 
 def curvature_weight(curvatures: DataFrame, power: float = 0.75, share: float = 0.1) -> DataFrame:
