@@ -342,35 +342,120 @@ def most_in_square(side: float, least: float) -> int:
     return int(2 / math.sqrt(3) * side**2 / least**2)
 
 
-def min_distance_thin(points: DataFrame, least: float, salt: str = "thin", n: int | None = None, side: float | None = None) -> DataFrame:
-    """A largest-possible choice of each scene's points no two of which are nearer than `least` (none can be added), or its first n in the keyed order.
-
-    An n beyond what a square of that side can hold (most_in_square) is an error.
-
-    Points have a keyed order. In each round those before all neighbours that are still open stay, and their
-    neighbours go, which gives what taking one point after another in that order would. The first open point of all always stays, so rounds end."""
-    if n is not None and side is not None and n > most_in_square(side, least):
-        raise ValueError(f"{n} points {least} apart don't fit a square of side {side}, which holds {most_in_square(side, least)} at most")
-    p = points.select(*KEY, "x", "y", "z", F.struct(uniform(*KEY, F.lit(salt)).alias("h"), "point_id").alias("order"))
+def _first_apart(p: np.ndarray, least: float, share: int = 256) -> np.ndarray:
+    """The places of the points (in their order) that stay if one after another is taken that is not nearer than `least` to one taken before."""
+    within = lambda a, b: sum((a[:, c, None] - b[None, :, c]) ** 2 for c in range(3)) < least * least
+    left, kept = np.arange(len(p)), []
+    while len(left):
+        part, left = left[:share], left[share:]
+        near, free = within(p[part], p[part]), np.ones(len(part), bool)
+        taken = []
+        for i in range(len(part)):
+            if free[i]:
+                taken.append(i)
+                free &= ~near[i]
+        kept.append(part[taken])
+        step = max(1, 1_000_000 // len(taken))
+        left = np.concatenate([left[at : at + step][~within(p[left[at : at + step]], p[kept[-1]]).any(1)] for at in range(0, len(left), step)] or [left])
+    return np.concatenate([*kept, np.zeros(0, np.int64)])
+
+
+def _thinned(table: pa.Table, least: float, names: list[str]) -> pa.Table:
+    """The rows of whole scenes (scene_id, point_id, x, y, z, h) that stay; those without a scene, or with a coordinate that is null or not finite, all do."""
+    table = table.sort_by([(c, "ascending") for c in ("scene_id", "h", "point_id", "x", "y", "z")]).combine_chunks()
+    points = matrix(table, list("xyz"))
+    scene = table.column("scene_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    sound = (scene >= 0) & np.isfinite(points).all(1)
+    at = np.flatnonzero(sound)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(scene[at])) + 1, [len(at)]])
+    kept = [at[i:j][_first_apart(points[at[i:j]], least)] for i, j in zip(cuts[:-1], cuts[1:])]
+    return table.take(pa.array(np.concatenate([np.flatnonzero(~sound), *kept]))).select(names)
+
+
+def _apart_in_rounds(p: DataFrame, least: float) -> DataFrame:
+    """The rows of p (scene_id, point_id, x, y, z, h) that _first_apart keeps, by a table of all pairs nearer than `least`.
+
+    In each round points before all neighbours that are still open stay, and their neighbours go. The first open point of all always stays, so rounds end."""
+    p = p.withColumn("order", F.struct("h", "point_id"))
     cells = p.select("scene_id", F.col("order").alias("r_order"), *[F.col(k).alias("r_" + k) for k in "xyz"], *[F.floor(F.col(k) / least).alias("c" + k) for k in "xyz"])
-    pairs = held(_around(p, least).join(cells, ["scene_id", "cx", "cy", "cz"]).filter((_d2() < least * least) & (F.col("order") != F.col("r_order"))).select("scene_id", "order", "r_order"))
-    left, kept = held(p.select("scene_id", "order")), []
+    pairs = written(_around(p, least).join(cells.hint("merge"), ["scene_id", "cx", "cy", "cz"]).filter((_d2() < least * least) & (F.col("order") != F.col("r_order"))).select("scene_id", "order", "r_order"), "thin-pairs")
+    left, kept = written(p.select("scene_id", "order"), "thin-left"), []
     while True:
         first = pairs.groupBy("scene_id", "order").agg(F.min("r_order").alias("first"))
-        stay = held(left.join(first, ["scene_id", "order"], "left").filter("first is null or order < first").select("scene_id", "order"))
+        stay = written(left.join(first, ["scene_id", "order"], "left").filter("first is null or order < first").select("scene_id", "order"), "thin-stay")
         kept.append(stay)
         gone = pairs.join(stay, ["scene_id", "order"], "left_semi").select("scene_id", F.col("r_order").alias("order")).unionByName(stay).distinct()
-        left = held(left.join(gone, ["scene_id", "order"], "left_anti"))
+        gone = written(gone, "thin-gone")
+        now = written(left.join(gone, ["scene_id", "order"], "left_anti"), "thin-left")
+        drop_written(left)
+        left = now
         if not left.limit(1).count():
             break
         out = gone.withColumnRenamed("order", "r_order")
-        pairs = held(pairs.join(gone, ["scene_id", "order"], "left_anti").join(out, ["scene_id", "r_order"], "left_anti"))
+        now = written(pairs.join(gone, ["scene_id", "order"], "left_anti").join(out, ["scene_id", "r_order"], "left_anti").select("scene_id", "order", "r_order"), "thin-pairs")
+        for table in (pairs, gone):
+            drop_written(table)
+        pairs = now
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)
+    return p.join(out, ["scene_id", "order"], "left_semi").drop("order")
+
+
+def _thin_large(p: DataFrame, least: float, most: int, scene_rows: int) -> DataFrame:
+    """The rows of p (scene_id, point_id, x, y, z, h) that stay, for scenes of up to `most` rows.
+
+    The first points of each scene in the keyed order, about scene_rows at most, are taken by a task for each scene; then twice as many
+    in each step. Before a step, points near one that stays go, so a point has few neighbours among those of its step, however dense a place is."""
+    names, share = p.columns, scene_rows / most
+    sound = finite("x") & finite("y") & finite("z")
+    parts, left = [p.filter(~sound)], written(p.filter(sound), "thin-open")
+    first = True
+    while True:
+        step = left.filter(F.col("h") < share)
+        kept = step.groupBy("scene_id").applyInArrow(lambda t: _thinned(t, least, names), p.schema) if first else _apart_in_rounds(step, least).select(*names)
+        kept = written(kept, "thin-kept")
+        parts.append(kept)
+        rest = left.filter(F.col("h") >= share)
+        if share >= 1 or not rest.limit(1).count():
+            break
+        far = neighbours(rest.select(*KEY, "x", "y", "z"), kept).filter(F.coalesce(F.col("d2") >= least * least, F.lit(True)))
+        now = written(rest.join(far.select(*KEY), KEY, "left_semi").select(*names), "thin-open")
+        drop_written(left)
+        left, share, first = now, 2 * share, False
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def min_distance_thin(
+    points: DataFrame, least: float, salt: str = "thin", n: int | None = None, side: float | None = None, scene_rows: int = 10_000, pack_rows: int = 40_000,
+) -> DataFrame:
+    """A largest-possible choice of each scene's points no two of which are nearer than `least` (none can be added), or its first n in the keyed order.
+
+    An n beyond what a square of that side can hold (most_in_square) is an error.
+
+    Points have a keyed order, and one after another is taken that is not nearer than `least` to one taken before. Scenes of at most scene_rows rows are
+    dealt to tasks in packs, each scene whole, and no pair is written. Larger ones are taken in steps (see _thin_large). Points without a scene, or with a coordinate that is null or not finite, stay."""
+    if n is not None and side is not None and n > most_in_square(side, least):
+        raise ValueError(f"{n} points {least} apart don't fit a square of side {side}, which holds {most_in_square(side, least)} at most")
+    p = points.select(*KEY, *[F.col(k).cast("double").alias(k) for k in "xyz"], uniform(*KEY, F.lit(salt)).alias("h"))
+    sizes = held(points.groupBy("scene_id").agg(F.count("*").alias("many")))
+    large = F.col("scene_id").isNotNull() & (F.col("many") > scene_rows)
+    total = sizes.agg(F.sum(F.when(~large, F.col("many"))).alias("rows"), F.max(F.when(large, F.col("many"))).alias("most")).first()
+    big = sizes.filter(large).select("scene_id")
+    small = p.join(big, "scene_id", "left_anti") if total.most else p
+    names = [*KEY, "h"]
+    schema = p.select(*names).schema
+    packs = F.lit(1 + (total.rows or 0) // pack_rows)
+    small = small.select("*", F.pmod(F.xxhash64(F.coalesce(F.col("scene_id").cast("string"), F.xxhash64("point_id").cast("string"))), packs).alias("pack"))
+    out = small.groupBy("pack").applyInArrow(lambda t: _thinned(t, least, names), schema)
+    if total.most:
+        out = out.unionByName(_thin_large(p.join(big, "scene_id", "left_semi"), least, total.most, scene_rows).select(*names))
     if n is not None:
-        out = out.withColumn("rank", F.row_number().over(W.partitionBy("scene_id").orderBy("order"))).filter(F.col("rank") <= n)
-    return out.select("scene_id", F.col("order.point_id").alias("point_id"))
+        out = out.withColumn("rank", F.row_number().over(W.partitionBy("scene_id").orderBy("h", "point_id"))).filter(F.col("rank") <= n)
+    return out.select(*KEY)
 
 
 def cross_covariance(pairs: DataFrame) -> DataFrame:
