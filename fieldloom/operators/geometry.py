@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -124,17 +124,21 @@ def _least_segment(points: np.ndarray, items: dict[str, np.ndarray], counts: lis
     return np.arange(len(points)), {"d2": d2}
 
 
-def segment_distance(points: DataFrame, segments: DataFrame, *keys: str, sizes: Sizes | None = None) -> DataFrame:
-    """The least distance of each 2-D point (u, v) to the segments (au, av, bu, bv) of its keys, by blocks and boxes (see bounding.met); segments of no length are skipped, and those with an end that is null or not finite."""
-    one = F.to_json(F.struct(*keys)).alias("place")  # what has equal keys is a scene of its own
-    p = points.select(one, *keys, "point_id", F.col("u").cast("double").alias("x"), F.col("v").cast("double").alias("y"), F.lit(0.0).alias("z"))
+def boxed_segments(segments: DataFrame, place: Column) -> DataFrame:
+    """Segments (place, au, av, bu, bv) with their boxes, as items of bounding.met; those of no length go, and those with an end that is null or not finite."""
     ends = [p + k for p in "ab" for k in "uv"]
-    s = segments.select(one, *[F.col(c).cast("double").alias(c) for c in ends]).filter((F.col("bu") - F.col("au")) ** 2 + (F.col("bv") - F.col("av")) ** 2 > 1e-20)
+    s = segments.select(place, *[F.col(c).cast("double").alias(c) for c in ends]).filter((F.col("bu") - F.col("au")) ** 2 + (F.col("bv") - F.col("av")) ** 2 > 1e-20)
     for c in ends:
         s = s.filter(finite(c))
     flat = {n: f("a" + k, "b" + k) for f, names in ((F.least, LOW), (F.greatest, HIGH)) for k, n in zip("uv", names)}
-    s = s.select("*", *[flat.get(n, F.lit(0.0)).alias(n) for n in (*LOW, *HIGH)])
-    return met(p, s, _least_segment, "d2 double", nearest_row, sizes=sizes).select(*keys, "point_id", F.sqrt("d2").alias("distance"))
+    return s.select("*", *[flat.get(n, F.lit(0.0)).alias(n) for n in (*LOW, *HIGH)])
+
+
+def segment_distance(points: DataFrame, segments: DataFrame, *keys: str, more: tuple[str, ...] = (), sizes: Sizes | None = None) -> DataFrame:
+    """The least distance of each 2-D point (u, v) to the segments (au, av, bu, bv) of its keys, by blocks and boxes (see bounding.met); `more` columns of points go with them (none named x, y, z). Segments as in boxed_segments."""
+    one = F.to_json(F.struct(*keys)).alias("place")  # what has equal keys is a scene of its own
+    p = points.select(one, *keys, "point_id", *more, F.col("u").cast("double").alias("x"), F.col("v").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return met(p, boxed_segments(segments, one), _least_segment, "d2 double", nearest_row, sizes=sizes).select(*keys, "point_id", *more, F.sqrt("d2").alias("distance"))
 
 
 def nearest_row(rows: DataFrame) -> DataFrame:

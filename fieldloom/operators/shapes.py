@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform
 from fieldloom.operators.bounding import HIGH, LOW, Reach, Sizes, between, by_scene, least_distance, matrix, met, within_reach
-from fieldloom.operators.geometry import SIGN_ERROR, boxed_triangles, corners, face_table, nearest_row, rigid_fit, rigid_of, winding_number
+from fieldloom.operators.geometry import SIGN_ERROR, _winding, boxed_triangles, corners, face_table, nearest_row, rigid_fit, rigid_of, winding_number
 from fieldloom.operators.spatial import _around, _d2, nearest_join, nearest_places, neighbours, sides
 from fieldloom.scratch import drop_written, held, scratch_path, written
 
@@ -79,22 +81,125 @@ def triangle_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame,
     return near.select(*KEY, F.sqrt("d2").alias("distance"))
 
 
-def signed_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None, items: DataFrame | None = None) -> DataFrame:
+def _signs(points: np.ndarray, corner: dict[str, np.ndarray], vertices: np.ndarray) -> np.ndarray:
+    """-1 for points inside the triangles (ax .. cz), else 1, as winding_number has it with SIGN_ERROR; vertices: those of the surface."""
+    sign = np.ones(len(points), np.int32)
+    if not len(corner["ax"]):
+        return sign
+    high = vertices.max(0)
+    at = np.flatnonzero((points >= np.fmin.reduce(vertices)).all(1) & (points <= np.where(np.isnan(high), np.inf, high)).all(1))
+    if len(at):
+        w = _winding(points[at], corner, SIGN_ERROR / 2)[1]["w"]
+        open_ = np.flatnonzero(np.abs(np.abs(w) - 0.5) <= SIGN_ERROR)
+        if len(open_):
+            w[open_] = _winding(points[at[open_]], corner, 0.0)[1]["w"]
+        sign[at[np.abs(w) > 0.5]] = -1
+    return sign
+
+
+def _by_surfaces(a: pa.Table, b: pa.Table, tables: list[tuple[str, int]], measured: tuple[str, ...], names: list[str], schema: pa.Schema) -> pa.Table:
+    """The rows of a pack's points with distances and signs for each surface (its name and the number of its table of faces)."""
+    order_a, order_b, at_a, at_b = by_scene(a, b, "scene_id")
+    points, place = matrix(a, list("xyz"))[order_a], matrix(b, list("xyz"))[order_b]
+    face, of, ids = (b.column(c).to_numpy(zero_copy_only=False)[order_b] for c in ("face", "of", "id"))
+    ends = np.stack([b.column(c).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)[order_b] for c in ("v0", "v1", "v2")], 1).reshape(-1, 3)
+    d, sign = np.full((len(tables), len(points)), np.nan), np.ones((len(tables), len(points)), np.int32)
+    for (a0, a1), (b0, b1) in zip(at_a, at_b):
+        at = a0 + np.flatnonzero(np.isfinite(points[a0:a1]).all(1))
+        if b1 == b0 or not len(at):
+            continue
+        for s, (name, faces) in enumerate(tables):
+            mine = b0 + np.flatnonzero(~face[b0:b1] & (of[b0:b1] == s))
+            mine = mine[np.argsort(ids[mine], kind="stable")]
+            tri = ends[b0 + np.flatnonzero(face[b0:b1] & (of[b0:b1] == faces))]
+            if not len(mine) or not len(tri):
+                continue
+            row = np.minimum(np.searchsorted(ids[mine], tri), len(mine) - 1)
+            tri = place[mine[row[(ids[mine[row]] == tri).all(1)]]]  # faces x corners x coordinates
+            tri = tri[np.isfinite(tri).all((1, 2))]
+            corner = {q + k: tri[:, i, j] for i, q in enumerate("abc") for j, k in enumerate("xyz")}
+            if name in measured and len(tri):
+                d[s, order_a[at]] = np.sqrt(least_triangle(points[at], corner)[1]["d2"])
+            sign[s, order_a[at]] = _signs(points[at], corner, place[mine])
+    out = {c: a.column(c) for c in names}
+    for s, (name, _) in enumerate(tables):
+        if name in measured:
+            out[f"distance_{name}"] = pa.array(d[s], mask=np.isnan(d[s]))
+        out[f"sign_{name}"] = pa.array(sign[s])
+    return pa.table(out).select(schema.names).cast(schema)
+
+
+def by_surfaces(points: DataFrame, surfaces: dict[str, tuple[DataFrame, DataFrame]], measured: tuple[str, ...] | None = None, sizes: Sizes | None = None) -> DataFrame:
+    """points (scene_id, point_id, x, y, z and more) with sign_* (-1 inside, else 1) for each surface (vertices, faces), and distance_* (null without faces) for all or for the measured ones.
+
+    Points, vertices and faces of scenes of bounded size are dealt to tasks in packs once, for all surfaces, and a face finds its corners in its task.
+    Scenes with more rows or pairs go surface by surface (see triangle_distance, winding_number)."""
+    sizes = sizes or Sizes()
+    names, measured = points.columns, tuple(surfaces) if measured is None else measured
+    number = lambda c: F.col(c).cast("bigint")
+    listed: list[DataFrame] = []
+    tables, parts = [], []
+    for s, (name, (v, f)) in enumerate(surfaces.items()):
+        parts.append(v.select("scene_id", F.lit(False).alias("face"), F.lit(s).alias("of"), number("vid").alias("id"), *[F.lit(None).cast("bigint").alias(c) for c in ("v0", "v1", "v2")], *[F.col(k).cast("double").alias(k) for k in "xyz"]))
+        known = [i for i, other in enumerate(listed) if other is f]
+        if not known:  # surfaces that share their faces send them once
+            known = [len(listed)]
+            listed.append(f)
+            none = [F.lit(None).cast("double").alias(k) for k in "xyz"]
+            parts.append(f.select("scene_id", F.lit(True).alias("face"), F.lit(known[0]).alias("of"), number("fid").alias("id"), *[number(c).alias(c) for c in ("v0", "v1", "v2")], *none))
+        tables.append((name, known[0]))
+    items = parts[0]
+    for part in parts[1:]:
+        items = items.unionByName(part)
+    n = points.groupBy("scene_id").agg(F.count("*").alias("n_left")).join(items.groupBy("scene_id").agg(F.count("*").alias("n_right")), "scene_id", "left").fillna(0, ["n_right"])
+    big = (F.col("n_left") > sizes.scene_rows) | (F.col("n_right") > sizes.scene_rows) | (F.col("n_left") * F.col("n_right") > sizes.scene_pairs)
+    n = held(n.withColumn("big", big))
+    total = n.agg(F.sum(F.when(~F.col("big"), F.col("n_left") + F.col("n_right"))).alias("rows"), F.count_if("big").alias("big")).first()
+    small, near = points, items
+    if total.big:
+        small, near = (df.join(n.filter("big").select("scene_id"), "scene_id", "left_anti").select(*df.columns) for df in (points, items))
+    packs = F.lit(1 + (total.rows or 0) // sizes.pack_rows)
+    pack = lambda df, other: df.withColumn("pack", F.pmod(F.xxhash64(F.coalesce(F.col("scene_id").cast("string"), F.xxhash64(other).cast("string"))), packs)).groupBy("pack")
+    added = StructType.fromDDL(", ".join((f"distance_{s} double, " if s in measured else "") + f"sign_{s} int" for s in surfaces))
+    schema = StructType([*points.schema.fields, *added.fields])
+    arrow = to_arrow_schema(schema)
+    out = pack(small, "point_id").cogroup(pack(near, "id")).applyInArrow(lambda a, b: _by_surfaces(a, b, tables, measured, names, arrow), schema)
+    if not total.big:
+        return out
+    of = lambda df: df.join(n.filter("big").select("scene_id"), "scene_id", "left_semi").select(*df.columns)
+    large = base = written(of(points), "surface-points")
+    for s, (v, f) in surfaces.items():
+        v, f = of(v), of(f)
+        faces = written(boxed_triangles(corners(v, f)), "surface-faces")
+        if s in measured:
+            large = large.join(written(triangle_distance(base, v, f, sizes, faces), "surface-distance").withColumnRenamed("distance", f"distance_{s}"), KEY)
+        sign = winding_number(base, v, f, SIGN_ERROR, sizes, faces).select(*KEY, F.col("sign").alias(f"sign_{s}"))
+        large = large.join(written(sign, "surface-sign"), KEY)
+    return out.unionByName(large.select(*out.columns))
+
+
+def signed_distance(points: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Distance to the surface, negative inside."""
-    items = held(boxed_triangles(corners(vertices, faces))) if items is None else items
-    d = triangle_distance(points, vertices, faces, sizes, items)
-    return d.join(winding_number(points, vertices, faces, SIGN_ERROR, sizes, items), KEY).select(*KEY, (F.col("distance") * F.col("sign")).alias("sdf"))
+    p = points.select(*KEY, *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    return by_surfaces(p, {"own": (vertices, faces)}, sizes=sizes).select(*KEY, (F.col("distance_own") * F.col("sign_own")).alias("sdf"))
 
 
-def multi_plane_sdf(points: DataFrame, patches: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None, items: DataFrame | None = None) -> DataFrame:
-    """(scene_id, point_id, plane_id, sdf): each point (with plane_id) against its own plane's patch (scene_id, plane_id, fid, a*, b*, c*), with the sign of the whole surface; null without a patch."""
-    key = [*KEY, "plane_id"]
+def plane_distance(points: DataFrame, patches: DataFrame, sizes: Sizes | None = None) -> DataFrame:
+    """points (scene_id, plane_id, point_id, x, y, z and more) with distance: to their own plane's patch (scene_id, plane_id, fid, a*, b*, c*); null without one."""
     one = F.concat_ws("/", "scene_id", "plane_id").alias("plane")  # a plane is a scene of its own
-    p = points.select(one, *key, *[F.col(k).cast("double").alias(k) for k in "xyz"])
     c = patches.select(one, "fid", *[q + k for q in "abc" for k in "xyz"])
-    near = met(p, boxed_triangles(c, "plane"), least_triangle, "d2 double", nearest_row, sizes=sizes)
-    sign = winding_number(points.select(*KEY, "x", "y", "z"), vertices, faces, SIGN_ERROR, sizes, items).select(*KEY, "sign")
-    return near.join(sign, KEY, "left").select(*key, (F.sqrt("d2") * F.col("sign")).alias("sdf"))
+    near = met(points.select(one, *points.columns), boxed_triangles(c, "plane"), least_triangle, "d2 double", nearest_row, sizes=sizes)
+    return near.select(*points.columns, F.sqrt("d2").alias("distance"))
+
+
+def multi_plane_sdf(points: DataFrame, patches: DataFrame, vertices: DataFrame, faces: DataFrame, sizes: Sizes | None = None) -> DataFrame:
+    """(scene_id, point_id, plane_id, sdf): each point (with plane_id) against its own plane's patch (see plane_distance), with the sign of the whole surface; null without a patch.
+
+    The points are dealt once for their signs and once for their distances; the signs go with them, and are not joined."""
+    key = [*KEY, "plane_id"]
+    p = points.select(*key, *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    signed = written(by_surfaces(p, {"own": (vertices, faces)}, (), sizes), "plane-signs")
+    return plane_distance(signed, patches, sizes).select(*key, (F.col("distance") * F.col("sign_own")).alias("sdf"))
 
 
 def inside_or_near(rows: DataFrame, expansion: float, inside: str = "inside", distance: str = "distance") -> DataFrame:

@@ -13,12 +13,13 @@ from pyspark.sql import Window as W
 
 from fieldloom.functions.scalars import cross, dot, finite, minus, norm, uniform, unit
 from fieldloom.operators.geometry import (
-    SIGN_ERROR, apex, area_weighted_centroid, boxed_triangles, component_faces, corners, covariance, face_table, plane_contours, plane_pairs, plane_stack, segment_distance, surface_points, varifold, winding_number,
+    SIGN_ERROR, apex, area_weighted_centroid, component_faces, corners, covariance, face_table, plane_contours, plane_pairs, plane_stack, segment_distance, surface_points, varifold, winding_number,
 )
 from fieldloom.operators.samples import SURFACES, cell_name, first_last_mask, mask_stats, supervision_mask, threshold_counts, valid_shares
-from fieldloom.operators.shapes import ball_points, inside_or_near, jitter, multi_plane_sdf, planar_grid, signed_distance, triangle_distance, volume_grid
+from fieldloom.operators.shapes import ball_points, by_surfaces, inside_or_near, jitter, multi_plane_sdf, plane_distance, planar_grid, volume_grid
 from fieldloom.operators.spatial import columns_of, held, nearest_join, overlap, surface_scores
 from fieldloom.operators.tables import best_patch, centroid, minmax_norm
+from fieldloom.scratch import drop_written, written
 
 #: The axis from apex to base, the area of full score, and the weights of projection, area and prior.
 BASE_AXIS = (-math.sqrt(0.5), math.sqrt(0.5), 0.0)
@@ -423,31 +424,33 @@ def build_slice_samples(
         last = F.lit(2**16)
         grid = volume_grid(planes, step, depth, offset).withColumn("point_id", ((F.col("plane_id") * last + F.col("i")) * last + F.col("j")) * last + F.col("k"))
     names = ["scene_id", "plane_id", "point_id", "x", "y", "z"]
-    grid = held(grid.select(*names, "i", "j"))
-    epi = surfaces["epi"]
-    items = {s: held(boxed_triangles(corners(v, f))) for s, (v, f) in surfaces.items()}
-    signed = triangle_distance(grid, *epi, items=items["epi"]).join(winding_number(grid, *epi, SIGN_ERROR, items=items["epi"]), ["scene_id", "point_id"])
-    near = inside_or_near(signed.withColumn("inside", F.col("sign") < 0), expansion).select("scene_id", "point_id")
-    rows = held(grid.join(near, ["scene_id", "point_id"], "left_semi"))
-    key = ["scene_id", "plane_id", "point_id"]
-    for s, (v, f) in surfaces.items():
-        if mode == "volume":
-            d = signed_distance(rows, v, f, items=items[s]).select("scene_id", "point_id", F.col("sdf").alias(f"sdf_{s}"))
-            rows = rows.join(d, ["scene_id", "point_id"], "left")
-        elif mode == "slab":
-            d = multi_plane_sdf(rows, slab_clip(v, f, planes, half), v, f, items=items[s]).withColumnRenamed("sdf", f"sdf_{s}")
-            rows = rows.join(d, key, "left")
-        else:
+    signed = written(by_surfaces(grid.select(*names, "i", "j"), surfaces, None if mode == "volume" else ("epi",)), "slice-signs")
+    rows = inside_or_near(signed.withColumn("inside", F.col("sign_epi") < 0), expansion, distance="distance_epi")
+    key, signs, before = ["scene_id", "plane_id", "point_id"], [f"sign_{s}" for s in surfaces], signed
+    if mode == "volume":
+        rows = rows.select(*names, "i", "j", *[(F.col(f"distance_{s}") * F.col(f"sign_{s}")).alias(f"sdf_{s}") for s in surfaces])
+    else:
+        rows = rows.select(*names, "i", "j", *signs)
+        coords = lambda p: [dot(minus(vec(p), vec("o")), vec(a)) for a in "uv"]
+        if mode != "slab":
             flat = planes.select("scene_id", "plane_id", *named(vec("o"), "o"), *named(vec("u"), "u"), *named(vec("v"), "v"))
-            cut = plane_contours(v, f, planes).filter("ax is not null and bx is not null").join(flat.hint("merge"), ["scene_id", "plane_id"])
-            coords = lambda p: [dot(minus(vec(p), vec("o")), vec(a)) for a in "uv"]
-            segments = cut.select("scene_id", "plane_id", *[c.alias(p + a) for p in "ab" for a, c in zip("uv", coords(p))])
-            local = rows.join(flat.hint("merge"), ["scene_id", "plane_id"]).select(*key, *[c.alias(a) for a, c in zip("uv", coords(""))])
-            d = segment_distance(local, segments, "scene_id", "plane_id")
-            sign = winding_number(rows, v, f, SIGN_ERROR, items=items[s]).select("scene_id", "point_id", "sign")
-            d = d.join(sign, ["scene_id", "point_id"]).select(*key, (F.col("distance") * F.col("sign")).alias(f"sdf_{s}"))
-            rows = rows.join(d, key, "left")
-    rows = held(rows.withColumns({f"dist_{s}": F.abs(f"sdf_{s}") for s in surfaces}))
+            rows = rows.join(flat.hint("merge"), ["scene_id", "plane_id"]).select(*key, "i", "j", *signs, *named(vec(), "at_"), *[c.alias(a) for a, c in zip("uv", coords(""))])
+        for s, (v, f) in surfaces.items():  # each step reads the table of the one before, which holds all columns
+            kept = [c for c in rows.columns if c not in key]
+            if mode == "slab":
+                near = plane_distance(rows, slab_clip(v, f, planes, half))
+            else:
+                cut = plane_contours(v, f, planes).filter("ax is not null and bx is not null").join(flat.hint("merge"), ["scene_id", "plane_id"])
+                segments = cut.select("scene_id", "plane_id", *[c.alias(p + a) for p in "ab" for a, c in zip("uv", coords(p))])
+                near = segment_distance(rows, segments, "scene_id", "plane_id", more=tuple(kept))
+            rows = written(near.select(*key, *kept, (F.col("distance") * F.col(f"sign_{s}")).alias(f"sdf_{s}")), "slice-rows")
+            drop_written(before)
+            before = rows
+        if mode != "slab":
+            rows = rows.select("*", *[F.col("at_" + k).alias(k) for k in "xyz"])
+        rows = rows.select(*names, "i", "j", *[f"sdf_{s}" for s in surfaces])
+    rows = written(rows.withColumns({f"dist_{s}": F.abs(f"sdf_{s}") for s in surfaces}), "slice-distances")
+    drop_written(before)
     # a plane is a scene of its own for the pick
     of_plane = rows.withColumn("scene_id", F.struct("scene_id", "plane_id"))
     picked = budget_pick(of_plane, n, list(bands), ["i", "j"], bins, weights=weights)
@@ -488,10 +491,8 @@ def build_samples(surfaces: dict[str, tuple[DataFrame, DataFrame]], n: int, sigm
     points = parts[0]
     for p in parts[1:]:
         points = points.unionByName(p)
-    points = out = held(points)
-    for s, (v, f) in surfaces.items():
-        out = out.join(signed_distance(points, v, f).withColumnRenamed("sdf", f"sdf_{s}"), ["scene_id", "point_id"])
-    return out
+    out = by_surfaces(written(points, "drawn-points"), surfaces)
+    return out.select(*points.columns, *[(F.col(f"distance_{s}") * F.col(f"sign_{s}")).alias(f"sdf_{s}") for s in surfaces])
 
 
 def score_rows(gt: DataFrame, pred: DataFrame, grid: DataFrame, tau: float | None = None, faces: tuple[DataFrame, DataFrame] | None = None, gamma: float = 0.5) -> DataFrame:
